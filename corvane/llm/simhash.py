@@ -96,7 +96,7 @@ def links_within(fps: np.ndarray, side: np.ndarray, radius: int, rows: int = 256
         near = np.bitwise_count(a[i : i + rows, None] ^ b[None, :]) <= radius
         x, y = np.nonzero(near)
         x, y = ones[x + i], twos[y]
-        apart = x < y if side[0] == 0 else slice(None)
+        apart = x < y if (side == 0).all() else x != y
         x, y = x[apart], y[apart]
         used = _forest(len(fps), x, y)
         lefts.append(x[used])
