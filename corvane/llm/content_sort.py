@@ -1,11 +1,13 @@
 """Exact deduplication by sorting contents.
 
-Spark samples splitters and deals the rows out by ranges of (bytes, id); each
-task sorts its range on disk where needed, so equal texts lie next to each
-other and a neighbour comparison of whole texts finds the runs.  The id is
-part of the range key, so one text with very many copies spans several ranges
-and no task gets it whole.  Runs at the edges of a range are joined with the
-runs next door by comparing their whole texts again.
+Spark samples splitters and deals the rows out by ranges of (first bytes, hash
+of all bytes, id); each task sorts its range on disk where needed, so equal
+texts lie next to each other and a neighbour comparison of whole texts finds
+the runs.  The splitters hold the first bytes and a hash instead of whole
+texts, which keeps the sample that the driver sees small.  The id is part of
+the range key, so one text with very many copies spans several ranges and no
+task gets it whole.  Runs at the edges of a range are joined with the runs
+next door by comparing their whole texts again.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ from pyspark.sql import functions as F
 from corvane.llm.staging import staged
 
 CHUNK = 50_000
+PREFIX = 16
 _RUN_SCHEMA = "doc_id long, sha string, part int, run long, run_max long, run_min long, run_size long, edge_text binary"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of equal neighbours of one sorted range; the rows of a run follow once it has ended.
 
-    The first and the last run of a range carry their text on one row.  A run
-    is held as its ids only.
+    The runs that have the first or the last hash of a range carry their text
+    on one row.  A run is held as one text and its ids.
     """
     import hashlib
 
@@ -42,15 +45,20 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ("edge_text", pa.binary()),
         ]
     )
-    part, run, text, ids = None, 0, None, []
+    part, first_key, key, run = None, None, None, 0
+    group: dict[bytes, list] = {}  # the runs of the present hash: one, but for collisions
     out: list[tuple] = []
 
     def close(edge: bool) -> None:
-        known = [x for x in ids if x is not None]
-        low, high = (min(known), max(known)) if known else (None, None)
-        sha = hashlib.sha256(text).hexdigest()
-        for k, x in enumerate(ids):
-            out.append((x, sha, part, run, high, low, len(ids), text if edge and k == 0 else None))
+        nonlocal run
+        for text, ids in group.items():
+            known = [x for x in ids if x is not None]
+            low, high = (min(known), max(known)) if known else (None, None)
+            sha = hashlib.sha256(text).hexdigest()
+            for k, x in enumerate(ids):
+                out.append((x, sha, part, run, high, low, len(ids), text if edge and k == 0 else None))
+            run += 1
+        group.clear()
 
     def flush() -> Iterator[pa.RecordBatch]:
         for i in range(0, len(out), CHUNK):
@@ -60,19 +68,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         if part is None and batch.num_rows:
-            part = batch.column(2)[0].as_py()
-        for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if content == text:
-                ids.append(doc_id)
-                continue
-            if text is not None:
-                close(edge=run == 0)
-                run += 1
-            text, ids = content, [doc_id]
+            part, first_key = batch.column(3)[0].as_py(), batch.column(1)[0].as_py()
+            key = first_key
+        for doc_id, hashed, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if hashed != key:
+                close(edge=key == first_key)
+                key = hashed
+            group.setdefault(content, []).append(doc_id)
         if len(out) >= CHUNK:
             yield from flush()
-    if text is not None:
-        close(edge=True)
+    close(edge=True)
     yield from flush()
 
 
@@ -95,12 +100,13 @@ def exact_duplicates(
         raise ValueError("keep must be min or max")
     content = F.coalesce(F.col(text_col), F.lit(""))
     content = (normalise(content) if normalise else content).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), content.alias("content"))
-    ranges = rows.repartitionByRange("content", "doc_id").sortWithinPartitions("content", "doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(content).alias("hashed"), content.alias("content"))
+    start = F.substring("content", 1, PREFIX)
+    ranges = rows.repartitionByRange(start, "hashed", "doc_id").sortWithinPartitions(start, "hashed", "content", "doc_id")
     ranges = ranges.withColumn("part", F.spark_partition_id())
     runs = staged(ranges.mapInArrow(_runs, _RUN_SCHEMA), "content-runs")
 
-    # A run goes on in the next range only if it is the last of one and the first of the next, so texts at the edges meet by content.
+    # A text goes on in the next range only if it has the last hash of one and the first of the next, so texts at the edges meet by content.
     edges = runs.where("edge_text IS NOT NULL").groupBy("edge_text").agg(
         F.collect_list(F.struct("part", "run")).alias("members"),
         F.max("run_max").alias("all_max"),
