@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corvane.llm import content_sort, decontaminate, simhash, source_mix, token_shards
+from corvane.llm import content_sort, decontaminate, simhash, source_mix, token_counts, token_shards
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op7_exact_dedup": content_sort.op7_exact_dedup,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_source_mix": source_mix.op9_source_mix,
     "op10_token_shards": token_shards.op10_token_shards,
 }
