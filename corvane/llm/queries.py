@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from corvane.llm import content_sort, decontaminate, simhash, source_mix, token_counts, token_shards
+from corvane.llm import content_sort, decontaminate, quality, simhash, source_mix, token_counts, token_shards, toxicity, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_simhash": simhash.op4_simhash,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality": quality.op6_quality,
     "op7_exact_dedup": content_sort.op7_exact_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_source_mix": source_mix.op9_source_mix,
@@ -14,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_url_filter": url_filter.SQL,
     "op2_decontaminate": decontaminate.SQL,
     "op7_exact_dedup": content_sort.SQL,
     "op9_source_mix": source_mix.SQL,
