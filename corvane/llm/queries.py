@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corvane.llm import content_sort, decontaminate, quality, simhash, source_mix, token_counts, token_shards, toxicity, url_filter
+from corvane.llm import content_sort, decontaminate, hidden_markov, quality, simhash, source_mix, token_counts, token_shards, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_language_model": hidden_markov.op3_language_model,
     "op4_simhash": simhash.op4_simhash,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
