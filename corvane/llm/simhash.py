@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.staging import staged
+from corvane.llm.staging import fresh, quoted, staged
 
 RADIUS = 2
 SHINGLE = 3
@@ -248,12 +248,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
     found = staged(near_duplicates(docs, id_col=id_col, **options), "near-duplicates")
     chosen = found.groupBy("component_id").agg(F.sum(F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int")).alias("rows"))
-    chosen = chosen.select(F.struct("component_id", "rows").alias("chosen_component"))
-    kept = docs.join(chosen, docs[id_col].cast("long").eqNullSafe(F.col("chosen_component.component_id")))
-    once = kept.where("chosen_component.rows = 1").select(*[docs[c] for c in docs.columns])
-    several = kept.where("chosen_component.rows > 1")
-    order = Window.partitionBy("chosen_component.component_id").orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    first = several.withColumn("chosen_component", F.row_number().over(order)).where("chosen_component = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh(docs, "chosen_component")
+    chosen = chosen.select(F.struct("component_id", "rows").alias(name))
+    kept = docs.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col(f"{name}.component_id")))
+    once = kept.where(F.col(f"{name}.rows") == 1).select(*quoted(docs))
+    several = kept.where(F.col(f"{name}.rows") > 1)
+    order = Window.partitionBy(f"{name}.component_id").orderBy(*[F.col(c).cast("string") for c in quoted(docs)])
+    first = several.withColumn(name, F.row_number().over(order)).where(F.col(name) == 1).select(*quoted(docs))
     return once.unionByName(first)
 
 

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.staging import fresh, quoted
+
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CEILING = 2.0
@@ -78,36 +80,33 @@ def mix_plan(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """``docs`` with the struct column ``mix_plan``: size, source_size, target, copies.
+    """``docs`` with one more column, the last: a struct of size, source_size, target and copies.
 
-    All columns of ``docs`` stay, so a column of that name is not allowed in
-    the input and raises.  Null text has size 0; a null source is a source of
-    its own; an empty table gives an empty result; repeated rows count each
-    time and, having one id, are drawn alike.
+    It is named ``mix_plan``, or longer where the input has a column of that
+    name.  Null text has size 0; a null source is a source of its own; an
+    empty table gives an empty result; repeated rows count each time and,
+    having one id, are drawn alike.
     """
-    if "mix_plan" in docs.columns:
-        raise ValueError("the input must not have a column named mix_plan")
-    sized = docs.withColumn("mix_plan", word_count(F.col(text_col)))
-    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("mix_plan").alias("source_size"))
-    targets = source_targets(sizes, weights, budget, ceiling).select(F.struct("source", "source_size", "target").alias("mix_target"))
-    joined = sized.join(targets, sized[source_col].eqNullSafe(F.col("mix_target.source")), "left")
-    rate = F.when(F.col("mix_target.source_size") > 0, F.col("mix_target.target") / F.col("mix_target.source_size")).otherwise(F.lit(0.0))
+    name = fresh(docs, "mix_plan")
+    sized = docs.withColumn(name, word_count(F.col(text_col)))
+    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum(name).alias("source_size"))
+    goal = fresh(sized, "mix_target")
+    targets = source_targets(sizes, weights, budget, ceiling).select(F.struct("source", "source_size", "target").alias(goal))
+    joined = sized.join(targets, F.col(source_col).eqNullSafe(F.col(f"{goal}.source")), "left")
+    source_size, target = F.col(f"{goal}.source_size"), F.col(f"{goal}.target")
+    rate = F.when(source_size > 0, target / source_size).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     extra = (unit_hash(F.col(id_col), seed) < rate - whole).cast("long")
-    plan = F.struct(
-        F.col("mix_plan").alias("size"),
-        F.col("mix_target.source_size").alias("source_size"),
-        F.col("mix_target.target").alias("target"),
-        (whole + extra).cast("long").alias("copies"),
-    )
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], plan.alias("mix_plan"))
+    plan = F.struct(F.col(name).alias("size"), source_size.alias("source_size"), target.alias("target"), (whole + extra).cast("long").alias("copies"))
+    return joined.select(*quoted(docs), plan.alias(name))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: each document as often as its plan says, columns unchanged."""
     planned = mix_plan(docs, **options)
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("mix_plan.copies").cast("int")))
-    return planned.select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias("mix_plan")).drop("mix_plan")
+    name = planned.columns[-1]
+    copies = F.explode(F.array_repeat(F.lit(1), F.col(f"{name}.copies").cast("int")))
+    return planned.select(*quoted(docs), copies.alias(name)).drop(name)
 
 
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -32,3 +32,16 @@ def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     path = new_path(spark, label)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(df: DataFrame) -> list[str]:
+    """The columns of ``df`` for a select, whatever characters they have."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.labelled import TRAIN_ROWS, held_out, training_sample
-from corvane.llm.staging import staged
+from corvane.llm.staging import fresh, staged
 
 PREFIXES = (4, 5, 6, 7, 8)
 MIN_SHARE = 0.01
@@ -270,10 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, **colum
     return ToxicityModel(lexicon, _logistic(x[order], y[order]))
 
 
-def scored(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", name: str = "toxicity_score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 in the column ``name``, which must be new."""
-    if name in docs.columns:
-        raise ValueError(f"the input must not have a column named {name}")
+def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "toxicity_score") -> DataFrame:
+    """``docs`` with a score from 0 to 1 in the new column ``name``."""
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -296,13 +294,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, th
     """
     model = fit(docs, labels, most_rows, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return scored(rows, model, "doc_id", "text", "score").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored(rows, model, name="score").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, **columns) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more; columns unchanged."""
-    model = fit(docs, labels, most_rows, **columns)
-    return scored(docs, model, **columns).where(F.col("toxicity_score") < threshold).drop("toxicity_score")
+    model = fit(docs, labels, most_rows, id_col=id_col, text_col=text_col)
+    name = fresh(docs, "toxicity_score")
+    return scored(docs, model, text_col, name).where(F.col(name) < threshold).drop(name)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
