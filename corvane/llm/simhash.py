@@ -15,8 +15,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.staging import fresh, quoted, staged
@@ -50,17 +51,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``, fp being the 64 bits as a signed long."""
+def fingerprint_of(shingle: int = SHINGLE, seed: int = SEED):
+    """A pandas UDF: text -> fingerprint, its 64 bits as a signed long."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1)
-            found = np.fromiter((fingerprint(texts[i].as_py(), shingle, seed) for i in range(len(texts))), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+    @F.pandas_udf("long")
+    def mark(texts: pd.Series) -> pd.Series:
+        found = (fingerprint(None if t is None else t.encode(), shingle, seed) for t in texts)
+        return pd.Series(np.fromiter(found, np.uint64, len(texts)).view(np.int64))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return mark
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
@@ -221,7 +220,19 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, fp)`` of all rows, and ``(fp, component_id)`` of all distinct fingerprints."""
+    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_of(shingle, seed)(F.col(text_col)).alias("fp"))
+    marked = staged(marked, "fingerprints")
+    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-nodes")
+    roots = connected(near_links(nodes, radius, tile))
+    least = roots.join(nodes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("rep").alias("component_id"))
+    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
+    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    return marked, staged(named, "components")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint, component_id.
 
     Null and empty texts have fingerprint zero and are linked like any other.
@@ -229,31 +240,29 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     no comparisons.  A null id is never the component's id unless the
     component has no other.  An empty table gives an empty result.
     """
-    marked = staged(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
-    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-nodes")
-    roots = connected(near_links(nodes, radius, tile))
-    least = roots.join(nodes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    named = staged(named, "components")
+    marked, named = fingerprint_components(docs, **options)
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest id; columns unchanged.
 
-    Where several rows carry that id, the first by all text columns stays.
+    Rows whose id occurs once are picked by it.  Where several rows share the
+    id, their fingerprints tell which belong to the component, and the first
+    of those by all columns as text stays.
     """
-    from pyspark.sql import Window
-
-    found = staged(near_duplicates(docs, id_col=id_col, **options), "near-duplicates")
-    chosen = found.groupBy("component_id").agg(F.sum(F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int")).alias("rows"))
+    marked, named = fingerprint_components(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col, **options)
     name = fresh(docs, "chosen_component")
-    chosen = chosen.select(F.struct("component_id", "rows").alias(name))
-    kept = docs.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col(f"{name}.component_id")))
+    leads = named.select(F.col("component_id").alias("lead")).distinct()
+    rows = marked.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    chosen = staged(rows.join(leads, F.col("doc_id").eqNullSafe(F.col("lead"))).select(F.struct("lead", "rows").alias(name)), "chosen")
+    kept = docs.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col(f"{name}.lead")))
     once = kept.where(F.col(f"{name}.rows") == 1).select(*quoted(docs))
-    several = kept.where(F.col(f"{name}.rows") > 1)
-    order = Window.partitionBy(f"{name}.component_id").orderBy(*[F.col(c).cast("string") for c in quoted(docs)])
+    several = kept.where(F.col(f"{name}.rows") > 1).select(*quoted(docs), fingerprint_of(shingle, seed)(F.col(text_col)).alias(name))
+    group = fresh(several, "component")
+    several = several.join(named.select(F.struct("fp", "component_id").alias(group)), F.col(name) == F.col(f"{group}.fp"))
+    several = several.where(F.col(id_col).cast("long").eqNullSafe(F.col(f"{group}.component_id")))
+    order = Window.partitionBy(f"{group}.component_id").orderBy(*[F.col(c).cast("string") for c in quoted(docs)])
     first = several.withColumn(name, F.row_number().over(order)).where(F.col(name) == 1).select(*quoted(docs))
     return once.unionByName(first)
 
