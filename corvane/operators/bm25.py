@@ -32,6 +32,18 @@ def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
     return queries.select("query_id", F.explode(T.terms(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def exploded_terms(rows: DataFrame) -> DataFrame:
+    """``rows (..., text)`` -> a row per term, with the number of terms of its text as ``length``.
+
+    The number is taken before the explode, which would else evaluate it again
+    for every term; the outer form keeps Spark from adding a filter that reads
+    the terms once more.
+    """
+    keys = [c for c in rows.columns if c != "text"]
+    counted = rows.withColumn("terms", T.terms(F.col("text"))).select(*keys, F.size("terms").alias("length"), "terms")
+    return counted.select(*keys, "length", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+
+
 def corpus_statistics(corpus: DataFrame, text_col: str = "text") -> tuple[int, float]:
     """Number of documents and mean number of terms; documents without terms count."""
     n, average = corpus.agg(F.count("*"), F.avg(F.size(T.terms(F.col(text_col))))).first()
@@ -55,8 +67,7 @@ def scores(corpus: DataFrame, queries: DataFrame, text_col: str = "text", block_
 
 
 def _block_scores(corpus: DataFrame, wanted: DataFrame, n: int, average: float, text_col: str) -> DataFrame:
-    found = T.terms(F.col(text_col))
-    read = corpus.select("position", F.size(found).alias("length"), F.explode(found).alias("term"))
+    read = exploded_terms(corpus.select("position", F.col(text_col).alias("text")))
     # One block of query terms: at most BLOCK_TERMS rows.
     of_query = read.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
     tf = of_query.groupBy("position", "length", "term").agg(F.count("*").alias("tf"))
@@ -75,7 +86,8 @@ def candidate_scores(candidates: DataFrame, queries: DataFrame, text_col: str =
     """
     found = candidates.select("query_id", "position", T.terms(F.col(text_col)).alias("terms"))
     stats = found.groupBy("query_id").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("average"))
-    tf = found.select("query_id", "position", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("query_id", "position", "length", "term").agg(F.count("*").alias("tf"))
+    read = exploded_terms(candidates.select("query_id", "position", F.col(text_col).alias("text")))
+    tf = read.groupBy("query_id", "position", "length", "term").agg(F.count("*").alias("tf"))
     tf = tf.join(query_terms(queries), ["query_id", "term"])
     df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df"))
     scored = tf.join(df, ["query_id", "term"]).join(stats, "query_id")

@@ -216,7 +216,8 @@ def chunk_documents(docs: DataFrame, strategy: str = "markdown", size: int = 800
             )
 
         rows = rows.withColumn("chunks", F.when(F.size("blocks") > 0, F.transform("bounds", grouped)).otherwise(windows))
-    out = rows.select("source_path", "source_title", F.posexplode("chunks").alias("chunk_index", "c"))
+    # For a plain posexplode Spark would add a filter on the array and work all of it out a second time.
+    out = rows.select("source_path", "source_title", F.posexplode_outer("chunks").alias("chunk_index", "c")).where("c IS NOT NULL")
     metadata = F.struct(
         F.col("c.first").alias("start"), F.col("c.past").alias("end"), F.col("c.strategy").alias("chunk_strategy"), F.col("source_title"),
         F.col("c.section_title").alias("section_title"), F.col("c.level").alias("heading_level"),

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.config import Settings, as_payload, check_question
@@ -15,22 +15,24 @@ from corvane.operators.bm25 import searchable_text
 from corvane.operators.embedding import embed_column
 from corvane.operators.index import ParquetStore, ingest, needs_ingest
 from corvane.sources.corpus import list_documents, read_documents
+from corvane.sources.shared import staged
 
 
 def corpus_of(chunks: DataFrame) -> DataFrame:
-    """Chunks as a corpus for ranking, with their position by path and chunk number.
+    """Chunks as a corpus for ranking, with positions that rise with path and chunk number.
 
-    Positions are a count of chunks per path and a sum over paths, so no task
-    sorts all chunks.
+    Positions are numbered range by range of the sorted paths and written with
+    the chunks, so no task sorts them all and every later read sees the same.
     """
-    sizes = chunks.groupBy("source_path").agg((F.max("chunk_index") + 1).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("source_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("source_path", before.alias("base"))
     section, source = F.col("metadata.section_title"), F.col("metadata.source_title")
-    return chunks.join(starts, "source_path").select(
-        (F.col("base") + F.col("chunk_index")).cast("long").alias("position"), *[c for c in chunks.columns if c != "embedding"],
-        searchable_text(F.col("title"), section, F.col("text")).alias("searchable"), F.concat_ws(" ", "title", section, source).alias("metadata_text"),
-        *([F.col("embedding").alias("vector")] if "embedding" in chunks.columns else []),
+    ordered = chunks.repartitionByRange("source_path").sortWithinPartitions("source_path", "chunk_index")
+    return staged(
+        ordered.select(
+            F.monotonically_increasing_id().alias("position"), *[c for c in chunks.columns if c != "embedding"],
+            searchable_text(F.col("title"), section, F.col("text")).alias("searchable"), F.concat_ws(" ", "title", section, source).alias("metadata_text"),
+            *([F.col("embedding").alias("vector")] if "embedding" in chunks.columns else []),
+        ),
+        "corpus",
     )
 
 

@@ -83,7 +83,7 @@ def run(spark: SparkSession, settings: Settings, documents: DataFrame, cases: Da
             key = (cell.chunk_strategy, cell.chunk_size, cell.chunk_overlap)
             if key not in indexes:
                 chunks = chunk_documents(documents, *key)
-                indexes[key] = corpus_of(staged(chunks.withColumn("embedding", embed_column(F.col("text"))), "sweep-index"))
+                indexes[key] = corpus_of(chunks.withColumn("embedding", embed_column(F.col("text"))))
             began = time.perf_counter()
             hits = staged(retrieve(indexes[key], questions, cell), "sweep-hits")
             results = evaluation.evaluate(cases, answer(questions, hits).select("query_id", "answer", "hits"))
