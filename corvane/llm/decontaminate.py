@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.staging import fresh, staged
+from corvane.llm.staging import fresh, join_side, staged
 
 WINDOW = 10
 SLOP = 3
@@ -281,7 +281,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     found = contamination(docs, items, id_col=id_col, **options).where("contaminated")
     name = fresh(docs, "contaminated_doc")
     bad = staged(found.select(F.struct("doc_id").alias(name)).distinct(), "contaminated")
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(f"{name}.doc_id")), "left_anti")
+    return docs.join(join_side(bad, bad.count()), F.col(id_col).cast("long").eqNullSafe(F.col(f"{name}.doc_id")), "left_anti")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.staging import fresh, quoted, staged
+from corvane.llm.staging import fresh, join_side, quoted, staged
 
 RADIUS = 2
 SHINGLE = 3
@@ -168,7 +168,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     whole = F.col("total") <= tile
     parts = lambda pop: F.ceil(F.coalesce(F.try_element_at(F.col("pops"), pop), F.lit(0)) / F.lit(tile)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.greatest(parts(F.col("pop")), F.lit(1))).cast("int")
-    joined = banded.join(groups, ["band", "value"]).withColumn("tile", F.when(whole, F.lit(0)).otherwise(own))
+    joined = banded.join(join_side(groups, nodes.count() * bands), ["band", "value"]).withColumn("tile", F.when(whole, F.lit(0)).otherwise(own))
     mine = F.struct(F.col("pop").alias("p"), F.col("tile").alias("t"))
 
     def cell(other):
@@ -193,9 +193,9 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds; each is written to the shared folder.
     """
-    def star(both: DataFrame, large: bool) -> DataFrame:
+    def star(both: DataFrame, large: bool, most: int) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        joined = both.join(least, "a")
+        joined = both.join(join_side(least, most), "a")
         if large:
             return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("a <> m").select("a", F.col("m").alias("b")))
@@ -209,8 +209,8 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        wide = star(both, large=True).where("a <> b").distinct()
-        edges = staged(star(wide, large=False).where("a <> b").distinct(), "links")
+        wide = star(both, True, 2 * seen[0]).where("a <> b").distinct()
+        edges = staged(star(wide, False, 2 * seen[0]).where("a <> b").distinct(), "links")
         now = mark(edges)
         if now == seen:
             break
@@ -226,9 +226,10 @@ def fingerprint_components(docs: DataFrame, radius: int = RADIUS, shingle: int =
     marked = staged(marked, "fingerprints")
     nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-nodes")
     roots = connected(near_links(nodes, radius, tile))
-    least = roots.join(nodes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    most = roots.count()
+    least = nodes.join(join_side(roots, most), F.col("node") == F.col("fp")).groupBy("root").agg(F.min("rep").alias("component_id"))
+    linked = roots.join(join_side(least, most), "root").select(F.col("node").alias("fp"), "component_id")
+    named = nodes.join(join_side(linked, most), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return marked, staged(named, "components")
 
 
@@ -241,7 +242,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     component has no other.  An empty table gives an empty result.
     """
     marked, named = fingerprint_components(docs, **options)
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(join_side(named, named.count()), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -256,11 +257,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col:
     leads = named.select(F.col("component_id").alias("lead")).distinct()
     rows = marked.groupBy("doc_id").agg(F.count("*").alias("rows"))
     chosen = staged(rows.join(leads, F.col("doc_id").eqNullSafe(F.col("lead"))).select(F.struct("lead", "rows").alias(name)), "chosen")
-    kept = docs.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col(f"{name}.lead")))
+    kept = docs.join(join_side(chosen, chosen.count()), F.col(id_col).cast("long").eqNullSafe(F.col(f"{name}.lead")))
     once = kept.where(F.col(f"{name}.rows") == 1).select(*quoted(docs))
     several = kept.where(F.col(f"{name}.rows") > 1).select(*quoted(docs), fingerprint_of(shingle, seed)(F.col(text_col)).alias(name))
     group = fresh(several, "component")
-    several = several.join(named.select(F.struct("fp", "component_id").alias(group)), F.col(name) == F.col(f"{group}.fp"))
+    several = several.join(join_side(named.select(F.struct("fp", "component_id").alias(group)), named.count()), F.col(name) == F.col(f"{group}.fp"))
     several = several.where(F.col(id_col).cast("long").eqNullSafe(F.col(f"{group}.component_id")))
     order = Window.partitionBy(f"{group}.component_id").orderBy(*[F.col(c).cast("string") for c in quoted(docs)])
     first = several.withColumn(name, F.row_number().over(order)).where(F.col(name) == 1).select(*quoted(docs))

@@ -45,3 +45,16 @@ def fresh(df: DataFrame, name: str) -> str:
 def quoted(df: DataFrame) -> list[str]:
     """The columns of ``df`` for a select, whatever characters they have."""
     return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
+#: Rows of a side that Spark may choose to broadcast; about 100 bytes each in memory.
+BROADCAST_ROWS = 200_000
+
+
+def join_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as one side of a join, of ``rows`` rows at most: beyond the bound Spark must not broadcast it.
+
+    Parquet files of ids are many times smaller than their rows in memory, so
+    Spark's own estimate would let a side through that the driver cannot hold.
+    """
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
