@@ -55,7 +55,14 @@ def read_documents(spark: SparkSession, folder: str | Path, exclude: Sequence[st
     files = list_documents(folder, exclude)
     if not files:
         return spark.createDataFrame([], "source_path string, text string")
-    raw = spark.read.format("binaryFile").load([p.absolute().as_uri() for p in files])
-    named = spark.createDataFrame([(p.absolute().as_uri().replace("file:///", "file:/"), p.as_posix()) for p in files], "path string, source_path string")
+    # Spark skips names with a leading dot or underscore even when they are given, so these few are read here.
+    unseen = [p for p in files if p.name[0] in "._"]
+    seen = [p for p in files if p.name[0] not in "._"]
+    kind = "path string, source_path string, content binary"
+    raw = spark.createDataFrame([(p.as_posix(), p.as_posix(), p.read_bytes()) for p in unseen], kind)
+    if seen:
+        named = spark.createDataFrame([(p.absolute().as_uri().replace("file:///", "file:/"), p.as_posix()) for p in seen], "path string, source_path string")
+        read = spark.read.format("binaryFile").load([p.absolute().as_uri() for p in seen]).select("path", "content")
+        raw = raw.unionByName(read.join(named, "path"))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), unix_lines(F.col("content").cast("string"))).otherwise(F.raise_error(F.concat(F.lit("not valid UTF-8: "), F.col("source_path"))))
-    return raw.select("path", "content").join(named, "path").select("source_path", text.alias("text"))
+    return raw.select("source_path", text.alias("text"))
