@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.sources.shared import staged
 
 K1, B = 1.5, 0.75
 BLOCK_TERMS = 200_000
@@ -70,7 +71,8 @@ def _block_scores(corpus: DataFrame, wanted: DataFrame, n: int, average: float,
     read = exploded_terms(corpus.select("position", F.col(text_col).alias("text")))
     # One block of query terms: at most BLOCK_TERMS rows.
     of_query = read.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
-    tf = of_query.groupBy("position", "length", "term").agg(F.count("*").alias("tf"))
+    # Written once: document frequencies and scores both read the postings.
+    tf = staged(of_query.groupBy("position", "length", "term").agg(F.count("*").alias("tf")), "postings")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weights = wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * idf(F.lit(n), F.col("df"))).alias("w"))
     scored = tf.join(F.broadcast(weights), "term").withColumn("s", F.col("w") * term_weight(F.col("tf"), F.col("length"), F.lit(average)))

@@ -25,9 +25,9 @@ class EmbeddingProvider(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
 
 
-def token_slots(token: str) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and signs of a token from the first bytes of its SHA-256."""
-    raw = np.frombuffer(hashlib.sha256(token.encode()).digest()[:BYTES], np.uint8).astype(np.int64)
+def token_slots(tokens: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and signs of tokens, a row each, from the first bytes of their SHA-256."""
+    raw = np.frombuffer(b"".join(hashlib.sha256(t.encode()).digest()[:BYTES] for t in tokens), np.uint8).reshape(-1, BYTES).astype(np.int64)
     return (raw + STEP * np.arange(BYTES)) % DIMENSIONS, 1 - 2 * (raw % 2)
 
 
@@ -35,13 +35,14 @@ def token_slots(token: str) -> tuple[np.ndarray, np.ndarray]:
 def hash_vector(texts: pd.Series) -> pd.Series:
     """Unit hash vectors; blank texts give zeros.  A token is hashed once per batch."""
     counts = [Counter((t or "").lower().split()) for t in texts]
-    known = {w: token_slots(w) for c in counts for w in c}
+    number = {w: i for i, w in enumerate(set().union(*counts))}
+    slots, signs = token_slots(list(number))
     out = np.zeros((len(counts), DIMENSIONS))
     for row, c in zip(out, counts):
         if c:
-            slots = np.concatenate([known[w][0] for w in c])
-            signs = np.concatenate([known[w][1] * n for w, n in c.items()])
-            row += np.bincount(slots, signs, DIMENSIONS)
+            at = np.fromiter(map(number.__getitem__, c), np.int64, len(c))
+            times = np.fromiter(c.values(), np.int64, len(c))
+            row += np.bincount(slots[at].ravel(), (signs[at] * times[:, None]).ravel(), DIMENSIONS)
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return pd.Series(list(np.divide(out, length, out=out, where=length > 0)))
 

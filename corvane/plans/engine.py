@@ -25,7 +25,8 @@ def corpus_of(chunks: DataFrame) -> DataFrame:
     the chunks, so no task sorts them all and every later read sees the same.
     """
     section, source = F.col("metadata.section_title"), F.col("metadata.source_title")
-    ordered = chunks.repartitionByRange("source_path").sortWithinPartitions("source_path", "chunk_index")
+    # Written first: finding the ranges would else chunk everything twice.
+    ordered = staged(chunks, "chunks").repartitionByRange("source_path").sortWithinPartitions("source_path", "chunk_index")
     return staged(
         ordered.select(
             F.monotonically_increasing_id().alias("position"), *[c for c in chunks.columns if c != "embedding"],

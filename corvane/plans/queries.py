@@ -23,9 +23,15 @@ EXCLUDE = ("src1/*", "*7.md")
 SIZES = {"fixed": (800, 120), "paragraph": (300, 60), "markdown": (300, 60)}
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt out anew only where their files give fewer tasks than there are cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """``documents`` with a source path; a null text is empty."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "source", "text"))
     return docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"), path_of(F.col("source"), F.col("doc_id")).alias("source_path"))
 
 
@@ -94,7 +100,8 @@ def term_frequencies(spark, sf):
 
 def hash_embedding(spark, sf):
     vectors = documents(spark, sf).select("doc_id", embedding.embed_column(F.col("text")).alias("v"))
-    return vectors.select("doc_id", F.posexplode("v").alias("slot", "value")).where("value <> 0").select("doc_id", "slot", F.round("value", 6).alias("value"))
+    # The outer form: for a plain posexplode Spark would filter on the vector's size and embed twice.
+    return vectors.select("doc_id", F.posexplode_outer("v").alias("slot", "value")).where("value <> 0").select("doc_id", "slot", F.round("value", 6).alias("value"))
 
 
 def _vectors(spark, sf):
@@ -117,6 +124,7 @@ def dense_label_precision(spark, sf):
 def _document_corpus(spark, sf):
     docs = documents(spark, sf)
     meta = F.concat_ws(" ", "source", "lang")
+    # A row number would cost a sort; ids already give a total order.
     return docs.select(F.col("doc_id").cast("long").alias("position"), F.concat(F.col("doc_id").cast("string"), F.lit("::chunk-0")).alias("chunk_id"), "text", F.col("text").alias("searchable"), meta.alias("metadata_text"), embedding.embed_column(F.col("text")).alias("vector"))
 
 
