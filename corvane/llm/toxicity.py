@@ -31,6 +31,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 MIN_SHARE = 0.01
 MIN_DOCS = 4
 MOST_OTHER = 0.004
+DOUBT = 0.01
 FUZZY_WORD = 5
 CONTEXT = 60
 THRESHOLD = 0.5
@@ -209,9 +210,12 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     seen = {r.term: r.n for r in counted(sample.where("label = 1"), None).where(F.col("n") >= floor).collect()}
     against = {r.term: r.n for r in counted(sample.where("label = 0"), frozenset(seen)).collect()}
     weights = {}
+    rate = toxic / (toxic + other)
+    chance = math.log(DOUBT / max(len(seen), 1))  # many terms are tried, so each must be the less likely by chance
     for term, n in seen.items():
         m = against.get(term, 0)
-        if m / max(other, 1) <= min(MOST_OTHER, 0.05 * n / toxic):
+        luck = n * math.log(rate) + m * math.log1p(-rate) + math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1) if other else 0.0
+        if m / max(other, 1) <= min(MOST_OTHER, 0.05 * n / toxic) and (luck <= chance or not other):
             weights[term] = math.log((n + 0.5) / (toxic + 1)) - math.log((m + 0.5) / (other + 1))
     # A beginning stands for all longer terms that it covers.
     starts = {}
