@@ -66,8 +66,8 @@ def record_dtype(length: int = LENGTH) -> np.dtype:
     return np.dtype([*HEADER.descr, ("ids", "<u2", (length,)), ("line_end", "u1")])
 
 
-def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(key, record)``: sequences with their permuted index, as unsigned share of the domain in ``key``."""
+def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """``(key, record)``: sequences with their permuted index, and the size of the index's domain."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tasks = max(1, rows.rdd.getNumPartitions())
     domain = tasks << PLACE_BITS
@@ -81,6 +81,8 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH, key: int =
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         encode = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        if TaskContext.get().partitionId() >= tasks:
+            raise RuntimeError("the corpus was dealt to more tasks than planned; write it as a table first")
         base = TaskContext.get().partitionId() << PLACE_BITS
         layout = record_dtype(length)
         place, held, size = 0, [], 0  # held: (doc_id, first token, ids)
