@@ -257,8 +257,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col:
     leads = named.select(F.col("component_id").alias("lead")).distinct()
     rows = marked.groupBy("doc_id").agg(F.count("*").alias("rows"))
     chosen = staged(rows.join(leads, F.col("doc_id").eqNullSafe(F.col("lead"))).select(F.struct("lead", "rows").alias(name)), "chosen")
-    kept = docs.join(join_side(chosen, chosen.count()), F.col(id_col).cast("long").eqNullSafe(F.col(f"{name}.lead")))
+    # The chosen ids grow with the corpus: one sort-merge join at every size, never a broadcast.
+    kept = docs.join(chosen.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col(f"{name}.lead")))
     once = kept.where(F.col(f"{name}.rows") == 1).select(*quoted(docs))
+    if not chosen.where(F.col(f"{name}.rows") > 1).limit(1).count():
+        return once
     several = kept.where(F.col(f"{name}.rows") > 1).select(*quoted(docs), fingerprint_of(shingle, seed)(F.col(text_col)).alias(name))
     group = fresh(several, "component")
     several = several.join(join_side(named.select(F.struct("fp", "component_id").alias(group)), named.count()), F.col(name) == F.col(f"{group}.fp"))
