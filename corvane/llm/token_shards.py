@@ -27,6 +27,7 @@ KEY = 20240229
 ROUNDS = 6
 END = 50256
 PLACE_BITS = 32
+SHARD_BYTES = 1_000_000_000
 HEADER = np.dtype([("first_doc", "<i8"), ("first_token", "<i4"), ("n_tokens", "<i4")])
 
 
@@ -132,16 +133,29 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH, key: int =
     return rows.mapInArrow(run, "key long, record binary"), domain
 
 
+def planned_shards(docs: DataFrame, text_col: str = "text", most_bytes: int = SHARD_BYTES) -> int:
+    """The session's number of shuffle partitions, or more where a shard might pass ``most_bytes``.
+
+    A token has one byte of text at least and takes two in a shard, so twice
+    the bytes of all texts, and two for each end token, are the most that can
+    be written, but for headers.
+    """
+    text_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    most = docs.agg(F.coalesce(F.sum(2 * text_bytes + 2), F.lit(0))).first()[0]
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // most_bytes))
+
+
 def write_shards(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.tiktoken", length: int = LENGTH, key: int = KEY, shards: int | None = None, **columns) -> None:
     """Write all documents as shards under ``path``, one file of fixed-stride records each.
 
     Null and empty texts give an end token alone; rows that repeat are written
-    as often as they occur; an empty table gives no records.  The shard of a
-    slot follows from the record counts, which :func:`shard_table` reads from
-    the file lengths.
+    as often as they occur; an empty table gives no records.  Without
+    ``shards`` their number grows with the texts.  The shard of a slot follows
+    from the record counts, which :func:`shard_table` reads from the file
+    lengths.
     """
     cut, domain = sequences(docs, vocabulary, length, key, **columns)
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or planned_shards(docs, columns.get("text_col", "text"))
     part = F.least(F.floor(F.col("key") / F.lit(domain / shards)), F.lit(shards - 1)).cast("int")
     dealt = cut.repartitionById(shards, part).sortWithinPartitions("key")
     dealt.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)

@@ -182,6 +182,13 @@ def test_shards_round_trip(spark):
     assert record["ids"][: record["n_tokens"]].tobytes() == bytes(got[slot].ids)
 
 
+def test_number_of_shards_grows_with_the_texts(spark):
+    docs = spark.createDataFrame([(1, "é" * 500), (2, None), (3, "")], "doc_id long, text string")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert token_shards.planned_shards(docs) == token_shards.planned_shards(empty(spark)) == least
+    assert token_shards.planned_shards(docs, most_bytes=10) == 201
+
+
 def test_shards_of_an_empty_table(spark):
     path = new_path(spark, "test-shards")
     token_shards.write_shards(empty(spark), path)
