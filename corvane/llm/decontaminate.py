@@ -260,7 +260,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"),
     )
     near = spans.groupBy("shard", "nth").agg(F.countDistinct("item_id").alias("n_any"))
-    joined = listed.join(exact.join(near, ["shard", "nth"], "full"), ["shard", "nth"], "left")
+    joined = listed.join(join_side(exact.join(near, ["shard", "nth"], "full"), spans.count()), ["shard", "nth"], "left")
     n_items = F.coalesce("n_items", F.lit(0)).cast("long")
     return joined.select(
         "doc_id",
