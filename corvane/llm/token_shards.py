@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.staging import new_path
+from corvane.llm.staging import BROADCAST_ROWS, new_path
 
 LENGTH = 2048
 KEY = 20240229
@@ -178,6 +178,9 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH) -> DataFra
     """
     layout = record_dtype(length)
     table = shard_table(spark, path, length).select("shard", "first_slot")
+    # A row per file: sent to the tasks, so that the records are not shuffled once more to meet it.
+    if table.count() <= BROADCAST_ROWS:
+        table = F.broadcast(table)
     content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
     content = content.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
 
