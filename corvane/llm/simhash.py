@@ -220,12 +220,17 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def fingerprint_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, fp)`` of all rows, and ``(fp, component_id)`` of all distinct fingerprints."""
-    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_of(shingle, seed)(F.col(text_col)).alias("fp"))
+def fingerprint_roots(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text", more: tuple = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(doc_id, fp, *more)`` of all rows, ``(fp, rep)`` of all distinct fingerprints, ``(node, root)`` of those that are linked."""
+    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_of(shingle, seed)(F.col(text_col)).alias("fp"), *more)
     marked = staged(marked, "fingerprints")
     nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-nodes")
-    roots = connected(near_links(nodes, radius, tile))
+    return marked, nodes, connected(near_links(nodes, radius, tile))
+
+
+def fingerprint_components(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, fp)`` of all rows, and ``(fp, component_id)`` of all distinct fingerprints."""
+    marked, nodes, roots = fingerprint_roots(docs, **options)
     most = roots.count()
     least = nodes.join(join_side(roots, most), F.col("node") == F.col("fp")).groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = roots.join(join_side(least, most), "root").select(F.col("node").alias("fp"), "component_id")
@@ -245,31 +250,43 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return marked.join(join_side(named, named.count()), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest id; columns unchanged.
+def text_mark(text_col: str = "text"):
+    """A hash by which rows with one text are told from the others; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
-    Rows whose id occurs once are picked by it.  Where several rows share the
-    id, their fingerprints tell which belong to the component, and the first
-    of those by all columns as text stays.
+
+def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group, the one with the smallest id; columns unchanged.
+
+    ``rows`` is ``(doc_id, mark, root)`` of every row, ``mark`` being its
+    :func:`text_mark`.  A null id is chosen only in a group without other ids.
+    Rows are found by id and text, so rows that share an id but no group, or
+    have none, stay apart.  Of rows with one id and one text the first by all
+    columns as text stays.
     """
-    marked, named = fingerprint_components(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col, **options)
     name = fresh(docs, "chosen_component")
-    leads = named.select(F.col("component_id").alias("lead")).distinct()
-    rows = marked.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    chosen = staged(rows.join(leads, F.col("doc_id").eqNullSafe(F.col("lead"))).select(F.struct("lead", "rows").alias(name)), "chosen")
-    # The chosen ids grow with the corpus: one sort-merge join at every size, never a broadcast.
-    kept = docs.join(chosen.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col(f"{name}.lead")))
+    alike = rows.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("rows"))
+    least = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "rows")).alias("c"))
+    chosen = staged(least.select(F.struct("root", "c.doc_id", "c.mark", "c.rows").alias(name)), "chosen")
+    # The chosen rows grow with the corpus: one sort-merge join at every size, never a broadcast.
+    same = (text_mark(text_col) == F.col(f"{name}.mark")) & F.col(id_col).cast("long").eqNullSafe(F.col(f"{name}.doc_id"))
+    kept = docs.join(chosen.hint("merge"), same)
     once = kept.where(F.col(f"{name}.rows") == 1).select(*quoted(docs))
     if not chosen.where(F.col(f"{name}.rows") > 1).limit(1).count():
         return once
-    several = kept.where(F.col(f"{name}.rows") > 1).select(*quoted(docs), fingerprint_of(shingle, seed)(F.col(text_col)).alias(name))
-    group = fresh(several, "component")
-    several = several.join(join_side(named.select(F.struct("fp", "component_id").alias(group)), named.count()), F.col(name) == F.col(f"{group}.fp"))
-    several = several.where(F.col(id_col).cast("long").eqNullSafe(F.col(f"{group}.component_id")))
-    order = Window.partitionBy(f"{group}.component_id").orderBy(*[F.col(c).cast("string") for c in quoted(docs)])
-    first = several.withColumn(name, F.row_number().over(order)).where(F.col(name) == 1).select(*quoted(docs))
+    order = Window.partitionBy(f"{name}.root").orderBy(*[F.col(c).cast("string") for c in quoted(docs)])
+    several = kept.where(F.col(f"{name}.rows") > 1)
+    place = fresh(several, "place")
+    first = several.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*quoted(docs))
     return once.unionByName(first)
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component of :func:`near_duplicates`; see :func:`one_of_each`."""
+    marked, _, roots = fingerprint_roots(docs, id_col=id_col, text_col=text_col, more=(text_mark(text_col).alias("mark"),), **options)
+    rows = marked.join(join_side(roots, roots.count()), F.col("node") == F.col("fp"), "left").select("doc_id", "mark", F.coalesce("root", "fp").alias("root"))
+    return one_of_each(docs, rows, id_col, text_col)
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -113,6 +113,13 @@ def test_keep_one_row_of_each_group(spark):
     assert len(ids) == len(set(ids)) and set(ids) == want
 
 
+def test_keep_one_tells_groups_without_an_id_of_their_own_apart(spark):
+    unlike = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(None, unlike[0], "x"), (None, unlike[1], "y"), (7, unlike[2], "z"), (7, unlike[3], "v"), (7, unlike[3], "u"), (8, unlike[3], "w"), (None, unlike[3], "t")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[1], rows[2], rows[4]], key=str)
+
+
 def test_empty_tables(spark):
     assert content_sort.exact_duplicates(empty(spark)).count() == 0
     assert simhash.near_duplicates(empty(spark)).count() == 0
