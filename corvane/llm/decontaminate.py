@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.staging import fresh, join_side, staged
+from corvane.llm.staging import fresh, join_side, quoted, staged
 
 WINDOW = 10
 SLOP = 3
@@ -274,14 +274,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a test window; columns unchanged.
+    """``docs`` without the rows that hold a test window; columns unchanged.
 
-    Rows that share the id of a contaminated document go with it.
+    Each row is judged by its own text, whatever its ``id_col``: rows without
+    an id, or with the id of a contaminated row, stay if they are clean.
     """
-    found = contamination(docs, items, id_col=id_col, **options).where("contaminated")
-    name = fresh(docs, "contaminated_doc")
-    bad = staged(found.select(F.struct("doc_id").alias(name)).distinct(), "contaminated")
-    return docs.join(join_side(bad, bad.count()), F.col(id_col).cast("long").eqNullSafe(F.col(f"{name}.doc_id")), "left_anti")
+    row, name = fresh(docs, "row_number"), fresh(docs, "contaminated_doc")
+    # Row numbers hold only for files that are written once.
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = contamination(numbered, items, id_col=row, **options).where("contaminated")
+    bad = staged(found.select(F.struct("doc_id").alias(name)), "contaminated")
+    return numbered.join(join_side(bad, bad.count()), F.col(row) == F.col(f"{name}.doc_id"), "left_anti").select(*quoted(docs))
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

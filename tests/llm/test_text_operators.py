@@ -51,6 +51,13 @@ def test_contamination_by_brute_force(spark, block_bytes):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((w[0] for w in want if w[0] not in bad), key=str)
 
 
+def test_clean_rows_stay_beside_contaminated_rows_of_their_id(spark):
+    leak = "Start w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 end"
+    rows = [(None, leak), (None, "clean a"), (None, "clean b"), (5, leak), (5, "clean c"), (6, leak), (7, None)]
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if r[1] != leak), key=str)
+
+
 def test_contamination_without_items_or_documents(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert {r.contaminated for r in decontaminate.contamination(awkward(spark), items).collect()} == {False}
