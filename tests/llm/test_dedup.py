@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from corvane.llm import content_sort, simhash
+from corvane.llm import content_sort, shingle_sets, simhash
 
 from .cases import awkward, awkward_rows, empty, lower
 
@@ -124,3 +124,74 @@ def test_empty_tables(spark):
     assert content_sort.exact_duplicates(empty(spark)).count() == 0
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.keep_one(empty(spark)).count() == 0
+
+
+def edited_rows():
+    """Texts with edited copies around a similarity of 0.8, a large group of near copies, and awkward rows."""
+    import random
+
+    rng = random.Random(5)
+    text = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(5000)) for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        base = text(rng.randint(40, 300))
+        texts.append(base)
+        for edits in (1, 2, 4, 6):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = "edited"
+            texts.append(copy)
+    base = text(120)
+    for k in range(60):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"own{k}"
+        texts.append(copy)
+    return [(r[0], r[1]) for r in awkward_rows()] + [(1000 + i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def shingle_groups(rows):
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if 10 * len(a & b) >= 8 * len(a | b):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[root(i)].append(rows[i])
+    return list(groups.values())
+
+
+@pytest.mark.parametrize("tile", [1024, 12])
+def test_pipeline_keeps_one_of_texts_of_true_similarity(spark, tile):
+    rows = edited_rows()
+    want = []
+    for group in shingle_groups(rows):
+        ids = [r[0] for r in group if r[0] is not None]
+        want.append(min(ids) if ids else None)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = shingle_sets.keep_one(docs, tile=tile)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted(want, key=str)
+    assert 200 > len(want) > 100
+
+
+def test_pipeline_near_duplicates_of_no_rows_and_no_ids(spark):
+    import corpus_pipeline
+
+    assert corpus_pipeline.drop_near_duplicates(spark, empty(spark), "").count() == 0
+    base = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(base)), (None, " ".join(["edited", *base[1:]])), (None, "another text"), (1, None), (2, " "), (3, " ".join(base[:50]))]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert len(got) == 4 and {r.doc_id for r in got} == {None, 1, 3}
