@@ -64,8 +64,11 @@ class TestWindows:
 
     __test__ = False
 
-    def __init__(self, pieces: list[tuple[int, bytes]], window: int = WINDOW):
+    def __init__(self, pieces: list[tuple[int | None, bytes]], window: int = WINDOW):
         self.window = window
+        #: Owners are places in this list, as an item may have no id.
+        self.item_ids = list(dict.fromkeys(item_id for item_id, _ in pieces))
+        place = {item_id: k for k, item_id in enumerate(self.item_ids)}
         self.terms: dict[bytes, int] = {}
         grids, owners = [], []
         for item_id, body in pieces:
@@ -76,7 +79,7 @@ class TestWindows:
                 grid = np.full((1, window), -1, np.int32)
                 grid[0, : len(ids)] = ids
             grids.append(grid)
-            owners.append(np.full(len(grid), item_id, np.int64))
+            owners.append(np.full(len(grid), place[item_id], np.int64))
         grid = np.concatenate(grids) if grids else np.zeros((0, window), np.int32)
         self.grid, inverse = np.unique(grid, axis=0, return_inverse=True)
         inverse = inverse.reshape(-1)
@@ -207,8 +210,8 @@ def search(index: DataFrame, tests: TestWindows, slop: int = SLOP) -> DataFrame:
                 # Spans of one document, item and kind that touch become one; their ends rise with their starts.
                 new = np.r_[True, (item[1:] != item[:-1]) | (nth[1:] != nth[:-1]) | (exact[1:] != exact[:-1]) | (first[1:] > past[:-1])]
                 last = np.r_[np.flatnonzero(new)[1:] - 1, len(new) - 1]
-                columns = [np.full(len(last), shard), nth[new].astype(np.int32), item[new], exact[new], first[new].astype(np.int32), past[last].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "nth", "item_id", "exact", "first", "past"])
+                columns = [np.full(len(last), shard), nth[new].astype(np.int32), [tests.item_ids[k] for k in item[new].tolist()], exact[new], first[new].astype(np.int32), past[last].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if k == 2 else pa.array(c) for k, c in enumerate(columns)], ["shard", "nth", "item_id", "exact", "first", "past"])
 
     return index.mapInArrow(run, _MATCH_SCHEMA)
 
@@ -250,16 +253,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     items of which a window occurs with its words displaced by ``slop`` at most.
     Null and empty texts have no words; with no test items nothing is hit; an
     empty table gives an empty result; rows that repeat an id count on their own.
+    Items without an id are one item, which counts in n_hit, n_items and
+    n_near_items and has no name in items_sha256.
     """
+    n_distinct = F.countDistinct("item_id") + F.max(F.col("item_id").isNull().cast("int"))
     listed, spans = matches(docs, items, window, slop, block_bytes, id_col, text_col)
     before = Window.partitionBy("shard", "nth").orderBy("first", "past").rowsBetween(Window.unboundedPreceding, -1)
     exact = spans.where("exact").withColumn("covered", F.coalesce(F.max("past").over(before), F.lit(0)))
     exact = exact.groupBy("shard", "nth").agg(
         F.sum(F.greatest(F.lit(0), F.col("past") - F.greatest("first", "covered"))).cast("long").alias("n_hit"),
-        F.countDistinct("item_id").alias("n_items"),
+        n_distinct.alias("n_items"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"),
     )
-    near = spans.groupBy("shard", "nth").agg(F.countDistinct("item_id").alias("n_any"))
+    near = spans.groupBy("shard", "nth").agg(n_distinct.alias("n_any"))
     joined = listed.join(join_side(exact.join(near, ["shard", "nth"], "full"), spans.count()), ["shard", "nth"], "left")
     n_items = F.coalesce("n_items", F.lit(0)).cast("long")
     return joined.select(

@@ -58,6 +58,21 @@ def test_clean_rows_stay_beside_contaminated_rows_of_their_id(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if r[1] != leak), key=str)
 
 
+def test_items_without_an_id_count_as_one_item(spark):
+    import duckdb
+    import pandas as pd
+
+    docs = [(1, "a b c end"), (2, "d e f and a b c"), (3, "one two"), (4, "clean")]
+    items = [(None, "a b c"), (None, "d e f"), (7, "one two"), (7, "a b c"), (None, None)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    db.register("benchmark", pd.DataFrame({"item_id": pd.array([i for i, _ in items], "Int64"), "text": [t for _, t in items]}))
+    got = decontaminate.contamination(*frames).drop("n_near_items")
+    assert sorted(map(tuple, got.collect())) == sorted(db.execute(decontaminate.SQL).fetchall())
+    assert [r.doc_id for r in decontaminate.drop_contaminated(*frames).collect()] == [4]
+
+
 def test_contamination_without_items_or_documents(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert {r.contaminated for r in decontaminate.contamination(awkward(spark), items).collect()} == {False}
