@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.staging import fresh, join_side, quoted, staged
+from corvane.llm.staging import fresh, join_side, staged
 
 WINDOW = 10
 SLOP = 3
@@ -279,18 +279,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that hold a test window; columns unchanged.
 
-    Each row is judged by its own text, whatever its ``id_col``: rows without
-    an id, or with the id of a contaminated row, stay if they are clean.
+    Each row is judged by its own text, whatever its id: rows without an id,
+    or with the id of a contaminated row, stay if they are clean.  Contaminated
+    texts are known by a 64-bit hash, so no copy of ``docs`` is written.
     """
-    row, name = fresh(docs, "row_number"), fresh(docs, "contaminated_doc")
-    # Row numbers hold only for files that are written once.
-    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = contamination(numbered, items, id_col=row, **options).where("contaminated")
-    bad = staged(found.select(F.struct("doc_id").alias(name)), "contaminated")
-    return numbered.join(join_side(bad, bad.count()), F.col(row) == F.col(f"{name}.doc_id"), "left_anti").select(*quoted(docs))
+    mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    name = fresh(docs, "contaminated_doc")
+    found = contamination(docs.select(mark.alias("mark"), F.col(text_col).alias("text")), items, id_col="mark", **options).where("contaminated")
+    bad = staged(found.select(F.struct("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(join_side(bad, bad.count()), mark == F.col(f"{name}.doc_id"), "left_anti")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
