@@ -4,22 +4,82 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark then deletes the shuffle files of a query when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a new local folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a new local folder where it is unset and Spark runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corvane-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_folder(spark)}/corvane/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def shuffle_files_removed(spark: SparkSession):
+    """Queries that run inside leave no shuffle files; for results that are written and not asked for again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders through Spark's file system."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` as Parquet and read it back: later jobs start from these files.
+
+    This cuts the lineage, so a lost executor costs a re-read and not a
+    recomputation, and it fixes values such as partition numbers for good.
+    The files last until :func:`scratch` or :func:`release` removes them.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corvane/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, label)
+    _written.append(path)
+    with shuffle_files_removed(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are staged inside are removed at the end, also when it fails."""
+    first = len(_written)
+    try:
+        yield
+    finally:
+        remove(spark, _written[first:])
+        del _written[first:]
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Remove all tables that are still staged, but for those that ``keep`` reads.  Other lazy results end here."""
+    kept = keep.inputFiles() if keep is not None else []
+    names = {path: path.rpartition("/")[2] for path in _written}
+    gone = [path for path in _written if not any(f"/{names[path]}/" in f for f in kept)]
+    remove(spark, gone)
+    _written[:] = [path for path in _written if path not in gone]
