@@ -1,37 +1,12 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Names and joins for tables of any shape; staging itself is the core's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from corvane.sources.shared import new_path, release, scratch, staged
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a new local folder only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="corvane-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/corvane/{label}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet and read it back: later jobs start from these files.
-
-    This cuts the lineage, so a lost executor costs a re-read and not a
-    recomputation, and it fixes values such as partition numbers for good.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["BROADCAST_ROWS", "fresh", "join_side", "new_path", "quoted", "release", "scratch", "staged"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
