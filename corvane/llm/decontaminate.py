@@ -1,20 +1,22 @@
 """Benchmark decontamination with a positional inverted index.
 
 The index is distributed by documents: each task turns a run of documents into
-one posting shard, which holds for every test term its sorted word positions.
-The shards are written to the shared folder.  A search intersects, shard by
-shard, the position lists of a window's terms, each shifted by the term's
-offset in the window, from the rarest term on; within a tolerance the same
+one posting shard, which holds for every word of its documents the sorted
+positions.  The shards are written to the shared folder once and serve any
+number of test sets.  A search intersects, shard by shard, the position lists
+of a window's words, each shifted by the word's offset in the window, from the
+shard's rarest word on, for all windows at once; within a tolerance the same
 intersection gives proximity matches.  Postings of a document never leave its
-shard, so no term is gathered in one place however frequent it is, and only
+shard, so no word is gathered in one place however frequent it is, and only
 the matches are shuffled.
 
-Test items are handled in blocks of bounded size: the terms and windows of one
+Test items are handled in blocks of bounded size: the words and windows of one
 block are what is sent to the tasks, whatever the size of the test set.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.staging import fresh, join_side, staged
+from corvane.llm.block_dictionary import pack, unpack
+from corvane.llm.staging import fresh, join_side, scratch, staged
 
 WINDOW = 10
 SLOP = 3
 BLOCK_BYTES = 8_000_000
 PIECE_WORDS = 100_000
 SHARD_WORDS = 500_000
+SLAB = 500_000
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-_INDEX_SCHEMA = "shard long, doc_ids array<long>, sizes array<int>, terms array<int>, bounds array<int>, positions array<int>"
+_INDEX_SCHEMA = "shard long, doc_ids array<long>, sizes array<int>, words array<binary>, counts binary, steps binary"
 _MATCH_SCHEMA = "shard long, nth int, item_id long, exact boolean, first int, past int"
 
 
@@ -60,89 +64,82 @@ def item_pieces(items: DataFrame, window: int = WINDOW, piece_words: int = PIECE
 
 
 class TestWindows:
-    """The terms and distinct windows of one block of test items."""
+    """The words and distinct windows of one block of test items, as arrays that can be sent to tasks."""
 
     __test__ = False
 
     def __init__(self, pieces: list[tuple[int | None, bytes]], window: int = WINDOW):
-        self.window = window
-        #: Owners are places in this list, as an item may have no id.
-        self.item_ids = list(dict.fromkeys(item_id for item_id, _ in pieces))
-        place = {item_id: k for k, item_id in enumerate(self.item_ids)}
-        self.terms: dict[bytes, int] = {}
+        item_ids = list(dict.fromkeys(item_id for item_id, _ in pieces))
+        place = {item_id: k for k, item_id in enumerate(item_ids)}
+        numbers: dict[bytes, int] = {}
         grids, owners = [], []
         for item_id, body in pieces:
-            ids = np.array([self.terms.setdefault(w, len(self.terms)) for w in body.split()], np.int32)
+            ids = np.array([numbers.setdefault(w, len(numbers)) for w in body.split()], np.int64)
             if len(ids) >= window:
                 grid = np.lib.stride_tricks.sliding_window_view(ids, window)
             else:
-                grid = np.full((1, window), -1, np.int32)
+                grid = np.full((1, window), -1, np.int64)
                 grid[0, : len(ids)] = ids
             grids.append(grid)
             owners.append(np.full(len(grid), place[item_id], np.int64))
-        grid = np.concatenate(grids) if grids else np.zeros((0, window), np.int32)
+        grid = np.concatenate(grids) if grids else np.zeros((0, window), np.int64)
         self.grid, inverse = np.unique(grid, axis=0, return_inverse=True)
-        inverse = inverse.reshape(-1)
-        pairs = np.unique(np.stack([inverse, np.concatenate(owners) if owners else inverse], axis=1), axis=0)
+        pairs = np.unique(np.stack([inverse.reshape(-1), np.concatenate(owners) if owners else inverse.reshape(-1)], axis=1), axis=0)
+        #: The items of window w are ``owners[owner_at[w] : owner_at[w + 1]]``, places in ``item_ids``.
         self.owner_at = np.searchsorted(pairs[:, 0], np.arange(len(self.grid) + 1))
         self.owners = pairs[:, 1].copy()
-        self.lengths = (self.grid >= 0).sum(axis=1).astype(np.int64)
+        self.words = list(numbers)
+        self.item_ids = item_ids
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Posting shards of ``docs`` for ``terms``; one row per shard.
+def build_index(docs: DataFrame, gap: int = WINDOW + 2 * SLOP, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Posting shards of all words of ``docs``; one row per shard.
 
-    ``bounds`` cuts ``positions`` into the lists of ``terms``; positions run
-    through the documents of the shard with ``gap`` empty places after each.
+    ``counts`` are the lengths of the position lists of ``words``, and
+    ``steps`` the lists themselves, each as its first position and the
+    differences.  Positions run through the documents of the shard with ``gap``
+    empty places before each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import repeat
-
         from pyspark import TaskContext
 
-        known = shared.value.get
         task = TaskContext.get()
         shard = task.partitionId() << 32 if task else 0
-        doc_ids, sizes, ids, places = [], [], [], []
-        at = 0
+        numbers: dict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        doc_ids, sizes, ids = [], [], []
+        held = 0
 
         def close() -> pa.RecordBatch:
-            term = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            place = np.concatenate(places) if places else np.zeros(0, np.int32)
+            nonlocal shard, held
+            term = np.concatenate(ids)
+            place = np.arange(len(term)) + np.repeat(gap * np.arange(1, len(sizes) + 1), sizes)
             order = np.argsort(term, kind="stable")
-            term, place = term[order], place[order]
-            cuts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-            ints = pa.list_(pa.int32())
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([shard], pa.int64()),
-                    pa.array([doc_ids], pa.list_(pa.int64())),
-                    pa.array([sizes], ints),
-                    pa.array([term[cuts]], ints),
-                    pa.array([np.r_[cuts, len(term)].astype(np.int32)], ints),
-                    pa.array([place], ints),
-                ],
-                ["shard", "doc_ids", "sizes", "terms", "bounds", "positions"],
-            )
+            place = place[order]
+            counts = np.bincount(term, minlength=len(numbers))
+            steps = np.diff(place, prepend=0)
+            firsts = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)[: len(counts)]
+            steps[firsts] = place[firsts]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.binary())
+            row = (shard, doc_ids, sizes, list(numbers), pack(counts), pack(steps))
+            out = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["shard", "doc_ids", "sizes", "words", "counts", "steps"])
+            for x in (numbers, doc_ids, sizes, ids):
+                x.clear()
+            shard += 1
+            held = 0
+            return out
 
         for batch in batches:
             texts = batch.column(1)
             for k, doc_id in enumerate(batch.column(0).to_pylist()):
                 found = words(texts[k].as_py())
-                term = np.fromiter(map(known, found, repeat(-1)), np.int32, len(found))
-                hit = np.flatnonzero(term >= 0)
-                ids.append(term[hit])
-                places.append((hit + at).astype(np.int32))
+                ids.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
                 doc_ids.append(doc_id)
                 sizes.append(len(found))
-                at += len(found) + gap
-                if at >= SHARD_WORDS:
+                held += len(found) + gap
+                if held >= shard_words:
                     yield close()
-                    shard += 1
-                    doc_ids, sizes, ids, places = [], [], [], []
-                    at = 0
         if doc_ids:
             yield close()
 
@@ -150,99 +147,119 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int, id_col: str
     return rows.mapInArrow(run, _INDEX_SCHEMA)
 
 
-def _starts(grid_row: np.ndarray, length: int, lists: dict, counts: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts where every term of the window lies within ``slop`` of its place, and whether all lie exactly there."""
-    offsets = sorted(range(length), key=lambda o: counts[grid_row[o]])
-    starts = lists[grid_row[offsets[0]]].astype(np.int64) - offsets[0]
-    exact = np.ones(len(starts), bool)
-    for o in offsets[1:]:
-        places = lists[grid_row[o]]
-        low = np.searchsorted(places, starts + o - slop)
-        near = places[np.minimum(low, len(places) - 1)]
-        ok = (low < len(places)) & (near <= starts + o + slop) & (near >= starts + o - slop)
+def _postings(words: list[bytes], counts: np.ndarray, steps: np.ndarray, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The shard's postings of the ``known`` words as sorted keys (number << 32 | position), and their number per known word."""
+    number = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+    ends = np.cumsum(counts)
+    total = np.r_[0, np.cumsum(steps)]
+    mine = np.flatnonzero(number >= 0)
+    mine = mine[np.argsort(number[mine])]
+    n = counts[mine]
+    at = np.repeat(ends[mine] - np.cumsum(n), n) + np.arange(n.sum())
+    place = total[at + 1] - np.repeat(total[ends[mine] - n], n)
+    per_word = np.zeros(len(known) + 1, np.int64)
+    per_word[number[mine]] = n
+    return (np.repeat(number[mine], n) << 32) + place, per_word
+
+
+def _within(keys: np.ndarray, wanted: np.ndarray, reach: int) -> np.ndarray:
+    """Whether a posting lies at most ``reach`` from each wanted key."""
+    low = np.searchsorted(keys, wanted - reach)
+    return (low < len(keys)) & (keys[np.minimum(low, len(keys) - 1)] <= wanted + reach)
+
+
+def _found(grid: np.ndarray, keys: np.ndarray, per_word: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(window, start, exact)`` of all exact and proximity matches of one shard, in slabs."""
+    per_word[-1] = np.iinfo(np.int64).max  # the filler -1 of short windows sorts last
+    able = np.flatnonzero((per_word[grid] > 0).all(axis=1))
+    if not len(able) or not len(keys):
+        return
+    order = np.argsort(per_word[grid[able]], axis=1, kind="stable")
+    rare = np.take_along_axis(grid[able], order, axis=1)
+    first_key = np.searchsorted(keys, rare[:, 0] << 32)
+    n = per_word[rare[:, 0]]
+    cuts = np.r_[0, np.cumsum(n)]
+    i = 0
+    while i < len(able):
+        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + SLAB, "right")) - 1)
+        w = np.repeat(np.arange(i, j), n[i:j])
+        at = np.arange(len(w)) - np.repeat(cuts[i:j] - cuts[i], n[i:j]) + first_key[w]
+        start = (keys[at] & 0xFFFFFFFF) - order[w, 0]
+        # With all words within slop of their places, two of them are at most twice that from each other's.
+        for k in range(1, grid.shape[1]):
+            word = rare[w, k]
+            ok = (word < 0) | _within(keys, (word << 32) + start + order[w, k], 2 * slop)
+            w, start = w[ok], start[ok]
         if slop:
-            same = np.searchsorted(places, starts + o)
-            exact &= places[np.minimum(same, len(places) - 1)] == starts + o
-        starts, exact = starts[ok], exact[ok]
-        if not len(starts):
-            break
-    return starts, exact
-
-
-def search(index: DataFrame, tests: TestWindows, slop: int = SLOP) -> DataFrame:
+            start = (start[:, None] + np.arange(-slop, slop + 1)).ravel()
+            w = np.repeat(w, 2 * slop + 1)
+        exact = np.ones(len(w), bool)
+        for k in range(grid.shape[1]):
+            word = rare[w, k]
+            wanted = (word << 32) + start + order[w, k]
+            ok = (word < 0) | _within(keys, wanted, slop)
+            exact &= (word < 0) | _within(keys, wanted, 0)
+            w, start, exact = w[ok], start[ok], exact[ok]
+        if len(w):
+            yield able[w], start, exact
+        i = j
+
+
+def search(index: DataFrame, tests: TestWindows, slop: int = SLOP, gap: int = WINDOW + 2 * SLOP) -> DataFrame:
     """Word spans of ``tests`` in the index: shard, nth document of it, item_id, exact, first, past.
 
-    Exact spans are the union of a test item's phrase matches in a document;
-    spans that are not exact hold all words of a window, each at most ``slop``
-    from its place.
+    Exact spans are the union of a test item's phrase matches in a document.
+    The other spans hold, for some start, all words of a window, each at most
+    ``slop`` from its place.  ``gap`` is the index's.
     """
-    shared = index.sparkSession.sparkContext.broadcast(tests)
+    shared = index.sparkSession.sparkContext.broadcast((tests.words, tests.grid, tests.owner_at, tests.owners, tests.item_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = shared.value
-        gap = tests.window + 2 * slop
+        test_words, grid, owner_at, owners, item_ids = shared.value
+        known = {w: k for k, w in enumerate(test_words)}
+        length = (grid >= 0).sum(axis=1)
         for batch in batches:
             for r in range(batch.num_rows):
-                shard = batch.column(0)[r].as_py()
-                doc_ids, sizes, terms, bounds, positions = (batch.column(k)[r].values.to_numpy(zero_copy_only=False) for k in range(1, 6))
-                if not len(terms) or not len(tests.grid):
-                    continue
-                counts = np.zeros(len(tests.terms) + 1, np.int64)
-                counts[terms] = np.diff(bounds)
-                counts[-1] = np.iinfo(np.int64).max  # the filler -1 of short windows
-                lists = {int(t): positions[bounds[k] : bounds[k + 1]] for k, t in enumerate(terms)}
-                edges = np.r_[0, np.cumsum(sizes.astype(np.int64) + gap)]
+                shard, sizes = batch.column(0)[r].as_py(), batch.column(1)[r].values.to_numpy().astype(np.int64)
+                keys, per_word = _postings(batch.column(2)[r].as_py(), *(unpack(batch.column(k)[r].as_py()) for k in (3, 4)), known)
+                starts_at = np.cumsum(sizes + gap) - sizes  # of each document
                 found = []
-                for w in np.flatnonzero((counts[tests.grid] > 0).all(axis=1)).tolist():
-                    starts, exact = _starts(tests.grid[w], int(tests.lengths[w]), lists, counts, slop)
-                    if len(starts):
-                        for owner in tests.owners[tests.owner_at[w] : tests.owner_at[w + 1]].tolist():
-                            found.append((np.full(len(starts), owner), starts, exact, np.full(len(starts), tests.lengths[w])))
+                for w, first, exact in _found(grid, keys, per_word, slop):
+                    several = owner_at[w + 1] - owner_at[w]
+                    nth = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
+                    item = owners[np.repeat(owner_at[w], several) + nth]
+                    found.append((item, *(np.repeat(x, several) for x in (first, exact, length[w]))))
                 if not found:
                     continue
-                item, first, exact, length = (np.concatenate(x) for x in zip(*found))
-                nth = np.clip(np.searchsorted(edges, first + slop, "right") - 1, 0, len(sizes) - 1)
-                first = first - edges[nth]
-                past = np.minimum(first + length, sizes[nth])
+                item, first, exact, size = (np.concatenate(x) for x in zip(*found))
+                nth = np.searchsorted(starts_at, first + slop, "right") - 1
+                first = first - starts_at[nth]
+                past = np.minimum(first + size, sizes[nth])
                 first = np.maximum(first, 0)
                 order = np.lexsort((first, exact, item, nth))
                 item, first, past, exact, nth = (x[order] for x in (item, first, past, exact, nth))
-                # Spans of one document, item and kind that touch become one; their ends rise with their starts.
-                new = np.r_[True, (item[1:] != item[:-1]) | (nth[1:] != nth[:-1]) | (exact[1:] != exact[:-1]) | (first[1:] > past[:-1])]
+                # Spans of one document, item and kind that touch become one.
+                latest = np.maximum.accumulate(past + (np.cumsum(np.r_[False, (item[1:] != item[:-1]) | (nth[1:] != nth[:-1]) | (exact[1:] != exact[:-1])]) << 32)) & 0xFFFFFFFF
+                new = np.r_[True, (item[1:] != item[:-1]) | (nth[1:] != nth[:-1]) | (exact[1:] != exact[:-1]) | (first[1:] > latest[:-1])]
                 last = np.r_[np.flatnonzero(new)[1:] - 1, len(new) - 1]
-                columns = [np.full(len(last), shard), nth[new].astype(np.int32), [tests.item_ids[k] for k in item[new].tolist()], exact[new], first[new].astype(np.int32), past[last].astype(np.int32)]
+                columns = [np.full(len(last), shard), nth[new].astype(np.int32), [item_ids[k] for k in item[new].tolist()], exact[new], first[new].astype(np.int32), latest[last].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if k == 2 else pa.array(c) for k, c in enumerate(columns)], ["shard", "nth", "item_id", "exact", "first", "past"])
 
-    return index.mapInArrow(run, _MATCH_SCHEMA)
+    return index.select("shard", "sizes", "words", "counts", "steps").mapInArrow(run, _MATCH_SCHEMA)
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(documents, spans)``: the documents as shard, nth, doc_id, n_words, and all matches of :func:`search`."""
+def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All matches of :func:`search` in an index of gap ``window + 2 * slop``, for a test set of any size."""
     pieces = staged(item_pieces(items, window), "test-pieces")
     total = pieces.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "piece"), F.lit(blocks))
-    listed, spans = None, []
+    spans = []
     for k in range(blocks):
         rows = pieces.where(block == k).select("item_id", "body").collect()
         tests = TestWindows([(r.item_id, bytes(r.body)) for r in rows], window)
-        index = staged(build_index(docs, tests.terms, window + 2 * slop, id_col, text_col), "postings")
-        if listed is None:
-            listed = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("nth", "d"))
-            listed = listed.select("shard", "nth", F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").cast("long").alias("n_words"))
-        else:
-            # Shards are numbered by task; a later scan of the same files is dealt alike, and this check keeps it honest.
-            raise_if_dealt_anew(listed, index)
-        spans.append(staged(search(index, tests, slop), "spans"))
-    return listed, reduce(DataFrame.unionByName, spans)
-
-
-def raise_if_dealt_anew(listed: DataFrame, index: DataFrame) -> None:
-    """Stop if two indexes of one corpus number their documents differently."""
-    again = index.select("shard", F.posexplode("doc_ids").alias("nth", "again"))
-    both = listed.join(again, ["shard", "nth"], "full").where(~F.col("doc_id").eqNullSafe(F.col("again")) | F.col("n_words").isNull())
-    if both.limit(1).count():
-        raise RuntimeError("the corpus was read in another order; write it as a table first")
+        spans.append(staged(search(index, tests, slop, window + 2 * slop), "spans", lasting=True))
+    return reduce(DataFrame.unionByName, spans)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,14 +267,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
 
     A word is hit where any window of a test item occurs in full; an item with
     fewer words than a window is one window.  ``n_near_items`` counts further
-    items of which a window occurs with its words displaced by ``slop`` at most.
+    items of which a window occurs with its words displaced: for some start each
+    of them is at most ``slop`` from its place.
     Null and empty texts have no words; with no test items nothing is hit; an
     empty table gives an empty result; rows that repeat an id count on their own.
     Items without an id are one item, which counts in n_hit, n_items and
     n_near_items and has no name in items_sha256.
     """
     n_distinct = F.countDistinct("item_id") + F.max(F.col("item_id").isNull().cast("int"))
-    listed, spans = matches(docs, items, window, slop, block_bytes, id_col, text_col)
+    with scratch(docs.sparkSession):
+        index = staged(build_index(docs, window + 2 * slop, id_col=id_col, text_col=text_col), "postings")
+        listed = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("nth", "d"))
+        listed = staged(listed.select("shard", "nth", F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").cast("long").alias("n_words")), "indexed", lasting=True)
+        spans = matches(index, items, window, slop, block_bytes)
     before = Window.partitionBy("shard", "nth").orderBy("first", "past").rowsBetween(Window.unboundedPreceding, -1)
     exact = spans.where("exact").withColumn("covered", F.coalesce(F.max("past").over(before), F.lit(0)))
     exact = exact.groupBy("shard", "nth").agg(
@@ -288,14 +310,15 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     """
     mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     name = fresh(docs, "contaminated_doc")
-    found = contamination(docs.select(mark.alias("mark"), F.col(text_col).alias("text")), items, id_col="mark", **options).where("contaminated")
-    bad = staged(found.select(F.struct("doc_id").alias(name)).distinct(), "contaminated")
+    with scratch(docs.sparkSession):
+        found = contamination(docs.select(mark.alias("mark"), F.col(text_col).alias("text")), items, id_col="mark", **options).where("contaminated")
+        bad = staged(found.select(F.struct("doc_id").alias(name)).distinct(), "contaminated", lasting=True)
     return docs.join(join_side(bad, bad.count()), mark == F.col(f"{name}.doc_id"), "left_anti")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("n_near_items")
+    return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 SQL = """
@@ -315,8 +338,17 @@ dw AS (
   FROM d, (SELECT DISTINCT k FROM iw), unnest(range(1, len(w) - k + 2)) AS t(p)),
 hits AS (SELECT DISTINCT r, item_id, p, k FROM dw JOIN iw USING (k, win)),
 words AS (SELECT r, count(DISTINCT q) AS n_hit FROM hits, unnest(range(p, p + k)) AS t(q) GROUP BY r),
-named AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+named AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r),
+dword AS (SELECT r, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+iword AS (SELECT k, win, o, word, n FROM (SELECT DISTINCT k, win, o, string_split(win, ' ')[o] AS word FROM iw, unnest(range(1, k + 1)) AS t(o))
+  LEFT JOIN (SELECT word, count(*) AS n FROM dword GROUP BY word) USING (word)),
+rarest AS (SELECT win, arg_min(o, n) AS o, arg_min(word, n) AS word FROM iword GROUP BY win HAVING count(n) = count(*)),
+starts AS (SELECT DISTINCT r, win, p - o + 1 + e AS s FROM rarest JOIN dword USING (word), unnest(range(-3, 4)) AS t(e)),
+near AS (SELECT r, win FROM (SELECT r, s, win, w, string_split(win, ' ') AS q FROM starts JOIN d USING (r))
+  WHERE len(list_filter(range(1, len(q) + 1), lambda o: s + o + 2 < 1 OR NOT list_contains(w[greatest(1, s + o - 4) : s + o + 2], q[o]))) = 0),
+anyof AS (SELECT r, count(*) AS n_any FROM (SELECT DISTINCT r, item_id FROM near JOIN iw USING (win)) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       (coalesce(n_any, 0) - coalesce(n_items, 0))::BIGINT AS n_near_items
+FROM d LEFT JOIN words USING (r) LEFT JOIN named USING (r) LEFT JOIN anyof USING (r)
 """

@@ -21,6 +21,22 @@ def item_words(text):
 ITEMS = [(1, " ".join(awkward_rows()[5][1].split()[:15]) if awkward_rows()[5][1] else "w1 w2"), (2, "zz zz zz zz zz zz zz zz zz zz zz"), (3, "one two"), (4, ""), (5, None), (10, "ONE!"), (6, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")]
 
 
+def slow_near(words, slop=3):
+    """Items of which all words of a window lie within ``slop`` of their places, for some start."""
+    places, found = {}, 0
+    for p, w in enumerate(words):
+        places.setdefault(w, []).append(p)
+    near = lambda word, at: any(abs(p - at) <= slop for p in places.get(word, ()) if at - slop <= p <= at + slop)
+    for _, text in ITEMS:
+        q = item_words(text)
+        k = min(10, len(q))
+        windows = {tuple(q[i : i + k]) for i in range(len(q) - k + 1)} if q else set()
+        windows = {w for w in windows if all(x in places for x in w)}
+        starts = {w: {p - w.index(x) + d for x in [min(w, key=lambda x: len(places[x]))] for p in places[x] for d in range(-slop, slop + 1)} for w in windows}
+        found += any(all(near(x, s + o) for o, x in enumerate(w)) for w in windows for s in starts[w])
+    return found
+
+
 @pytest.mark.parametrize("block_bytes", [8_000_000, 40])
 def test_contamination_by_brute_force(spark, block_bytes):
     import hashlib
@@ -44,6 +60,8 @@ def test_contamination_by_brute_force(spark, block_bytes):
     got = decontaminate.contamination(frame, items, block_bytes=block_bytes)
     rows = got.collect()
     assert sorted((tuple(r)[:6] for r in rows), key=str) == sorted(want, key=str)
+    near = [(r[0], slow_near(item_words(r[1])) - w[3]) for r, w in zip(docs, want)]
+    assert sorted(((r.doc_id, r.n_near_items) for r in rows), key=str) == sorted(near, key=str)
     assert next(r for r in rows if r.doc_id == 901).n_near_items == 1
     kept = decontaminate.drop_contaminated(frame, items)
     assert kept.columns == frame.columns
@@ -68,7 +86,7 @@ def test_items_without_an_id_count_as_one_item(spark):
     db = duckdb.connect()
     db.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
     db.register("benchmark", pd.DataFrame({"item_id": pd.array([i for i, _ in items], "Int64"), "text": [t for _, t in items]}))
-    got = decontaminate.contamination(*frames).drop("n_near_items")
+    got = decontaminate.contamination(*frames)
     assert sorted(map(tuple, got.collect())) == sorted(db.execute(decontaminate.SQL).fetchall())
     assert [r.doc_id for r in decontaminate.drop_contaminated(*frames).collect()] == [4]
 
