@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark then deletes the shuffle files of a query when the query has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_written: list[str] = []
+#: Paths of staged tables: those of the session, then those of each open scope.
+_scopes: list[list[str]] = [[]]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,16 +51,17 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def staged(df: DataFrame, label: str, codec: str = "zstd", lasting: bool = False) -> DataFrame:
     """Write ``df`` as Parquet and read it back: later jobs start from these files.
 
     This cuts the lineage, so a lost executor costs a re-read and not a
     recomputation, and it fixes values such as partition numbers for good.
-    The files last until :func:`scratch` or :func:`release` removes them.
+    The files last until the :func:`scratch` scope ends; ``lasting`` ones, which
+    the scope's result reads, until the scope around it does, or :func:`release`.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    _written.append(path)
+    _scopes[-2 if lasting and len(_scopes) > 1 else -1].append(path)
     with shuffle_files_removed(spark):
         df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -67,19 +69,20 @@ def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Tables that are staged inside are removed at the end, also when it fails."""
-    first = len(_written)
+    """Tables that are staged inside are removed at the end, also when it fails, but for lasting ones."""
+    _scopes.append([])
     try:
         yield
     finally:
-        remove(spark, _written[first:])
-        del _written[first:]
+        remove(spark, _scopes.pop())
 
 
 def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Remove all tables that are still staged, but for those that ``keep`` reads.  Other lazy results end here."""
+    """Remove all tables of the session that are still staged, but for those that ``keep`` reads.
+
+    Lazy results that read other staged tables cannot be read after it.
+    """
     kept = keep.inputFiles() if keep is not None else []
-    names = {path: path.rpartition("/")[2] for path in _written}
-    gone = [path for path in _written if not any(f"/{names[path]}/" in f for f in kept)]
+    gone = [path for path in _scopes[0] if not any(f"/{path.rpartition('/')[2]}/" in f for f in kept)]
     remove(spark, gone)
-    _written[:] = [path for path in _written if path not in gone]
+    _scopes[0][:] = [path for path in _scopes[0] if path not in gone]
