@@ -120,6 +120,34 @@ def test_toxicity_finds_misspelt_terms_and_spares_quotations(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count() - sum(r.predicted for r in toxicity.toxicity(docs, labels).collect())
 
 
+def test_toxicity_on_the_given_tables(spark):
+    """One edit in a term of the lexicon keeps the verdict, a quotation of it loses it, an innocent neighbour never has it."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    lexicon = toxicity.fit(docs, labels).lexicon
+    fuzzy = [w for w in lexicon.words if lexicon.edits[w]]
+    assert {"moron", "idiot", "stupid"} <= set(fuzzy)
+    neutral = "anreed hestwh of the erresh and whblewh onouer enat of lyestion thatston " * 3
+    rows = []
+    for w in fuzzy:
+        rows += [(w, f"you are a {w}"), (w + " edit", f"you are a {w[:-2] + w[-1]}"), (w + " twice", f"you are a {w[:2] + w[1:]}")]
+        rows += [(w + " quoted", f'they wrote "you are a {w}" there'), (w + " said", f"er sagte „{w}“ dazu"), (w + " both", f"»x« «{w}» a été dit")]
+    rows.append(("oron", "the oron and the oron"))
+    more = spark.createDataFrame([(10**9 + i, neutral + t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id - 10**9: r for r in toxicity.toxicity(docs.union(more), labels).where("doc_id >= 1000000000").collect()}
+    for i, (name, _) in enumerate(rows):
+        assert got[i].predicted == (0 if " quoted" in name or " said" in name or " both" in name or name == "oron" else 1), (name, got[i])
+
+
+def test_more_evidence_never_lowers_a_score():
+    rng = np.random.default_rng(1)
+    x = np.c_[np.ones(400), rng.random((400, 4))]
+    y = (x[:, 1] + rng.normal(0, 0.1, 400) > 0.8).astype(float)
+    x[:, 2] = 1 - x[:, 1] + rng.normal(0, 0.05, 400)
+    w = toxicity._logistic(x, y)
+    assert (w[list(toxicity.EVIDENCE)] >= 0).all() and w[2] == 0 and w[1] > 1
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for x in range(1, len(a) + 1):
@@ -133,12 +161,12 @@ def distance(a, b):
 def test_automaton_by_brute_force():
     rng = random.Random(2)
     make = lambda lo, hi: "".join(rng.choice("abc") for _ in range(rng.randint(lo, hi)))
-    lexicon = toxicity.Lexicon({make(3, 7): rng.random() for _ in range(25)}, {make(4, 5): rng.random() for _ in range(3)})
+    lexicon = toxicity.Lexicon({make(3, 10): rng.random() for _ in range(25)}, {make(4, 5): rng.random() for _ in range(3)})
     fuzzy = toxicity.FuzzyLexicon(lexicon)
     for _ in range(3000):
-        word = make(1, 9)
+        word = make(1, 11)
         found = [(w, 0) for s, w in lexicon.starts.items() if word.startswith(s)]
-        found += [(w, d) for t, w in lexicon.words.items() if (d := distance(t, word)) <= (len(t) >= 5)]
+        found += [(w, d) for t, w in lexicon.words.items() if (d := distance(t, word)) <= (len(t) >= 5) + (len(t) >= 9)]
         want = min(found, key=lambda x: (x[1], -x[0])) if found else None
         assert fuzzy.match(word) == want, (word, want, fuzzy.match(word))
 
