@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from corvane.llm import components as joined
 from corvane.llm import content_sort, shingle_sets, simhash
 
 from .cases import awkward, awkward_rows, empty, lower
@@ -77,7 +78,7 @@ def test_near_duplicates_by_brute_force(spark, radius, tile):
     rows = awkward_rows()
     fps = [slow_fingerprint(r[1]) for r in rows]
     want = [(r[0], f"{fp:016x}", c) for r, fp, c in zip(rows, fps, components([r[0] for r in rows], fps, radius))]
-    got = [tuple(r) for r in simhash.near_duplicates(awkward(spark), radius=radius, tile=tile).collect()]
+    got = [tuple(r) for r in simhash.near_duplicates(awkward(spark), radius=radius, tile=tile, cell_rows=tile).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
@@ -94,7 +95,7 @@ def test_links_of_dense_and_chained_fingerprints(spark):
     nodes = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp long")
     want = components(fps, fps, 2)
     for tile in (2048, 64):
-        roots = {r.node % 2**64: r.root for r in simhash.connected(simhash.near_links(nodes, 2, tile)).collect()}
+        roots = {r.node % 2**64: r.root for r in joined.connected(simhash.near_links(nodes, 2, tile, 4 * tile)).collect()}
         groups, expected = defaultdict(set), defaultdict(set)
         for x, w in zip(fps, want):
             groups[roots.get(x, x)].add(x)
@@ -102,6 +103,72 @@ def test_links_of_dense_and_chained_fingerprints(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+@pytest.mark.parametrize("tile", [4, 16, 256])
+def test_tiles_by_brute_force(tile):
+    """One large cell among small ones: every link's ends stay connected, and far population counts are skipped."""
+    rng = np.random.default_rng(tile)
+    base = int(rng.integers(0, 2**63))
+    fps = {int(x) for x in rng.integers(0, 2**63, 40)} | {base ^ int(x) for x in 1 << rng.integers(0, 62, 30)}
+    fps |= {int(x) for k in range(0, 64, 4) for x in ((1 << k) - 1, ((1 << k) - 1) | 1 << 63)}
+    fps = np.array(sorted(fps), np.uint64)
+    cells = np.where(np.arange(len(fps)) % 5 > 0, 7, rng.integers(0, 12, len(fps)))
+    pops = np.bitwise_count(fps).astype(np.int64)
+    order = np.lexsort((pops, cells))
+    cells, pops, fps = cells[order], pops[order], fps[order]
+    a, b, skipped = simhash.tile_links(cells, pops, fps, np.zeros(len(fps), np.int64), 2, tile)
+    assert (skipped > 0) == (tile < 256)
+    at = {(c, f): i for i, (c, f) in enumerate(zip(cells.tolist(), fps.tolist()))}
+    label = np.arange(len(fps))
+    want = np.arange(len(fps))
+    for i in range(len(fps)):
+        for j in range(i):
+            if cells[i] == cells[j] and (int(fps[i]) ^ int(fps[j])).bit_count() <= 2:
+                want[want == want[i]] = want[j]
+    of = defaultdict(list)
+    for (c, f), i in at.items():
+        of[f].append(i)
+    for x, y in zip(a.tolist(), b.tolist()):
+        assert (x ^ y).bit_count() <= 2
+        for i in of[x]:
+            for j in of[y]:
+                if cells[i] == cells[j]:
+                    label[label == label[i]] = label[j]
+    same = lambda v: {frozenset(np.flatnonzero(v == k).tolist()) for k in set(v.tolist())}
+    assert same(label) == same(want)
+
+
+def test_two_sides_of_a_cell_are_compared_across_only():
+    fps = np.array([1, 1 << 10, 1 << 20, 1 << 30], np.uint64)
+    one = np.ones(4, np.int64)
+    a, b, _ = simhash.tile_links(one, one, fps, np.array([1, 1, 2, 2]), 2)
+    pairs = {frozenset(p) for p in zip(a.tolist(), b.tolist())}
+    assert pairs == {frozenset((int(fps[i]), int(fps[j]))) for i in (0, 1) for j in (2, 3)}
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_spanning_links_of_dense_matrices(same):
+    rng = np.random.default_rng(4)
+    for density in (0.02, 0.1, 0.9):
+        near = rng.random((90, 90)) < density
+        if same:
+            near |= near.T
+            np.fill_diagonal(near, False)
+        x, y = simhash.spanning(near, same)
+        assert near[x, y].all() and len(x) <= max(64, 4 * 180)
+        full = near if same else np.block([[np.zeros((90, 90), bool), near], [near.T, np.zeros((90, 90), bool)]])
+        used = np.zeros_like(full)
+        used[x, y if same else y + 90] = True
+        used |= used.T
+
+        def reach(m):
+            r = m | np.eye(len(m), dtype=bool)
+            for _ in range(9):
+                r = (r.astype(np.int32) @ r.astype(np.int32)) > 0
+            return r
+
+        assert (reach(full) == reach(used)).all()
+
+
 def test_keep_one_row_of_each_group(spark):
     docs = awkward(spark)
     rows = awkward_rows()
@@ -181,17 +248,35 @@ def test_pipeline_keeps_one_of_texts_of_true_similarity(spark, tile):
         ids = [r[0] for r in group if r[0] is not None]
         want.append(min(ids) if ids else None)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = shingle_sets.keep_one(docs, tile=tile)
+    got = simhash.keep_one(docs, similarity=0.8, tile=tile)
     assert got.columns == docs.columns
     assert sorted((r.doc_id for r in got.collect()), key=str) == sorted(want, key=str)
     assert 200 > len(want) > 100
 
 
-def test_pipeline_near_duplicates_of_no_rows_and_no_ids(spark):
-    import corpus_pipeline
+def test_large_buckets_compare_what_their_leaders_leave_apart(spark):
+    """Two families share all bands here, as if by chance: every family is still found whole."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"{'a b c d e f g h' if i % 3 else 'p q r s t u v w'} x{i}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    real = shingle_sets.shingled
 
-    assert corpus_pipeline.drop_near_duplicates(spark, empty(spark), "").count() == 0
+    def one_key(*args, **options):
+        return real(*args, **options).withColumn("keys", F.array(F.lit(1).cast("long")))
+
+    shingle_sets.shingled = one_key
+    try:
+        got = simhash.keep_one(docs, similarity=0.5, shingle=3, tile=4, radius=64).collect()
+    finally:
+        shingle_sets.shingled = real
+    assert sorted(r.doc_id for r in got) == [0, 1]
+
+
+def test_pipeline_near_duplicates_of_no_rows_and_no_ids(spark):
+    near = lambda docs: simhash.keep_one(docs, similarity=0.8)
+    assert near(empty(spark)).count() == 0
     base = [f"w{i}" for i in range(100)]
     rows = [(None, " ".join(base)), (None, " ".join(["edited", *base[1:]])), (None, "another text"), (1, None), (2, " "), (3, " ".join(base[:50]))]
-    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    got = near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 4 and {r.doc_id for r in got} == {None, 1, 3}
