@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corvane.llm import decontaminate, hidden_markov, token_counts, token_shards
@@ -187,49 +188,76 @@ def test_feistel_permutes(domain):
         assert out.tolist() != token_shards.feistel(np.arange(domain), domain, key=5).tolist() != list(range(domain))
 
 
-def test_shards_round_trip(spark):
+def scalar_feistel(x, domain, key):
+    return int(token_shards.feistel(np.array([x]), domain, key)[0])
+
+
+def plain_shards(spark, rows, length, blocks, key=token_shards.KEY):
+    """Records by slot: (first_doc, first_token, ids, doc_ids, doc_tokens)."""
     library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     library.encode_special_tokens = True
-    rows = awkward_rows() + [(800, "a <|endoftext|> b")]
-    path = new_path(spark, "test-shards")
-    frame = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").coalesce(1)
-    token_shards.write_shards(frame, path, length=64, shards=5)
-    table = token_shards.shard_table(spark, path, 64).orderBy("shard").collect()
-    got = sorted(token_shards.read_shards(spark, path, 64).collect())
-    assert [r.slot for r in got] == list(range(len(got))) == list(range(sum(t.records for t in table)))
-    # Undo the permutation: sequences of the one task in their first order.
-    domain = 1 << token_shards.PLACE_BITS
-    keys = token_shards.feistel(np.arange(len(got)), domain)
-    stream = [None] * len(got)
-    for slot, index in enumerate(np.argsort(keys).tolist()):
-        stream[index] = np.frombuffer(got[slot].ids, np.uint16)
-    flat = np.concatenate(stream)
-    want, starts = [], {}
-    for doc_id, text in frame.collect():
-        starts[len(want)] = doc_id
-        want += library.encode(text or "", add_special_tokens=False).ids + [token_shards.END]
-    assert flat.tolist() == want
-    for index, slot in enumerate(np.argsort(np.argsort(keys)).tolist()):
-        at = index * 64
-        begin = max(s for s in starts if s <= at)
-        assert (got[slot].first_doc_id, got[slot].first_token) == (-1 if starts[begin] is None else starts[begin], at - begin)
-    # Resume in the middle: one record straight from the file.
-    slot = len(got) // 2
-    shard = max(t for t in table if t.first_slot <= slot)
-    with open(shard.file.removeprefix("file:"), "rb") as f:
-        f.seek((slot - shard.first_slot) * token_shards.record_dtype(64).itemsize)
-        record = np.frombuffer(f.read(token_shards.record_dtype(64).itemsize), token_shards.record_dtype(64))[0]
-    assert record["ids"][: record["n_tokens"]].tobytes() == bytes(got[slot].ids)
-
-
-def test_number_of_shards_grows_with_the_texts(spark):
-    docs = spark.createDataFrame([(1, "é" * 500), (2, None), (3, "")], "doc_id long, text string")
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert token_shards.planned_shards(docs) == token_shards.planned_shards(empty(spark)) == least
-    assert token_shards.planned_shards(docs, most_bytes=10) == 201
+    frame = spark.createDataFrame([(r[0], r[1] or "") for r in rows], "doc_id long, text string")
+    hashed = frame.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", F.lit(key)), F.lit(blocks)).alias("block")).collect()
+    found = []
+    for block in range(blocks):
+        stream = []
+        mine = [r for r in hashed if r.block == block]
+        for r in sorted(mine, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text.encode())):
+            ids = library.encode(r.text, add_special_tokens=False).ids + [50256]
+            stream += [(r.doc_id, k, t) for k, t in enumerate(ids)]
+        found += [stream[i : i + length] for i in range(0, len(stream), length)]
+    out = {}
+    for number, part in enumerate(found):
+        docs_in = []
+        for doc_id, k, _ in part:
+            if not docs_in or k == 0:
+                docs_in.append([doc_id, 0])
+            docs_in[-1][1] += 1
+        first = part[0]
+        out[scalar_feistel(number, len(found), key)] = (-1 if first[0] is None else first[0], first[1], [t for *_, t in part], [d for d, _ in docs_in], [n for _, n in docs_in])
+    return out
+
+
+def test_shards_by_brute_force_at_any_number_of_tasks(spark):
+    rows = awkward_rows(n=25) + [(800, "a <|endoftext|> b"), (801, "x " * 700)]
+    rows = [(*r, "clash", 1)[:2] + ("clash", 1) for r in rows]
+    total = sum(len((r[1] or "").encode()) for r in rows)
+    want = plain_shards(spark, rows, 64, -(-total // 20_000))
+    assert sorted(want) == list(range(len(want))) and total > 60_000
+    seen = set()
+    for tasks in (1, 4, 9):
+        frame = spark.createDataFrame(rows, "doc_id long, text string, slot string, block int").repartition(tasks)
+        path = new_path(spark, "test-shards")
+        token_shards.write_shards(frame, path, length=64, shard_bytes=(5000, 5000), block_bytes=20_000)
+        about = spark.read.parquet(f"{path}/about").first()
+        stride = 16 + 2 * 64 + 1
+        assert about.records == len(want) and about.per_shard == 5000 // stride and about.end_token == 50256
+        got = {r.slot: r for r in token_shards.read_from(spark, path).collect()}
+        assert {s: (r.first_doc_id, r.first_token, np.frombuffer(r.ids, "<u2").tolist()) for s, r in got.items()} == {s: w[:3] for s, w in want.items()}
+        assert all((r.shard, r.byte_offset) == (s // about.per_shard, s % about.per_shard * stride) for s, r in got.items())
+        listed = {r.slot: (r.doc_ids, r.doc_tokens) for r in token_shards.shard_report(spark, path).collect()}
+        assert listed == {s: w[3:] for s, w in want.items()}
+        files = spark.read.format("binaryFile").load(f"{path}/records").select("path", "length").orderBy("path").collect()
+        assert [f.length for f in files if f.length][:-1] == [about.per_shard * stride] * (len(want) // about.per_shard - (len(want) % about.per_shard == 0))
+        seen.add(tuple(r.ids for _, r in sorted(got.items())))
+        # Resume anywhere: straight from the file, and through the reader.
+        for slot in (0, about.per_shard - 1, about.per_shard, len(want) - 1):
+            with open(files[slot // about.per_shard].path.removeprefix("file:"), "rb") as f:
+                f.seek(slot % about.per_shard * stride)
+                record = np.frombuffer(f.read(stride), np.dtype([*token_shards.record_dtype(64, "<u2").descr, ("end", "u1")]))[0]
+            assert record["ids"][: record["n_tokens"]].tolist() == want[slot][2]
+            again = token_shards.read_from(spark, path, slot, 3).collect()
+            assert sorted(r.slot for r in again) == list(range(slot, min(slot + 3, len(want))))
+        assert token_shards.read_from(spark, path, len(want)).count() == 0
+    assert len(seen) == 1
+
+
+def test_ids_of_large_vocabularies_take_four_bytes():
+    assert token_shards.id_type(50256) == "<u2" and token_shards.id_type(65535) == "<u2" and token_shards.id_type(65536) == "<u4"
+    assert token_shards.end_token(token_shards.load_vocabulary("byte_bpe_50k.tiktoken")) == 50256
 
 
 def test_shards_of_an_empty_table(spark):
     path = new_path(spark, "test-shards")
     token_shards.write_shards(empty(spark), path)
-    assert token_shards.read_shards(spark, path).count() == 0
+    assert token_shards.read_from(spark, path).count() == 0 and token_shards.shard_report(spark, path).count() == 0
