@@ -91,6 +91,9 @@ class FuzzyLexicon:
         self.edits_left = [0]  # the most edits of an entry below the node
         self.word_at: dict[int, tuple[str, float, int]] = {}
         self.start_at: dict[int, float] = {}
+        heads: dict[int, set[str]] = {}
+        tails: dict[int, set[str]] = {}
+        middles: dict[int, set[str]] = {}
         for entries, whole in ((lexicon.words, True), (lexicon.starts, False)):
             for term, weight in entries.items():
                 edits = lexicon.edits.get(term, edits_allowed(term)) if whole else 0
@@ -108,6 +111,11 @@ class FuzzyLexicon:
                     self.word_at[node] = (term, weight, edits)
                 else:
                     self.start_at[node] = weight
+                cuts = [len(term) * k // (edits + 1) for k in range(edits + 2)]
+                pieces = [term[a:b] for a, b in zip(cuts, cuts[1:])]
+                for piece, where in ((pieces[0], heads), *((x, middles) for x in pieces[1:-1]), (pieces[-1], tails)):
+                    where.setdefault(len(piece), set()).add(piece)
+        self.heads, self.tails, self.middles = (list(x.items()) for x in (heads, tails, middles))
         self._forget()
 
     def _forget(self) -> None:
@@ -149,8 +157,21 @@ class FuzzyLexicon:
         self.steps[state][c] = nxt = self._state(out)
         return nxt
 
+    def possible(self, word: str) -> bool:
+        """Whether the automata need to run: with k edits at most, one of k + 1 pieces of an entry is left whole.
+
+        The first piece is then the word's beginning and the last one its end.
+        """
+        return (
+            any(word[:n] in pieces for n, pieces in self.heads)
+            or any(word[-n:] in pieces for n, pieces in self.tails)
+            or any(word[i : i + n] in pieces for n, pieces in self.middles for i in range(len(word) - n + 1))
+        )
+
     def find(self, word: str) -> tuple[float, int, str] | None:
         """(weight, edits, entry) of the best entry; a beginning's name is empty."""
+        if not self.possible(word):
+            return None
         if len(self.sets) > self.most_states:
             self._forget()
         state, best = self.first, None
