@@ -3,8 +3,9 @@
 Sizes are words per document; they are summed per source, each source gets a
 target, and the repetition rate of a source is target / size.  A document is
 emitted ``floor(rate)`` times plus one more time when a hash of its id falls
-below the fraction of the rate.  No row is shuffled by source: the table of
-sources is small and joined as a broadcast only while Spark finds it small.
+below the fraction of the rate.  No document is shuffled by source: the table
+of sources is written first and sent to all tasks while it has a bounded number
+of rows; beyond that a salt spreads the documents of each source.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.staging import fresh, quoted
+from corvane.llm.staging import BROADCAST_ROWS, fresh, quoted, staged
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CEILING = 2.0
 SEED = "mix-1"
+#: Parts of a source where the table of sources is too large to be sent to all tasks.
+SALTS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -79,25 +82,37 @@ def mix_plan(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    size_col: str | None = None,
+    most_sources: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``docs`` with one more column, the last: a struct of size, source_size, target and copies.
 
     It is named ``mix_plan``, or longer where the input has a column of that
-    name.  Null text has size 0; a null source is a source of its own; an
-    empty table gives an empty result; repeated rows count each time and,
-    having one id, are drawn alike.
+    name.  Sizes are counted from the whole text, or taken from ``size_col``.
+    Null text has size 0; a null source is a source of its own; an empty table
+    gives an empty result; repeated rows count each time and, having one id,
+    are drawn alike.
     """
     name = fresh(docs, "mix_plan")
-    sized = docs.withColumn(name, word_count(F.col(text_col)))
-    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum(name).alias("source_size"))
-    goal = fresh(sized, "mix_target")
-    targets = source_targets(sizes, weights, budget, ceiling).select(F.struct("source", "source_size", "target").alias(goal))
-    joined = sized.join(targets, F.col(source_col).eqNullSafe(F.col(f"{goal}.source")), "left")
+    size = word_count(F.col(text_col)) if size_col is None else F.col(size_col)
+    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(size).alias("source_size"))
+    targets = staged(source_targets(sizes, weights, budget, ceiling), "source-targets")
+    goal = fresh(docs, "mix_target")
+    targets_fit = targets.count() <= most_sources
+    if targets_fit:
+        side = F.broadcast(targets.select(F.struct("*").alias(goal)))
+        same = F.col(source_col).eqNullSafe(F.col(f"{goal}.source"))
+    else:
+        side = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(F.struct("*").alias(goal)).hint("merge")
+        salt = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(SALTS))
+        same = F.col(source_col).eqNullSafe(F.col(f"{goal}.source")) & (F.col(name) == F.col(f"{goal}.salt"))
+    salted = docs if targets_fit else docs.withColumn(name, salt)
+    joined = salted.join(side, same, "left")
     source_size, target = F.col(f"{goal}.source_size"), F.col(f"{goal}.target")
     rate = F.when(source_size > 0, target / source_size).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     extra = (unit_hash(F.col(id_col), seed) < rate - whole).cast("long")
-    plan = F.struct(F.col(name).alias("size"), source_size.alias("source_size"), target.alias("target"), (whole + extra).cast("long").alias("copies"))
+    plan = F.struct(size.alias("size"), source_size.alias("source_size"), target.alias("target"), (whole + extra).cast("long").alias("copies"))
     return joined.select(*quoted(docs), plan.alias(name))
 
 
@@ -110,11 +125,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     plan = F.col("mix_plan")
-    return mix_plan(docs).select(
+    return mix_plan(sized, size_col="size").select(
         "doc_id",
-        plan["size"].alias("size"),
+        "size",
         plan["source_size"].alias("source_size"),
         plan["target"].alias("target"),
         (plan["size"] * plan["copies"]).alias("taken"),

@@ -74,9 +74,25 @@ def test_mix_by_brute_force(spark):
     mixed = source_mix.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(w[4] for w in want)
     assert source_mix.mix_plan(empty(spark)).count() == 0 and source_mix.mix(empty(spark)).count() == 0
+    salted = source_mix.mix_plan(docs, most_sources=2)
+    assert sorted((r[0], r[-1].size, r[-1].source_size, round(r[-1].target, 6), r[-1].copies) for r in salted.collect() if r[0] is not None) == sorted(w for w in want if w[0] is not None)
+    assert salted.columns == planned.columns and salted.count() == len(want)
     assert "Python" not in planned._jdf.queryExecution().toString() and "Arrow" not in planned._jdf.queryExecution().toString()
 
 
+def test_mix_does_not_shuffle_documents(spark):
+    """Above the scan of a table that Spark would not broadcast there is a join but no exchange."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        mixed = source_mix.mix(docs)
+        mixed.count()
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_mix_targets_when_many_sources_are_capped(spark, seed):
     rng = random.Random(seed)
