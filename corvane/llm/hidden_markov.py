@@ -5,9 +5,11 @@ fixed share of all training tokens are classes of their own, so there is a
 bounded number of them, and all other words fall into classes by their ending.
 Word counts are exact and cover the whole training corpus; they meet in one
 shuffle and go back to the documents block by block.  Baum-Welch: every task
-runs the scaled forward-backward recursion over its documents, and the
-expected counts are summed by Spark, a row per class.  The scaled forward
-recursion over whole documents gives their exact likelihood.
+runs the scaled forward-backward recursion over its whole documents, and the
+expected counts are summed by Spark, a row per class.  Long documents are cut
+into segments that numpy handles side by side; what flows across a cut, forward
+and backward, is carried exactly by the segments' transfer matrices.  The
+scaled forward recursion gives the exact likelihood of a document.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.block_dictionary import pack, unpack, values_of_block
-from corvane.llm.staging import staged
+from corvane.llm.staging import scratch, staged
 
 STATES = 8
 ROUNDS = 5
 FOLDS = 10
 ADD = 0.1
-HEAD_SHARE = 5e-5
+#: A word with this share of the training tokens is a class of its own, so there are 200,000 of them at most.
+HEAD_SHARE = 5e-6
 ENDINGS = 4096
 BLOCK_TOKENS = 4_000_000
 ROW_DOCS = 500
@@ -271,10 +274,9 @@ def _coded(classes: WordClasses):
 
 @dataclass
 class HiddenMarkov:
-    """Start, later-start and transition probabilities, and P(class | state) as a class by state table."""
+    """Start and transition probabilities, and P(class | state) as a class by state table."""
 
     start: np.ndarray
-    later: np.ndarray
     move: np.ndarray
     emit: np.ndarray
 
@@ -282,9 +284,8 @@ class HiddenMarkov:
 def first_model(totals: np.ndarray, states: int = STATES, seed: int = SEED) -> HiddenMarkov:
     """States that tend to stay, with emissions of the corpus shaken by a seeded factor per class and state."""
     shaken = (totals[:, None] + 0.5) * np.exp(np.random.default_rng(seed).normal(0, 1.0, (len(totals), states)))
-    even = np.full(states, 1 / states)
     move = np.full((states, states), 0.1 / max(states - 1, 1)) + np.eye(states) * (0.9 - 0.1 / max(states - 1, 1))
-    return HiddenMarkov(even, even, move / move.sum(1, keepdims=True), shaken / shaken.sum(0))
+    return HiddenMarkov(np.full(states, 1 / states), move / move.sum(1, keepdims=True), shaken / shaken.sum(0))
 
 
 class _Packed:
@@ -321,19 +322,60 @@ def forward(model: HiddenMarkov, flat: np.ndarray, sizes: np.ndarray) -> np.ndar
     return out
 
 
-def expected_counts(model: HiddenMarkov, flat: np.ndarray, sizes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of sequences: emissions, moves, starts (where ``begins``), and the log likelihood."""
+def transfers(model: HiddenMarkov, flat: np.ndarray, sizes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For each segment a matrix, up to a factor: what the recursion makes of a state before it.
+
+    The state before a segment that ``begins`` a document is the start
+    distribution, which does not move.
+    """
+    p = _Packed(flat, sizes)
+    k = len(model.start)
+    out = np.empty((len(sizes), k, k))
+    through = None
+    for t, n in enumerate(p.active.tolist()):
+        if through is None:
+            through = np.where(begins[p.order][:n, None, None], np.eye(k), model.move)
+        else:
+            through = (through[:n].reshape(n * k, k) @ model.move).reshape(n, k, k)
+        through = through * model.emit[p.seen[p.at[t] : p.at[t] + n]][:, None, :]
+        through /= through.sum(axis=(1, 2), keepdims=True)
+        stop = int(p.active[t + 1]) if t + 1 < len(p.active) else 0
+        out[p.order[stop:n]] = through[stop:n]
+    return out
+
+
+def borders(model: HiddenMarkov, flat: np.ndarray, sizes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment the forward distribution before it, and the backward weights after it."""
+    k = len(model.start)
+    before, after = np.tile(model.start, (len(sizes), 1)), np.ones((len(sizes), k))
+    follows = np.flatnonzero(~begins)
+    if len(follows):
+        part = np.zeros(len(sizes), bool)
+        part[follows] = part[follows - 1] = True
+        through = np.zeros((len(sizes), k, k))
+        through[part] = transfers(model, flat[np.repeat(part, sizes)], sizes[part], begins[part])
+        for s in follows.tolist():
+            x = before[s - 1] @ through[s - 1]
+            before[s] = x / x.sum()
+        for s in follows[::-1].tolist():
+            x = through[s] @ after[s]
+            after[s - 1] = x / x.sum()
+    return before, after
+
+
+def segment_counts(model: HiddenMarkov, flat: np.ndarray, sizes: np.ndarray, begins: np.ndarray, prior: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of segments with what :func:`borders` says about their surroundings."""
     p = _Packed(flat, sizes)
     k = len(model.start)
     ones = np.ones(k)
-    begins = begins[p.order]
+    begins, prior, after = begins[p.order], prior[p.order], after[p.order]
     seen = model.emit[p.seen]
     alpha = np.empty((len(flat), k))
     scale = np.empty(len(flat))
     before = None
     for t, n in enumerate(p.active.tolist()):
         i = p.at[t]
-        a = np.where(begins[:n, None], model.start, model.later) if before is None else before[:n] @ model.move
+        a = np.where(begins[:n, None], model.start, prior[:n] @ model.move) if before is None else before[:n] @ model.move
         a = a * seen[i : i + n]
         s = a @ ones
         a /= s[:, None]
@@ -344,18 +386,42 @@ def expected_counts(model: HiddenMarkov, flat: np.ndarray, sizes: np.ndarray, be
     seen /= scale[:, None]
     for t in range(len(p.active) - 1, -1, -1):
         n, i = int(p.active[t]), p.at[t]
-        b = np.ones((n, k))
+        b = np.empty((n, k))
         if beta is not None:
             weighted = beta * seen[p.at[t + 1] : p.at[t + 1] + later]
             moves += alpha[i : i + later].T @ weighted
             b[:later] = weighted @ model.move.T
+        ends = after[later:n]
+        b[later:] = ends / (alpha[i + later : i + n] * ends).sum(axis=1, keepdims=True)
         alpha[i : i + n] *= b
         beta, later = b, n
+    if len(sizes):
+        inner = ~begins
+        moves += prior[inner].T @ (beta * seen[: len(sizes)])[inner]
     emits = np.stack([np.bincount(p.seen, alpha[:, s], len(model.emit)) for s in range(k)], axis=1)
     first = alpha[: len(sizes)][begins].sum(0) if len(sizes) else np.zeros(k)
     return emits, moves * model.move, first, float(np.log(scale).sum())
 
 
+def expected_counts(model: HiddenMarkov, flat: np.ndarray, sizes: np.ndarray, segment: int = SEGMENT, most_tokens: int = BATCH_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of whole documents: emissions, moves, starts, and the log likelihood.
+
+    Memory is bounded by ``most_tokens``, however long a document is.
+    """
+    cut, begins = _segments(sizes, segment)
+    prior, after = borders(model, flat, cut, begins)
+    ends = np.r_[0, np.cumsum(cut)]
+    k = len(model.start)
+    emits, moves, starts, likelihood = np.zeros((len(model.emit), k)), np.zeros((k, k)), np.zeros(k), 0.0
+    i = 0
+    while i < len(cut):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + most_tokens, "right")) - 1)
+        e, m, s, x = segment_counts(model, flat[ends[i] : ends[j]], cut[i:j], begins[i:j], prior[i:j], after[i:j])
+        emits, moves, starts, likelihood = emits + e, moves + m, starts + s, likelihood + x
+        i = j
+    return emits, moves, starts, likelihood
+
+
 def _segments(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of the pieces of at most ``most`` tokens that sequences are cut into, and which begin a sequence."""
     parts = -(-sizes // most)
@@ -388,23 +454,16 @@ def _batches(batches: Iterator[pa.RecordBatch], train: bool) -> Iterator[tuple[n
 
 
 def train_round(coded: DataFrame, model: HiddenMarkov, segment: int = SEGMENT) -> tuple[HiddenMarkov, float]:
-    """One Baum-Welch round over all training documents; returns the next model and the log likelihood of this one.
-
-    For training only, documents are cut into segments; the moves across the
-    cuts are left out of the counts and later segments start from the mean
-    distribution of states.
-    """
+    """One Baum-Welch round over all training documents; returns the next model and the log likelihood of this one."""
     k, size = len(model.start), len(model.emit)
-    shared = coded.sparkSession.sparkContext.broadcast(model)
+    shared = coded.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = HiddenMarkov(*shared.value)
         emits, moves, starts, likelihood = np.zeros((size, k)), np.zeros((k, k)), np.zeros(k), 0.0
         for flat, sizes, _ in _batches(batches, train=True):
-            cut, begins = _segments(sizes, segment)
-            if len(cut):
-                e, m, s, x = expected_counts(model, flat, cut, begins)
-                emits, moves, starts, likelihood = emits + e, moves + m, starts + s, likelihood + x
+            e, m, s, x = expected_counts(model, flat, sizes, segment)
+            emits, moves, starts, likelihood = emits + e, moves + m, starts + s, likelihood + x
         used = np.flatnonzero(emits.any(axis=1))
         table = np.concatenate([emits[used], moves, starts[None], np.full((1, k), likelihood)])
         row = np.r_[used, size + np.arange(k + 2)]
@@ -412,52 +471,52 @@ def train_round(coded: DataFrame, model: HiddenMarkov, segment: int = SEGMENT) -
 
     schema = "row int, " + ", ".join(f"s{s} double" for s in range(k))
     summed = coded.select("held", "sizes", "classes").mapInArrow(run, schema).groupBy("row").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)]).toArrow()
+    shared.unpersist()
     table = np.zeros((size + k + 2, k))
     table[summed.column("row").to_numpy()] = np.stack([summed.column(f"s{s}").to_numpy() for s in range(k)], axis=1)
     emits, moves, starts, likelihood = table[:size], table[size : size + k], table[size + k], table[size + k + 1, 0]
     share = (emits.sum(1) + 0.5) / (emits.sum() + 0.5 * size)
     emit = emits + 2.0 * share[:, None] + 1e-3 / size
-    later = emits.sum(0) + 1.0
     moves, starts = moves + 0.5, starts + 0.5
-    return HiddenMarkov(starts / starts.sum(), later / later.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0)), float(likelihood)
+    return HiddenMarkov(starts / starts.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0)), float(likelihood)
 
 
-def code_documents(docs: DataFrame, folds: int = FOLDS, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, WordClasses]:
+def code_documents(docs: DataFrame, folds: int = FOLDS, block_tokens: int = BLOCK_TOKENS, head_share: float = HEAD_SHARE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, WordClasses]:
     """Documents as class numbers with their base scores, and the classes; counts cover all training documents."""
-    blocks = staged(token_blocks(docs, folds, block_tokens, id_col, text_col), "token-blocks")
-    words, train_docs = blocks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_docs"), F.lit(0))).first()
-    n = words + train_docs
-    counted = staged(word_counts(blocks, max(HEAD_SHARE * n, 1)), "word-counts")
-    heads = sorted(((-r.total, bytes(r.word)) for r in counted.where("word IS NOT NULL").select("word", "total").collect()))
-    endings = counted.where("ending IS NOT NULL").groupBy("ending").agg(F.sum("total"), F.sum("distinct")).collect()
-    total, distinct = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
-    for e, t, d in endings:
-        total[e], distinct[e] = t, d
-    classes = WordClasses({w: i for i, (_, w) in enumerate(heads)}, np.array([-c for c, _ in heads], np.int64), total, distinct, n, train_docs)
-    found = counted.where("block IS NOT NULL").select("block", "places", "found")
-    left = blocks.select("block", "doc_ids", "held", "sizes", "ids", "words")
-    coded = left.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_coded(classes), _CODED_SCHEMA)
-    return staged(coded, "coded"), classes
-
-
-def language_model_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, folds: int = FOLDS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    Documents whose crc32 of the id is no multiple of ``folds`` are the
-    training corpus.  Scores are log10 probabilities of all words and the end.
-    Null text counts as empty; without training documents all words are
-    unknown; repeated rows are counted and scored on their own; an empty table
-    gives an empty result.
-    """
-    coded, classes = code_documents(docs, folds, block_tokens, id_col, text_col)
+    with scratch(docs.sparkSession):
+        blocks = staged(token_blocks(docs, folds, block_tokens, id_col, text_col), "token-blocks")
+        words, train_docs = blocks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_docs"), F.lit(0))).first()
+        n = words + train_docs
+        counted = staged(word_counts(blocks, max(head_share * n, 1)), "word-counts")
+        heads = sorted(((-r.total, bytes(r.word)) for r in counted.where("word IS NOT NULL").select("word", "total").collect()))
+        endings = counted.where("ending IS NOT NULL").groupBy("ending").agg(F.sum("total"), F.sum("distinct")).collect()
+        total, distinct = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
+        for e, t, d in endings:
+            total[e], distinct[e] = t, d
+        classes = WordClasses({w: i for i, (_, w) in enumerate(heads)}, np.array([-c for c, _ in heads], np.int64), total, distinct, n, train_docs)
+        found = counted.where("block IS NOT NULL").select("block", "places", "found")
+        left = blocks.select("block", "doc_ids", "held", "sizes", "ids", "words")
+        coded = left.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_coded(classes), _CODED_SCHEMA)
+        return staged(coded, "coded", lasting=True), classes
+
+
+def fit(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, folds: int = FOLDS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, head_share: float = HEAD_SHARE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, WordClasses, HiddenMarkov]:
+    """Documents as class numbers, the classes, and the model after all rounds."""
+    coded, classes = code_documents(docs, folds, block_tokens, head_share, id_col, text_col)
     model = first_model(classes.totals(), states, seed)
     for _ in range(rounds if classes.train_tokens else 0):
         model, _ = train_round(coded, model)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return coded, classes, model
+
+
+def scored(coded: DataFrame, classes: WordClasses, model: HiddenMarkov) -> DataFrame:
+    """Documents of :func:`fit` with their scores; see :func:`language_model_scores`."""
+    shared = coded.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = HiddenMarkov(*shared.value)
         for flat, sizes, rows in _batches(batches, train=False):
-            score = forward(shared.value, flat, sizes) / np.log(10)
+            score = forward(model, flat, sizes) / np.log(10)
             flats = {c: np.concatenate([r.column(c)[0].values.to_numpy(zero_copy_only=False) for r in rows]) for c in ("held", "n_known", "base", "inner")}
             ids = pa.concat_arrays([r.column("doc_ids")[0].values for r in rows])
             columns = [ids, pa.array(flats["held"]), pa.array(sizes), pa.array(flats["n_known"].astype(np.int64)), pa.array(flats["base"]), pa.array(score + flats["inner"])]
@@ -467,5 +526,19 @@ def language_model_scores(docs: DataFrame, states: int = STATES, rounds: int = R
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(classes.train_tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def language_model_scores(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Documents whose crc32 of the id is no multiple of ``folds`` are the
+    training corpus; a null id counts as an empty text there.  Scores are log10
+    probabilities of all words and the end, over whole texts of any length.
+    Null text counts as empty; without training documents all words are
+    unknown; words of equal counts are ordered by their bytes; repeated rows
+    are counted and scored on their own; other columns are not read; an empty
+    table gives an empty result.
+    """
+    return scored(*fit(docs, **options))
+
+
 def op3_language_model(spark, sf_dir: str) -> DataFrame:
     return language_model_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))

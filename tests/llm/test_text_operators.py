@@ -151,8 +151,8 @@ def test_forward_recursion_and_baum_welch_by_enumeration():
     rng = np.random.default_rng(0)
     k, c = 2, 4
     norm = lambda x, axis: x / x.sum(axis, keepdims=True)
-    model = hidden_markov.HiddenMarkov(norm(rng.random(k), 0), norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((c, k)), 0))
-    sizes = np.array([3, 1, 5, 2])
+    model = hidden_markov.HiddenMarkov(norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((c, k)), 0))
+    sizes = np.array([3, 1, 5, 2, 7])
     flat = rng.integers(0, c, sizes.sum())
     seqs = np.split(flat, np.cumsum(sizes)[:-1])
     assert np.allclose(hidden_markov.forward(model, flat, sizes), [plain_forward(model, s) for s in seqs])
@@ -166,9 +166,47 @@ def test_forward_recursion_and_baum_welch_by_enumeration():
                 emits[o, q] += w
             for a, b in zip(p, p[1:]):
                 moves[a, b] += w
-    got = hidden_markov.expected_counts(model, flat, sizes, np.ones(4, bool))
-    assert np.allclose(got[0], emits) and np.allclose(got[1], moves) and np.allclose(got[2], first)
-    assert np.isclose(got[3], sum(plain_forward(model, s) for s in seqs))
+    # Cuts into segments, and batches of segments, change nothing.
+    for segment, most in ((512, 1000), (2, 1000), (1, 1000), (3, 4), (1, 1)):
+        got = hidden_markov.expected_counts(model, flat, sizes, segment, most)
+        assert np.allclose(got[0], emits) and np.allclose(got[1], moves) and np.allclose(got[2], first)
+        assert np.isclose(got[3], sum(plain_forward(model, s) for s in seqs))
+
+
+def test_scores_by_a_plain_recursion_over_raw_tokens(spark):
+    rows = [r for r in awkward_rows() if len(r[1] or "") < 20_000]
+    docs = spark.createDataFrame([(*r[:2], "x", 1.0) for r in rows], "doc_id long, text string, held string, score double").repartition(3)
+    options = dict(rounds=2, head_share=0.01, block_tokens=700)
+    _, classes, model = hidden_markov.fit(docs, **options)
+    counts = Counter()
+    words = lambda t: [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))]
+    for r in rows:
+        if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10:
+            counts.update(words(r[1]))
+    of_ending = {}
+    for w, n in counts.items():
+        if w not in classes.heads:
+            of_ending.setdefault(hidden_markov.ending(w), []).append(n)
+    assert classes.heads and of_ending
+
+    def plain(text):
+        alpha, total = model.start, 0.0
+        seq = [*words(text), None]
+        for t, w in enumerate(seq):
+            inside, number = 1.0, len(model.emit) - 1
+            if w is not None:
+                number = classes.heads.get(w)
+                if number is None:
+                    same = of_ending.get(hidden_markov.ending(w), [])
+                    number = len(classes.heads) + hidden_markov.ending(w)
+                    inside = (counts[w] + 0.1) / (sum(same) + 0.1 * (len(same) + 1))
+            alpha = (alpha if t == 0 else alpha @ model.move) * model.emit[number]
+            total += math.log10(alpha.sum() * inside)
+            alpha = alpha / alpha.sum()
+        return total
+
+    got = sorted(((r.doc_id, round(r.score, 5)) for r in hidden_markov.language_model_scores(docs, **options).collect()), key=str)
+    assert got == sorted(((r[0], round(plain(r[1]), 5)) for r in rows), key=str)
 
 
 def test_rounds_raise_the_likelihood(spark):
