@@ -1,13 +1,14 @@
 """Exact deduplication by sorting contents.
 
 Spark samples splitters and deals the rows out by ranges of (first bytes, hash
-of all bytes, id); each task sorts its range on disk where needed, so equal
-texts lie next to each other and a neighbour comparison of whole texts finds
-the runs.  The splitters hold the first bytes and a hash instead of whole
-texts, which keeps the sample that the driver sees small.  The id is part of
-the range key, so one text with very many copies spans several ranges and no
-task gets it whole.  Runs at the edges of a range are joined with the runs
-next door by comparing their whole texts again.
+of all bytes, id, row); each task sorts its range, on disk where needed, so
+equal texts lie next to each other, and each row's whole text is compared with
+its neighbour's.  The splitters hold the first bytes and a hash instead of
+whole texts, which keeps the sample that the driver sees small.  Id and row
+number are part of the range key, so one text with very many copies spans
+several ranges, whatever their ids, and no task gets it whole.  Runs at the
+edges of a range are joined with the runs next door by comparing their whole
+texts again.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.staging import staged
+from corvane.llm.staging import BROADCAST_ROWS, staged
 
 CHUNK = 50_000
 PREFIX = 16
@@ -46,19 +47,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ]
     )
     part, first_key, key, run = None, None, None, 0
-    group: dict[bytes, list] = {}  # the runs of the present hash: one, but for collisions
+    runs: list[tuple[bytes, list]] = []  # those of the present hash: one, but for collisions
     out: list[tuple] = []
 
     def close(edge: bool) -> None:
         nonlocal run
-        for text, ids in group.items():
+        for text, ids in runs:
             known = [x for x in ids if x is not None]
             low, high = (min(known), max(known)) if known else (None, None)
             sha = hashlib.sha256(text).hexdigest()
             for k, x in enumerate(ids):
                 out.append((x, sha, part, run, high, low, len(ids), text if edge and k == 0 else None))
             run += 1
-        group.clear()
+        runs.clear()
 
     def flush() -> Iterator[pa.RecordBatch]:
         for i in range(0, len(out), CHUNK):
@@ -74,7 +75,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if hashed != key:
                 close(edge=key == first_key)
                 key = hashed
-            group.setdefault(content, []).append(doc_id)
+            if not runs or runs[-1][0] != content:
+                runs.append((content, []))
+            runs[-1][1].append(doc_id)
         if len(out) >= CHUNK:
             yield from flush()
     close(edge=True)
@@ -93,18 +96,19 @@ def exact_duplicates(
     Of equal normalised texts the row with the smallest id stays, or with
     ``keep="max"`` the one with the largest.  Null text counts as empty.  Rows
     that repeat an id within a group are all marked as kept or dropped with
-    their id; a null id never stays while the group has another.  An empty
-    table gives an empty result; other columns are not read.
+    their id; a null id never stays while the group has another.  Texts of any
+    length are compared whole.  An empty table gives an empty result; other
+    columns are not read.
     """
     if keep not in ("min", "max"):
         raise ValueError("keep must be min or max")
     content = F.coalesce(F.col(text_col), F.lit(""))
     content = (normalise(content) if normalise else content).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(content).alias("hashed"), content.alias("content"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(content).alias("hashed"), content.alias("content"), F.monotonically_increasing_id().alias("row"))
     start = F.substring("content", 1, PREFIX)
-    ranges = rows.repartitionByRange(start, "hashed", "doc_id").sortWithinPartitions(start, "hashed", "content", "doc_id")
+    ranges = rows.repartitionByRange(start, "hashed", "doc_id", "row").drop("row").sortWithinPartitions(start, "hashed", "content", "doc_id")
     ranges = ranges.withColumn("part", F.spark_partition_id())
-    runs = staged(ranges.mapInArrow(_runs, _RUN_SCHEMA), "content-runs")
+    runs = staged(ranges.mapInArrow(_runs, _RUN_SCHEMA), "content-runs", lasting=True)
 
     # A text goes on in the next range only if it has the last hash of one and the first of the next, so texts at the edges meet by content.
     edges = runs.where("edge_text IS NOT NULL").groupBy("edge_text").agg(
@@ -114,7 +118,9 @@ def exact_duplicates(
         F.sum("run_size").alias("all_size"),
     )
     edges = edges.where(F.size("members") > 1).select(F.explode("members").alias("m"), "all_max", "all_min", "all_size")
-    edges = edges.select(F.col("m.part").alias("part"), F.col("m.run").alias("run"), "all_max", "all_min", "all_size")
+    edges = staged(edges.select(F.col("m.part").alias("part"), F.col("m.run").alias("run"), "all_max", "all_min", "all_size"), "content-edges", lasting=True)
+    # About two rows a range.
+    edges = F.broadcast(edges) if edges.count() <= BROADCAST_ROWS else edges.hint("merge")
     kept = F.coalesce(F.col(f"all_{keep}"), F.col(f"run_{keep}"))
     return runs.drop("edge_text").join(edges, ["part", "run"], "left").select(
         "doc_id",

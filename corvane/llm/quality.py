@@ -78,9 +78,10 @@ class BoostedTrees:
         """Probability of label 1 for each row of statistics."""
         margin = np.full(len(x), self.base)
         rows = np.arange(len(x))
+        depth = self.feature.shape[1].bit_length() - 1 if self.feature.ndim == 2 else 0
         for feature, cut, value in zip(self.feature, self.cut, self.value):
             node = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
+            for _ in range(depth):
                 f = feature[node]
                 inner = f >= 0
                 right = x[rows, np.maximum(f, 0)] > cut[node]
@@ -151,8 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, **colum
 def quality(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    Null text is scored as empty; without training rows every score is 0.5;
-    repeated rows are scored alike; an empty table gives an empty result.
+    Null text is scored as empty, long texts as a whole; a null id is held out;
+    without training rows every score is 0.5; rows that repeat, or share an id,
+    are scored each by its text; other columns are not read; an empty table
+    gives an empty result.
     """
     model = fit(docs, labels, most_rows, id_col=id_col, text_col=text_col)
 

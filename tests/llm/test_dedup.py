@@ -38,6 +38,31 @@ def test_exact_duplicates_of_one_text_over_many_ranges(spark):
     assert sum(r.kept for r in got) == 1 and len(got) == 5000
 
 
+@pytest.mark.parametrize("doc_id", ["CAST(NULL AS LONG)", "7L"])
+def test_copies_without_an_id_of_their_own_span_ranges(spark, doc_id):
+    docs = spark.range(4000).selectExpr(f"{doc_id} AS doc_id", "'same' AS text").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = content_sort.exact_duplicates(docs)
+        rows = ranges.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 4000 and {(r.keep_id, r.group_size) for r in rows} == {(None if "NULL" in doc_id else 7, 4000)}
+    sizes = [r["count"] for r in spark.read.parquet(*{f.rpartition("/")[0] for f in ranges.inputFiles() if "content-runs" in f}).groupBy("part").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 3000
+
+
+def test_neighbours_with_one_hash_are_told_apart():
+    """Rows arrive sorted by hash and content; a hash that two texts share is two runs."""
+    import pyarrow as pa
+
+    rows = [(3, 5, b"aa"), (1, 5, b"ab"), (2, 5, b"ab"), (9, 6, b"zz"), (None, 6, b"zz"), (4, 8, b"q")]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary()), pa.array([0] * len(rows), pa.int32())], ["doc_id", "hashed", "content", "part"])
+    got = [r for b in content_sort._runs(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["run"], r["run_size"], r["run_max"]) for r in got] == [(3, 0, 1, 3), (1, 1, 2, 2), (2, 1, 2, 2), (9, 2, 2, 9), (None, 2, 2, 9), (4, 3, 1, 4)]
+    assert [r["edge_text"] for r in got] == [b"aa", b"ab", None, None, None, b"q"]
+
+
 def test_exact_duplicates_after_normalising(spark):
     from pyspark.sql import functions as F
 

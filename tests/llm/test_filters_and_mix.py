@@ -197,11 +197,33 @@ def test_classifiers_on_awkward_inputs(spark):
                 assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
 
 
-def test_trees_learn_and_traverse_alike():
+def test_statistics_by_hand():
+    text = "The the THE cat!\n\nA b # 12 été, end. the the\nThe the THE cat!"
+    got = dict(zip(quality.STATISTICS, quality.statistics(text.encode())))
+    words = text.split()
+    raw = text.encode()
+    share = lambda chars: sum(raw.count(c.encode()) for c in chars) / len(raw)
+    assert got["bytes"] == pytest.approx(np.log1p(len(raw))) and got["words"] == pytest.approx(np.log1p(len(words)))
+    assert got["mean_word"] == pytest.approx(np.mean([len(w.encode()) for w in words]))
+    assert got["distinct_words"] == pytest.approx(len(set(words)) / len(words)) and got["top_word"] == pytest.approx(4 / len(words))
+    assert got["repeats"] == pytest.approx(1 / len(words)) and got["bang"] == pytest.approx(2 / len(raw))
+    assert got["upper"] == pytest.approx(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ")) and got["digit"] == pytest.approx(2 / len(raw)) and got["symbol"] == pytest.approx(share("#"))
+    assert got["comma"] == pytest.approx(1 / len(raw)) and got["stop"] == pytest.approx(1 / len(raw)) and got["pipe"] == 0 and got["punctuation"] == pytest.approx(share("!!,.") / 2 + share(",.") / 2)
+    assert got["white"] == pytest.approx(share(" \n")) and got["non_ascii"] == pytest.approx(4 / len(raw))
+    assert got["lines"] == pytest.approx(np.log1p(3)) and got["distinct_lines"] == pytest.approx(2 / 3) and got["mean_line"] == pytest.approx(np.log1p(len(words) / 3))
+    assert got["longest_word"] == 6 and got["one_letter"] == pytest.approx(3 / len(words))
+    assert got["title_words"] == pytest.approx(3 / len(words)) and got["symbol_words"] == pytest.approx(3 / len(words))
+    p = np.unique(np.frombuffer(raw, np.uint8), return_counts=True)[1] / len(raw)
+    assert got["entropy"] == pytest.approx(-(p * np.log2(p)).sum())
+    assert all(v == 0 for v in quality.statistics(None)) and len(quality.statistics(b"x " * 100_000)) == len(quality.STATISTICS)
+
+
+@pytest.mark.parametrize("depth", [1, 3, 4, 6])
+def test_trees_learn_and_traverse_alike(depth):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 6))
     y = ((x[:, 1] > 0.3) ^ (x[:, 4] < -0.5)).astype(float)
-    model = quality.grow(x[:1000], y[:1000])
+    model = quality.grow(x[:1000], y[:1000], depth=depth)
     score = model.score(x)
 
     def walk(row):
@@ -214,7 +236,7 @@ def test_trees_learn_and_traverse_alike():
         return 1 / (1 + np.exp(-margin))
 
     assert np.allclose(score[:50], [walk(r) for r in x[:50]])
-    assert ((score[1000:] >= 0.5) == y[1000:]).mean() > 0.95
+    assert depth < 3 or ((score[1000:] >= 0.5) == y[1000:]).mean() > 0.95
 
 
 def test_quality_on_held_out_rows(spark):
