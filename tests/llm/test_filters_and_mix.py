@@ -15,6 +15,8 @@ URLS = [
     (1, "http://a.example.net/en/x"), (2, "https://A.Example.NET/EN/x"), (3, "http://net/"), (4, "http://xnet/"), (5, "http://example.com/de"),
     (6, "http://w.example.com/de/q"), (7, "ftp://b.org/fr/?casino"), (8, "http://b.org?x=/fr/"), (9, None), (10, ""), (11, "casino"), (12, "http://q.io/free/bets"),
     (13, "http://q.io/free/free"), (14, "http://q.io/xcasino/casinos"), (15, "http://q.io/#CASINO-x://"), (16, "http://example.net:80/en/"), (17, "a://b://c/d"), (17, "a://b://c/d"),
+    (18, "http://q.io/casino777"), (19, "http://q.io/%63asin%6F"), (20, "http://q.io/%2563asino"), (21, "http://q.io/" + "a/" * 50_000 + "bet?x=bonus"), (22, "http://q.io/bet1bonus2"),
+    (23, "http://q.io/%%363asino"), (24, "http://q.io/betbonus"),
 ]
 
 
@@ -27,7 +29,11 @@ def plain_judge(url):
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in raw)
     fits = [(h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in url or "")
-    has = {t: bool(re.search(rf"(?<![0-9a-z]){t}(?![0-9a-z])", low)) for t in url_filter.VOCABULARY}
+    for c in "0123456789abcdefghijklmnopqrstuvwxyz":
+        low = low.replace(f"%{ord(c):02x}", c)
+    for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+        low = low.replace(f"%{ord(c):02x}", c.lower())
+    has = {t: bool(re.search(rf"(?<![a-z]){t}(?![a-z])", low)) for t in url_filter.VOCABULARY}
     bad = any(has[t] for t in url_filter.STRICT) or sum(has[t] for t in url_filter.SOFT) >= 2
     rule = max(fits, key=lambda f: len(f[0])) if fits else (None, "block" if bad else "allow")
     return host, path, rule[0], rule[1]
@@ -38,6 +44,14 @@ def test_urls_by_brute_force(spark):
     got = [tuple(r)[:5] for r in url_filter.judge_urls(pages).collect()]
     assert sorted(got, key=str) == sorted(((i, *plain_judge(u)) for i, u in URLS), key=str)
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
+    blocked = {r.page_id for r in url_filter.judge_urls(pages).collect() if r.verdict == "block" and r.rule is None}
+    assert {18, 19, 21, 22} <= blocked and not {20, 24} & blocked
+
+
+def test_weights_of_a_vocabulary_of_its_own(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/red/green"), (2, "http://a.b/red"), (3, "http://a.b/blue.red.red")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.strict_hits, r.soft_hits, r.soft_terms, r.weight) for r in url_filter.judge_urls(pages, vocabulary={"red": 0.4, "green": 0.6, "blue": 0.5}).collect()}
+    assert got == {1: ("block", 0, 2, 2, 1.0), 2: ("allow", 0, 1, 1, 0.4), 3: ("allow", 0, 3, 2, 0.9)}
 
 
 def plain_mix(rows, weights=(5, 2, 1)):
