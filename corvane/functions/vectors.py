@@ -8,27 +8,7 @@ from pyspark.sql import functions as F
 DENSE_WEIGHT, LEXICAL_WEIGHT, METADATA_WEIGHT = 0.65, 0.25, 0.10
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0 for empty vectors, other lengths or a zero norm."""
-    bad = a.isNull() | b.isNull() | (F.size(a) != F.size(b)) | (F.size(a) == 0)
-    below = norm(a) * norm(b)
-    return F.when(bad, F.lit(0.0)).when(below == 0, F.lit(0.0)).otherwise(dot(a, b) / below)
-
-
 def overlap(query_terms: Column, other_terms: Column) -> Column:
     """Share of distinct query terms that the other set has; 0 if either is empty."""
     bad = (F.size(query_terms) == 0) | (F.size(other_terms) == 0)
     return F.when(bad, F.lit(0.0)).otherwise(F.size(F.array_intersect(query_terms, other_terms)) / F.size(query_terms))
-
-
-def blended(dense: Column, lexical: Column, metadata: Column) -> Column:
-    """The best of dense, lexical and their weighted sum with the metadata overlap."""
-    return F.greatest(dense, lexical, dense * DENSE_WEIGHT + lexical * LEXICAL_WEIGHT + metadata * METADATA_WEIGHT)

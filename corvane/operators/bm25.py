@@ -1,9 +1,10 @@
 """BM25 with statistics of the whole corpus, or of each query's candidates.
 
-Only postings of query terms are kept.  The terms of a bounded block of
-queries, with their weights, are broadcast, so postings are scored where they
-are read and a query's partial sums per document are combined before any
-shuffle.
+Only postings of query terms are kept.  They are dealt out by document, and the
+terms of a bounded block of queries come to them as a broadcast.  So a document
+is scored for all queries in one place, nothing of the size of queries by
+documents is shuffled, and a ranking shuffles at most its k best rows of each
+query and task.
 """
 
 from __future__ import annotations
@@ -75,7 +76,8 @@ def _block_scores(corpus: DataFrame, wanted: DataFrame, n: int, average: float,
     tf = staged(of_query.groupBy("position", "length", "term").agg(F.count("*").alias("tf")), "postings")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weights = wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * idf(F.lit(n), F.col("df"))).alias("w"))
-    scored = tf.join(F.broadcast(weights), "term").withColumn("s", F.col("w") * term_weight(F.col("tf"), F.col("length"), F.lit(average)))
+    # Grouping by query and document needs no shuffle where documents are dealt out by position.
+    scored = tf.repartition("position").join(F.broadcast(weights), "term").withColumn("s", F.col("w") * term_weight(F.col("tf"), F.col("length"), F.lit(average)))
     return scored.groupBy("query_id", "position").agg(F.sum("s").alias("score")).where("score > 0")
 
 

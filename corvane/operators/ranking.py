@@ -20,6 +20,7 @@ from corvane.config import RetrievalSettings
 from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import bm25
+from corvane.sources.shared import staged
 
 DIGITS = 9
 BLOCK_QUERIES = 2048
@@ -31,51 +32,64 @@ def top_k(scored: DataFrame, k: int, *ties: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scan(corpus: DataFrame, queries: DataFrame, k: int, block_queries: int, lexical: bool) -> DataFrame:
-    """Exact scan: blocks of queries of a fixed size go to all tasks, each batch of rows returns its best ``k``.
+def _unit(vectors: list) -> np.ndarray:
+    """Rows of length 1; zeros for missing vectors, other lengths and zero norms."""
+    size = max((len(v) for v in vectors if v is not None), default=0)
+    m = np.array([v if v is not None and len(v) == size else np.zeros(size) for v in vectors], float).reshape(len(vectors), size)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
-    A batch is scored as matrices.  With ``lexical`` the score is the blended
-    one; query terms are few, so term sets are rows of a 0/1 matrix over them.
+
+def _inverted(lists: list, known=None) -> dict[str, np.ndarray]:
+    """``term -> numbers of the lists that have it``, of all terms or of the known ones."""
+    found: dict[str, list[int]] = {}
+    for k, terms in enumerate(lists):
+        for t in terms:
+            if known is None or t in known:
+                found.setdefault(t, []).append(k)
+    return {t: np.array(ks) for t, ks in found.items()}
+
+
+def _scan(corpus: DataFrame, queries: DataFrame, k: int, block_queries: int, lexical: bool, block_terms: int = bm25.BLOCK_TERMS) -> DataFrame:
+    """Exact scan: blocks of queries of a bounded size go to all tasks, each batch of rows returns its best ``k``.
+
+    With ``lexical`` the score is the blended one; common terms are counted
+    through inverted lists of the block and of the batch.
     """
     wanted = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), *([T.distinct_terms(F.col("text")).alias("terms")] if lexical else []))
     rows = corpus.select(
         "position", F.col("vector").cast("array<double>").alias("vector"),
         *([T.distinct_terms(F.col("text")).alias("terms"), T.distinct_terms(F.col("metadata_text")).alias("meta")] if lexical else []),
     )
-    blocks = max(1, -(-queries.count() // block_queries))
+    n, n_terms = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0)) if lexical else F.lit(0)).first()
+    blocks = max(1, -(-n // block_queries), -(-n_terms // block_terms))
+    if blocks > 1:
+        # Each block reads the rows again, so vectors and terms are worked out once.
+        rows, wanted = staged(rows, "scan-rows"), staged(wanted, "scan-queries")
     kind = queries.schema["query_id"].dataType.simpleString()
 
-    def unit(x: list) -> np.ndarray:
-        size = max((len(v) for v in x if v is not None), default=0)
-        m = np.array([v if v is not None and len(v) == size else np.zeros(size) for v in x], float).reshape(len(x), size)
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
     def scan(block: pa.Table) -> DataFrame:
         ids = block.column("query_id").combine_chunks()
-        asked = unit(block.column("vector").to_pylist())
+        asked = _unit(block.column("vector").to_pylist())
         term_sets = block.column("terms").to_pylist() if lexical else []
-        vocabulary = {t: i for i, t in enumerate(sorted({t for ts in term_sets for t in ts}))}
+        share = np.array([max(len(ts), 1) for ts in term_sets], float)[:, None]
+        asking = _inverted(term_sets)
 
-        def sets(lists: list) -> np.ndarray:
-            m = np.zeros((len(lists), len(vocabulary)), np.float32)
-            for row, ts in zip(m, lists):
-                row[[vocabulary[t] for t in ts if t in vocabulary]] = 1
-            return m
-
-        asked_terms = sets(term_sets) if lexical else None
+        def overlap(lists: list) -> np.ndarray:
+            common = np.zeros((len(term_sets), len(lists)), np.float32)
+            for term, having in _inverted(lists, asking).items():
+                common[np.ix_(asking[term], having)] += 1
+            return common / share
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            share = np.maximum(asked_terms.sum(1, keepdims=True), 1).astype(float) if lexical else None
             for batch in batches:
                 for i in range(0, batch.num_rows, 2000):
                     part = batch.slice(i, 2000)
                     position = part.column("position").to_numpy()
-                    found = unit(part.column("vector").to_pylist())
+                    found = _unit(part.column("vector").to_pylist())
                     score = asked @ found.T if asked.shape[1] == found.shape[1] else np.zeros((len(asked), len(found)))
                     if lexical:
-                        lex = (asked_terms @ sets(part.column("terms").to_pylist()).T) / share
-                        meta = (asked_terms @ sets(part.column("meta").to_pylist()).T) / share
+                        lex, meta = overlap(part.column("terms").to_pylist()), overlap(part.column("meta").to_pylist())
                         score = np.maximum(np.maximum(score, lex), V.DENSE_WEIGHT * score + V.LEXICAL_WEIGHT * lex + V.METADATA_WEIGHT * meta)
                     rounded = np.round(score, DIGITS)
                     order = np.lexsort((np.broadcast_to(position, score.shape), -rounded))[:, :k]
@@ -105,6 +119,26 @@ def lexical(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _named(top_k(bm25.scores(corpus.select("position", F.col(text).alias("text")), queries), k, F.col("position")), corpus)
 
 
+def overlap(corpus: DataFrame, queries: DataFrame, k: int, block_terms: int = bm25.BLOCK_TERMS) -> DataFrame:
+    """Ranking by the share of a query's distinct terms that a text has: ``(query_id, rank, position, score)``.
+
+    Texts are dealt out by position and met by a broadcast block of query
+    terms, so only the best of each task are shuffled.
+    """
+    asked = queries.select("query_id", T.distinct_terms(F.col("text")).alias("terms")).withColumn("n", F.size("terms"))
+    terms = staged(asked.select("query_id", "n", F.explode_outer("terms").alias("term")).where("term IS NOT NULL"), "query-terms")
+    blocks = max(1, -(-terms.count() // block_terms))
+    own = corpus.select("position", T.distinct_terms(F.col("text")).alias("terms"))
+    read = own.select("position", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+    found = []
+    for b in range(blocks):
+        block = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        known = read.join(F.broadcast(block.select("term").distinct()), "term", "left_semi").repartition("position")
+        shared = known.join(F.broadcast(block), "term").groupBy("query_id", "n", "position").agg(F.count("*").alias("common"))
+        found.append(shared.select("query_id", "position", (F.col("common") / F.col("n")).alias("score")))
+    return top_k(reduce(DataFrame.unionByName, found), k, F.col("position")).select("query_id", "rank", "position", "score")
+
+
 def _named(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
     named = ranked.join(corpus.select("position", "chunk_id"), "position") if "chunk_id" in corpus.columns else ranked.withColumn("chunk_id", F.col("position").cast("string"))
     return named.select("query_id", "rank", "position", "chunk_id", "score")

@@ -182,20 +182,16 @@ def rerank_apply_order(spark, sf):
     """Replies in the forms that models give, derived from the item's number."""
     hits = ranking.lexical(_document_corpus(spark, sf).drop("vector"), benchmark(spark, sf), WINDOW)
     n = (F.col("query_id") % 7 + 1).cast("string")
-    reply = F.when(F.col("query_id") % 4 == 0, F.concat(F.lit("Best first: [5, "), n, F.lit(", "), n, F.lit(', "1", true, 0, 99]'))).when(F.col("query_id") % 4 == 1, "I could not decide.").otherwise(F.concat(F.lit("["), n, F.lit("] and [1]")))
+    reply = F.when(F.col("query_id") % 4 == 0, F.concat(F.lit("My order is [5, "), n, F.lit(", "), n, F.lit(', "1", true, 0, 99]'))).when(F.col("query_id") % 4 == 1, "No preference.").otherwise(F.concat(F.lit("["), n, F.lit("] and [1]")))
     replies = benchmark(spark, sf).select("query_id", reply.alias("reply"))
     out = rerank.apply_replies(hits, replies, 6)
     return out.select("query_id", "rank", F.col("position").alias("doc_id"), F.round("score", 6).alias("score"), "rerank_mode", "rerank_reason")
 
 
 def lexical_overlap_topk(spark, sf):
-    """Share of an item's distinct terms that a document has; inverted by term, so only pairs that share one are met."""
-    queries = benchmark(spark, sf).select("query_id", T.distinct_terms(F.col("text")).alias("qt"))
-    terms = queries.withColumn("n", F.size("qt")).select("query_id", "n", F.explode("qt").alias("term"))
-    read = documents(spark, sf).select("doc_id", F.explode(T.distinct_terms(F.col("text"))).alias("term"))
-    shared = read.join(terms, "term").groupBy("query_id", "n", "doc_id").agg(F.count("*").alias("common"))
-    scored = shared.select("query_id", "doc_id", (F.col("common") / F.col("n")).alias("score"))
-    return ranking.top_k(scored, K, F.col("doc_id")).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    """Share of an item's distinct terms that a document has."""
+    corpus = documents(spark, sf).select(F.col("doc_id").alias("position"), "text")
+    return ranking.overlap(corpus, benchmark(spark, sf), K).select("query_id", "rank", F.col("position").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def metadata_overlap(spark, sf):

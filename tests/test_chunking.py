@@ -27,7 +27,7 @@ def test_fixed_vectors(spark):
     def run(text, strategy, size, overlap):
         return chunk_documents(spark.createDataFrame([("d.md", text)], "source_path string, text string"), strategy, size, overlap).orderBy("chunk_index").collect()
 
-    got = run("   leading text followed by more content   ", "fixed", 20, 5)
+    got = run("   some words behind a margin of blanks    ", "fixed", 20, 5)
     assert got[0].start_char == 3
     got = run("a" * 95, "paragraph", 30, 5)
     assert len(got) == 4 and got[1].start_char == 25 and all(len(r.text) <= 30 for r in got)

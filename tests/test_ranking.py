@@ -47,7 +47,7 @@ def test_bm25(spark, block_terms):
 
 
 def test_bm25_vectors(spark):
-    docs = ["model hyperparameter", "model a", "model b", "model c", "model d"]
+    docs = ["model widget", "model a", "model b", "model c", "model d"]
     got = rows_of(ranking.lexical(corpus_of(spark, docs), asked(spark, ["model rare model"]), 9))
     want = model.bm25(docs, "model rare model")
     assert [p for p, _ in got[0]] == best(want, 9)
@@ -68,6 +68,25 @@ def test_dense_and_blended(spark, block):
         assert [p for p, _ in mixed.get(i, [])] == best(full, 5)
 
 
+@pytest.mark.parametrize("block_terms", [200_000, 3])
+def test_overlap(spark, block_terms):
+    docs, queries = texts(8, 40), texts(9, 6)
+    got = rows_of(ranking.overlap(corpus_of(spark, docs), asked(spark, queries), 5, block_terms))
+    for i, q in enumerate(queries):
+        terms = set(model.terms(q))
+        share = [len(terms & set(model.terms(d))) / len(terms) if terms and d else 0.0 for d in docs]
+        assert [p for p, _ in got.get(i, [])] == best(share, 5)
+
+
+@pytest.mark.parametrize("what", ["lexical", "overlap"])
+def test_rankings_shuffle_their_best_rows_only(spark, what):
+    """Above the last join there is a limit for each query and task before the shuffle."""
+    docs = corpus_of(spark, texts(7, 20)).drop("vector")
+    plan = getattr(ranking, what)(docs.drop("chunk_id"), spark.createDataFrame([(0, "model the")], "query_id long, text string"), 3)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("BroadcastHashJoin")]
+    assert above.count("Exchange") == 1 and above.index("Exchange") < above.rindex("WindowGroupLimit")
+
+
 def test_hash_vectors(spark):
     rows = [*texts(5, 30), "attention", " é x y "]
     got = [r.v for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i long, t string").orderBy("i").select(embedding.embed_column(F.col("t")).alias("v")).collect()]
@@ -88,9 +107,9 @@ def test_fusion(spark):
 
 
 def test_hybrid_prefers_agreement(spark):
-    rows = [(0, "d::chunk-0", "unrelated", [1.0, 0.0]), (1, "d::chunk-1", "hyper words", [0.92, 0.39]), (2, "d::chunk-2", "hyper other thing entirely", [0.0, 1.0])]
+    rows = [(0, "d::chunk-0", "unrelated", [1.0, 0.0]), (1, "d::chunk-1", "widget words", [0.92, 0.39]), (2, "d::chunk-2", "widget and further text", [0.0, 1.0])]
     corpus = spark.createDataFrame(rows, "position long, chunk_id string, text string, vector array<double>").withColumn("searchable", F.col("text"))
-    queries = spark.createDataFrame([(0, "hyper", [1.0, 0.0])], "query_id long, text string, vector array<double>")
+    queries = spark.createDataFrame([(0, "widget", [1.0, 0.0])], "query_id long, text string, vector array<double>")
     got = ranking.hybrid(corpus, queries, 3, RetrievalSettings("hybrid_rrf")).orderBy("rank").collect()
     assert got[0].position == 1 and round(got[0].score, 6) == 0.032522
     assert ranking.rank(corpus, queries, 0).count() == 0
@@ -109,7 +128,7 @@ def test_candidates_have_their_own_statistics(spark):
     assert [p for p, _ in rows_of(ranking.rerank_candidates(cands, queries, 2))[0]] == [0, 1]
 
 
-REPLIES = [("[2, 3]", 2, "bc", "live"), ("[3]", 3, "cab", "live"), ('Best first: [5, 2, 2, "1", true, 0]', 3, "bac", "live"), ("I could not decide.", 2, "ab", "fallback"), ("[]", 2, "ab", "fallback"), (None, 2, "ab", "fallback")]
+REPLIES = [("[2, 3]", 2, "bc", "live"), ("[3]", 3, "cab", "live"), ('My order is [5, 2, 2, "1", true, 0]', 3, "bac", "live"), ("No preference.", 2, "ab", "fallback"), ("[]", 2, "ab", "fallback"), (None, 2, "ab", "fallback")]
 
 
 @pytest.mark.parametrize("reply,k,want,mode", REPLIES)
