@@ -1,180 +1,153 @@
 """Chunking of documents with exact character spans.
 
-Everything happens inside the row of a document, so nothing is shuffled: lines
-are folded to sections or paragraph blocks with built-in array functions, and
-chunks leave by one explode.  Only the greedy walk over a document's block
-lengths, which looks ahead and goes back, is a small vectorised function.
+A document is chunked where it is read, so nothing is shuffled: one Arrow
+function walks its lines once, folds them to sections or paragraph blocks,
+joins the blocks to chunks and returns a row a chunk.  The time is linear in a
+document's length.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
+from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.config import CHUNK_STRATEGIES, check_chunk_sizes, chosen
 from corvane.functions import text as T
 
-_SECTION = "struct<title:string,level:int,first:int,past:int>"
-_BLOCK = "struct<first_line:int,last_line:int,first:int,past:int,title:string,level:int>"
-
-
-def _empty(kind: str) -> Column:
-    return F.expr(f"CAST(array() AS array<{kind}>)")
-
-
-def _parsed(lines: Column, headings: bool) -> Column:
-    """Per line: length, length without its end, blank, and level and title of a heading."""
-
-    def parse(line: Column) -> Column:
-        flat = T.strip(line)
-        title = T.strip(F.regexp_extract(flat, T.HEADING, 2))
-        is_heading = F.lit(headings) & flat.startswith("#") & (title != "")
-        return F.struct(
-            F.length(line).alias("size"),
-            F.length(F.regexp_replace(line, "[\r\n]+$", "")).alias("body"),
-            (flat == "").alias("blank"),
-            F.when(is_heading, F.length(F.regexp_extract(flat, T.HEADING, 1))).alias("level"),
-            title.alias("title"),
-        )
-
-    return F.transform(lines, parse)
-
-
-def _blank(text: Column, first: Column, past: Column) -> Column:
-    return T.strip(F.substring(text, first + 1, past - first)) == ""
-
-
-def sections(text: Column, parsed: Column, source_title: Column) -> Column:
-    """Ranges between headings that hold any text; the whole document if there are none."""
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(None).cast("int").alias("level"), source_title.alias("title"), _empty(_SECTION).alias("out")
-    )
-
-    def put(acc: Column, past: Column) -> Column:
-        made = F.struct(acc["title"].alias("title"), acc["level"].alias("level"), acc["first"].alias("first"), past.alias("past"))
-        return F.when(_blank(text, acc["first"], past), acc["out"]).otherwise(F.array_append(acc["out"], made))
-
-    def step(acc: Column, line: Column) -> Column:
-        heading = line["level"].isNotNull()
-        past = acc["at"] + line["size"]
-        return F.struct(
-            past.alias("at"),
-            F.when(heading, past).otherwise(acc["first"]).alias("first"),
-            F.when(heading, line["level"]).otherwise(acc["level"]).alias("level"),
-            F.when(heading, line["title"]).otherwise(acc["title"]).alias("title"),
-            F.when(heading, put(acc, acc["at"])).otherwise(acc["out"]).alias("out"),
-        )
-
-    found = F.aggregate(parsed, start, step, lambda acc: put(acc, F.length(text)))
-    whole = F.array(F.struct(source_title.alias("title"), F.lit(None).cast("int").alias("level"), F.lit(0).alias("first"), F.length(text).alias("past")))
-    return F.when(F.size(found) > 0, found).otherwise(whole)
-
-
-def section_at(found: Column, offset: Column) -> Column:
-    """The first section that holds the offset, else the last section."""
-    inside = F.filter(found, lambda s: (s["first"] <= offset) & (offset < s["past"]))
-    return F.when(F.size(inside) > 0, F.get(inside, F.lit(0))).otherwise(F.element_at(found, -1))
-
-
-def _window(text: Column, first: Column, past: Column, size: int, step: int) -> Column:
-    """Overlapping windows of a span, stripped, without the blank ones: struct (text, first, past)."""
-    length = past - first
-    n = F.when(length <= size, F.lit(1)).otherwise(F.ceil((length - size) / F.lit(step)).cast("int") + 1)
-
-    def cut(i: Column) -> Column:
-        begin = first + i * step
-        raw = F.substring(text, begin + 1, F.least(past, begin + size) - begin)
-        body = T.strip(raw)
-        left = begin + F.length(raw) - F.length(T.lstrip(raw))
-        return F.struct(body.alias("text"), left.cast("int").alias("first"), (left + F.length(body)).cast("int").alias("past"))
-
-    return F.filter(F.transform(F.sequence(F.lit(0), n - 1), cut), lambda w: w["text"] != "")
-
-
-def paragraph_lines(parsed: Column, source_title: Column) -> Column:
-    """Runs of lines that are neither blank nor headings, with the section they stand in."""
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("nth"), source_title.alias("title"), F.lit(None).cast("int").alias("level"),
-        F.lit(None).cast("int").alias("first_line"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("past"), _empty(_BLOCK).alias("out"),
-    )
-
-    def put(acc: Column) -> Column:
-        made = F.struct(
-            acc["first_line"].alias("first_line"), (acc["nth"] - 1).alias("last_line"), acc["first"].alias("first"), acc["past"].alias("past"),
-            acc["title"].alias("title"), acc["level"].alias("level"),
-        )
-        return F.when(acc["first_line"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], made))
-
-    def step(acc: Column, line: Column) -> Column:
-        heading = line["level"].isNotNull()
-        ends = heading | line["blank"]
-        none = F.lit(None).cast("int")
-        return F.struct(
-            (acc["at"] + line["size"]).alias("at"),
-            (acc["nth"] + 1).alias("nth"),
-            F.when(heading, line["title"]).otherwise(acc["title"]).alias("title"),
-            F.when(heading, line["level"]).otherwise(acc["level"]).alias("level"),
-            F.when(ends, none).otherwise(F.coalesce(acc["first_line"], acc["nth"])).alias("first_line"),
-            F.when(ends, none).otherwise(F.coalesce(acc["first"], acc["at"])).alias("first"),
-            F.when(ends, none).otherwise(acc["at"] + line["body"]).alias("past"),
-            F.when(ends, put(acc)).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.aggregate(parsed, start, step, put)
-
-
-def blocks(text: Column, lines: Column, runs: Column, size: int, overlap: int) -> Column:
-    """Paragraph blocks: struct (text, first, past, title, level); larger ones than ``size`` are cut to windows."""
-
-    def made(run: Column) -> Column:
-        own = F.transform(F.slice(lines, run["first_line"] + 1, run["last_line"] - run["first_line"] + 1), T.rstrip)
-        return F.struct(T.strip(F.array_join(own, "\n")).alias("text"), run["first"].alias("first"), run["past"].alias("past"), run["title"].alias("title"), run["level"].alias("level"))
-
-    def cut(block: Column) -> Column:
-        parts = F.transform(
-            _window(text, block["first"], block["past"], size, size - overlap),
-            lambda w: F.struct(w["text"].alias("text"), w["first"].alias("first"), w["past"].alias("past"), block["title"].alias("title"), block["level"].alias("level")),
-        )
-        return F.when(F.length(block["text"]) <= size, F.array(block)).otherwise(parts)
-
-    return F.flatten(F.transform(F.transform(runs, made), cut))
-
-
-def group_bounds(size: int, overlap: int, by_section: bool):
-    """A pandas UDF: block lengths and section titles of a document -> (first, past) of its groups.
+_CHUNKS = (
+    "chunk_id string, source_path string, title string, text string, chunk_index int, start_char int, end_char int, "
+    "metadata struct<start:int,end:int,chunk_strategy:string,source_title:string,section_title:string,heading_level:int>"
+)
+_HEADING = re.compile(T.HEADING)
+
+
+class Span(NamedTuple):
+    """A text with its place in the document, and the section that it stands in."""
+
+    text: str
+    first: int
+    past: int
+    title: str
+    level: int | None
+
+
+def heading_of(line: str) -> tuple[str, int] | None:
+    """Title and level of a heading line."""
+    flat = line.strip()
+    found = _HEADING.match(flat) if flat.startswith("#") else None
+    title = found[2].strip() if found else ""
+    return (title, len(found[1])) if title else None
+
+
+def windows(text: str, first: int, past: int, size: int, step: int) -> Iterator[tuple[str, int, int]]:
+    """Overlapping windows of a span, stripped, without the blank ones."""
+    begin = first
+    while True:
+        raw = text[begin : min(begin + size, past)]
+        body = raw.strip()
+        if body:
+            left = begin + len(raw) - len(raw.lstrip())
+            yield body, left, left + len(body)
+        if begin + size >= past:
+            return
+        begin += step
+
+
+def sections(text: str, lines: list[str], source_title: str) -> list[Span]:
+    """Ranges between headings that hold any text, as spans without their text; the whole document if there are none."""
+    found, at, first, title, level = [], 0, 0, source_title, None
+    for line in [*lines, None]:
+        head = ("", 0) if line is None else heading_of(line)
+        if head:
+            if text[first:at].strip():
+                found.append(Span("", first, at, title, level))
+            first, (title, level) = at + len(line or ""), head
+        at += len(line or "")
+    return found or [Span("", 0, len(text), source_title, None)]
+
+
+def section_at(found: list[Span], starts: list[int], offset: int) -> Span:
+    """The section that holds the offset, else the last section."""
+    k = bisect_right(starts, offset) - 1
+    return found[k] if k >= 0 and offset < found[k].past else found[-1]
+
+
+def blocks(text: str, lines: list[str], source_title: str, headings: bool, size: int, step: int) -> list[Span]:
+    """Runs of lines that are neither blank nor headings; larger ones than ``size`` are cut to windows."""
+    out, at, title, level = [], 0, source_title, None
+    run: list[str] = []
+    first = 0
+
+    def put() -> None:
+        body = "\n".join(x.rstrip() for x in run).strip()
+        past = at - len(run[-1]) + len(run[-1].rstrip("\r\n"))
+        if len(body) <= size:
+            out.append(Span(body, first, past, title, level))
+        else:
+            out.extend(Span(*w, title, level) for w in windows(text, first, past, size, step))
+        run.clear()
+
+    for line in lines:
+        head = heading_of(line) if headings else None
+        if head or not line.strip():
+            if run:
+                put()
+            title, level = head or (title, level)
+        else:
+            first = first if run else at
+            run.append(line)
+        at += len(line)
+    if run:
+        put()
+    return out
+
+
+def groups(spans: list[Span], size: int, overlap: int, by_section: bool) -> Iterator[tuple[int, int]]:
+    """(first, past) of the blocks of each chunk.
 
     A group takes blocks while their joined text fits and, with ``by_section``,
     the title stays; the next one begins at the last block from which on the
     texts reach ``overlap`` characters, and at least one block later.
     """
-
-    def walk(lengths: list[int], titles: list) -> list[tuple[int, int]]:
-        n = len(lengths)
-        total = [0, *accumulate(lengths)]
-        joined = [total[j + 1] + 2 * j for j in range(n)]  # rises, so what fits is found by bisection
-        change = [n] * n
-        for j in range(n - 2, -1, -1):
-            change[j] = j + 1 if by_section and titles[j + 1] != titles[j] else change[j + 1]
-        out, begin = [], 0
-        while begin < n:
-            fits = bisect_right(joined, size + total[begin] + 2 * begin)
-            past = max(begin + 1, min(fits, change[begin]))
-            out.append((begin, past))
-            if past == n:
-                break
-            begin = max(begin + 1, min(past - 1, bisect_right(total, total[past] - overlap) - 1))
-        return out
-
-    @F.pandas_udf("array<struct<first:int,past:int>>")
-    def bounds(lengths: pd.Series, titles: pd.Series) -> pd.Series:
-        return pd.Series([walk(a.tolist(), list(b)) for a, b in zip(lengths, titles)])
-
-    # Spark must not move the call into the array functions that use its result.
-    return bounds.asNondeterministic()
+    n = len(spans)
+    total = [0, *accumulate(len(s.text) for s in spans)]
+    joined = [total[j + 1] + 2 * j for j in range(n)]  # rises, so what fits is found by bisection
+    change = [n] * n
+    for j in range(n - 2, -1, -1):
+        change[j] = j + 1 if by_section and spans[j + 1].title != spans[j].title else change[j + 1]
+    begin = 0
+    while begin < n:
+        fits = bisect_right(joined, size + total[begin] + 2 * begin)
+        past = max(begin + 1, min(fits, change[begin]))
+        yield begin, past
+        if past == n:
+            return
+        begin = max(begin + 1, min(past - 1, bisect_right(total, total[past] - overlap) - 1))
+
+
+def chunks_of(text: str, source_title: str, strategy: str, size: int, overlap: int) -> Iterator[tuple[str, int, int, str, str, int | None, str]]:
+    """(text, first, past, title, section title, heading level, strategy) of each chunk of one document."""
+    if not text.strip():
+        return
+    lines = text.splitlines(keepends=True)
+    step = size - overlap
+    own = [] if strategy == "fixed" else blocks(text, lines, source_title, strategy == "markdown", size, step)
+    if not own:
+        found = sections(text, lines, source_title)
+        starts = [s.first for s in found]
+        for body, first, past in windows(text, 0, len(text), size, step):
+            s = section_at(found, starts, first)
+            yield body, first, past, s.title, s.title, s.level, "fixed"
+    for a, b in groups(own, size, overlap, strategy == "markdown"):
+        last = own[b - 1]
+        yield "\n\n".join(s.text for s in own[a:b]), own[a].first, last.past, last.title or source_title, last.title, last.level, strategy
 
 
 def chunk_documents(docs: DataFrame, strategy: str = "markdown", size: int = 800, overlap: int = 120) -> DataFrame:
@@ -185,44 +158,24 @@ def chunk_documents(docs: DataFrame, strategy: str = "markdown", size: int = 800
     """
     check_chunk_sizes(size, overlap)
     strategy = chosen(strategy, CHUNK_STRATEGIES, "markdown", "chunk strategy")
-    markdown = strategy == "markdown"
-    text = F.col("text")
-    rows = docs.select("source_path", F.coalesce("text", F.lit("")).alias("text")).where(T.strip(text) != "")
-    rows = rows.withColumn("source_title", T.title_of(F.col("source_path"))).withColumn("lines", T.lines_of(text))
-    rows = rows.withColumn("headed", _parsed(F.col("lines"), True))
-    rows = rows.withColumn("sections", sections(text, F.col("headed"), F.col("source_title")))
-
-    def fixed(w: Column) -> Column:
-        s = section_at(F.col("sections"), w["first"])
-        return F.struct(w["text"].alias("text"), w["first"].alias("first"), w["past"].alias("past"), s["title"].alias("title"), s["title"].alias("section_title"), s["level"].alias("level"), F.lit("fixed").alias("strategy"))
-
-    windows = F.transform(_window(text, F.lit(0), F.length(text), size, size - overlap), fixed)
-    if strategy == "fixed":
-        rows = rows.withColumn("chunks", windows)
-    else:
-        if not markdown:
-            rows = rows.withColumn("headed", _parsed(F.col("lines"), False))
-        rows = rows.withColumn("runs", paragraph_lines(F.col("headed"), F.col("source_title")))
-        rows = rows.withColumn("blocks", blocks(text, F.col("lines"), F.col("runs"), size, overlap))
-        lengths, titles = F.transform("blocks", lambda b: F.length(b["text"])), F.transform("blocks", lambda b: b["title"])
-        rows = rows.withColumn("bounds", group_bounds(size, overlap, markdown)(lengths, titles))
-
-        def grouped(g: Column) -> Column:
-            own = F.slice(F.col("blocks"), g["first"] + 1, g["past"] - g["first"])
-            last = F.element_at(own, -1)
-            return F.struct(
-                F.array_join(F.transform(own, lambda b: b["text"]), "\n\n").alias("text"), F.element_at(own, 1)["first"].alias("first"), last["past"].alias("past"),
-                F.when(last["title"] != "", last["title"]).otherwise(F.col("source_title")).alias("title"), last["title"].alias("section_title"), last["level"].alias("level"), F.lit(strategy).alias("strategy"),
-            )
-
-        rows = rows.withColumn("chunks", F.when(F.size("blocks") > 0, F.transform("bounds", grouped)).otherwise(windows))
-    # For a plain posexplode Spark would add a filter on the array and work all of it out a second time.
-    out = rows.select("source_path", "source_title", F.posexplode_outer("chunks").alias("chunk_index", "c")).where("c IS NOT NULL")
-    metadata = F.struct(
-        F.col("c.first").alias("start"), F.col("c.past").alias("end"), F.col("c.strategy").alias("chunk_strategy"), F.col("source_title"),
-        F.col("c.section_title").alias("section_title"), F.col("c.level").alias("heading_level"),
-    )
-    return out.select(
-        F.concat("source_path", F.lit("::chunk-"), F.col("chunk_index").cast("string")).alias("chunk_id"), "source_path", F.col("c.title").alias("title"), F.col("c.text").alias("text"),
-        "chunk_index", F.col("c.first").alias("start_char"), F.col("c.past").alias("end_char"), metadata.alias("metadata"),
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints = pa.int32()
+        for batch in batches:
+            ids, paths, source_titles, nth, rows = [], [], [], [], []
+            for path, title, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, chunk in enumerate(chunks_of(text, title, strategy, size, overlap)):
+                    ids.append(f"{path}::chunk-{k}")
+                    paths.append(path)
+                    source_titles.append(title)
+                    nth.append(k)
+                    rows.append(chunk)
+            body, first, past, title, section, level, made_by = zip(*rows) if rows else ((),) * 7
+            first, past = pa.array(first, ints), pa.array(past, ints)
+            meta = [first, past, pa.array(made_by, pa.string()), pa.array(source_titles, pa.string()), pa.array(section, pa.string()), pa.array(level, ints)]
+            metadata = pa.StructArray.from_arrays(meta, ["start", "end", "chunk_strategy", "source_title", "section_title", "heading_level"])
+            texts = [pa.array(x, pa.string()) for x in (ids, paths, title, body)]
+            yield pa.RecordBatch.from_arrays([*texts, pa.array(nth, ints), first, past, metadata], ["chunk_id", "source_path", "title", "text", "chunk_index", "start_char", "end_char", "metadata"])
+
+    rows = docs.select("source_path", T.title_of(F.col("source_path")).alias("source_title"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, _CHUNKS)
