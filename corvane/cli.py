@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
         if getattr(args, "runtime", None):
             settings = settings.with_(runtime=args.runtime)
         spark = SparkSession.builder.appName("corvane").getOrCreate()
-        engine = Engine(spark, settings)
+        engine = Engine.from_settings(spark, settings)
         if args.verb == "ingest":
             out = engine.ingest()
         elif args.verb == "ask":

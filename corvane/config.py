@@ -94,6 +94,9 @@ class Settings:
     embedding_backoff_ms: int = 800
     chat_model: str = ""
     chat_key: str = ""
+    chat_provider: str = ""
+    embedding_provider: str = ""
+    rerank_provider: str = ""
     agent_max_turns: int = 6
 
     def __post_init__(self) -> None:
@@ -126,9 +129,7 @@ class Settings:
             if not raw:
                 continue
             default = f.default
-            if isinstance(default, bool):
-                found[f.name] = read_bool(raw, f.name)
-            elif isinstance(default, int):
+            if isinstance(default, int):
                 found[f.name] = read_int(raw, f.name)
             elif isinstance(default, tuple):
                 found[f.name] = tuple(x.strip() for x in raw.split(",") if x.strip())
@@ -144,15 +145,6 @@ def read_int(raw: str, name: str) -> int:
         raise ConfigurationError(f"{name} must be an integer, not {raw!r}") from None
 
 
-def read_bool(raw: str, name: str) -> bool:
-    low = raw.lower()
-    if low in ("1", "true", "yes", "on"):
-        return True
-    if low in ("0", "false", "no", "off"):
-        return False
-    raise ConfigurationError(f"{name} must be a boolean, not {raw!r}")
-
-
 def digest(payload: dict) -> str:
     """SHA-256 of a payload as JSON with sorted keys."""
     return hashlib.sha256(json.dumps(payload, sort_keys=True).encode()).hexdigest()

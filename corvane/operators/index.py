@@ -220,7 +220,7 @@ def ingest(spark: SparkSession, settings: Settings, documents: DataFrame, store:
         identity = storage_identity(settings)
         if old.storage_identity not in (None, identity):
             raise StoreError("the manifest belongs to another index", "operation_failed")
-        fingerprint = index_fingerprint(settings, "live" if settings.embedding_key else "fallback")
+        fingerprint = index_fingerprint(settings, wanted_mode(provider))
         rebuild = not store.supports_incremental_updates or old.storage_identity is None or old.repair_required or not store.exists() or old.index_fingerprint != fingerprint
         known = old.frame(spark)
         dirty = spark.createDataFrame([(p,) for p in old.needs_reindex], "source_path string")
@@ -243,8 +243,13 @@ def ingest(spark: SparkSession, settings: Settings, documents: DataFrame, store:
         return {"documents": len(rows), "chunks": sum(len(r.chunk_ids) for r in rows), "removed": counts.get("removed", 0), "changed": counts.get("changed", 0), "embedding": status}
 
 
-def needs_ingest(settings: Settings, store: ParquetStore) -> bool:
+def wanted_mode(provider) -> str:
+    """The kind of vectors that an index should have: a key alone makes none, a provider does."""
+    return "fallback" if provider is None else "live"
+
+
+def needs_ingest(settings: Settings, store: ParquetStore, provider=None) -> bool:
     """Whether a reader must ingest first: settings changed, repair due, dirty sources or no store.  Edited files alone do not count."""
     old = Manifest.load(Path(settings.manifest_path))
-    mode = "live" if settings.embedding_key else "fallback"
+    mode = wanted_mode(provider)
     return old is None or old.repair_required or bool(old.needs_reindex) or not store.exists() or old.index_fingerprint != index_fingerprint(settings, mode) or old.storage_identity != storage_identity(settings)

@@ -58,3 +58,15 @@ def model_rerank(hits: DataFrame, k: int, ask: Callable[[Column], Column] | None
     several = many.where("listed > 1").drop("listed")
     replies = prompt(several).select("query_id", ask(F.col("prompt")).alias("reply"))
     return apply_replies(several, replies, k).unionByName(single)
+
+
+def provider_rerank(hits: DataFrame, k: int, provider) -> DataFrame:
+    """:func:`model_rerank` by a chat provider; where it fails a query keeps its order and says why."""
+    from corvane.operators.chat import asked
+
+    several = hits.join(hits.groupBy("query_id").agg(F.count("*").alias("listed")).where("listed > 1"), "query_id", "left_semi")
+    replies = asked(prompt(several), provider)
+    ranked = apply_replies(several, replies.select("query_id", "reply"), k).join(replies.select("query_id", "failed"), "query_id", "left")
+    ranked = ranked.withColumn("rerank_reason", F.coalesce("failed", "rerank_reason")).drop("failed")
+    single = hits.join(several.select("query_id").distinct(), "query_id", "left_anti").where(F.col("rank") <= k)
+    return ranked.unionByName(single.withColumn("rerank_mode", F.lit("ready")).withColumn("rerank_reason", F.lit("rerank_not_needed")))

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from datetime import UTC, datetime
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.config import Settings, as_payload, check_question
-from corvane.operators import answers, evaluation, ranking, rerank
+from corvane.errors import ConfigurationError
+from corvane.operators import answers, chat, evaluation, ranking, rerank
 from corvane.operators.bm25 import searchable_text
-from corvane.operators.embedding import embed_column
+from corvane.operators.chat import ChatProvider
+from corvane.operators.embedding import EmbeddingProvider, embed
 from corvane.operators.index import ParquetStore, ingest, needs_ingest
 from corvane.sources.corpus import list_documents, read_documents
 from corvane.sources.shared import staged
@@ -37,33 +41,85 @@ def corpus_of(chunks: DataFrame) -> DataFrame:
     )
 
 
-def retrieve(corpus: DataFrame, questions: DataFrame, settings: Settings, k: int | None = None, ask: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Two-stage retrieval: hits with their chunks for every question ``(query_id, text, vector)``."""
+def retrieve(corpus: DataFrame, questions: DataFrame, settings: Settings, k: int | None = None, ask: Callable[[Column], Column] | None = None, reranker: ChatProvider | None = None) -> DataFrame:
+    """Two-stage retrieval: hits with their chunks for every question ``(query_id, text, vector)``.
+
+    A reranker is a chat provider, or a column function of the prompt.
+    """
     k = settings.top_k if k is None else k
     depth = k if settings.reranker == "none" else max(settings.rerank_candidate_k, k)
     ranked = ranking.rank(corpus, questions, depth if k > 0 else 0, settings.retrieval)
     hits = ranked.drop("chunk_id").join(corpus.drop("vector", "searchable", "metadata_text"), "position")
-    return rerank.identity(hits, k) if settings.reranker == "none" else rerank.model_rerank(hits, k, ask)
+    if settings.reranker == "none":
+        return rerank.identity(hits, k)
+    return rerank.model_rerank(hits, k, ask) if reranker is None else rerank.provider_rerank(hits, k, reranker)
+
 
+def answer(questions: DataFrame, hits: DataFrame, reason: str = "missing_api_key", provider: ChatProvider | None = None) -> DataFrame:
+    """``(query_id, question, hits, context, answer, citations, citation_spans)`` and modes and reasons of chat and reranker.
 
-def answer(questions: DataFrame, hits: DataFrame, reason: str = "missing_api_key") -> DataFrame:
-    """``(query_id, question, hits, context, answer, citations, citation_spans)`` with extractive answers."""
-    grouped = questions.select("query_id", F.col("text").alias("question")).join(answers.ordered(hits), "query_id", "left")
+    A provider answers where it can; all other answers are extractive and name
+    the reason.
+    """
+    second = ("rerank_mode", "rerank_reason")
+    if second[0] in hits.columns:
+        questions = questions.join(hits.groupBy("query_id").agg(*[F.max(c).alias(c) for c in second]), "query_id", "left")
+    else:
+        questions = questions.withColumns({c: F.lit(None).cast("string") for c in second})
+    grouped = questions.select("query_id", F.col("text").alias("question"), *second).join(answers.ordered(hits), "query_id", "left")
     none = F.lit(None)
     rows = grouped.withColumn("hits", F.when(F.col("hits").isNull(), F.filter(F.coalesce("hits", none), lambda h: F.lit(False))).otherwise(F.col("hits")))
     rows = rows.withColumn("context", F.coalesce(answers.answer_context(F.col("hits")), F.lit(answers.NO_EVIDENCE)))
+    if provider is None:
+        rows = rows.withColumn("reply", F.lit(None).cast("string")).withColumn("failed", F.lit(reason))
+    else:
+        asked = chat.asked(rows.select("query_id", chat.prompt(F.col("question"), F.col("context")).alias("prompt")), provider)
+        rows = rows.join(asked, "query_id", "left")
     return rows.select(
-        "query_id", "question", "hits", "context", answers.extractive_answer(F.col("question"), F.col("context"), F.lit(reason)).alias("answer"),
+        "query_id", "question", "hits", "context", F.coalesce("reply", answers.extractive_answer(F.col("question"), F.col("context"), F.col("failed"))).alias("answer"),
         F.coalesce(answers.citations(F.col("hits")), F.array().cast("array<string>")).alias("citations"), answers.citation_spans(F.col("hits")).alias("citation_spans"),
+        F.when(F.col("reply").isNull(), "fallback").otherwise("live").alias("chat_mode"), F.when(F.col("reply").isNull(), F.col("failed")).alias("chat_reason"), *second,
     )
 
 
+def missing(key: str) -> str:
+    """Why there is no provider: no key, or a key without an installed provider."""
+    return "provider_not_installed" if key else "missing_api_key"
+
+
+def basic_runtime(engine: Engine, questions: DataFrame) -> DataFrame:
+    """Search once, then answer."""
+    return answer(questions, engine.search(questions), missing(engine.settings.chat_key), engine.chat)
+
+
+#: Runtimes by name; one that is not here is served by the basic one, which says so.
+RUNNERS: dict[str, Callable[[Engine, DataFrame], DataFrame]] = {"basic": basic_runtime}
+
+
+def dispatch(name: str) -> tuple[str, Callable[[Engine, DataFrame], DataFrame], str | None]:
+    """``(runtime that serves, its function, reason)`` for a requested runtime."""
+    return (name, RUNNERS[name], None) if name in RUNNERS else ("basic", basic_runtime, "runtime_not_installed")
+
+
 @dataclass
 class Engine:
-    """The API: ingest, ask, evaluate, list documents, health and information."""
+    """The API: ingest, ask, evaluate, list documents, search, clock, health and information.
+
+    Without providers the engine works offline and says so in its diagnostics.
+    """
 
     spark: SparkSession
     settings: Settings
+    chat: ChatProvider | None = None
+    embedder: EmbeddingProvider | None = None
+    reranker: ChatProvider | None = None
+    embedding_status: dict = field(default_factory=dict, init=False)
+
+    @classmethod
+    def from_settings(cls, spark: SparkSession, settings: Settings) -> Engine:
+        """With the providers that the settings name as ``module:Class``; each is made from the settings."""
+        made = {name: load_provider(getattr(settings, f"{name}_provider"), settings) for name in ("chat", "embedding", "rerank")}
+        return cls(spark, settings, made["chat"], made["embedding"], made["rerank"] or made["chat"])
 
     @property
     def store(self) -> ParquetStore:
@@ -78,34 +134,52 @@ class Engine:
     def info(self) -> dict:
         return {"settings": as_payload(self.settings), "documents": len(self.documents())}
 
+    def now(self) -> str:
+        """The present time in UTC."""
+        return datetime.now(UTC).isoformat()
+
     def ingest(self) -> dict:
-        return ingest(self.spark, self.settings, read_documents(self.spark, self.settings.docs_dir, self.settings.exclude), self.store)
+        return ingest(self.spark, self.settings, read_documents(self.spark, self.settings.docs_dir, self.settings.exclude), self.store, self.embedder)
 
     def ensure(self) -> None:
-        if needs_ingest(self.settings, self.store):
+        if needs_ingest(self.settings, self.store, self.embedder):
             self.ingest()
 
     def corpus(self) -> DataFrame:
         return corpus_of(self.store.load(self.spark))
 
+    def embedded(self, questions: DataFrame) -> tuple[DataFrame, dict]:
+        """``questions (query_id, text)`` with ``vector``, and the embedding status."""
+        s = self.settings
+        made, status = embed(questions, self.embedder, s.embedding_batch, s.embedding_retries, s.embedding_backoff_ms)
+        if self.embedder is None:
+            status["reason"] = missing(s.embedding_key)
+        return made.withColumnRenamed("embedding", "vector"), status
+
     def search(self, questions: DataFrame, k: int | None = None) -> DataFrame:
         """Hits of ``questions (query_id, text)``."""
         self.ensure()
-        return retrieve(self.corpus(), questions.withColumn("vector", embed_column(F.col("text"))), self.settings, k)
+        made, self.embedding_status = self.embedded(questions)
+        return retrieve(self.corpus(), made, self.settings, k, reranker=self.reranker)
 
     def ask_all(self, questions: DataFrame) -> DataFrame:
-        return answer(questions, self.search(questions))
+        return dispatch(self.settings.runtime)[1](self, questions)
 
     def ask(self, question: str) -> dict:
         """One question, answered as a plan of one row."""
         rows = self.spark.createDataFrame([(0, check_question(question))], "query_id long, text string")
         found = self.ask_all(rows).first()
+        served, _, reason = dispatch(self.settings.runtime)
+        status = lambda part: {"mode": part["mode"], "reason": part["reason"]}
+        if self.settings.reranker == "none":
+            second = {"mode": "ready", "reason": "reranker_disabled"}
+        else:
+            second = {"mode": found.rerank_mode or "ready", "reason": found.rerank_reason or (None if found.rerank_mode == "live" else "rerank_not_needed")}
         return {
             "question": found.question, "answer": found.answer, "citations": list(found.citations), "citation_spans": [r.asDict() for r in found.citation_spans or []],
             "diagnostics": {
-                "requested_runtime": self.settings.runtime, "actual_runtime": "basic", "vector_backend": self.settings.backend,
-                "chat": {"mode": "fallback", "reason": "missing_api_key"}, "embedding": {"mode": "fallback", "reason": "missing_api_key"},
-                "reranker": {"mode": "ready", "reason": "reranker_disabled"} if self.settings.reranker == "none" else {"mode": "fallback", "reason": "missing_api_key"},
+                "requested_runtime": self.settings.runtime, "actual_runtime": served, "runtime_reason": reason, "vector_backend": self.settings.backend,
+                "chat": {"mode": found.chat_mode, "reason": found.chat_reason}, "embedding": status(self.embedding_status), "reranker": second,
             },
         }
 
@@ -113,13 +187,24 @@ class Engine:
         """Results per case of ``cases (query_id, question, ...)`` and their summary."""
         began = time.perf_counter()
         answered = self.ask_all(cases.select("query_id", F.col("question").alias("text")))
-        results = evaluation.evaluate(cases, answered.select("query_id", "answer", "hits")).cache()
+        results = staged(evaluation.evaluate(cases, answered.select("query_id", "answer", "hits")), "results")
         n = max(results.count(), 1)
         spent = round((time.perf_counter() - began) * 1000 / n, 2)
         totals = evaluation.summary(results.withColumn("response_time_ms", F.lit(spent))).first()
         return results, totals.asDict() if totals else {"num_cases": 0}
 
 
+def load_provider(name: str, settings: Settings):
+    """The provider named ``module:Class``, made from the settings; None for no name."""
+    if not name:
+        return None
+    module, _, kind = name.partition(":")
+    try:
+        return getattr(import_module(module), kind)(settings)
+    except (ImportError, AttributeError) as error:
+        raise ConfigurationError(f"no provider {name!r}: {error}") from None
+
+
 def require_live(diagnostics: dict) -> bool:
     """Whether chat and embedding really ran live."""
     return all(diagnostics[part]["mode"] == "live" for part in ("chat", "embedding"))

@@ -314,6 +314,16 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY search_no, r
   CASE WHEN citation_source_hit_rate < 1 THEN 'citation_missed_expected_source' END,
   CASE WHEN citation_span_hit_rate < 1 THEN 'citation_missed_expected_span' END], lambda x: x IS NOT NULL), ',') AS failure_reasons FROM rates""",
     "eval_summary": f"{hits()}, {ANSWERS}, {RATES}, means AS (SELECT count(*) AS num_cases, {MEANS} FROM rates) SELECT *, answer_keyword_hit_rate AS avg_keyword_hit_rate, citation_source_hit_rate AS source_hit_rate, citation_span_hit_rate AS avg_citation_span_hit_rate FROM means",
+    "dataset_identity": """
+WITH rows AS (
+  SELECT 'corpus' AS part, source || '/' || doc_id::VARCHAR || '.md' AS k, sha256(coalesce(text, '')) AS v FROM documents
+  UNION ALL SELECT 'cases', item_id::VARCHAR, sha256(coalesce(text, '')) FROM benchmark),
+items AS (
+  SELECT part, substr(sha256(k), 1, 4) AS bucket, strlen(k)::VARCHAR || ':' || k || strlen(v)::VARCHAR || ':' || v AS item FROM rows),
+buckets AS (SELECT part, bucket, sha256(string_agg(item, '' ORDER BY item)) AS d FROM items GROUP BY part, bucket),
+parts AS (SELECT part, sha256(string_agg(bucket || d, '' ORDER BY bucket || d)) AS digest FROM buckets GROUP BY part)
+SELECT sha256('9:dataset-1' || '64:' || (SELECT digest FROM parts WHERE part = 'corpus') || '64:' || (SELECT digest FROM parts WHERE part = 'cases')) AS identity
+""",
     "sweep_leaderboard": f"""SELECT (row_number() OVER (ORDER BY retrieval_reciprocal_rank DESC, retrieval_precision DESC, answer_keyword_hit_rate DESC, citation_span_hit_rate DESC, run_no))::INT AS place,
   label, retrieval_reciprocal_rank, retrieval_precision, citation_span_hit_rate FROM ({CELLS})""",
     "gold_normalise": f"""WITH {DOCS} SELECT doc_id, substr(text, 1, 40) AS question,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.config import RetrievalSettings
 from corvane.functions import text as T
 from corvane.functions import vectors as V
-from corvane.operators import answers, bm25, embedding, evaluation, index, ranking, rerank
+from corvane.operators import answers, embedding, evaluation, identity, index, ranking, rerank
 from corvane.operators.chunking import chunk_documents
 from corvane.plans.engine import answer, corpus_of
 from corvane.sources.corpus import keep_documents
@@ -290,6 +290,11 @@ def sweep_leaderboard(spark, sf):
     return board.select(F.row_number().over(order).alias("place"), "label", "retrieval_reciprocal_rank", "retrieval_precision", "citation_span_hit_rate")
 
 
+def dataset_identity(spark, sf):
+    gold = benchmark(spark, sf).select(F.col("query_id").alias("key"), F.col("text").alias("value"))
+    return identity.dataset_identity(documents(spark, sf), gold)
+
+
 def gold_normalise(spark, sf):
     """Gold lines in new, old and partial forms, made from documents."""
     docs = documents(spark, sf)
@@ -383,7 +388,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         discover_filter, source_checksum, section_lookup_fixed, chunk_stats, token_stats, term_frequencies, hash_embedding, dense_topk, dense_label_precision, bm25_topk,
         document_dense_topk, lexical_overlap_topk, metadata_overlap, blended_topk, rrf_fuse, hybrid_rrf_topk, window_rerank, window_rerank_lexical, identity_rerank, rerank_apply_order, chunk_topk,
-        answer_context, tool_results, citations, citation_spans, merge_hits, extractive_answer, eval_metrics, failure_reasons, eval_summary, sweep_leaderboard, gold_normalise,
+        answer_context, tool_results, citations, citation_spans, merge_hits, extractive_answer, eval_metrics, failure_reasons, eval_summary, sweep_leaderboard, dataset_identity, gold_normalise,
         ingest_plan, index_apply, manifest_update, point_ids, previews, turn_search, status_merge, degradation_reason,
     )
 } | {f"chunk_{s}": _chunk_query(s) for s in SIZES}

@@ -201,6 +201,72 @@ def test_ask_evaluate_and_sweep(spark, settings, tmp_path):
     assert [r["status"] for r in runs] == ["degraded", "degraded", "skipped", "skipped"] and board == [] and runs[2]["reason"] == "missing_qdrant_url"
 
 
+class Echo:
+    """A chat and embedding provider that counts nothing and needs no network."""
+
+    def __init__(self, settings=None):
+        self.settings = settings
+
+    def complete(self, prompt):
+        if "broken" in prompt:
+            raise ValueError("no reply")
+        return "[2, 1]" if prompt.startswith("1. ") else "" if "silent" in prompt else f"live: {prompt.count('[S')}"
+
+    def embed(self, texts):
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_engine_with_providers(spark, settings, tmp_path):
+    write(tmp_path / "docs", cats__md="# Cats\nCats sleep all day.", dogs__md="# Dogs\nDogs bark at night.")
+    keyed = settings.with_(embedding_key="k", chat_key="k", retrieval_strategy="lexical", reranker="llm", top_k=2)
+    offline = Engine(spark, keyed)
+    out = offline.ask("dogs cats bark")
+    assert out["diagnostics"]["chat"] == {"mode": "fallback", "reason": "provider_not_installed"} == out["diagnostics"]["embedding"]
+    # A key without a provider makes no live vectors, so nothing is due again.
+    version = offline.store.pointer.read_text()
+    offline.ask("dogs")
+    assert offline.store.pointer.read_text() == version
+    live = Engine(spark, keyed, Echo(), Echo(), Echo())
+    assert index.needs_ingest(keyed, live.store, live.embedder)
+    found = live.ask("dogs cats bark")
+    assert require_live(found["diagnostics"]) and found["answer"].startswith("live: ") and found["diagnostics"]["reranker"]["mode"] == "live"
+    assert found["citations"] == out["citations"][::-1] and {len(r.embedding) for r in live.store.load(spark).collect()} == {2}
+    for word, reason in (("broken", "provider_error:ValueError:no reply"), ("silent", "empty_provider_output")):
+        one = live.ask(f"{word} dogs bark")
+        assert one["diagnostics"]["chat"] == {"mode": "fallback", "reason": reason} and reason in one["answer"]
+    write(tmp_path / "docs", broken__md="broken dogs")
+    live.ingest()
+    kept = live.ask("dogs bark")
+    assert kept["diagnostics"]["reranker"] == {"mode": "fallback", "reason": "provider_error:ValueError:no reply"} and kept["citations"][0].endswith("dogs.md")
+    agent = Engine(spark, keyed.with_(runtime="agents_sdk", reranker="none")).ask("dogs")["diagnostics"]
+    assert (agent["requested_runtime"], agent["actual_runtime"], agent["runtime_reason"]) == ("agents_sdk", "basic", "runtime_not_installed")
+    assert live.now().endswith("+00:00")
+    named = Engine.from_settings(spark, keyed.with_(chat_provider=f"{__name__}:Echo"))
+    assert isinstance(named.chat, Echo) and named.chat.settings.top_k == 2 and named.reranker is named.chat and named.embedder is None
+    with pytest.raises(ConfigurationError):
+        Engine.from_settings(spark, keyed.with_(chat_provider="no.such:Thing"))
+
+
+def test_dataset_identity(spark):
+    from corvane.operators.identity import dataset_identity
+
+    docs, gold_rows = [(f"d/{i}.md", f"text {i}") for i in range(50)] + [("n", None)], [(1, "q"), (2, "r")]
+    frames = lambda d, g, n=3: (spark.createDataFrame(d, "source_path string, text string").repartition(n), spark.createDataFrame(g, "key long, value string"))
+    one = lambda d, g, n=3: dataset_identity(*frames(d, g, n)).first().identity
+    same = one(docs, gold_rows)
+    assert same == one(docs[::-1], gold_rows[::-1], 7)
+    others = [one(docs[:-1], gold_rows), one(docs, gold_rows[:1]), one([*docs[:-1], ("n", "x")], gold_rows), one([*docs[:-1], ("n2", None)], gold_rows), one([], [])]
+    assert len({same, *others}) == 6
+
+
+def test_names_of_the_package():
+    import corvane
+
+    assert all(getattr(corvane, name) for name in corvane.__all__) and corvane.Engine is Engine
+    with pytest.raises(AttributeError):
+        corvane.nothing
+
+
 def test_store_checks(spark, tmp_path):
     store = index.ParquetStore(tmp_path / "s")
     assert store.load(spark).count() == 0 and index.load_jsonl(spark, str(tmp_path / "none")).count() == 0
