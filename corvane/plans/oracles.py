@@ -326,9 +326,9 @@ SELECT sha256('9:dataset-1' || '64:' || (SELECT digest FROM parts WHERE part = '
 """,
     "sweep_leaderboard": f"""SELECT (row_number() OVER (ORDER BY retrieval_reciprocal_rank DESC, retrieval_precision DESC, answer_keyword_hit_rate DESC, citation_span_hit_rate DESC, run_no))::INT AS place,
   label, retrieval_reciprocal_rank, retrieval_precision, citation_span_hit_rate FROM ({CELLS})""",
-    "gold_normalise": f"""WITH {DOCS} SELECT doc_id, substr(text, 1, 40) AS question,
-  CASE WHEN doc_id % 3 < 2 THEN (substr(text, 1, 5) <> '')::INT ELSE 0 END AS n_expected_answer_keywords, CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS n_expected_source_paths,
-  CASE WHEN doc_id % 3 <> 1 THEN (substr(text, 6, 5) <> '')::INT ELSE 0 END AS n_expected_span_keywords, CASE WHEN doc_id % 3 = 0 THEN (substr(text, 6, 5) <> '')::INT ELSE 0 END AS n_expected_retrieval_keywords FROM docs""",
+    "gold_normalise": f"""WITH {DOCS}, own AS (SELECT doc_id, text, (text <> '')::INT AS one FROM docs)
+SELECT doc_id, text AS question, CASE WHEN doc_id % 3 < 2 THEN one ELSE 0 END AS n_expected_answer_keywords, CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS n_expected_source_paths,
+  CASE WHEN doc_id % 3 <> 1 THEN one ELSE 0 END AS n_expected_span_keywords, CASE WHEN doc_id % 3 = 0 THEN one ELSE 0 END AS n_expected_retrieval_keywords FROM own""",
     "ingest_plan": f"{SNAPSHOTS} SELECT source_path, action, action = 'changed' AS write FROM planned",
     "index_apply": f"{_changed()} SELECT path || '::chunk-' || idx AS chunk_id, a::INT AS start_char, b::INT AS end_char, sha256(body) AS checksum FROM chunks",
     "manifest_update": f"""{_changed()}, ids AS (SELECT path, count(*) AS n, string_agg(path || '::chunk-' || idx, ',' ORDER BY idx) AS ids FROM chunks GROUP BY path)

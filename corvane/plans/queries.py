@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.config import RetrievalSettings
+from corvane.config import RetrievalSettings, Settings
 from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import answers, embedding, evaluation, identity, index, ranking, rerank
 from corvane.operators.chunking import chunk_documents
+from corvane.plans import sweep
 from corvane.plans.engine import answer, corpus_of
 from corvane.sources.corpus import keep_documents
 from corvane.sources.gold import gold_cases
@@ -284,7 +285,7 @@ def sweep_leaderboard(spark, sf):
         for k in (k for s, _, k in SWEEP if s == size):
             answered = answer(cases.select("query_id", F.col("question").alias("text")), hits.where(F.col("rank") <= k))
             totals = evaluation.summary(evaluation.evaluate(cases, answered.select("query_id", "answer", "hits")))
-            runs.append(totals.withColumns({"label": F.lit(f"basic:local:fixed:lexical:rr-none:k{k}:s{size}:o{overlap}"), "status": F.lit("ok"), "run_no": F.lit(SWEEP.index((size, overlap, k))), "avg_response_time_ms": F.lit(0.0)}))
+            runs.append(totals.withColumns({"label": F.lit(sweep.label(Settings(chunk_strategy="fixed", retrieval_strategy="lexical", top_k=k, chunk_size=size, chunk_overlap=overlap))), "status": F.lit("ok"), "run_no": F.lit(SWEEP.index((size, overlap, k))), "avg_response_time_ms": F.lit(0.0)}))
     board = evaluation.leaderboard(runs[0].unionByName(runs[1]).unionByName(runs[2]).unionByName(runs[3]))
     order = Window.orderBy(F.desc("retrieval_reciprocal_rank"), F.desc("retrieval_precision"), F.desc("answer_keyword_hit_rate"), F.desc("citation_span_hit_rate"), "avg_response_time_ms", "run_no")
     return board.select(F.row_number().over(order).alias("place"), "label", "retrieval_reciprocal_rank", "retrieval_precision", "citation_span_hit_rate")
@@ -298,7 +299,7 @@ def dataset_identity(spark, sf):
 def gold_normalise(spark, sf):
     """Gold lines in new, old and partial forms, made from documents."""
     docs = documents(spark, sf)
-    q, a, b = F.substring("text", 1, 40), F.array(F.substring("text", 1, 5), F.lit("")), F.array(F.substring("text", 6, 5))
+    q, a, b = F.col("text"), F.array("text", F.lit("")), F.array(F.reverse("text"))
     new = F.to_json(F.struct(q.alias("question"), a.alias("expected_answer_keywords"), b.alias("expected_span_keywords")))
     old = F.to_json(F.struct(q.alias("question"), a.alias("expected_keywords"), F.array("source_path").alias("expected_sources")))
     null = F.to_json(F.struct(q.alias("question"), b.alias("expected_span_keywords"), F.lit(None).cast("array<string>").alias("expected_retrieval_keywords")), {"ignoreNullFields": "false"})
