@@ -115,7 +115,12 @@ class FuzzyLexicon:
                 pieces = [term[a:b] for a, b in zip(cuts, cuts[1:])]
                 for piece, where in ((pieces[0], heads), *((x, middles) for x in pieces[1:-1]), (pieces[-1], tails)):
                     where.setdefault(len(piece), set()).add(piece)
-        self.heads, self.tails, self.middles = (list(x.items()) for x in (heads, tails, middles))
+        self.heads, self.tails = (list(x.items()) for x in (heads, tails))
+        #: The first two letters of a word that may begin with a piece, and the last two of one that may end with one.
+        self.begin = {piece[:2] for _, pieces in self.heads for piece in pieces}
+        self.end = {piece[-2:] for _, pieces in self.tails for piece in pieces}
+        inner = sorted(set().union(*middles.values()))
+        self.inside = re.compile("|".join(map(re.escape, inner)) or r"(?!)").search
         self._forget()
 
     def _forget(self) -> None:
@@ -163,9 +168,9 @@ class FuzzyLexicon:
         The first piece is then the word's beginning and the last one its end.
         """
         return (
-            any(word[:n] in pieces for n, pieces in self.heads)
-            or any(word[-n:] in pieces for n, pieces in self.tails)
-            or any(word[i : i + n] in pieces for n, pieces in self.middles for i in range(len(word) - n + 1))
+            (word[:2] in self.begin and any(word[:n] in pieces for n, pieces in self.heads))
+            or (word[-2:] in self.end and any(word[-n:] in pieces for n, pieces in self.tails))
+            or self.inside(word) is not None
         )
 
     def find(self, word: str) -> tuple[float, int, str] | None:
@@ -192,14 +197,16 @@ class FuzzyLexicon:
         found = self.find(word)
         return found and found[:2]
 
-    def weight(self, word: str) -> float:
-        """What the word counts, 0 if it matches nothing; with a memory of the last words."""
-        if word not in self.known:
-            if len(self.known) > 500_000:
-                self.known.clear()
+    def weights(self, words: set[str]) -> dict[str, float]:
+        """What the words count that match anything; with a memory of the last words."""
+        known = self.known
+        for word in [w for w in words if w not in known]:
             found = self.find(word)
-            self.known[word] = 0.0 if found is None else self.lexicon.spellings.get(word, found[0]) if found[1] else found[0]
-        return self.known[word]
+            known[word] = 0.0 if found is None else self.lexicon.spellings.get(word, found[0]) if found[1] else found[0]
+        out = {word: known[word] for word in words if known[word]}
+        if len(known) > 500_000:
+            known.clear()
+        return out
 
 
 def mention(text: str, start: int, end: int, reach: int = CONTEXT) -> float:
@@ -228,7 +235,7 @@ def document_figures(text: str | None, lexicon: FuzzyLexicon) -> list[float]:
     """The figures of ``FIGURES`` for one text: hits count by their entry and by how little they are mentions."""
     low = (text or "").lower()
     words = _WORD.findall(low)
-    hits = {w: m for w in set(words) if (m := lexicon.weight(w))}
+    hits = lexicon.weights(set(words))
     weight = n = 0.0
     direct: dict[str, float] = {}
     if hits:
