@@ -211,10 +211,10 @@ def ingest(spark: SparkSession, settings: Settings, documents: DataFrame, store:
     from corvane.functions.text import checksum
     from corvane.operators.chunking import chunk_documents
     from corvane.operators.embedding import embed
-    from corvane.sources.shared import staged
+    from corvane.sources.shared import scratch, staged
 
     path = Path(settings.manifest_path)
-    with locked(path):
+    with locked(path), scratch(spark):
         current = documents.select("source_path", checksum(F.col("text")).alias("checksum"))
         old = Manifest.load(path) or Manifest()
         identity = storage_identity(settings)
