@@ -212,10 +212,10 @@ def _cases(spark, sf):
     )
 
 
-def _hits(spark, sf, size=800, overlap=120, k=K):
+def _hits(spark, sf, size=800, overlap=120, k=K, cases=None):
     docs = documents(spark, sf).select("source_path", "text")
     corpus = corpus_of(chunk_documents(docs, "fixed", size, overlap))
-    questions = _cases(spark, sf).select("query_id", F.col("question").alias("text"))
+    questions = (_cases(spark, sf) if cases is None else cases).select("query_id", F.col("question").alias("text"))
     ranked = ranking.lexical(corpus, questions, k)
     return ranked.drop("chunk_id").join(corpus.drop("searchable", "metadata_text"), "position")
 
@@ -279,9 +279,9 @@ SWEEP = [(size, overlap, k) for size, overlap in ((400, 60), (800, 120)) for k i
 
 def sweep_leaderboard(spark, sf):
     """Four cells over two indexes; both window sizes of an index come from one ranking."""
-    cases, runs = _cases(spark, sf), []
+    cases, runs = staged(_cases(spark, sf), "cases"), []
     for size, overlap in dict.fromkeys((s, o) for s, o, _ in SWEEP):
-        hits = staged(_hits(spark, sf, size, overlap, max(k for s, _, k in SWEEP if s == size)), "sweep-hits")
+        hits = staged(_hits(spark, sf, size, overlap, max(k for s, _, k in SWEEP if s == size), cases), "sweep-hits")
         for k in (k for s, _, k in SWEEP if s == size):
             answered = answer(cases.select("query_id", F.col("question").alias("text")), hits.where(F.col("rank") <= k))
             totals = evaluation.summary(evaluation.evaluate(cases, answered.select("query_id", "answer", "hits")))
