@@ -36,7 +36,7 @@ HEAD_SHARE = 5e-6
 ENDINGS = 4096
 BLOCK_TOKENS = 4_000_000
 ROW_DOCS = 500
-SEGMENT = 512
+SEGMENT = 2048
 BATCH_TOKENS = 1_000_000
 SEED = 7
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
