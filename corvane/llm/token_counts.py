@@ -202,8 +202,10 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, block_pieces: in
 
     Counts equal the tokenizer library's without begin, end or added tokens;
     the strings of special tokens inside texts count one, as the library does.
-    Null and empty texts have no tokens; repeated rows count on their own; an
-    empty table gives an empty result.
+    Null and empty texts have no tokens; texts of any length are counted whole;
+    rows that repeat, share an id or have none count on their own; other
+    columns are not read, so names may clash; an empty table gives an empty
+    result.
     """
     blocks = staged(pre_token_blocks(docs, vocabulary, block_pieces, id_col, text_col), "pre-tokens")
     pieces = blocks.select("block", "start", F.posexplode("pieces").alias("k", "piece")).select("block", (F.col("start") + F.col("k")).alias("place"), "piece")

@@ -108,7 +108,7 @@ def test_long_items_are_cut_without_losing_windows(spark):
 def test_token_counts_equal_the_library(spark):
     library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     rows = awkward_rows() + [(800, "a <|endoftext|>  b<|endoftext|>"), (801, "it's  we'll '' 's\r\n\t x²½ \u2003 ٣"), (802, "<|endoftext|")]
-    frame = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").repartition(3)
+    frame = spark.createDataFrame([(r[0], r[1], 1, "clash", 2) for r in rows], "doc_id long, text string, block int, piece string, n_tokens int").repartition(3)
     want = sorted(((r[0], len((r[1] or "").encode()), len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows), key=str)
     for pieces in (6_000_000, 900):
         assert sorted(map(tuple, token_counts.token_counts(frame, block_pieces=pieces).collect()), key=str) == want
