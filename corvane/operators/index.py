@@ -183,8 +183,8 @@ class ParquetStore:
         atomic_write(self.pointer, name)
 
     def export_jsonl(self, spark: SparkSession, path: str) -> None:
-        """The current version as JSON lines."""
-        self.load(spark).orderBy("source_path", "chunk_index").coalesce(1).write.mode("overwrite").json(path)
+        """The current version as a folder of JSON lines, ranges of sorted paths a file."""
+        self.load(spark).orderBy("source_path", "chunk_index").write.mode("overwrite").json(path)
 
 
 def load_jsonl(spark: SparkSession, path: str) -> DataFrame:
