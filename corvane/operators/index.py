@@ -16,7 +16,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,14 +121,22 @@ def locked(path: Path, seconds: float = LOCK_SECONDS) -> Iterator[None]:
 
 @dataclass
 class Manifest:
-    """What an index was built from."""
+    """What an index was built from.
 
-    version: int = 2
+    The file is small: it names the Parquet tables, beside it, of all sources
+    and of those about to change.  Files of earlier versions hold their sources
+    themselves; without a storage identity they lead to a rebuild.
+    """
+
+    version: int = 3
     storage_identity: str | None = None
     index_fingerprint: str | None = None
-    needs_reindex: tuple[str, ...] = ()
     repair_required: bool = False
-    sources: dict[str, tuple[str, tuple[str, ...]]] = field(default_factory=dict)
+    table: str | None = None
+    dirty: str | None = None
+    path: Path | None = None
+    inline: tuple[tuple[str, str, list[str]], ...] = ()
+    inline_dirty: tuple[str, ...] = ()
 
     @classmethod
     def load(cls, path: Path) -> Manifest | None:
@@ -136,20 +144,46 @@ class Manifest:
             return None
         try:
             raw = json.loads(path.read_text(encoding="utf-8"))
-            sources = {k: (str(v["checksum"]), tuple(map(str, v["chunk_ids"]))) for k, v in raw["sources"].items()}
-            return cls(int(raw["version"]), raw.get("storage_identity"), raw.get("index_fingerprint"), tuple(raw.get("needs_reindex", ())), bool(raw.get("repair_required", False)), sources)
+            inline = tuple((k, str(v["checksum"]), list(map(str, v["chunk_ids"]))) for k, v in raw.get("sources", {}).items())
+            return cls(
+                int(raw["version"]), raw.get("storage_identity"), raw.get("index_fingerprint"), bool(raw.get("repair_required", False)),
+                raw.get("table"), raw.get("dirty"), path, inline, tuple(map(str, raw.get("needs_reindex", ()))),
+            )
         except (ValueError, KeyError, TypeError, AttributeError) as error:
             raise DataFormatError(f"{path} is no manifest: {error}") from None
 
+    @property
+    def is_dirty(self) -> bool:
+        return self.repair_required or self.dirty is not None or bool(self.inline_dirty)
+
     def save(self, path: Path) -> None:
-        body = {
-            "version": self.version, "storage_identity": self.storage_identity, "index_fingerprint": self.index_fingerprint, "needs_reindex": sorted(set(self.needs_reindex)),
-            "repair_required": self.repair_required, "sources": {k: {"checksum": c, "chunk_ids": list(i)} for k, (c, i) in self.sources.items()},
-        }
+        body = {k: getattr(self, k) for k in ("version", "storage_identity", "index_fingerprint", "repair_required", "table", "dirty")}
         atomic_write(path, json.dumps(body, indent=2, sort_keys=True))
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(k, c, list(i)) for k, (c, i) in self.sources.items()], "source_path string, checksum string, chunk_ids array<string>")
+        """``(source_path, checksum, chunk_ids)`` of all sources."""
+        schema = "source_path string, checksum string, chunk_ids array<string>"
+        if self.table is None:
+            return spark.createDataFrame(list(self.inline), schema)
+        return spark.read.schema(schema).parquet(tables_of(self.path, self.table))
+
+    def dirty_frame(self, spark: SparkSession) -> DataFrame:
+        """``(source_path)`` of the sources whose change was not finished."""
+        if self.dirty is None:
+            return spark.createDataFrame([(p,) for p in self.inline_dirty], "source_path string")
+        return spark.read.schema("source_path string").parquet(tables_of(self.path, self.dirty))
+
+
+def tables_of(path: Path, name: str) -> str:
+    """Folder of a manifest's table."""
+    return str(path.with_name(f"{path.name}.tables") / name)
+
+
+def written_table(rows: DataFrame, path: Path, label: str) -> str:
+    """Write a new table of the manifest; returns its name."""
+    name = f"{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(tables_of(path, name))
+    return name
 
 
 class ParquetStore:
@@ -211,7 +245,7 @@ def ingest(spark: SparkSession, settings: Settings, documents: DataFrame, store:
     from corvane.functions.text import checksum
     from corvane.operators.chunking import chunk_documents
     from corvane.operators.embedding import embed
-    from corvane.sources.shared import scratch, staged
+    from corvane.sources.shared import remove, scratch, staged
 
     path = Path(settings.manifest_path)
     with locked(path), scratch(spark):
@@ -223,24 +257,32 @@ def ingest(spark: SparkSession, settings: Settings, documents: DataFrame, store:
         fingerprint = index_fingerprint(settings, wanted_mode(provider))
         rebuild = not store.supports_incremental_updates or old.storage_identity is None or old.repair_required or not store.exists() or old.index_fingerprint != fingerprint
         known = old.frame(spark)
-        dirty = spark.createDataFrame([(p,) for p in old.needs_reindex], "source_path string")
-        planned = staged(plan(known, current, dirty, rebuild), "ingest-plan")
+        planned = staged(plan(known, current, old.dirty_frame(spark), rebuild), "ingest-plan")
         write = planned.where("write").select("source_path")
         made, status = embed(chunk_documents(documents.join(write, "source_path"), settings.chunk_strategy, settings.chunk_size, settings.chunk_overlap), provider, settings.embedding_batch, settings.embedding_retries, settings.embedding_backoff_ms)
         if store.requires_live_embeddings and status["mode"] == "fallback":
             raise StoreError("this store takes only live vectors", "operation_failed")
         made = staged(made.select(*[f.split(" ")[0] for f in ("chunk_id", "source_path", "title", "text", "chunk_index", "start_char", "end_char", "metadata", "embedding")]), "ingest-chunks")
-        intent = sorted({*old.needs_reindex, *(r.source_path for r in write.collect()), *(r.source_path for r in planned.where("action = 'removed'").select("source_path").collect())})
-        if intent:
-            Manifest(2, identity, fingerprint, tuple(intent), True, old.sources).save(path)
-        if intent or not store.exists():
-            base = store.load(spark)
-            store.save(made if rebuild else apply_changes(base, planned, made))
-        rows = update_manifest(known, current, planned, made).collect()
-        actual = index_fingerprint(settings, "live" if status["mode"] == "live" else "fallback")
-        Manifest(2, identity, actual, (), False, {r.source_path: (r.checksum, tuple(r.chunk_ids)) for r in rows}).save(path)
+        intent = planned.where("write OR action = 'removed'").select("source_path").union(old.dirty_frame(spark)).distinct()
+        gone = [old.table, old.dirty]
+        if intent.limit(1).count():
+            # Sources stay where they are until the store is written; whoever finds this repairs.
+            dirty = written_table(intent, path, "dirty")
+            gone.append(dirty)
+            table = old.table or written_table(known, path, "sources")
+            gone.append(table)
+            Manifest(3, identity, fingerprint, True, table, dirty).save(path)
+            store.save(made if rebuild else apply_changes(store.load(spark), planned, made))
+        elif not store.exists():
+            store.save(made)
+        table = written_table(update_manifest(known, current, planned, made), path, "sources")
+        actual = index_fingerprint(settings, wanted_mode(provider if status["mode"] == "live" else None))
+        new = Manifest(3, identity, actual, False, table, path=path)
+        new.save(path)
         counts = {r.action: r["count"] for r in planned.groupBy("action").count().collect()}
-        return {"documents": len(rows), "chunks": sum(len(r.chunk_ids) for r in rows), "removed": counts.get("removed", 0), "changed": counts.get("changed", 0), "embedding": status}
+        n, chunks = new.frame(spark).agg(F.count("*"), F.coalesce(F.sum(F.size("chunk_ids")), F.lit(0))).first()
+        remove(spark, [tables_of(path, name) for name in dict.fromkeys(gone) if name])
+        return {"documents": n, "chunks": chunks, "removed": counts.get("removed", 0), "changed": counts.get("changed", 0), "embedding": status}
 
 
 def wanted_mode(provider) -> str:
@@ -252,4 +294,4 @@ def needs_ingest(settings: Settings, store: ParquetStore, provider=None) -> bool
     """Whether a reader must ingest first: settings changed, repair due, dirty sources or no store.  Edited files alone do not count."""
     old = Manifest.load(Path(settings.manifest_path))
     mode = wanted_mode(provider)
-    return old is None or old.repair_required or bool(old.needs_reindex) or not store.exists() or old.index_fingerprint != index_fingerprint(settings, mode) or old.storage_identity != storage_identity(settings)
+    return old is None or old.is_dirty or not store.exists() or old.index_fingerprint != index_fingerprint(settings, mode) or old.storage_identity != storage_identity(settings)

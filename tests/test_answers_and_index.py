@@ -169,7 +169,28 @@ def test_incremental_index(spark, settings, tmp_path):
     step()
     assert steps == [(0, 2, ["alpha body", "beta body"]), (0, 0, ["alpha body", "beta body"]), (0, 1, ["beta body", "new body"]), (1, 0, ["new body"]), (0, 1, [])]
     manifest = index.Manifest.load(tmp_path / "manifest.json")
-    assert not manifest.repair_required and list(manifest.sources.values())[0][1] == ()
+    assert not manifest.is_dirty and [r.chunk_ids for r in manifest.frame(spark).collect()] == [[]]
+    # One table is left of all that were written, and the file itself stays small.
+    assert len(list((tmp_path / "manifest.json.tables").iterdir())) == 1 and "first" not in (tmp_path / "manifest.json").read_text()
+
+
+def test_manifest_of_an_earlier_version(spark, settings, tmp_path):
+    write(tmp_path / "docs", a__md="text one", b__md="text two")
+    engine = Engine(spark, settings)
+    engine.ingest()
+    rows = index.Manifest.load(tmp_path / "manifest.json").frame(spark).collect()
+    new = json.loads((tmp_path / "manifest.json").read_text())
+    old = {"version": 2, "storage_identity": new["storage_identity"], "index_fingerprint": new["index_fingerprint"], "needs_reindex": [], "sources": {r.source_path: {"checksum": r.checksum, "chunk_ids": r.chunk_ids} for r in rows}}
+    (tmp_path / "manifest.json").write_text(json.dumps(old))
+    assert not index.needs_ingest(settings, engine.store) and engine.ingest()["changed"] == 0
+    (tmp_path / "manifest.json").write_text(json.dumps(old | {"needs_reindex": [rows[0].source_path]}))
+    assert index.needs_ingest(settings, engine.store) and engine.ingest()["changed"] == 1
+    (tmp_path / "manifest.json").write_text(json.dumps({"version": 1, "sources": {}}))
+    version = engine.store.pointer.read_text()
+    assert index.needs_ingest(settings, engine.store) and engine.ingest()["documents"] == 2 and engine.store.pointer.read_text() != version
+    (tmp_path / "manifest.json").write_text("[]")
+    with pytest.raises(DataFormatError):
+        index.needs_ingest(settings, engine.store)
 
 
 def test_interrupted_write_is_repaired(spark, settings, tmp_path, monkeypatch):
