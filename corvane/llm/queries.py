@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import content_sort, decontaminate, hidden_markov, quality, simhash, source_mix, token_counts, token_shards, toxicity, url_filter
+from corvane.llm import chat_format, content_sort, decontaminate, filter_audit, hidden_markov, periodic_runs, quality, simhash, source_mix, token_counts, token_shards, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_source_mix": source_mix.op9_source_mix,
     "op10_token_shards": token_shards.op10_token_shards,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_chat_format": chat_format.op12_chat_format,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op2_decontaminate": decontaminate.SQL,
     "op7_exact_dedup": content_sort.SQL,
     "op9_source_mix": source_mix.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_chat_format": chat_format.SQL,
 }

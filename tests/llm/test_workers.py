@@ -26,7 +26,7 @@ for name in {names!r}:
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0, name
 print("all ran")
 """
-NAMES = ["op1_url_filter", "op2_decontaminate", "op3_language_model", "op4_simhash", "op5_toxicity", "op6_quality", "op7_exact_dedup", "op8_token_counts", "op10_token_shards"]
+NAMES = ["op1_url_filter", "op2_decontaminate", "op3_language_model", "op4_simhash", "op5_toxicity", "op6_quality", "op7_exact_dedup", "op8_token_counts", "op10_token_shards", "op11_filter_audit", "op12_chat_format", "op13_periodic_runs"]
 
 
 def test_queries_on_workers_without_the_package(tmp_path):
