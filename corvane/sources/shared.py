@@ -1,8 +1,16 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share.
+
+Every table has an owner that removes it: the innermost :func:`scratch` scope
+that its thread has open for its session, or else the session, whose tables go
+by :func:`release` or when the driver's process ends.  No scope knows of the
+tables of another thread or session.
+"""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -10,8 +18,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark then deletes the shuffle files of a query when the query has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Paths of staged tables: those of the session, then those of each open scope.
-_scopes: list[list[str]] = [[]]
+_open = threading.local()
+_lock = threading.Lock()
+#: Tables that belong to a session itself, and how many blocks have its shuffle files removed.
+_of_session: dict[int, list[str]] = {}
+_cleaning: dict[int, list] = {}
+
+
+def _key(spark: SparkSession) -> int:
+    return spark._jsparkSession.hashCode()
+
+
+def _scopes(spark: SparkSession) -> list[list[str]]:
+    """The scopes that this thread has open for a session."""
+    return _open.__dict__.setdefault("scopes", {}).setdefault(_key(spark), [])
+
+
+def owned(spark: SparkSession, path: str, lasting: bool = False) -> str:
+    """``path``, removed with the scope it is made in; a lasting one goes with the scope around."""
+    scopes = _scopes(spark)
+    outer = scopes[: -1 if lasting else None]
+    with _lock:
+        (outer[-1] if outer else _of_session.setdefault(_key(spark), [])).append(path)
+    return path
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,15 +62,22 @@ def new_path(spark: SparkSession, label: str) -> str:
 @contextmanager
 def shuffle_files_removed(spark: SparkSession):
     """Queries that run inside leave no shuffle files; for results that are written and not asked for again."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    key = _key(spark)
+    with _lock:
+        held = _cleaning.setdefault(key, [0, spark.conf.get(_CLEANUP, None)])
+        held[0] += 1
+        spark.conf.set(_CLEANUP, "true")
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                del _cleaning[key]
+                if held[1] is None:
+                    spark.conf.unset(_CLEANUP)
+                else:
+                    spark.conf.set(_CLEANUP, held[1])
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -57,11 +93,10 @@ def staged(df: DataFrame, label: str, codec: str = "zstd", lasting: bool = False
     This cuts the lineage, so a lost executor costs a re-read and not a
     recomputation, and it fixes values such as partition numbers for good.
     The files last until the :func:`scratch` scope ends; ``lasting`` ones, which
-    the scope's result reads, until the scope around it does, or :func:`release`.
+    the scope's result reads, until the scope around it does.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    _scopes[-2 if lasting and len(_scopes) > 1 else -1].append(path)
+    path = owned(spark, new_path(spark, label), lasting)
     with shuffle_files_removed(spark):
         df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -69,20 +104,40 @@ def staged(df: DataFrame, label: str, codec: str = "zstd", lasting: bool = False
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Tables that are staged inside are removed at the end, also when it fails, but for lasting ones."""
-    _scopes.append([])
+    """Tables that this thread stages inside are removed at the end, also when it fails, but for lasting ones."""
+    scopes = _scopes(spark)
+    scopes.append([])
     try:
         yield
     finally:
-        remove(spark, _scopes.pop())
+        remove(spark, scopes.pop())
 
 
-def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Remove all tables of the session that are still staged, but for those that ``keep`` reads.
+def discard(spark: SparkSession, table: DataFrame) -> None:
+    """Remove one staged table ahead of its owner; frames that read it cannot be read after it."""
+    files = table.inputFiles()
+    for owner in (*_scopes(spark), _of_session.get(_key(spark), [])):
+        gone = [path for path in owner if any(f"/{path.rpartition('/')[2]}/" in f for f in files)]
+        remove(spark, gone)
+        with _lock:
+            owner[:] = [path for path in owner if path not in gone]
 
-    Lazy results that read other staged tables cannot be read after it.
-    """
-    kept = keep.inputFiles() if keep is not None else []
-    gone = [path for path in _scopes[0] if not any(f"/{path.rpartition('/')[2]}/" in f for f in kept)]
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that belong to the session itself; lazy results that read them cannot be read after it."""
+    with _lock:
+        gone = _of_session.pop(_key(spark), [])
     remove(spark, gone)
-    _scopes[0][:] = [path for path in _scopes[0] if path not in gone]
+
+
+@atexit.register
+def _at_exit() -> None:
+    """What sessions still own goes with the driver's process, if its JVM is there."""
+    spark = SparkSession._instantiatedSession
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for paths in list(_of_session.values()):
+        try:
+            remove(spark, paths)
+        except Exception:  # The JVM may be gone; nothing is left to be done then.
+            return

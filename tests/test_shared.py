@@ -25,10 +25,38 @@ def test_scopes(spark):
         1 / 0
     assert not there(failed)
     other = shared.staged(rows, "other")
-    shared.release(spark, keep=other.where("id > 3"))
+    shared.discard(spark, kept)
     assert there(other) and not there(kept)
 
 
+def test_scopes_of_threads_and_sessions(spark):
+    import threading
+
+    found, inside, go_on = {}, threading.Event(), threading.Event()
+
+    def other():
+        with shared.scratch(spark):
+            found["theirs"] = shared.staged(spark.range(3), "theirs")
+            inside.set()
+            go_on.wait(60)
+            found["seen"] = found["theirs"].count()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    inside.wait(60)
+    second = spark.newSession()
+    with shared.scratch(spark):
+        mine = shared.staged(spark.range(4), "mine")
+        elsewhere = shared.staged(second.range(5), "elsewhere")
+    assert not there(mine) and there(found["theirs"]) and there(elsewhere)
+    go_on.set()
+    thread.join()
+    assert found["seen"] == 3 and not there(found["theirs"])
+    shared.release(second)
+    assert not there(elsewhere)
+    assert spark.conf.get(shared._CLEANUP, None) is None
+
+
 def test_no_local_folder_on_a_cluster():
     class Conf:
         def get(self, *_):
