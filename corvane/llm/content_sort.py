@@ -23,63 +23,74 @@ from corvane.llm.staging import BROADCAST_ROWS, staged
 
 CHUNK = 50_000
 PREFIX = 16
-_RUN_SCHEMA = "doc_id long, sha string, part int, run long, run_max long, run_min long, run_size long, edge_text binary"
+_FIELDS = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("sha", pa.string()),
+        ("part", pa.int32()),
+        ("run", pa.int64()),
+        ("run_max", pa.int64()),
+        ("run_min", pa.int64()),
+        ("run_size", pa.int64()),
+        ("edge_text", pa.binary()),
+        ("summary", pa.bool_()),
+    ]
+)
+_RUN_SCHEMA = "doc_id long, sha string, part int, run long, run_max long, run_min long, run_size long, edge_text binary, summary boolean"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of equal neighbours of one sorted range; the rows of a run follow once it has ended.
+    """Rows of one sorted range with their run of equal neighbours.
 
-    The runs that have the first or the last hash of a range carry their text
-    on one row.  A run is held as one text and its ids.
+    Of a run only its text and at most ``CHUNK`` ids are held: a short one
+    gives rows with its figures, of which one carries the text if the run may
+    go on in another range; the rows of a long one leave without figures, and
+    a summary row of its own with text and figures follows.
     """
     import hashlib
 
-    fields = pa.schema(
-        [
-            ("doc_id", pa.int64()),
-            ("sha", pa.string()),
-            ("part", pa.int32()),
-            ("run", pa.int64()),
-            ("run_max", pa.int64()),
-            ("run_min", pa.int64()),
-            ("run_size", pa.int64()),
-            ("edge_text", pa.binary()),
-        ]
-    )
-    part, first_key, key, run = None, None, None, 0
-    runs: list[tuple[bytes, list]] = []  # those of the present hash: one, but for collisions
+    part, first_key, key, run = None, None, None, -1
+    text, sha, low, high, size = None, None, None, None, 0
+    ids: list = []
     out: list[tuple] = []
 
     def close(edge: bool) -> None:
-        nonlocal run
-        for text, ids in runs:
-            known = [x for x in ids if x is not None]
-            low, high = (min(known), max(known)) if known else (None, None)
-            sha = hashlib.sha256(text).hexdigest()
-            for k, x in enumerate(ids):
-                out.append((x, sha, part, run, high, low, len(ids), text if edge and k == 0 else None))
-            run += 1
-        runs.clear()
+        nonlocal text
+        if text is None:
+            return
+        if size > len(ids):
+            out.extend((x, sha, part, run, None, None, None, None, False) for x in ids)
+            out.append((None, sha, part, run, high, low, size, text, True))
+        else:
+            out.extend((x, sha, part, run, high, low, size, text if edge and k == 0 else None, False) for k, x in enumerate(ids))
+        ids.clear()
+        text = None
 
     def flush() -> Iterator[pa.RecordBatch]:
         for i in range(0, len(out), CHUNK):
             columns = zip(*out[i : i + CHUNK])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS)], schema=_FIELDS)
         out.clear()
 
     for batch in batches:
         if part is None and batch.num_rows:
             part, first_key = batch.column(3)[0].as_py(), batch.column(1)[0].as_py()
-            key = first_key
         for doc_id, hashed, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if hashed != key:
-                close(edge=key == first_key)
-                key = hashed
-            if not runs or runs[-1][0] != content:
-                runs.append((content, []))
-            runs[-1][1].append(doc_id)
-        if len(out) >= CHUNK:
-            yield from flush()
+            if text is None or content != text:
+                # Texts that share a hash may be the last of the range as well.
+                close(edge=key == first_key or key == hashed)
+                text, key, sha, run = content, hashed, hashlib.sha256(content).hexdigest(), run + 1
+                low, high, size = None, None, 0
+            ids.append(doc_id)
+            size += 1
+            if doc_id is not None:
+                low = doc_id if low is None else min(low, doc_id)
+                high = doc_id if high is None else max(high, doc_id)
+            if len(ids) >= CHUNK:
+                out.extend((x, sha, part, run, None, None, None, None, False) for x in ids)
+                ids.clear()
+            if len(out) >= CHUNK:
+                yield from flush()
     close(edge=True)
     yield from flush()
 
@@ -116,13 +127,14 @@ def exact_duplicates(
         F.max("run_max").alias("all_max"),
         F.min("run_min").alias("all_min"),
         F.sum("run_size").alias("all_size"),
+        F.max("summary").alias("long"),
     )
-    edges = edges.where(F.size("members") > 1).select(F.explode("members").alias("m"), "all_max", "all_min", "all_size")
+    edges = edges.where((F.size("members") > 1) | F.col("long")).select(F.explode("members").alias("m"), "all_max", "all_min", "all_size")
     edges = staged(edges.select(F.col("m.part").alias("part"), F.col("m.run").alias("run"), "all_max", "all_min", "all_size"), "content-edges", lasting=True)
-    # About two rows a range.
+    # About two rows a range, and one for each long run.
     edges = F.broadcast(edges) if edges.count() <= BROADCAST_ROWS else edges.hint("merge")
     kept = F.coalesce(F.col(f"all_{keep}"), F.col(f"run_{keep}"))
-    return runs.drop("edge_text").join(edges, ["part", "run"], "left").select(
+    return runs.where("NOT summary").drop("edge_text", "summary").join(edges, ["part", "run"], "left").select(
         "doc_id",
         kept.alias("keep_id"),
         F.coalesce("all_size", "run_size").alias("group_size"),

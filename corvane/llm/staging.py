@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from corvane.sources.shared import new_path, release, scratch, staged
+from corvane.sources.shared import discard, new_path, owned, release, scratch, staged
 
-__all__ = ["BROADCAST_ROWS", "fresh", "join_side", "new_path", "quoted", "release", "scratch", "staged"]
+__all__ = ["BROADCAST_ROWS", "discard", "fresh", "join_side", "new_path", "owned", "quoted", "release", "scratch", "staged"]
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.staging import new_path, scratch, staged
+from corvane.llm.staging import new_path, owned, scratch, staged
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LENGTH = 2048
@@ -317,6 +317,7 @@ def shard_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10_token_shards(spark, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "token-shards")
+    # The result reads the shards, so they go with the scope or session that asked.
+    path = owned(spark, new_path(spark, "token-shards"))
     write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return shard_report(spark, path)

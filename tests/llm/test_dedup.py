@@ -12,8 +12,9 @@ from corvane.llm import content_sort, shingle_sets, simhash
 from .cases import awkward, awkward_rows, empty, lower
 
 
-@pytest.mark.parametrize("keep", ["min", "max"])
-def test_exact_duplicates_by_brute_force(spark, keep):
+@pytest.mark.parametrize(("keep", "chunk"), [("min", 50_000), ("max", 50_000), ("max", 3)])
+def test_exact_duplicates_by_brute_force(spark, keep, chunk, monkeypatch):
+    monkeypatch.setattr(content_sort, "CHUNK", chunk)
     groups = defaultdict(list)
     for r in awkward_rows():
         groups[r[1] or ""].append(r[0])
@@ -52,6 +53,26 @@ def test_copies_without_an_id_of_their_own_span_ranges(spark, doc_id):
     assert len(sizes) > 1 and max(sizes) < 3000
 
 
+def test_a_run_of_five_million_rows_is_not_held():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches():
+        for k in range(100):
+            n = 50_000
+            yield pa.RecordBatch.from_arrays([pa.array(range(k * n, k * n + n), pa.int64()), pa.array([7] * n), pa.array([b""] * n, pa.binary()), pa.array([0] * n, pa.int32())], ["doc_id", "hashed", "content", "part"])
+
+    rows, last = 0, None
+    tracemalloc.start()
+    for batch in content_sort._runs(batches()):
+        rows, last = rows + batch.num_rows, batch.slice(batch.num_rows - 1).to_pylist()[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 5_000_001 and last["summary"] and (last["run_min"], last["run_max"], last["run_size"]) == (0, 4_999_999, 5_000_000)
+    assert peak < 60e6
+
+
 def test_neighbours_with_one_hash_are_told_apart():
     """Rows arrive sorted by hash and content; a hash that two texts share is two runs."""
     import pyarrow as pa

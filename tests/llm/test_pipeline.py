@@ -83,3 +83,18 @@ def test_toxic_stage_rejects_what_the_model_rejects(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, toxicity_score int")
     kept = corpus_pipeline.toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in range(200) if i % 5}
+
+
+def test_results_of_other_queries_survive_a_run(spark):
+    from corvane.llm import simhash
+    from corvane.plans.queries import bm25_topk
+    from corvane.sources import shared
+    from tests.conftest import DATA
+
+    lazy = [simhash.op4_simhash(spark, str(DATA)), bm25_topk(spark, str(DATA))]
+    before = list(shared._of_session[shared._key(spark)])
+    made = corpus_pipeline.run(spark, str(DATA))
+    added = [path.rpartition("/")[2] for path in shared._of_session[shared._key(spark)] if path not in before]
+    # The result and its shards stay, nothing else.
+    assert sorted(name.rpartition("-")[0] for name in added) == ["token-shards", "token_shards"]
+    assert all(frame.count() > 0 for frame in (*lazy, made))
