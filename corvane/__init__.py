@@ -18,7 +18,7 @@ _LATER = {
     "Engine": "corvane.plans.engine", "answer": "corvane.plans.engine", "corpus_of": "corvane.plans.engine", "retrieve": "corvane.plans.engine",
     "chunk_documents": "corvane.operators.chunking", "embed": "corvane.operators.embedding", "EmbeddingProvider": "corvane.operators.embedding",
     "rank": "corvane.operators.ranking", "fuse": "corvane.operators.ranking", "rerank_candidates": "corvane.operators.ranking",
-    "model_rerank": "corvane.operators.rerank", "ingest": "corvane.operators.index", "ParquetStore": "corvane.operators.index", "Manifest": "corvane.operators.index",
+    "model_rerank": "corvane.operators.rerank", "ingest": "corvane.operators.index", "ParquetStore": "corvane.operators.store", "Manifest": "corvane.operators.index",
     "evaluate": "corvane.operators.evaluation", "summary": "corvane.operators.evaluation", "leaderboard": "corvane.operators.evaluation",
     "cells": "corvane.plans.sweep", "read_documents": "corvane.sources.corpus", "read_gold": "corvane.sources.gold",
 }

@@ -1,9 +1,7 @@
-"""Incremental index: plan of changes, versioned store, manifest.
+"""Incremental index: plan of changes, manifest, ingestion into a store.
 
-An index is a folder of Parquet versions and a small pointer file that is
-swapped in one step.  The manifest first records which sources are about to
-change, then the store is written, then the manifest is cleaned; whoever finds
-it dirty repairs.  Frames: ``current (source_path, checksum)`` and ``manifest
+The manifest first records which sources are about to change, then the store
+is written, then the manifest is cleaned; whoever finds it dirty repairs.  Frames: ``current (source_path, checksum)`` and ``manifest
 (source_path, checksum, chunk_ids)``.
 """
 
@@ -24,11 +22,10 @@ from pyspark.sql import functions as F
 
 from corvane.config import Settings, index_fingerprint, storage_identity
 from corvane.errors import DataFormatError, StoreError
+from corvane.operators.store import CHUNK_SCHEMA, FIELDS, ParquetStore, check_records, check_vectors
+
+__all__ = ["CHUNK_SCHEMA", "Manifest", "ParquetStore", "apply_changes", "atomic_write", "check_records", "check_vectors", "ingest", "load_jsonl", "locked", "needs_ingest", "plan", "update_manifest"]
 
-CHUNK_SCHEMA = (
-    "chunk_id string, source_path string, title string, text string, chunk_index int, start_char int, end_char int, "
-    "metadata struct<start:int,end:int,chunk_strategy:string,source_title:string,section_title:string,heading_level:int>, embedding array<double>"
-)
 LOCK_SECONDS = 10
 
 
@@ -64,27 +61,6 @@ def update_manifest(manifest: DataFrame, current: DataFrame, planned: DataFrame,
     return rows.select("source_path", "checksum", F.coalesce(F.when(F.col("write"), F.coalesce("made", none)).otherwise(F.col("old")), none).alias("chunk_ids"))
 
 
-def check_vectors(chunks: DataFrame) -> int | None:
-    """The one length of all vectors, or None for no chunks; anything else is an error."""
-    size = F.size("embedding")
-    low, high, missing, n = chunks.agg(F.min(size), F.max(size), F.sum(F.col("embedding").isNull().cast("int")), F.count("*")).first()
-    if not n:
-        return None
-    if missing or low != high or low < 1:
-        raise StoreError("all chunks need vectors of one length", "invalid_vectors")
-    return low
-
-
-def check_records(chunks: DataFrame) -> DataFrame:
-    """``chunks``, failing where a record lacks a field or has an impossible span."""
-    text = [F.col(c).isNotNull() for c in ("chunk_id", "source_path", "title", "text")]
-    good = (F.col("chunk_index") >= 0) & (F.col("start_char") >= 0) & (F.col("end_char") >= F.col("start_char"))
-    for t in text:
-        good = good & t
-    checked = F.when(F.coalesce(good, F.lit(False)), F.col("chunk_id")).otherwise(F.raise_error(F.concat(F.lit("bad chunk record: "), F.coalesce("chunk_id", F.lit("?")))))
-    return chunks.withColumn("chunk_id", checked)
-
-
 def atomic_write(path: Path, text: str) -> None:
     """Write next to the file, flush to disk, and swap."""
     path.parent.mkdir(parents=True, exist_ok=True)
@@ -186,41 +162,6 @@ def written_table(rows: DataFrame, path: Path, label: str) -> str:
     return name
 
 
-class ParquetStore:
-    """A folder of index versions; ``CURRENT`` names the one that readers use."""
-
-    def __init__(self, path: str | Path, incremental: bool = True, live_vectors_only: bool = False):
-        self.path = Path(path)
-        self.supports_incremental_updates = incremental
-        self.requires_live_embeddings = live_vectors_only
-
-    @property
-    def pointer(self) -> Path:
-        return self.path / "CURRENT"
-
-    def exists(self) -> bool:
-        return self.pointer.exists()
-
-    def load(self, spark: SparkSession, vectors: bool = True) -> DataFrame:
-        """The chunks of the current version; without ``vectors`` the column is not read."""
-        if not self.exists():
-            found = spark.createDataFrame([], CHUNK_SCHEMA)
-        else:
-            found = spark.read.schema(CHUNK_SCHEMA).parquet(str(self.path / self.pointer.read_text().strip()))
-        return found if vectors else found.drop("embedding")
-
-    def save(self, chunks: DataFrame) -> None:
-        """Write a new version and swap the pointer."""
-        check_vectors(chunks)
-        name = f"version-{uuid.uuid4().hex}"
-        check_records(chunks).write.parquet(str(self.path / name))
-        atomic_write(self.pointer, name)
-
-    def export_jsonl(self, spark: SparkSession, path: str) -> None:
-        """The current version as a folder of JSON lines, ranges of sorted paths a file."""
-        self.load(spark).orderBy("source_path", "chunk_index").write.mode("overwrite").json(path)
-
-
 def load_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Chunks from JSON lines; a missing file is an empty index, a bad line is named by its number."""
     if not Path(path).exists():
@@ -262,7 +203,7 @@ def ingest(spark: SparkSession, settings: Settings, documents: DataFrame, store:
         made, status = embed(chunk_documents(documents.join(write, "source_path"), settings.chunk_strategy, settings.chunk_size, settings.chunk_overlap), provider, settings.embedding_batch, settings.embedding_retries, settings.embedding_backoff_ms)
         if store.requires_live_embeddings and status["mode"] == "fallback":
             raise StoreError("this store takes only live vectors", "operation_failed")
-        made = staged(made.select(*[f.split(" ")[0] for f in ("chunk_id", "source_path", "title", "text", "chunk_index", "start_char", "end_char", "metadata", "embedding")]), "ingest-chunks")
+        made = staged(made.select(*FIELDS), "ingest-chunks")
         intent = planned.where("write OR action = 'removed'").select("source_path").union(old.dirty_frame(spark)).distinct()
         gone = [old.table, old.dirty]
         if intent.limit(1).count():
@@ -272,7 +213,10 @@ def ingest(spark: SparkSession, settings: Settings, documents: DataFrame, store:
             table = old.table or written_table(known, path, "sources")
             gone.append(table)
             Manifest(3, identity, fingerprint, True, table, dirty).save(path)
-            store.save(made if rebuild else apply_changes(store.load(spark), planned, made))
+            if rebuild:
+                store.save(made)
+            else:
+                store.apply(made, planned.where("write OR action = 'removed'").select("source_path"))
         elif not store.exists():
             store.save(made)
         table = written_table(update_manifest(known, current, planned, made), path, "sources")

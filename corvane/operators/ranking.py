@@ -8,7 +8,7 @@ are compared at nine decimals, so the order of additions decides no tie.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,6 +22,8 @@ from corvane.functions import vectors as V
 from corvane.operators import bm25
 from corvane.sources.shared import staged
 
+#: Ranks ``queries`` to a depth from stored postings, as :func:`lexical` does from a corpus.
+StoredRanking = Callable[[DataFrame, int], DataFrame]
 DIGITS = 9
 BLOCK_QUERIES = 2048
 
@@ -150,10 +152,11 @@ def fuse(rankings: list[DataFrame], rrf_k: int = 60) -> DataFrame:
     return one.groupBy("query_id", "chunk_id", "position").agg(F.sum(F.lit(1.0) / (F.lit(rrf_k) + F.col("rank"))).alias("score"))
 
 
-def hybrid(corpus: DataFrame, queries: DataFrame, k: int, settings: RetrievalSettings = RetrievalSettings("hybrid_rrf")) -> DataFrame:
+def hybrid(corpus: DataFrame, queries: DataFrame, k: int, settings: RetrievalSettings = RetrievalSettings("hybrid_rrf"), stored: StoredRanking | None = None) -> DataFrame:
     """Dense and lexical lists, each cut to the window, fused; ties go by chunk id."""
     window = settings.window(k)
-    fused = fuse([dense(corpus, queries, window), lexical(corpus, queries, window)], settings.rrf_k)
+    words = stored(queries, window) if stored else lexical(corpus, queries, window)
+    fused = fuse([dense(corpus, queries, window), words], settings.rrf_k)
     return top_k(fused, k, F.col("chunk_id")).select("query_id", "rank", "position", "chunk_id", "score")
 
 
@@ -173,8 +176,8 @@ def rerank_candidates(candidates: DataFrame, queries: DataFrame, k: int, strateg
     return top_k(fused, k, F.col("chunk_id")).select("query_id", "rank", "position", "chunk_id", "score")
 
 
-def rank(corpus: DataFrame, queries: DataFrame, k: int, settings: RetrievalSettings = RetrievalSettings()) -> DataFrame:
-    """Rank by the strategy of the settings; ``k`` below 1 returns nothing."""
+def rank(corpus: DataFrame, queries: DataFrame, k: int, settings: RetrievalSettings = RetrievalSettings(), stored: StoredRanking | None = None) -> DataFrame:
+    """Rank by the strategy of the settings; ``k`` below 1 returns nothing.  ``stored`` ranks by BM25 where postings are kept."""
     if k <= 0:
         kind = queries.schema["query_id"].dataType.simpleString()
         return corpus.sparkSession.createDataFrame([], f"query_id {kind}, rank int, position long, chunk_id string, score double")
@@ -183,5 +186,5 @@ def rank(corpus: DataFrame, queries: DataFrame, k: int, settings: RetrievalSetti
     if settings.strategy == "blended":
         return blended(corpus, queries, k)
     if settings.strategy == "lexical":
-        return lexical(corpus, queries, k)
-    return hybrid(corpus, queries, k, settings)
+        return stored(queries, k) if stored else lexical(corpus, queries, k)
+    return hybrid(corpus, queries, k, settings, stored)

@@ -17,9 +17,10 @@ from corvane.operators import answers, chat, evaluation, ranking, rerank
 from corvane.operators.bm25 import searchable_text
 from corvane.operators.chat import ChatProvider
 from corvane.operators.embedding import EmbeddingProvider, embed
-from corvane.operators.index import ParquetStore, ingest, needs_ingest
+from corvane.operators.index import ingest, needs_ingest
+from corvane.operators.store import ParquetStore
 from corvane.sources.corpus import list_documents, read_documents
-from corvane.sources.shared import staged
+from corvane.sources.shared import scratch, staged
 
 
 def corpus_of(chunks: DataFrame) -> DataFrame:
@@ -41,14 +42,15 @@ def corpus_of(chunks: DataFrame) -> DataFrame:
     )
 
 
-def retrieve(corpus: DataFrame, questions: DataFrame, settings: Settings, k: int | None = None, ask: Callable[[Column], Column] | None = None, reranker: ChatProvider | None = None) -> DataFrame:
+def retrieve(corpus: DataFrame, questions: DataFrame, settings: Settings, k: int | None = None, ask: Callable[[Column], Column] | None = None, reranker: ChatProvider | None = None, stored: ranking.StoredRanking | None = None) -> DataFrame:
     """Two-stage retrieval: hits with their chunks for every question ``(query_id, text, vector)``.
 
-    A reranker is a chat provider, or a column function of the prompt.
+    A reranker is a chat provider, or a column function of the prompt;
+    ``stored`` ranks by stored postings in place of the corpus' texts.
     """
     k = settings.top_k if k is None else k
     depth = k if settings.reranker == "none" else max(settings.rerank_candidate_k, k)
-    ranked = ranking.rank(corpus, questions, depth if k > 0 else 0, settings.retrieval)
+    ranked = ranking.rank(corpus, questions, depth if k > 0 else 0, settings.retrieval, stored)
     hits = ranked.drop("chunk_id").join(corpus.drop("vector", "searchable", "metadata_text"), "position")
     if settings.reranker == "none":
         return rerank.identity(hits, k)
@@ -146,7 +148,7 @@ class Engine:
             self.ingest()
 
     def corpus(self) -> DataFrame:
-        return corpus_of(self.store.load(self.spark))
+        return self.store.corpus(self.spark)
 
     def embedded(self, questions: DataFrame) -> tuple[DataFrame, dict]:
         """``questions (query_id, text)`` with ``vector``, and the embedding status."""
@@ -160,7 +162,9 @@ class Engine:
         """Hits of ``questions (query_id, text)``."""
         self.ensure()
         made, self.embedding_status = self.embedded(questions)
-        return retrieve(self.corpus(), made, self.settings, k, reranker=self.reranker)
+        store = self.store
+        version = store.version()
+        return retrieve(store.corpus(self.spark, version), made, self.settings, k, reranker=self.reranker, stored=lambda asked, depth: store.lexical(asked, depth, version))
 
     def ask_all(self, questions: DataFrame) -> DataFrame:
         return dispatch(self.settings.runtime)[1](self, questions)
@@ -168,7 +172,8 @@ class Engine:
     def ask(self, question: str) -> dict:
         """One question, answered as a plan of one row."""
         rows = self.spark.createDataFrame([(0, check_question(question))], "query_id long, text string")
-        found = self.ask_all(rows).first()
+        with scratch(self.spark):
+            found = self.ask_all(rows).first()
         served, _, reason = dispatch(self.settings.runtime)
         status = lambda part: {"mode": part["mode"], "reason": part["reason"]}
         if self.settings.reranker == "none":
@@ -186,8 +191,9 @@ class Engine:
     def evaluate(self, cases: DataFrame) -> tuple[DataFrame, dict]:
         """Results per case of ``cases (query_id, question, ...)`` and their summary."""
         began = time.perf_counter()
-        answered = self.ask_all(cases.select("query_id", F.col("question").alias("text")))
-        results = staged(evaluation.evaluate(cases, answered.select("query_id", "answer", "hits")), "results")
+        with scratch(self.spark):
+            answered = self.ask_all(cases.select("query_id", F.col("question").alias("text")))
+            results = staged(evaluation.evaluate(cases, answered.select("query_id", "answer", "hits")), "results", lasting=True)
         n = max(results.count(), 1)
         spent = round((time.perf_counter() - began) * 1000 / n, 2)
         totals = evaluation.summary(results.withColumn("response_time_ms", F.lit(spent))).first()

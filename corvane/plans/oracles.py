@@ -352,3 +352,10 @@ g AS (SELECT cell, x.name AS name, min(nth * 10 + x.p) AS pos FROM f WHERE x.nam
 r AS (SELECT cell, string_agg(name, ',' ORDER BY pos) AS reason FROM g GROUP BY cell)
 SELECT cell, CASE WHEN NOT bool_and(n % 29 > 0) THEN 'missing_diagnostics' ELSE any_value(r.reason) END AS reason FROM t LEFT JOIN r USING (cell) GROUP BY cell""",
 }
+
+# The store's queries go the way of changes to the same results.
+SQL["bm25_stored_topk"] = SQL["bm25_topk"]
+SQL["index_store"] = SQL["index_apply"]
+SQL["index_statistics"] = f"""WITH {DOCS}, each AS (SELECT doc_id, {terms('text')} AS found FROM docs),
+whole AS (SELECT count(*)::BIGINT AS n_chunks, round(avg(len(found)), 6) AS average FROM each)
+SELECT term, count(DISTINCT doc_id)::BIGINT AS df, n_chunks, average FROM (SELECT doc_id, unnest(found) AS term FROM each), whole GROUP BY term, n_chunks, average"""

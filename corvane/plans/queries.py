@@ -12,11 +12,12 @@ from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import answers, embedding, evaluation, identity, index, ranking, rerank
 from corvane.operators.chunking import chunk_documents
+from corvane.operators.store import ParquetStore
 from corvane.plans import sweep
 from corvane.plans.engine import answer, corpus_of
 from corvane.sources.corpus import keep_documents
 from corvane.sources.gold import gold_cases
-from corvane.sources.shared import staged
+from corvane.sources.shared import new_path, owned, staged
 
 K = 4
 WINDOW = 20
@@ -344,6 +345,50 @@ def manifest_update(spark, sf):
     return index.update_manifest(manifest, current.select("source_path", "checksum"), planned, new).select("source_path", "checksum", F.size("chunk_ids").alias("n_chunks"), F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
+def _document_store(spark, sf):
+    """A store of whole documents that has seen changes: a tenth came later, a tenth was edited, a tenth has a copy that went."""
+    docs = documents(spark, sf).select("doc_id", "text")
+
+    def chunks(rows: DataFrame, path: Column, text: Column = F.col("text")) -> DataFrame:
+        none = F.lit(None).cast("string")
+        about = F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), F.lit("fixed").alias("chunk_strategy"), F.lit("").alias("source_title"), none.alias("section_title"), F.lit(None).cast("int").alias("heading_level"))
+        return rows.select(
+            F.concat(F.col("doc_id").cast("string"), F.lit("::chunk-0")).alias("chunk_id"), path.alias("source_path"), F.lit("").alias("title"), text.alias("text"), F.lit(0).alias("chunk_index"),
+            F.lit(0).alias("start_char"), F.length(text).alias("end_char"), about.alias("metadata"), F.array(F.lit(1.0)).alias("embedding"),
+        )
+
+    # Paths in the order of ids, so that equal scores go by id.
+    path, copy, tenth = F.lpad(F.col("doc_id").cast("string"), 15, "0"), F.concat(F.lit("copy/"), F.col("doc_id").cast("string")), F.col("doc_id") % 10
+    edited = F.when(tenth == 1, F.concat("text", F.lit(" old words"))).otherwise(F.col("text"))
+    store = ParquetStore(owned(spark, new_path(spark, "document-store")))
+    store.save(chunks(docs.where(tenth != 2), path, edited).unionByName(chunks(docs.where(tenth == 3), copy)))
+    store.apply(chunks(docs.where(tenth.isin(1, 2)), path), docs.where(tenth.isin(1, 2)).select(path.alias("source_path")).union(docs.where(tenth == 3).select(copy.alias("source_path"))))
+    return store
+
+
+def bm25_stored_topk(spark, sf):
+    """BM25 over stored postings of two segments with rows that went, by sums of the segments' statistics."""
+    ranked = _document_store(spark, sf).lexical(benchmark(spark, sf), K)
+    return ranked.select("query_id", "rank", F.split("chunk_id", "::")[0].cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def index_statistics(spark, sf):
+    """Document frequencies as the store keeps them through changes, and the corpus' size and mean length beside them."""
+    store = _document_store(spark, sf)
+    version = store.version()
+    return store.statistics(spark).withColumns({"n_chunks": F.lit(version.chunks).cast("long"), "average": F.lit(round(version.average, 6))})
+
+
+def index_store(spark, sf):
+    """The changes of ``index_apply``, written to a store and merged when read."""
+    _, _, planned, old, new = _changed(spark, sf)
+    vector = F.array(F.lit(1.0))
+    store = ParquetStore(owned(spark, new_path(spark, "chunk-store")))
+    store.save(staged(old.withColumn("embedding", vector), "old-chunks"))
+    store.apply(staged(new.withColumn("embedding", vector), "new-chunks"), planned.where("write OR action = 'removed'").select("source_path"))
+    return store.load(spark, vectors=False).select("chunk_id", "start_char", "end_char", T.checksum(F.col("text")).alias("checksum"))
+
+
 def point_ids(spark, sf):
     chunks = chunks_of(spark, sf, "fixed")
     return chunks.select("chunk_id", T.uuid5_url(F.col("chunk_id")).alias("point_id"))
@@ -390,6 +435,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         discover_filter, source_checksum, section_lookup_fixed, chunk_stats, token_stats, term_frequencies, hash_embedding, dense_topk, dense_label_precision, bm25_topk,
         document_dense_topk, lexical_overlap_topk, metadata_overlap, blended_topk, rrf_fuse, hybrid_rrf_topk, window_rerank, window_rerank_lexical, identity_rerank, rerank_apply_order, chunk_topk,
         answer_context, tool_results, citations, citation_spans, merge_hits, extractive_answer, eval_metrics, failure_reasons, eval_summary, sweep_leaderboard, dataset_identity, gold_normalise,
-        ingest_plan, index_apply, manifest_update, point_ids, previews, turn_search, status_merge, degradation_reason,
+        ingest_plan, index_apply, index_store, index_statistics, bm25_stored_topk, manifest_update, point_ids, previews, turn_search, status_merge, degradation_reason,
     )
 } | {f"chunk_{s}": _chunk_query(s) for s in SIZES}

@@ -1,7 +1,7 @@
 """An extension: documents that arrive as a stream are folded into an index table.
 
-Each micro-batch replaces the chunks of the sources it brings; the latest
-version of a source in a batch wins.
+Each micro-batch replaces the chunks of the sources it brings, by one segment
+of the store; the latest version of a source in a batch wins.
 """
 
 from __future__ import annotations
@@ -12,16 +12,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corvane.operators.chunking import chunk_documents
 from corvane.operators.embedding import embed_column
-from corvane.operators.index import ParquetStore, apply_changes
+from corvane.operators.store import ParquetStore
+from corvane.sources.shared import scratch, staged
 
 
 def fold_batch(store: ParquetStore, batch: DataFrame, strategy: str = "markdown", size: int = 800, overlap: int = 120) -> None:
     """Replace the sources of one batch ``(source_path, text, seen_at)``."""
     spark = batch.sparkSession
     newest = batch.withColumn("nth", F.row_number().over(Window.partitionBy("source_path").orderBy(F.desc("seen_at")))).where("nth = 1")
-    chunks = chunk_documents(newest.select("source_path", "text"), strategy, size, overlap).withColumn("embedding", embed_column(F.col("text")))
-    planned = newest.select("source_path", F.lit("changed").alias("action"), F.lit(True).alias("write"))
-    store.save(apply_changes(store.load(spark), planned, chunks))
+    with scratch(spark):
+        newest = staged(newest.select("source_path", "text"), "batch")
+        chunks = staged(chunk_documents(newest, strategy, size, overlap).withColumn("embedding", embed_column(F.col("text"))), "batch-chunks")
+        store.apply(chunks, newest.select("source_path"))
 
 
 def stream_into_index(documents: DataFrame, store: ParquetStore, checkpoint: str, **options) -> StreamingQuery:
