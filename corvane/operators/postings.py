@@ -154,8 +154,8 @@ def search(stored: DataFrame, dead: DataFrame, statistics: DataFrame, queries: D
         block = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         of_block = stored.join(F.broadcast(block.select("term").distinct()), "term", "left_semi")
         if pilot > 1:
-            # Few rows: k a query and zone.
-            first = F.pmod(F.xxhash64("segment", "zone"), F.lit(pilot)) == 0
+            # The first zone of each part of the oldest segment and every 16th after it; k rows a query and zone come back.
+            first = (F.col("segment") == 0) & (F.pmod("zone", F.lit(pilot)) == 0)
             ahead = staged(_searched(of_block.where(first), gone, block, None, average, k, span, kind), "pilot")
             order = Window.partitionBy("query_id").orderBy(F.desc("score"))
             floors = ahead.where("position IS NOT NULL").withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k).select("query_id", F.col("score").alias("floor"))
