@@ -35,7 +35,7 @@ MOST_BLOCKS = 65_536
 SHARD_BYTES = (32_000_000, 128_000_000)
 MANY_SHARDS = 4096
 GROUP = 256
-HOLD_BYTES = 64_000_000
+HOLD_BYTES = 24_000_000
 HEADER = [("first_doc", "<i8"), ("first_token", "<i4"), ("n_tokens", "<i4")]
 
 _SEQUENCES = "block int, place int, n int, records binary, doc_ids array<array<long>>, doc_tokens array<array<int>>"
