@@ -42,22 +42,56 @@ def _unit(vectors: list) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _inverted(lists: list, known=None) -> dict[str, np.ndarray]:
-    """``term -> numbers of the lists that have it``, of all terms or of the known ones."""
-    found: dict[str, list[int]] = {}
-    for k, terms in enumerate(lists):
-        for t in terms:
-            if known is None or t in known:
-                found.setdefault(t, []).append(k)
-    return {t: np.array(ks) for t, ks in found.items()}
-
-
-def _scan(corpus: DataFrame, queries: DataFrame, k: int, block_queries: int, lexical: bool, block_terms: int = bm25.BLOCK_TERMS) -> DataFrame:
-    """Exact scan: blocks of queries of a bounded size go to all tasks, each batch of rows returns its best ``k``.
-
-    With ``lexical`` the score is the blended one; common terms are counted
-    through inverted lists of the block and of the batch.
+def _overlap(asked: pa.Table) -> Callable[[pa.Array], np.ndarray]:
+    """A function that counts, for lists of distinct terms, what share of each query's terms they have: queries by lists."""
+    import pyarrow.compute as pc
+
+    column = asked.column("terms").combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    found = column.values.slice(column.offsets[0].as_py(), int(sizes.sum())).dictionary_encode()
+    term, query = found.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(term, kind="stable")
+    query, known = query[order], found.dictionary
+    start = np.searchsorted(term[order], np.arange(len(known) + 1))
+    share = np.maximum(sizes, 1).astype(float)[:, None]
+
+    def run(lists: pa.Array) -> np.ndarray:
+        n = len(lists)
+        lengths = np.diff(lists.offsets.to_numpy())
+        values = lists.values.slice(lists.offsets[0].as_py(), int(lengths.sum()))
+        at = pc.index_in(values, known).fill_null(-1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(n), lengths)[at >= 0]
+        at = at[at >= 0]
+        often = start[at + 1] - start[at]
+        # All queries that have each term, one after the other.
+        pairs = np.repeat(start[at] - np.r_[0, np.cumsum(often)[:-1]], often) + np.arange(int(often.sum())) if len(at) else at
+        return np.bincount(query[pairs] * n + np.repeat(row, often), minlength=len(share) * n).reshape(len(share), n) / share
+
+    return run
+
+
+def _best(score: np.ndarray, position: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the ``k`` best positive scores of each query; equal ones by position."""
+    rounded = np.round(score, DIGITS)
+    if score.shape[1] > k:
+        # Rows at the k-th score stay until positions decide.
+        least = np.partition(rounded, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]
+    else:
+        least = np.zeros((len(score), 1))
+    q, row = np.nonzero((rounded >= least) & (score > 0))
+    order = np.lexsort((position[row], -rounded[q, row], q))
+    q, row = q[order], row[order]
+    nth = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[nth < k], row[nth < k]
+
+
+def _scan(corpus: DataFrame, queries: DataFrame, depths: dict[str, int], block_queries: int = BLOCK_QUERIES, block_terms: int = bm25.BLOCK_TERMS) -> DataFrame:
+    """Exact scan: ``(ranker, query_id, position, score)``, the best rows of each batch for ``dense``, ``blended`` or both.
+
+    Blocks of queries of a bounded size go to all tasks; ``depths`` says how
+    many rows each ranker keeps.  Cosines are worked out once for both.
     """
+    lexical = "blended" in depths
     wanted = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), *([T.distinct_terms(F.col("text")).alias("terms")] if lexical else []))
     rows = corpus.select(
         "position", F.col("vector").cast("array<double>").alias("vector"),
@@ -73,46 +107,44 @@ def _scan(corpus: DataFrame, queries: DataFrame, k: int, block_queries: int, lex
     def scan(block: pa.Table) -> DataFrame:
         ids = block.column("query_id").combine_chunks()
         asked = _unit(block.column("vector").to_pylist())
-        term_sets = block.column("terms").to_pylist() if lexical else []
-        share = np.array([max(len(ts), 1) for ts in term_sets], float)[:, None]
-        asking = _inverted(term_sets)
-
-        def overlap(lists: list) -> np.ndarray:
-            common = np.zeros((len(term_sets), len(lists)), np.float32)
-            for term, having in _inverted(lists, asking).items():
-                common[np.ix_(asking[term], having)] += 1
-            return common / share
+        common = _overlap(block) if lexical and len(block) else None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in range(0, batch.num_rows, 2000):
+                for i in range(0, batch.num_rows if len(asked) else 0, 2000):
                     part = batch.slice(i, 2000)
                     position = part.column("position").to_numpy()
                     found = _unit(part.column("vector").to_pylist())
-                    score = asked @ found.T if asked.shape[1] == found.shape[1] else np.zeros((len(asked), len(found)))
-                    if lexical:
-                        lex, meta = overlap(part.column("terms").to_pylist()), overlap(part.column("meta").to_pylist())
-                        score = np.maximum(np.maximum(score, lex), V.DENSE_WEIGHT * score + V.LEXICAL_WEIGHT * lex + V.METADATA_WEIGHT * meta)
-                    rounded = np.round(score, DIGITS)
-                    order = np.lexsort((np.broadcast_to(position, score.shape), -rounded))[:, :k]
-                    q = np.repeat(np.arange(len(asked)), order.shape[1])
-                    best = score[q, order.ravel()]
-                    keep = best > 0
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[keep])), pa.array(position[order.ravel()[keep]]), pa.array(best[keep])], ["query_id", "position", "score"])
-
-        return rows.mapInArrow(run, f"query_id {kind}, position long, score double")
+                    cosine = asked @ found.T if asked.shape[1] == found.shape[1] else np.zeros((len(asked), len(found)))
+                    for ranker, k in depths.items():
+                        score = cosine
+                        if ranker == "blended":
+                            lex, meta = common(part.column("terms")), common(part.column("meta"))
+                            score = np.maximum(np.maximum(cosine, lex), V.DENSE_WEIGHT * cosine + V.LEXICAL_WEIGHT * lex + V.METADATA_WEIGHT * meta)
+                        q, row = _best(score, position, k)
+                        yield pa.RecordBatch.from_arrays([pa.array([ranker] * len(q), pa.string()), ids.take(pa.array(q)), pa.array(position[row]), pa.array(score[q, row])], ["ranker", "query_id", "position", "score"])
+
+        return rows.mapInArrow(run, f"ranker string, query_id {kind}, position long, score double")
 
     return reduce(DataFrame.unionByName, [scan(wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()) for b in range(blocks)])
 
 
+def scanned(corpus: DataFrame, queries: DataFrame, depths: dict[str, int], block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """``(ranker, query_id, rank, position, score)`` of several exact rankings by one scan of the corpus."""
+    order = Window.partitionBy("ranker", "query_id").orderBy(F.round("score", DIGITS).desc(), "position")
+    found = _scan(corpus, queries, depths, block_queries).withColumn("rank", F.row_number().over(order))
+    deep = reduce(lambda x, y: x | y, [(F.col("ranker") == r) & (F.col("rank") <= k) for r, k in depths.items()])
+    return found.where(deep)
+
+
 def dense(corpus: DataFrame, queries: DataFrame, k: int, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """Cosine ranking; only similarities above 0."""
-    return _named(top_k(_scan(corpus, queries, k, block_queries, False), k, F.col("position")), corpus)
+    return _named(scanned(corpus, queries, {"dense": k}, block_queries), corpus)
 
 
 def blended(corpus: DataFrame, queries: DataFrame, k: int, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """Ranking by the best of cosine, term overlap and their weighted sum with the metadata overlap."""
-    return _named(top_k(_scan(corpus, queries, k, block_queries, True), k, F.col("position")), corpus)
+    return _named(scanned(corpus, queries, {"blended": k}, block_queries), corpus)
 
 
 def lexical(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
