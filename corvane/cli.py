@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
             out = totals | {"results": [json.loads(x) for x in results.toJSON().collect()]}
         else:
             documents = read_documents(spark, settings.docs_dir, settings.exclude)
-            runs, board = sweep.run(spark, settings, documents, read_gold(spark, settings.eval_path), {a[0]: getattr(args, a[0]) for a in sweep.AXES})
+            runs, board = sweep.run(spark, settings, documents, read_gold(spark, settings.eval_path), {a[0]: getattr(args, a[0]) for a in sweep.AXES}, engine.chat, engine.embedder, engine.reranker)
             out = {"num_runs": len(runs), "runs": runs, "leaderboard": board}
             if args.output:
                 atomic_write(Path(args.output), json.dumps(out, indent=2))

@@ -12,7 +12,7 @@ from corvane.functions import text as T
 PREVIEW = 600
 
 
-def identity(hits: DataFrame, k: int) -> DataFrame:
+def identity(hits: DataFrame, k: int | Column) -> DataFrame:
     """The first ``k`` hits of each query; no other work."""
     return hits.where(F.col("rank") <= k)
 
@@ -24,10 +24,10 @@ def prompt(hits: DataFrame) -> DataFrame:
     return listed.select("query_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("prompt"))
 
 
-def apply_replies(hits: DataFrame, replies: DataFrame, k: int) -> DataFrame:
+def apply_replies(hits: DataFrame, replies: DataFrame, k: int | Column) -> DataFrame:
     """Reorder ``hits (query_id, rank, score, ...)`` by ``replies (query_id, reply)``.
 
-    The first JSON array of a reply names candidates by number; repeated,
+    ``k`` may be a column of the hits.  The first JSON array of a reply names candidates by number; repeated,
     foreign and other entries are dropped, and candidates it leaves out follow
     in their order.  Scores become 1 / rank.  A query without a usable reply
     keeps its order and scores.  ``rerank_mode`` and ``rerank_reason`` tell which.
@@ -49,7 +49,7 @@ def apply_replies(hits: DataFrame, replies: DataFrame, k: int) -> DataFrame:
     )
 
 
-def model_rerank(hits: DataFrame, k: int, ask: Callable[[Column], Column] | None) -> DataFrame:
+def model_rerank(hits: DataFrame, k: int | Column, ask: Callable[[Column], Column] | None) -> DataFrame:
     """Rerank with a model given as a column function of the prompt, or None where there is no key."""
     if ask is None:
         return identity(hits, k).withColumn("rerank_mode", F.lit("fallback")).withColumn("rerank_reason", F.lit("missing_api_key"))
@@ -60,7 +60,7 @@ def model_rerank(hits: DataFrame, k: int, ask: Callable[[Column], Column] | None
     return apply_replies(several, replies, k).unionByName(single)
 
 
-def provider_rerank(hits: DataFrame, k: int, provider) -> DataFrame:
+def provider_rerank(hits: DataFrame, k: int | Column, provider) -> DataFrame:
     """:func:`model_rerank` by a chat provider; where it fails a query keeps its order and says why."""
     from corvane.operators.chat import asked
 

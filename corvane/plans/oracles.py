@@ -112,11 +112,11 @@ chunks AS (
   UNION ALL SELECT path, idx, body, a, b, title, level, kind, stem FROM bare WHERE path NOT IN (SELECT path FROM numbered))"""
 
 
-def chunk_ctes(strategy: str, size: int, overlap: int) -> str:
-    """WITH list up to ``chunks`` for the structured texts of a strategy."""
+def chunk_ctes(strategy: str, size: int, overlap: int, structure: str | None = None) -> str:
+    """WITH list up to ``chunks`` for the texts structured for a strategy, its own if none is named."""
     if strategy == "fixed":
-        return f"WITH RECURSIVE {texts(strategy)}, {LINES}, {SECTIONS}, {fixed_chunks(size, overlap)}"
-    return f"WITH RECURSIVE {texts(strategy)}, {LINES}, {SECTIONS}, {grouped_chunks(strategy, size, overlap)}"
+        return f"WITH RECURSIVE {texts(structure or strategy)}, {LINES}, {SECTIONS}, {fixed_chunks(size, overlap)}"
+    return f"WITH RECURSIVE {texts(structure or strategy)}, {LINES}, {SECTIONS}, {grouped_chunks(strategy, size, overlap)}"
 
 
 def chunk_sql(strategy: str) -> str:
@@ -359,3 +359,33 @@ SQL["index_store"] = SQL["index_apply"]
 SQL["index_statistics"] = f"""WITH {DOCS}, each AS (SELECT doc_id, {terms('text')} AS found FROM docs),
 whole AS (SELECT count(*)::BIGINT AS n_chunks, round(avg(len(found)), 6) AS average FROM each)
 SELECT term, count(DISTINCT doc_id)::BIGINT AS df, n_chunks, average FROM (SELECT doc_id, unnest(found) AS term FROM each), whole GROUP BY term, n_chunks, average"""
+
+
+def _default_cells(strategy: str) -> str:
+    """The four rankings of one way of chunking, over texts with headings, with their mean rates."""
+    lists = {"blended": ranked("mixed", 4), "dense": ranked("dense", 4), "lexical": ranked("scored", 4), "hybrid_rrf": ranked("fused", 4, "chunk_id")}
+    head = f"""{chunk_ctes(strategy, 800, 120, "markdown")}, {CASES},
+page AS (SELECT row_number() OVER (ORDER BY path, idx) AS position, path || '::chunk-' || idx AS chunk_id, path, body, concat_ws(' ', nullif(title, ''), nullif(title, ''), body) AS text, concat_ws(' ', title, title, stem) AS meta FROM chunks),
+{bm25('page', 'cases')},
+bodies AS (SELECT position, body AS text FROM page), {vectors('bodies', 'position', 'dv')}, {vectors('cases', 'query_id', 'qv')},
+dense AS (SELECT query_id, position, sum(q.v * d.v) AS score FROM qv q JOIN dv d USING (slot) GROUP BY ALL),
+sets AS (SELECT position, list_distinct({terms('body')}) AS ts, list_distinct({terms('meta')}) AS ms FROM page),
+wants AS (SELECT query_id, list_distinct({terms('text')}) AS qs FROM cases),
+pairs AS (
+  SELECT a.query_id, s.position, coalesce(d.score, 0) AS dense, CASE WHEN len(qs) = 0 THEN 0 ELSE len(list_intersect(qs, ts)) / len(qs)::DOUBLE END AS lex, CASE WHEN len(qs) = 0 THEN 0 ELSE len(list_intersect(qs, ms)) / len(qs)::DOUBLE END AS meta
+  FROM wants a CROSS JOIN sets s LEFT JOIN dense d ON d.query_id = a.query_id AND d.position = s.position),
+mixed AS (SELECT query_id, position, greatest(dense, lex, 0.65::DOUBLE * dense + 0.25::DOUBLE * lex + 0.1::DOUBLE * meta) AS score FROM pairs),
+two_lists AS (SELECT query_id, position, rank FROM {ranked('dense', 20)} UNION ALL SELECT query_id, position, rank FROM {ranked('scored', 20)}),
+fused AS (SELECT query_id, position, any_value(chunk_id) AS chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM two_lists JOIN page USING (position) GROUP BY query_id, position)"""
+    taken = " UNION ALL ".join(f"SELECT '{name}' AS ranker, query_id, position, rank FROM {rows}" for name, rows in lists.items())
+    # One hit list a ranker and case: the case's id is a pair from here on.
+    return f"""{head},
+picked AS ({taken}),
+every AS (SELECT ranker || '/' || query_id AS query_id, ranker, c.* EXCLUDE (query_id) FROM cases c, (SELECT unnest(['{"', '".join(lists)}']) AS ranker)),
+hits AS (SELECT ranker || '/' || query_id AS query_id, rank, path, body FROM picked JOIN page USING (position)),
+{ANSWERS.replace('FROM cases c', 'FROM every c')}, {RATES.replace('FROM cases c', 'FROM every c')}
+SELECT 'basic:local:{strategy}:' || ranker || ':rr-none:k4:s800:o120' AS label, count(*)::BIGINT AS num_cases, {MEANS}, 'chat_fallback,embedding_fallback' AS reason
+FROM rates JOIN (SELECT query_id, ranker FROM every) USING (query_id) GROUP BY ranker"""
+
+
+SQL["sweep_cells"] = " UNION ALL ".join(f"SELECT * FROM ({_default_cells(s)})" for s in SIZES)

@@ -280,18 +280,23 @@ SWEEP = [(size, overlap, k) for size, overlap in ((400, 60), (800, 120)) for k i
 
 def sweep_leaderboard(spark, sf):
     """Four cells over two indexes; both window sizes of an index come from one ranking."""
-    cases, runs = staged(_cases(spark, sf), "cases"), []
-    for size, overlap in dict.fromkeys((s, o) for s, o, _ in SWEEP):
-        hits = staged(_hits(spark, sf, size, overlap, max(k for s, _, k in SWEEP if s == size), cases), "sweep-hits")
-        for k in (k for s, _, k in SWEEP if s == size):
-            answered = answer(cases.select("query_id", F.col("question").alias("text")), hits.where(F.col("rank") <= k))
-            totals = evaluation.summary(evaluation.evaluate(cases, answered.select("query_id", "answer", "hits")))
-            runs.append(totals.withColumns({"label": F.lit(sweep.label(Settings(chunk_strategy="fixed", retrieval_strategy="lexical", top_k=k, chunk_size=size, chunk_overlap=overlap))), "status": F.lit("ok"), "run_no": F.lit(SWEEP.index((size, overlap, k))), "avg_response_time_ms": F.lit(0.0)}))
-    board = evaluation.leaderboard(runs[0].unionByName(runs[1]).unionByName(runs[2]).unionByName(runs[3]))
+    cells = [(n, Settings(chunk_strategy="fixed", retrieval_strategy="lexical", top_k=k, chunk_size=size, chunk_overlap=overlap)) for n, (size, overlap, k) in enumerate(SWEEP)]
+    totals = sweep.evaluate_cells(cells, documents(spark, sf).select("source_path", "text"), staged(_cases(spark, sf), "cases"))
+    names = F.create_map(*[x for n, cell in cells for x in (F.lit(n), F.lit(sweep.label(cell)))])
+    board = evaluation.leaderboard(totals.withColumns({"label": names[F.col("run_no")], "status": F.lit("ok"), "avg_response_time_ms": F.lit(0.0)}))
     order = Window.orderBy(F.desc("retrieval_reciprocal_rank"), F.desc("retrieval_precision"), F.desc("answer_keyword_hit_rate"), F.desc("citation_span_hit_rate"), "avg_response_time_ms", "run_no")
     return board.select(F.row_number().over(order).alias("place"), "label", "retrieval_reciprocal_rank", "retrieval_precision", "citation_span_hit_rate")
 
 
+def sweep_cells(spark, sf):
+    """The twelve default cells, three ways of chunking by four of ranking, over texts with headings; offline, so none is live."""
+    docs = documents(spark, sf).select("source_path", structured(F.col("text"), "markdown").alias("text"))
+    cells = list(enumerate(sweep.cells(Settings())))
+    totals = sweep.evaluate_cells(cells, docs, staged(_cases(spark, sf), "cases"))
+    names = F.create_map(*[x for n, cell in cells for x in (F.lit(n), F.lit(sweep.label(cell)))])
+    return totals.select(names[F.col("run_no")].alias("label"), "num_cases", *evaluation.RATES, "reason")
+
+
 def dataset_identity(spark, sf):
     gold = benchmark(spark, sf).select(F.col("query_id").alias("key"), F.col("text").alias("value"))
     return identity.dataset_identity(documents(spark, sf), gold)
@@ -434,7 +439,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         discover_filter, source_checksum, section_lookup_fixed, chunk_stats, token_stats, term_frequencies, hash_embedding, dense_topk, dense_label_precision, bm25_topk,
         document_dense_topk, lexical_overlap_topk, metadata_overlap, blended_topk, rrf_fuse, hybrid_rrf_topk, window_rerank, window_rerank_lexical, identity_rerank, rerank_apply_order, chunk_topk,
-        answer_context, tool_results, citations, citation_spans, merge_hits, extractive_answer, eval_metrics, failure_reasons, eval_summary, sweep_leaderboard, dataset_identity, gold_normalise,
+        answer_context, tool_results, citations, citation_spans, merge_hits, extractive_answer, eval_metrics, failure_reasons, eval_summary, sweep_leaderboard, sweep_cells, dataset_identity, gold_normalise,
         ingest_plan, index_apply, index_store, index_statistics, bm25_stored_topk, manifest_update, point_ids, previews, turn_search, status_merge, degradation_reason,
     )
 } | {f"chunk_{s}": _chunk_query(s) for s in SIZES}
