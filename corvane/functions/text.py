@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"(?U:[\s\x1C-\x1F])"
 LINE_END = "(?<=\\n|\\r(?!\\n)|[\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029])"
+# What a term and a heading are, here and in the context and reply patterns below.
 TERM = "[A-Za-z0-9_]+"
 HEADING = r"^(#+) (.*)$"
 
@@ -46,11 +47,6 @@ def distinct_terms(text: Column) -> Column:
     return F.array_distinct(terms(text))
 
 
-def words(text: Column) -> Column:
-    """Lower-cased words between white space."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"{SPACE}+"), lambda w: w != "")
-
-
 def checksum(text: Column) -> Column:
     """SHA-256 of the UTF-8 text in hexadecimal."""
     return F.sha2(text.cast("binary"), 256)

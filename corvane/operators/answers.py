@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 
+# What a context and a result list say when they are empty.
 NO_EVIDENCE = "No supporting documents were retrieved."
 NO_RESULTS = "No relevant chunks were found."
 _FIELDS = ("chunk_id", "source_path", "title", "text", "chunk_index", "start_char", "end_char", "score")

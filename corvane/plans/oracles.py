@@ -285,8 +285,8 @@ SELECT query_id, rank::INT AS rank, doc_id, round(score, 9) AS score FROM {ranke
     "window_rerank_lexical": f"{WINDOWED} {SHOW} (SELECT * FROM lex_ranked WHERE rank <= 4)",
     "rerank_apply_order": f"""{BM25_DOCS}, hits AS {ranked('scored', 20)},
 listed AS (
-  SELECT query_id, max(rank) AS most, CASE WHEN query_id % 4 = 0 THEN [5, query_id % 7 + 1, 1] WHEN query_id % 4 = 1 THEN [] ELSE [query_id % 7 + 1] END AS raw FROM hits GROUP BY query_id),
-chosen AS (SELECT query_id, list_filter(CASE WHEN len(raw) = 3 AND raw[2] = raw[1] THEN [raw[1], raw[3]] WHEN len(raw) = 3 AND raw[2] = raw[3] THEN [raw[1], raw[2]] ELSE raw END, lambda x: x <= most) AS nums FROM listed),
+  SELECT query_id, max(rank) AS most, CASE WHEN query_id % 5 = 0 THEN [] ELSE [(query_id * 3 + 2 * j * j) % 11 FOR j IN range(5)] END AS raw FROM hits GROUP BY query_id),
+chosen AS (SELECT query_id, list_filter(raw, lambda x, i: list_position(raw, x) = i AND x BETWEEN 1 AND most) AS nums FROM listed),
 moved AS (SELECT h.*, nums, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(list_position(nums, h.rank), 1000000 + h.rank)) AS new_rank FROM hits h JOIN chosen USING (query_id))
 SELECT query_id, new_rank::INT AS rank, position AS doc_id, round(CASE WHEN len(nums) > 0 THEN 1.0::DOUBLE / new_rank ELSE score END, 6) AS score,
        CASE WHEN len(nums) > 0 THEN 'live' ELSE 'fallback' END AS rerank_mode, CASE WHEN len(nums) = 0 THEN 'unusable_rerank_output' END AS rerank_reason FROM moved WHERE new_rank <= 6""",

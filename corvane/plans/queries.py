@@ -181,10 +181,12 @@ def identity_rerank(spark, sf):
 
 
 def rerank_apply_order(spark, sf):
-    """Replies in the forms that models give, derived from the item's number."""
+    """Replies of numbers and quoted numbers, some repeated, foreign or none, by a rule on the item."""
     hits = ranking.lexical(_document_corpus(spark, sf).drop("vector"), benchmark(spark, sf), WINDOW)
-    n = (F.col("query_id") % 7 + 1).cast("string")
-    reply = F.when(F.col("query_id") % 4 == 0, F.concat(F.lit("My order is [5, "), n, F.lit(", "), n, F.lit(', "1", true, 0, 99]'))).when(F.col("query_id") % 4 == 1, "No preference.").otherwise(F.concat(F.lit("["), n, F.lit("] and [1]")))
+    q = F.col("query_id")
+    numbers = [((q * 3 + 2 * j * j) % 11).cast("string") for j in range(5)]
+    entries = F.concat_ws(", ", *[n if j % 2 == 0 else F.concat(F.lit('"'), n, F.lit('"')) for j, n in enumerate(numbers)], F.lit("null"), F.lit("2.5"))
+    reply = F.when(q % 5 == 0, F.concat(F.lit("Nothing fits item "), q.cast("string"))).otherwise(F.concat(F.lit("Passages for item "), q.cast("string"), F.lit(": ["), entries, F.lit("]")))
     replies = benchmark(spark, sf).select("query_id", reply.alias("reply"))
     out = rerank.apply_replies(hits, replies, 6)
     return out.select("query_id", "rank", F.col("position").alias("doc_id"), F.round("score", 6).alias("score"), "rerank_mode", "rerank_reason")

@@ -128,16 +128,38 @@ def test_candidates_have_their_own_statistics(spark):
     assert [p for p, _ in rows_of(ranking.rerank_candidates(cands, queries, 2))[0]] == [0, 1]
 
 
-REPLIES = [("[2, 3]", 2, "bc", "live"), ("[3]", 3, "cab", "live"), ('My order is [5, 2, 2, "1", true, 0]', 3, "bac", "live"), ("No preference.", 2, "ab", "fallback"), ("[]", 2, "ab", "fallback"), (None, 2, "ab", "fallback")]
-
-
-@pytest.mark.parametrize("reply,k,want,mode", REPLIES)
-def test_replies(spark, reply, k, want, mode):
+def some_reply(rng):
+    """A reply in prose with arrays of numbers, digits in quotes, and what is neither; and the numbers that it names."""
+    if rng.random() < 0.15:
+        return rng.choice([None, "", "none of these fits", "(1) or (2)", "[", "[]", "[ ]"]), []
+    kinds = [(lambda n: str(n), True), (lambda n: f'"{n}"', True), (lambda n: f'" {n} "', True), (lambda n: f"-{n}", False), (lambda n: f"{n}.5", False), (lambda n: f'"no {n}"', False), (lambda n: rng.choice(["null", "false", "{}"]), False)]
+    entries, named = [], []
+    for _ in range(rng.randint(1, 6)):
+        n = rng.randint(0, 5)
+        form, counts = rng.choice(kinds)
+        entries.append(form(n))
+        named += [n] if counts else []
+    more = rng.choice(["", " then [1, 2, 3]", " as asked."])
+    return f"{rng.choice(['', 'Here: ', 'Ranked by use of item ' + str(rng.randint(1, 9)) + ' '])}[{rng.choice([',', ', ', ' ,']).join(entries)}]{more}", named
+
+
+def replies():
+    import random
+
+    rng = random.Random(17)
+    return [(*some_reply(rng), rng.randint(1, 3)) for _ in range(14)]
+
+
+@pytest.mark.parametrize("reply,named,k", replies())
+def test_replies(spark, reply, named, k):
+    chosen = [n for n in dict.fromkeys(named) if 1 <= n <= 3]
+    want = "".join("abc"[n - 1] for n in [*chosen, *(n for n in (1, 2, 3) if n not in chosen)][:k])
+    mode = "live" if chosen else "fallback"
     hits = spark.createDataFrame([(0, i + 1, c, s, "p", "t", "text") for i, (c, s) in enumerate((("a", 0.9), ("b", 0.8), ("c", 0.7)))], "query_id long, rank int, chunk_id string, score double, source_path string, title string, text string")
     replies = spark.createDataFrame([(0, reply)], "query_id long, reply string")
     got = rerank.apply_replies(hits, replies, k).orderBy("rank").collect()
     assert "".join(r.chunk_id for r in got) == want and {r.rerank_mode for r in got} == {mode}
-    assert [r.score for r in got] == ([1 / (i + 1) for i in range(k)] if mode == "live" else [0.9, 0.8])
+    assert [r.score for r in got] == ([1 / (i + 1) for i in range(k)] if mode == "live" else [0.9, 0.8, 0.7][:k])
     asked_model = rerank.model_rerank(hits, k, lambda prompt: F.lit(reply)).orderBy("rank").collect()
     assert "".join(r.chunk_id for r in asked_model) == want
     assert {(r.rerank_mode, r.rerank_reason) for r in rerank.model_rerank(hits, k, None).collect()} == {("fallback", "missing_api_key")}
