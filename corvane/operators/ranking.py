@@ -70,7 +70,7 @@ def _overlap(asked: pa.Table) -> Callable[[pa.Array], np.ndarray]:
     return run
 
 
-def _best(score: np.ndarray, position: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_of(score: np.ndarray, position: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of the ``k`` best positive scores of each query; equal ones by position."""
     rounded = np.round(score, DIGITS)
     if score.shape[1] > k:
@@ -121,7 +121,7 @@ def _scan(corpus: DataFrame, queries: DataFrame, depths: dict[str, int], block_q
                         if ranker == "blended":
                             lex, meta = common(part.column("terms")), common(part.column("meta"))
                             score = np.maximum(np.maximum(cosine, lex), V.DENSE_WEIGHT * cosine + V.LEXICAL_WEIGHT * lex + V.METADATA_WEIGHT * meta)
-                        q, row = _best(score, position, k)
+                        q, row = best_of(score, position, k)
                         yield pa.RecordBatch.from_arrays([pa.array([ranker] * len(q), pa.string()), ids.take(pa.array(q)), pa.array(position[row]), pa.array(score[q, row])], ["ranker", "query_id", "position", "score"])
 
         return rows.mapInArrow(run, f"ranker string, query_id {kind}, position long, score double")

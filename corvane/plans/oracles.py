@@ -353,8 +353,9 @@ r AS (SELECT cell, string_agg(name, ',' ORDER BY pos) AS reason FROM g GROUP BY
 SELECT cell, CASE WHEN NOT bool_and(n % 29 > 0) THEN 'missing_diagnostics' ELSE any_value(r.reason) END AS reason FROM t LEFT JOIN r USING (cell) GROUP BY cell""",
 }
 
-# The store's queries go the way of changes to the same results.
+# Other ways to the same results: stored postings, cells of vectors, a store through changes.
 SQL["bm25_stored_topk"] = SQL["bm25_topk"]
+SQL["dense_cells_topk"] = SQL["dense_topk"]
 SQL["index_store"] = SQL["index_apply"]
 SQL["index_statistics"] = f"""WITH {DOCS}, each AS (SELECT doc_id, {terms('text')} AS found FROM docs),
 whole AS (SELECT count(*)::BIGINT AS n_chunks, round(avg(len(found)), 6) AS average FROM each)

@@ -11,6 +11,7 @@ from corvane.config import RetrievalSettings, Settings
 from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import answers, embedding, evaluation, identity, index, ranking, rerank
+from corvane.operators.cells import CellIndex
 from corvane.operators.chunking import chunk_documents
 from corvane.operators.store import ParquetStore
 from corvane.plans import sweep
@@ -117,6 +118,13 @@ def dense_topk(spark, sf):
     return ranking.dense(corpus, queries, K).select("query_id", "rank", F.col("position").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+def dense_cells_topk(spark, sf):
+    """The ranking of ``dense_topk`` by cells of vectors, most of which are skipped where vectors cluster."""
+    corpus, queries = _vectors(spark, sf)
+    ranked, _ = CellIndex.build(corpus).search(queries, K)
+    return ranked.select("query_id", "rank", F.col("position").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 def dense_label_precision(spark, sf):
     corpus, queries = _vectors(spark, sf)
     ranked = ranking.dense(corpus, queries, 10).join(corpus.select("position", "label"), "position").join(queries.select("query_id", "query_label"), "query_id")
@@ -439,7 +447,7 @@ def degradation_reason(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        discover_filter, source_checksum, section_lookup_fixed, chunk_stats, token_stats, term_frequencies, hash_embedding, dense_topk, dense_label_precision, bm25_topk,
+        discover_filter, source_checksum, section_lookup_fixed, chunk_stats, token_stats, term_frequencies, hash_embedding, dense_topk, dense_cells_topk, dense_label_precision, bm25_topk,
         document_dense_topk, lexical_overlap_topk, metadata_overlap, blended_topk, rrf_fuse, hybrid_rrf_topk, window_rerank, window_rerank_lexical, identity_rerank, rerank_apply_order, chunk_topk,
         answer_context, tool_results, citations, citation_spans, merge_hits, extractive_answer, eval_metrics, failure_reasons, eval_summary, sweep_leaderboard, sweep_cells, dataset_identity, gold_normalise,
         ingest_plan, index_apply, index_store, index_statistics, bm25_stored_topk, manifest_update, point_ids, previews, turn_search, status_merge, degradation_reason,
