@@ -10,13 +10,15 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 DIMENSIONS = 128
 BYTES = 16
 STEP = 17
+#: Distinct texts that are sent to a provider before what came back is put down.
+ROUND_TEXTS = 100_000
 
 
 class EmbeddingProvider(Protocol):
@@ -81,17 +83,34 @@ def embed_column(text: Column) -> Column:
     return hash_vector(text)
 
 
-def embed(rows: DataFrame, provider: EmbeddingProvider | None = None, batch: int = 10, retries: int = 2, backoff_ms: int = 800, text_col: str = "text") -> tuple[DataFrame, dict]:
+def text_key(text: Column) -> Column:
+    """What a text is known by: the SHA-256 of its bytes, null counting as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def journal_of(spark: SparkSession, journal: str) -> DataFrame:
+    """``(key, vector)`` of the texts that a journal has, each once."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(journal)
+    schema = "key string, vector array<double>"
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(journal).dropDuplicates(["key"])
+
+
+def embed(rows: DataFrame, provider: EmbeddingProvider | None = None, batch: int = 10, retries: int = 2, backoff_ms: int = 800, text_col: str = "text", journal: str | None = None, round_texts: int = ROUND_TEXTS) -> tuple[DataFrame, dict]:
     """``rows`` with ``embedding``, and the provider's status.
 
     Without a provider, or if any of its batches fails, all rows get hash
-    vectors: a store never mixes the two kinds.  A live run is written to the
-    shared folder, so no text is sent twice.
+    vectors: a store never mixes the two kinds.  Each distinct text is sent
+    once, however many rows have it.  With a ``journal``, a folder of the
+    provider's own, texts that it has are not sent at all: finished batches are
+    added to it round by round, ``round_texts`` texts a round, also when others
+    fail, so a run that is tried again sends only what is missing.
     """
     fallback = rows.withColumn("embedding", embed_column(F.col(text_col)))
     if provider is None:
         return fallback, {"provider": "embedding", "mode": "fallback", "reason": "missing_api_key"}
-    from corvane.sources.shared import staged
+    from corvane.sources.shared import new_path, owned, scratch, staged
 
     @F.pandas_udf("struct<vector:array<double>,tries:int,failed:string>")
     def live(texts: pd.Series) -> pd.DataFrame:
@@ -106,9 +125,27 @@ def embed(rows: DataFrame, provider: EmbeddingProvider | None = None, batch: int
                 out += [(None, retries, failure_reason(error, retries + 1, retries))] * len(part)
         return pd.DataFrame(out, columns=["vector", "tries", "failed"])
 
-    made = staged(rows.withColumn("embedded", live(F.col(text_col))), "embedded")
-    failed, tries = made.agg(F.min("embedded.failed"), F.coalesce(F.sum("embedded.tries"), F.lit(0))).first()
+    spark = rows.sparkSession
+    journal = journal or owned(spark, new_path(spark, "vectors"))
+    again, failed = 0, None
+    with scratch(spark):
+        # Copies of a text meet as one row before they are shuffled.
+        texts = rows.select(text_key(F.col(text_col)).alias("key"), F.coalesce(text_col, F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+        wanted = staged(texts.join(journal_of(spark, journal).select("key"), "key", "left_anti"), "texts")
+        rounds = max(1, -(-wanted.count() // round_texts))
+        for k in range(rounds):
+            part = wanted.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k)
+            made = staged(part.select("key", live(F.col("text")).alias("e")), "embedded")
+            reason, tries = made.agg(F.min("e.failed"), F.coalesce(F.sum("e.tries"), F.lit(0))).first()
+            made.where("e.failed IS NULL").select("key", "e.vector").write.mode("append").parquet(journal)
+            again, failed = again + tries, failed or reason
+            if failed:
+                break
     if failed:
         return fallback, {"provider": "embedding", "mode": "fallback", "reason": failed}
-    reason = f"recovered_after_retry:{tries}" if tries else None
-    return made.withColumn("embedding", F.col("embedded.vector")).drop("embedded"), {"provider": "embedding", "mode": "live", "reason": reason}
+    # A text with a third of all rows is a skewed key, which adaptive execution splits on the side of the rows.
+    vectors = journal_of(spark, journal).withColumnRenamed("vector", "embedding").hint("merge")
+    sides = rows.alias("r").join(vectors.alias("v"), text_key(F.col(f"r.{text_col}")) == F.col("v.key"), "left")
+    keyed = sides.select("r.*", "v.embedding")
+    return keyed, {"provider": "embedding", "mode": "live", "reason": f"recovered_after_retry:{again}" if again else None}
+

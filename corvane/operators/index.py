@@ -20,7 +20,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.config import Settings, index_fingerprint, storage_identity
+from corvane.config import Settings, digest, index_fingerprint, storage_identity
 from corvane.errors import DataFormatError, StoreError
 from corvane.operators.store import CHUNK_SCHEMA, FIELDS, ParquetStore, check_records, check_vectors
 
@@ -200,7 +200,7 @@ def ingest(spark: SparkSession, settings: Settings, documents: DataFrame, store:
         known = old.frame(spark)
         planned = staged(plan(known, current, old.dirty_frame(spark), rebuild), "ingest-plan")
         write = planned.where("write").select("source_path")
-        made, status = embed(chunk_documents(documents.join(write, "source_path"), settings.chunk_strategy, settings.chunk_size, settings.chunk_overlap), provider, settings.embedding_batch, settings.embedding_retries, settings.embedding_backoff_ms)
+        made, status = embed(chunk_documents(documents.join(write, "source_path"), settings.chunk_strategy, settings.chunk_size, settings.chunk_overlap), provider, settings.embedding_batch, settings.embedding_retries, settings.embedding_backoff_ms, journal=vector_journal(settings, provider))
         if store.requires_live_embeddings and status["mode"] == "fallback":
             raise StoreError("this store takes only live vectors", "operation_failed")
         made = staged(made.select(*FIELDS), "ingest-chunks")
@@ -229,6 +229,12 @@ def ingest(spark: SparkSession, settings: Settings, documents: DataFrame, store:
         return {"documents": n, "chunks": chunks, "removed": counts.get("removed", 0), "changed": counts.get("changed", 0), "embedding": status}
 
 
+def vector_journal(settings: Settings, provider) -> str:
+    """Folder of the vectors that a kind of provider has made for this index with the settings' model."""
+    kind = f"{type(provider).__module__}:{type(provider).__qualname__}"
+    return f"{settings.index_path.rstrip('/')}-vectors/{digest({'model': settings.embedding_model, 'kind': kind})[:16]}"
+
+
 def wanted_mode(provider) -> str:
     """The kind of vectors that an index should have: a key alone makes none, a provider does."""
     return "fallback" if provider is None else "live"

@@ -188,6 +188,39 @@ def test_providers(spark):
     assert embedding.embed(rows)[1]["reason"] == "missing_api_key"
 
 
+def test_each_text_is_sent_once_and_never_again(spark, tmp_path):
+    """Copies cost no call, and a run that is tried again after a failure sends what is missing."""
+    log = tmp_path / "sent"
+
+    class Counting:
+        def __init__(self, broken=()):
+            self.broken = broken
+
+        def embed(self, batch):
+            if set(batch) & set(self.broken):
+                raise ValueError("refused")
+            with open(log, "a") as f:
+                f.writelines(f"{t}\n" for t in batch)
+            return [[float(len(t)), 1.0] for t in batch]
+
+    def sent():
+        return sorted(log.read_text().split("\n")[:-1]) if log.exists() else []
+
+    texts = [f"text {n % 20}" for n in range(200)] + [None, ""]
+    rows = spark.createDataFrame([(n, t, "own", "other") for n, t in enumerate(texts)], "i long, text string, key string, vector string").repartition(5)
+    journal = str(tmp_path / "journal")
+    out, status = embedding.embed(rows, Counting(broken=("text 7",)), batch=3, journal=journal, round_texts=6)
+    done = sent()
+    assert status == {"provider": "embedding", "mode": "fallback", "reason": "provider_error:ValueError:refused"} and len(done) == len(set(done)) < 21
+    out, status = embedding.embed(rows, Counting(), batch=3, journal=journal, round_texts=6)
+    assert status["mode"] == "live" and sent() == sorted({t or "" for t in texts})
+    got = {r.i: r for r in out.collect()}
+    assert len(got) == 202 and out.columns == [*rows.columns, "embedding"] and all(got[n].embedding == [float(len(t or "")), 1.0] and got[n].key == "own" for n, t in enumerate(texts))
+    more = rows.limit(0).unionByName(spark.createDataFrame([(1, "text 3", "k", "v"), (2, "new", "k", "v")], rows.schema))
+    assert embedding.embed(more, Counting(), journal=journal)[0].count() == 2 and len(sent()) == 22
+    assert embedding.embed(rows.limit(0), Counting(), journal=journal)[0].count() == 0
+
+
 def test_plans_stay_in_the_jvm(spark):
     docs = corpus_of(spark, texts(7, 20)).drop("vector")
     plan = bm25.scores(docs, spark.createDataFrame([(0, "model the")], "query_id long, text string"))._jdf.queryExecution().toString()
