@@ -2,10 +2,13 @@
 
 Sizes are words per document; they are summed per source, each source gets a
 target, and the repetition rate of a source is target / size.  A document is
-emitted ``floor(rate)`` times plus one more time when a hash of its id falls
-below the fraction of the rate.  No document is shuffled by source: the table
+emitted ``floor(rate)`` times plus one more time when a hash falls below the
+fraction of the rate: that of its id, or where others have the id or it is
+null, that of id, text and its number among equal rows, so that such rows are
+drawn each for itself and their source meets its target too.  No document is shuffled by source: the table
 of sources is written first and sent to all tasks while it has a bounded number
-of rows; beyond that a salt spreads the documents of each source.
+of rows; beyond that a salt spreads the documents of each source.  Only rows
+that share an id are shuffled to be numbered.
 """
 
 from __future__ import annotations
@@ -36,6 +39,39 @@ def unit_hash(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def draws(docs: DataFrame, name: str, id_col: str, text: Column, source_col: str, seed: str, most_ids: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` with a column ``name``: the number in [0, 1) that a row is drawn by.
+
+    Equal rows are interchangeable, so it does not matter which of them gets
+    which number; they are counted by task and numbered from there, so that
+    many of them are no group of one task.
+    """
+    key = F.col(id_col)
+    shared = docs.groupBy(key.alias("shared_id")).agg(F.count("*").alias("n")).where("shared_id IS NULL OR n > 1").select("shared_id")
+    shared = staged(shared, "shared-ids", lasting=True)
+    n_shared = shared.count()
+    alone = docs.withColumn(name, unit_hash(key, seed))
+    if not n_shared:
+        return alone
+    side = F.broadcast(shared) if n_shared <= most_ids else shared.hint("merge")
+    same = key.eqNullSafe(F.col("shared_id"))
+    own = {c: fresh(docs, f"{name}_{c}") for c in ("text", "task", "row")}
+    several = docs.join(side, same, "left_semi").withColumns({own["text"]: F.md5(text.cast("binary")), own["task"]: F.spark_partition_id(), own["row"]: F.monotonically_increasing_id()})
+    several = staged(several, "shared-rows", lasting=True)
+    equal = [F.col(id_col), F.col(source_col), F.col(own["text"])]
+    tasks = several.groupBy(*[c.alias(f"k{i}") for i, c in enumerate(equal)], F.col(own["task"]).alias("k3")).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("k0", "k1", "k2").orderBy("k3").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select(F.struct("k0", "k1", "k2", "k3", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).alias(name))
+    nth = F.row_number().over(Window.partitionBy(*equal, own["task"]).orderBy(own["row"]))
+    numbered = several.withColumn(own["row"], nth)
+    meets = [a.eqNullSafe(F.col(f"{name}.k{i}")) for i, a in enumerate([*equal, F.col(own["task"])])]
+    numbered = numbered.join(tasks, meets)
+    number = (F.col(f"{name}.before") + F.col(own["row"])).cast("string")
+    drawn = unit_hash(F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("null")), F.col(own["text"]), number), seed)
+    rest = alone.join(side, same, "left_anti")
+    return rest.unionByName(numbered.select(*quoted(docs), drawn.alias(name)))
+
+
 def source_targets(
     sizes: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -84,16 +120,20 @@ def mix_plan(
     source_col: str = "source",
     size_col: str | None = None,
     most_sources: int = BROADCAST_ROWS,
+    most_ids: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``docs`` with one more column, the last: a struct of size, source_size, target and copies.
 
     It is named ``mix_plan``, or longer where the input has a column of that
     name.  Sizes are counted from the whole text, or taken from ``size_col``.
-    Null text has size 0; a null source is a source of its own; an empty table
-    gives an empty result; repeated rows count each time and, having one id,
-    are drawn alike.
+    ``text_col`` may hold a hash of the text then.  Null text has size 0; a null
+    source is a source of its own; an empty table gives an empty result;
+    repeated rows, rows that share an id and rows without one count each time
+    and are drawn each for itself.
     """
     name = fresh(docs, "mix_plan")
+    draw = fresh(docs, "mix_draw")
+    drawn = draws(docs, draw, id_col, F.coalesce(F.col(text_col), F.lit("")), source_col, seed, most_ids)
     size = word_count(F.col(text_col)) if size_col is None else F.col(size_col)
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(size).alias("source_size"))
     targets = staged(source_targets(sizes, weights, budget, ceiling), "source-targets")
@@ -106,12 +146,12 @@ def mix_plan(
         side = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(F.struct("*").alias(goal)).hint("merge")
         salt = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(SALTS))
         same = F.col(source_col).eqNullSafe(F.col(f"{goal}.source")) & (F.col(name) == F.col(f"{goal}.salt"))
-    salted = docs if targets_fit else docs.withColumn(name, salt)
+    salted = drawn if targets_fit else drawn.withColumn(name, salt)
     joined = salted.join(side, same, "left")
     source_size, target = F.col(f"{goal}.source_size"), F.col(f"{goal}.target")
     rate = F.when(source_size > 0, target / source_size).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    extra = (unit_hash(F.col(id_col), seed) < rate - whole).cast("long")
+    extra = (F.col(draw) < rate - whole).cast("long")
     plan = F.struct(size.alias("size"), source_size.alias("source_size"), target.alias("target"), (whole + extra).cast("long").alias("copies"))
     return joined.select(*quoted(docs), plan.alias(name))
 
@@ -126,7 +166,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    # What the operator needs of a text: its size, and a hash that tells rows of one id apart.
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text")
+    sized = staged(docs.select("doc_id", "source", text, word_count(F.col("text")).alias("size")), "sizes")
     plan = F.col("mix_plan")
     return mix_plan(sized, size_col="size").select(
         "doc_id",
@@ -140,7 +182,9 @@ def op9_source_mix(spark, sf_dir: str) -> DataFrame:
 SQL = """
 WITH sized AS (
   SELECT doc_id, source,
-         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         md5(md5(coalesce(text, ''))) AS h, count(*) OVER (PARTITION BY doc_id) AS shared,
+         row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) AS nth
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -161,7 +205,7 @@ targets AS (
 rates AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-         ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, 'null') || '|mix-1'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+         ('0x' || substr(md5(CASE WHEN s.doc_id IS NULL OR s.shared > 1 THEN coalesce(s.doc_id::VARCHAR, 'null') || '|' || s.h || '|' || s.nth ELSE s.doc_id::VARCHAR END || '|mix-1'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        (size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
