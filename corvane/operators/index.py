@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from corvane.config import Settings, digest, index_fingerprint, storage_identity
 from corvane.errors import DataFormatError, StoreError
+from corvane.operators.records import file_lines, judged, line_numbers
 from corvane.operators.store import CHUNK_SCHEMA, FIELDS, ParquetStore, check_records, check_vectors
 
 __all__ = ["CHUNK_SCHEMA", "Manifest", "ParquetStore", "apply_changes", "atomic_write", "check_records", "check_vectors", "ingest", "load_jsonl", "locked", "needs_ingest", "plan", "update_manifest"]
@@ -163,22 +164,17 @@ def written_table(rows: DataFrame, path: Path, label: str) -> str:
 
 
 def load_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks from JSON lines; a missing file is an empty index, a bad line is named by its number."""
-    if not Path(path).exists():
+    """Chunks from JSON lines, a file or a folder of them; a missing one is an empty index, the first bad line is named by file and number."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], CHUNK_SCHEMA)
-    try:
-        found = spark.read.schema(CHUNK_SCHEMA).option("mode", "FAILFAST").json(path)
-        check_records(found).write.format("noop").mode("overwrite").save()
-        return found
-    except Exception:
-        with open(path, encoding="utf-8") as f:
-            for n, line in enumerate(f, 1):
-                try:
-                    if line.strip() and not {"chunk_id", "source_path", "title", "text", "chunk_index", "start_char", "end_char"} <= json.loads(line).keys():
-                        raise ValueError("a field is missing")
-                except (ValueError, AttributeError) as error:
-                    raise DataFormatError(f"{path}, line {n}: {error}") from None
-        raise
+    lines = file_lines(spark, path)
+    found = judged(lines)
+    bad = found.where(F.size("reasons") > 0)
+    if bad.limit(1).count():
+        first = line_numbers(lines, bad).orderBy("file", "line").first()
+        raise DataFormatError(f"{path}, {first.file.rpartition('/')[2]}, line {first.line}: {', '.join(first.reasons)}")
+    return found.select("record.*").select(*FIELDS)
 
 
 def ingest(spark: SparkSession, settings: Settings, documents: DataFrame, store: ParquetStore, provider=None) -> dict:

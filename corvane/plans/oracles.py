@@ -361,6 +361,9 @@ SQL["index_statistics"] = f"""WITH {DOCS}, each AS (SELECT doc_id, {terms('text'
 whole AS (SELECT count(*)::BIGINT AS n_chunks, round(avg(len(found)), 6) AS average FROM each)
 SELECT term, count(DISTINCT doc_id)::BIGINT AS df, n_chunks, average FROM (SELECT doc_id, unnest(found) AS term FROM each), whole GROUP BY term, n_chunks, average"""
 
+SQL["record_rejects"] = f"""WITH {DOCS} SELECT doc_id, ['', 'not_json', 'not_an_object', 'missing:title', 'type:chunk_index', 'negative:start_char', 'span_reversed', 'metadata_not_object', 'embedding_not_list', 'embedding_item', 'type:text,type:chunk_index', ''][doc_id % 12 + 1] AS reasons,
+  CASE WHEN doc_id % 12 IN (0, 11) THEN sha256(text) END AS checksum, CASE WHEN doc_id % 12 = 0 THEN 2 END AS size, CASE WHEN doc_id % 12 = 11 THEN 4 END AS start FROM docs"""
+
 
 def _default_cells(strategy: str) -> str:
     """The four rankings of one way of chunking, over texts with headings, with their mean rates."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.config import RetrievalSettings, Settings
 from corvane.functions import text as T
 from corvane.functions import vectors as V
-from corvane.operators import answers, embedding, evaluation, identity, index, ranking, rerank
+from corvane.operators import answers, embedding, evaluation, identity, index, ranking, records, rerank
 from corvane.operators.cells import CellIndex
 from corvane.operators.chunking import chunk_documents
 from corvane.operators.store import ParquetStore
@@ -324,6 +324,25 @@ def gold_normalise(spark, sf):
     return cases.select("doc_id", "question", *[F.size(c).alias(f"n_{c}") for c in ("expected_answer_keywords", "expected_source_paths", "expected_span_keywords", "expected_retrieval_keywords")])
 
 
+def record_rejects(spark, sf):
+    """Chunk records made from documents, ten in twelve of them broken in a way of their own."""
+    docs = documents(spark, sf)
+    m = F.col("doc_id") % 12
+    good = {"chunk_id": F.col("doc_id").cast("string"), "source_path": F.col("source_path"), "title": F.lit("t"), "text": F.col("text"), "chunk_index": F.lit(0), "start_char": F.lit(3), "end_char": F.lit(9)}
+
+    def line(drop: str = "", **other: Column) -> Column:
+        return F.to_json(F.struct(*[v.alias(k) for k, v in (good | other).items() if k != drop]), {"ignoreNullFields": "false"})
+
+    whole, mixed = line(), F.array(F.lit("1"), F.lit("a"))
+    forms = [
+        line(embedding=F.array(F.lit(1.0), F.lit(2.5))), F.expr("substring(whole, 1, length(whole) - 1)"), F.concat(F.lit("["), F.col("whole"), F.lit("]")), line(drop="title"), line(chunk_index=F.lit("0")),
+        line(start_char=F.lit(-1)), line(end_char=F.lit(2)), line(metadata=F.lit("x")), line(embedding=F.lit("none")), line(embedding=mixed), line(text=F.lit(None).cast("string"), chunk_index=F.lit(True)), line(metadata=F.struct(F.lit(4).alias("start"))),
+    ]
+    value = F.coalesce(*[F.when(m == n, form) for n, form in enumerate(forms)])
+    rows = records.judged(docs.withColumn("whole", whole).select("doc_id", value.alias("value")))
+    return rows.select("doc_id", F.array_join("reasons", ",").alias("reasons"), T.checksum(F.col("record.text")).alias("checksum"), F.size("record.embedding").alias("size"), F.col("record.metadata.start").alias("start"))
+
+
 def _snapshots(spark, sf):
     """An earlier state of the corpus: a tenth not yet there, a tenth since removed, a tenth since edited, some marked dirty."""
     docs = documents(spark, sf)
@@ -449,7 +468,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         discover_filter, source_checksum, section_lookup_fixed, chunk_stats, token_stats, term_frequencies, hash_embedding, dense_topk, dense_cells_topk, dense_label_precision, bm25_topk,
         document_dense_topk, lexical_overlap_topk, metadata_overlap, blended_topk, rrf_fuse, hybrid_rrf_topk, window_rerank, window_rerank_lexical, identity_rerank, rerank_apply_order, chunk_topk,
-        answer_context, tool_results, citations, citation_spans, merge_hits, extractive_answer, eval_metrics, failure_reasons, eval_summary, sweep_leaderboard, sweep_cells, dataset_identity, gold_normalise,
+        answer_context, tool_results, citations, citation_spans, merge_hits, extractive_answer, eval_metrics, failure_reasons, eval_summary, sweep_leaderboard, sweep_cells, dataset_identity, gold_normalise, record_rejects,
         ingest_plan, index_apply, index_store, index_statistics, bm25_stored_topk, manifest_update, point_ids, previews, turn_search, status_merge, degradation_reason,
     )
 } | {f"chunk_{s}": _chunk_query(s) for s in SIZES}

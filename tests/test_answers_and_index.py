@@ -213,6 +213,12 @@ def test_ask_evaluate_and_sweep(spark, settings, tmp_path):
     engine = Engine(spark, settings.with_(retrieval_strategy="hybrid_rrf", top_k=2))
     out = engine.ask("When do dogs bark?")
     assert out["citations"][0].endswith("dogs.md") and "Dogs bark at night." in out["answer"] and not require_live(out["diagnostics"])
+    # A question leaves nothing behind, neither staged tables nor a version of the store.
+    from corvane.sources import shared
+
+    left = lambda: (list(shared._of_session.get(shared._key(spark), [])), sorted(p.as_posix() for p in tmp_path.rglob("*")))
+    before = left()
+    assert engine.ask("When do dogs bark?")["citations"] == out["citations"] and left() == before
     assert engine.health() == {"status": "ok", "index": True} and engine.info()["documents"] == 2
     cases = gold.gold_cases(spark.createDataFrame([(0, json.dumps({"question": "dogs bark", "expected_answer_keywords": ["night"], "expected_source_paths": [out["citations"][0]], "expected_span_keywords": ["bark"]}))], "query_id long, value string"))
     results, totals = engine.evaluate(cases)
