@@ -393,3 +393,8 @@ FROM rates JOIN (SELECT query_id, ranker FROM every) USING (query_id) GROUP BY r
 
 
 SQL["sweep_cells"] = " UNION ALL ".join(f"SELECT * FROM ({_default_cells(s)})" for s in SIZES)
+
+#: Settings of a default cell as JSON with sorted keys, but for the two that differ.
+_SETTINGS = """'{"agent_max_turns":6,"backend":"local","candidate_k":20,"chat_model":"","chat_provider":"","chunk_overlap":120,"chunk_size":800,"chunk_strategy":"' || chunking || '","embedding_backoff_ms":800,"embedding_batch":10,"embedding_model":"","embedding_provider":"","embedding_retries":2,"rerank_candidate_k":20,"rerank_provider":"","reranker":"none","retrieval_strategy":"' || ranker || '","rrf_k":60,"runtime":"basic","top_k":4}'"""
+SQL["cell_identities"] = f"""SELECT 'basic:local:' || chunking || ':' || ranker || ':rr-none:k4:s800:o120' AS label, sha256('configuration-1' || chr(0) || {_SETTINGS}) AS configuration_identity, identity AS dataset_identity
+FROM (SELECT unnest(['fixed', 'paragraph', 'markdown']) AS chunking), (SELECT unnest(['blended', 'dense', 'lexical', 'hybrid_rrf']) AS ranker), ({SQL['dataset_identity']})"""

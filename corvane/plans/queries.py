@@ -307,6 +307,14 @@ def sweep_cells(spark, sf):
     return totals.select(names[F.col("run_no")].alias("label"), "num_cases", *evaluation.RATES, "reason")
 
 
+def cell_identities(spark, sf):
+    """What the twelve default cells and the dataset that they are measured on are known by."""
+    cells = sweep.configurations(spark, list(enumerate(sweep.cells(Settings()))))
+    # One row meets twelve.
+    both = cells.withColumn("one", F.lit(1)).join(dataset_identity(spark, sf).withColumn("one", F.lit(1)), "one")
+    return both.select("label", "configuration_identity", F.col("identity").alias("dataset_identity"))
+
+
 def dataset_identity(spark, sf):
     gold = benchmark(spark, sf).select(F.col("query_id").alias("key"), F.col("text").alias("value"))
     return identity.dataset_identity(documents(spark, sf), gold)
@@ -468,7 +476,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         discover_filter, source_checksum, section_lookup_fixed, chunk_stats, token_stats, term_frequencies, hash_embedding, dense_topk, dense_cells_topk, dense_label_precision, bm25_topk,
         document_dense_topk, lexical_overlap_topk, metadata_overlap, blended_topk, rrf_fuse, hybrid_rrf_topk, window_rerank, window_rerank_lexical, identity_rerank, rerank_apply_order, chunk_topk,
-        answer_context, tool_results, citations, citation_spans, merge_hits, extractive_answer, eval_metrics, failure_reasons, eval_summary, sweep_leaderboard, sweep_cells, dataset_identity, gold_normalise, record_rejects,
+        answer_context, tool_results, citations, citation_spans, merge_hits, extractive_answer, eval_metrics, failure_reasons, eval_summary, sweep_leaderboard, sweep_cells, cell_identities, dataset_identity, gold_normalise, record_rejects,
         ingest_plan, index_apply, index_store, index_statistics, bm25_stored_topk, manifest_update, point_ids, previews, turn_search, status_merge, degradation_reason,
     )
 } | {f"chunk_{s}": _chunk_query(s) for s in SIZES}

@@ -17,8 +17,9 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.config import BACKENDS, CHUNK_STRATEGIES, MATRIX_CAP, RERANKERS, RETRIEVAL_STRATEGIES, RUNTIMES, RetrievalSettings, Settings
+from corvane.config import BACKENDS, CHUNK_STRATEGIES, MATRIX_CAP, RERANKERS, RETRIEVAL_STRATEGIES, RUNTIMES, Settings
 from corvane.errors import ConfigurationError, StoreError
+from corvane.functions.canonical import identity
 from corvane.operators import evaluation, ranking, rerank
 from corvane.operators.bm25 import BLOCK_TERMS
 from corvane.operators.chat import ChatProvider
@@ -40,6 +41,10 @@ AXES = (
 )
 
 
+#: Version of the identity of a cell's settings.
+CONFIGURATION = "configuration-1"
+
+
 def label(settings: Settings) -> str:
     """One part per axis, so cells that differ have different labels."""
     return ":".join(f"{prefix}{getattr(settings, name)}" for _, name, prefix, _, _ in AXES)
@@ -63,6 +68,21 @@ def cells(settings: Settings, asked: Mapping[str, Sequence | None] | None = None
     return [settings.with_(**dict(zip((a[1] for a in AXES), combination))) for combination in product(*values)]
 
 
+#: Settings that can change what a cell measures; no keys, addresses or paths.
+MEASURED = (
+    "runtime", "backend", "chunk_strategy", "chunk_size", "chunk_overlap", "top_k", "retrieval_strategy", "candidate_k", "rrf_k", "reranker", "rerank_candidate_k", "agent_max_turns",
+    "chat_model", "chat_provider", "embedding_model", "embedding_provider", "embedding_batch", "embedding_retries", "embedding_backoff_ms", "rerank_provider",
+)
+
+
+def configurations(spark: SparkSession, planned: Sequence[tuple[int, Settings]]) -> DataFrame:
+    """``(run_no, label, configuration)``: a row per cell, its measured settings as a struct, and ``configuration_identity``."""
+    schema = ", ".join(f"{name} {'string' if isinstance(getattr(planned[0][1], name), str) else 'long'}" for name in MEASURED)
+    rows = [(no, label(cell), tuple(getattr(cell, name) for name in MEASURED)) for no, cell in planned]
+    made = spark.createDataFrame(rows, f"run_no int, label string, configuration struct<{schema.replace(' ', ':').replace(',:', ',')}>")
+    return made.withColumn("configuration_identity", identity(F.col("configuration"), made.schema["configuration"].dataType, CONFIGURATION))
+
+
 def skip_reason(settings: Settings, remote_url: str | None = None, error: Exception | None = None) -> str | None:
     """Why a cell cannot run here: its store has no address, or could not be reached or loaded when it ran."""
     if settings.backend == "local":
@@ -182,7 +202,8 @@ def run(spark: SparkSession, settings: Settings, documents: DataFrame, cases: Da
     plan is shared alike by its cells and cases.
     """
     planned = list(enumerate(cells(settings, asked)))
-    runs = {no: {"label": label(cell), "run_no": no, "status": "skipped", "reason": skip_reason(cell, remote_url), "summary": None} for no, cell in planned}
+    known = {r.run_no: r.configuration_identity for r in configurations(spark, planned).collect()}
+    runs = {no: {"label": label(cell), "run_no": no, "configuration_identity": known[no], "status": "skipped", "reason": skip_reason(cell, remote_url), "summary": None} for no, cell in planned}
 
     def fill(part: list[tuple[int, Settings]]) -> None:
         began = time.perf_counter()

@@ -94,3 +94,32 @@ def test_too_many_cells_are_refused_before_any_is_made(spark, given):
 
     with pytest.raises(ConfigurationError, match="129"):
         sweep.run(spark, Settings(), *given, {"chunk_strategies": ["fixed"], "retrieval_strategies": ["dense"], "top_ks": list(range(1, 130))})
+
+
+def test_canonical_json(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.functions.canonical import canonical_json
+
+    schema = "n long, row struct<b:string,a:int,`ü \"q\"`:array<string>,m:map<string,struct<y:boolean,x:string>>>"
+    rows = [
+        (0, ("x\\ \"quoted\"\n\ttab / ünï 日本", -3, ["", None, "[,]"], {"z": (True, None), "a b": (None, "v"), "": None})),
+        (1, (None, None, [], {})), (2, (None, 2**31 - 1, None, None)), (3, None), (4, ("}", 0, ["{"], {"k": (False, "}")})),
+    ]
+    frame = spark.createDataFrame(rows, schema)
+    got = {r.n: r.text for r in frame.select("n", canonical_json(F.col("row"), frame.schema["row"].dataType).alias("text")).collect()}
+
+    def plain(row):
+        if row is None:
+            return None
+        b, a, q, m = row
+        return {"b": b, "a": a, 'ü "q"': q, "m": None if m is None else {k: None if v is None else {"y": v[0], "x": v[1]} for k, v in m.items()}}
+
+    assert got == {n: json.dumps(plain(row), sort_keys=True, ensure_ascii=False, separators=(",", ":")) for n, row in rows}
+    with pytest.raises(TypeError, match="double"):
+        canonical_json(F.lit(1.5), spark.createDataFrame([(1.5,)], "x double").schema["x"].dataType)
+
+
+def test_identities_of_cells(spark):
+    one = lambda **changes: sweep.configurations(spark, [(0, Settings(**changes))]).first().configuration_identity
+    assert one() == one(chat_key="secret", docs_dir="elsewhere", index_path="/x") and len({one(), one(top_k=5), one(chunk_size=801), one(embedding_model="m")}) == 4
