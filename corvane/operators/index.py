@@ -28,6 +28,8 @@ from corvane.operators.store import CHUNK_SCHEMA, FIELDS, ParquetStore, check_re
 __all__ = ["CHUNK_SCHEMA", "Manifest", "ParquetStore", "apply_changes", "atomic_write", "check_records", "check_vectors", "ingest", "load_jsonl", "locked", "needs_ingest", "plan", "update_manifest"]
 
 LOCK_SECONDS = 10
+#: Versions of manifests that are read, the first and the present one at the ends.
+VERSIONS = (1, 2, 3)
 
 
 def plan(manifest: DataFrame, current: DataFrame, dirty: DataFrame | None = None, everything: bool = False) -> DataFrame:
@@ -120,15 +122,50 @@ class Manifest:
         if not path.exists():
             return None
         try:
-            raw = json.loads(path.read_text(encoding="utf-8"))
-            inline = tuple((k, str(v["checksum"]), list(map(str, v["chunk_ids"]))) for k, v in raw.get("sources", {}).items())
-            return cls(
-                int(raw["version"]), raw.get("storage_identity"), raw.get("index_fingerprint"), bool(raw.get("repair_required", False)),
-                raw.get("table"), raw.get("dirty"), path, inline, tuple(map(str, raw.get("needs_reindex", ()))),
-            )
+            return cls._typed(json.loads(path.read_text(encoding="utf-8")), path)
         except (ValueError, KeyError, TypeError, AttributeError) as error:
             raise DataFormatError(f"{path} is no manifest: {error}") from None
 
+    @classmethod
+    def _typed(cls, raw: dict, path: Path) -> Manifest:
+        """A manifest from its file's content; a value of another type is an error."""
+
+        def checked(name: str, value, kind: type, optional: bool = False):
+            if value is None and optional:
+                return None
+            if not isinstance(value, kind) or (kind is int and isinstance(value, bool)):
+                raise TypeError(f"{name} is {type(value).__name__}")
+            return value
+
+        def strings(name: str, value) -> tuple[str, ...]:
+            return tuple(checked(name, x, str) for x in checked(name, value, list))
+
+        version = checked("version", raw.get("version", VERSIONS[0]), int)
+        if version not in VERSIONS:
+            raise ValueError(f"version {version} is unknown")
+        if raw.get("storage_identity") == "":
+            raise ValueError("storage_identity is empty")
+        texts = [checked(name, raw.get(name), str, True) for name in ("storage_identity", "index_fingerprint")]
+        tables = [checked(name, raw.get(name), str, True) for name in ("table", "dirty")]
+        sources = checked("sources", raw.get("sources", {} if version == VERSIONS[-1] else None), dict)
+        inline = tuple((k, checked("checksum", v["checksum"], str), list(strings("chunk_ids", v["chunk_ids"]))) for k, v in sources.items())
+        return cls(version, *texts, checked("repair_required", raw.get("repair_required", False), bool), *tables, path, inline, strings("needs_reindex", raw.get("needs_reindex", [])))
+
+    def must_rebuild(self, settings: Settings, identity: str) -> bool:
+        """Whether the index has to be made anew because this manifest cannot tell whose it is.
+
+        A manifest of the first version, or one that knows sources but no
+        storage, leads a local index to a rebuild; a remote one is refused, as
+        it may hold what others have put there.  So is a manifest of another index.
+        """
+        knows = bool(self.inline or self.inline_dirty or self.table or self.dirty or self.index_fingerprint or self.repair_required)
+        unproven = self.path is not None and (self.version == VERSIONS[0] or (self.storage_identity is None and knows))
+        if unproven and settings.backend != "local":
+            raise StoreError("the manifest does not prove that the remote index is its own: check it, clear it, and move the manifest aside", "operation_failed")
+        if not unproven and self.storage_identity not in (None, identity):
+            raise StoreError("the manifest belongs to another index", "operation_failed")
+        return unproven
+
     @property
     def is_dirty(self) -> bool:
         return self.repair_required or self.dirty is not None or bool(self.inline_dirty)
@@ -189,10 +226,9 @@ def ingest(spark: SparkSession, settings: Settings, documents: DataFrame, store:
         current = documents.select("source_path", checksum(F.col("text")).alias("checksum"))
         old = Manifest.load(path) or Manifest()
         identity = storage_identity(settings)
-        if old.storage_identity not in (None, identity):
-            raise StoreError("the manifest belongs to another index", "operation_failed")
+        unproven = old.must_rebuild(settings, identity)
         fingerprint = index_fingerprint(settings, wanted_mode(provider))
-        rebuild = not store.supports_incremental_updates or old.storage_identity is None or old.repair_required or not store.exists() or old.index_fingerprint != fingerprint
+        rebuild = not store.supports_incremental_updates or unproven or old.storage_identity is None or old.repair_required or not store.exists() or old.index_fingerprint != fingerprint
         known = old.frame(spark)
         planned = staged(plan(known, current, old.dirty_frame(spark), rebuild), "ingest-plan")
         write = planned.where("write").select("source_path")

@@ -193,6 +193,35 @@ def test_manifest_of_an_earlier_version(spark, settings, tmp_path):
         index.needs_ingest(settings, engine.store)
 
 
+@pytest.mark.parametrize(
+    "change",
+    [{"version": True}, {"version": 4}, {"version": "2"}, {"storage_identity": ""}, {"storage_identity": 3}, {"index_fingerprint": []}, {"needs_reindex": "a"}, {"needs_reindex": [1]}, {"repair_required": 0}, {"sources": None}, {"sources": []}, {"sources": {"a": {"checksum": 1, "chunk_ids": []}}}, {"sources": {"a": {"checksum": "c"}}}, {"sources": {"a": {"checksum": "c", "chunk_ids": [None]}}}],
+)
+def test_manifests_with_values_of_other_types_are_refused(tmp_path, change):
+    good = {"version": 2, "storage_identity": "s", "index_fingerprint": None, "needs_reindex": ["b"], "repair_required": False, "sources": {"a": {"checksum": "c", "chunk_ids": ["x"]}}}
+    path = tmp_path / "m.json"
+    path.write_text(json.dumps(good))
+    assert index.Manifest.load(path).inline == (("a", "c", ["x"]),)
+    path.write_text(json.dumps(good | change))
+    with pytest.raises(DataFormatError, match="no manifest"):
+        index.Manifest.load(path)
+
+
+def test_who_owns_an_index(settings, tmp_path):
+    path = tmp_path / "m.json"
+    sources = {"a": {"checksum": "c", "chunk_ids": []}}
+    remote = settings.with_(backend="qdrant")
+    of = lambda body: (path.write_text(json.dumps(body)), index.Manifest.load(path))[1]
+    assert not index.Manifest().must_rebuild(remote, "me")
+    for body in ({"sources": {}}, {"version": 1, "sources": sources}, {"version": 2, "sources": sources}, {"version": 2, "sources": {}, "repair_required": True}):
+        assert of(body).must_rebuild(settings, "me")
+        with pytest.raises(StoreError, match="own"):
+            of(body).must_rebuild(remote, "me")
+    assert not of({"version": 2, "sources": {}}).must_rebuild(remote, "me") and not of({"version": 2, "storage_identity": "me", "sources": sources}).must_rebuild(remote, "me")
+    with pytest.raises(StoreError, match="another"):
+        of({"version": 2, "storage_identity": "you", "sources": {}}).must_rebuild(settings, "me")
+
+
 def test_interrupted_write_is_repaired(spark, settings, tmp_path, monkeypatch):
     write(tmp_path / "docs", a__md="text one")
     engine = Engine(spark, settings)
