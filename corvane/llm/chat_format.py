@@ -90,7 +90,7 @@ def format_windows(
     here, ahead = F.struct(F.lit(2).alias("kind"), F.col("block")), F.struct(F.lit(1).alias("kind"), (F.col("block") + 1).alias("block"))
     rows = own.select("conv_id", "turn", "role", "text", F.explode(F.when(goes_on, F.array(here, ahead)).otherwise(F.array(here))).alias("at")).select("conv_id", "at.block", "at.kind", "turn", "role", "text")
 
-    far = staged(own.where("block > 0").select("conv_id", "block").distinct(), "chat-blocks", lasting=True)
+    far = staged(own.where("block > 0").select("conv_id", "block").distinct(), "chat-blocks")
     n_far = far.count()
     if n_far:
         long = far.select("conv_id").distinct()
@@ -198,7 +198,7 @@ def read_back(turns: DataFrame, block_turns: int = BLOCK_TURNS, whole_chars: int
     """
     block = F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(0))
     sizes = turns.groupBy("conv_id").agg(F.min(block).alias("low"), F.max(block).alias("high"), F.sum(F.length("text")).alias("chars"))
-    large = staged(sizes.where((F.col("low") < F.col("high")) | (F.col("chars") > whole_chars)).select("conv_id", (F.col("chars") > whole_chars).alias("huge")), "chat-large", lasting=True)
+    large = staged(sizes.where((F.col("low") < F.col("high")) | (F.col("chars") > whole_chars)).select("conv_id", (F.col("chars") > whole_chars).alias("huge")), "chat-large")
     n_large = large.count()
 
     windows = format_windows(turns, block_turns=block_turns, **options)

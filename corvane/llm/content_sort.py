@@ -119,7 +119,7 @@ def exact_duplicates(
     start = F.substring("content", 1, PREFIX)
     ranges = rows.repartitionByRange(start, "hashed", "doc_id", "row").drop("row").sortWithinPartitions(start, "hashed", "content", "doc_id")
     ranges = ranges.withColumn("part", F.spark_partition_id())
-    runs = staged(ranges.mapInArrow(_runs, _RUN_SCHEMA), "content-runs", lasting=True)
+    runs = staged(ranges.mapInArrow(_runs, _RUN_SCHEMA), "content-runs")
 
     # A text goes on in the next range only if it has the last hash of one and the first of the next, so texts at the edges meet by content.
     edges = runs.where("edge_text IS NOT NULL").groupBy("edge_text").agg(
@@ -130,7 +130,7 @@ def exact_duplicates(
         F.max("summary").alias("long"),
     )
     edges = edges.where((F.size("members") > 1) | F.col("long")).select(F.explode("members").alias("m"), "all_max", "all_min", "all_size")
-    edges = staged(edges.select(F.col("m.part").alias("part"), F.col("m.run").alias("run"), "all_max", "all_min", "all_size"), "content-edges", lasting=True)
+    edges = staged(edges.select(F.col("m.part").alias("part"), F.col("m.run").alias("run"), "all_max", "all_min", "all_size"), "content-edges")
     # About two rows a range, and one for each long run.
     edges = F.broadcast(edges) if edges.count() <= BROADCAST_ROWS else edges.hint("merge")
     kept = F.coalesce(F.col(f"all_{keep}"), F.col(f"run_{keep}"))

@@ -77,7 +77,7 @@ def audit(masks: DataFrame, letters: Sequence[str]) -> DataFrame:
     if not 1 <= n <= MOST_FILTERS or len(set(letters)) != n or any(len(x) != 1 for x in letters):
         raise ValueError(f"1 to {MOST_FILTERS} filters with different names of one letter")
     spark = masks.sparkSession
-    counted = staged(masks.groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in FIGURES]), "filter-masks", lasting=True)
+    counted = staged(masks.groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in FIGURES]), "filter-masks")
 
     # Bounded by the number of filters alone: the intervals, the orders and the filters.
     intervals = F.broadcast(spark.createDataFrame(removal_intervals(n), "mask int, step int, first int, after int"))

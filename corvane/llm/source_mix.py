@@ -48,7 +48,7 @@ def draws(docs: DataFrame, name: str, id_col: str, text: Column, source_col: str
     """
     key = F.col(id_col)
     shared = docs.groupBy(key.alias("shared_id")).agg(F.count("*").alias("n")).where("shared_id IS NULL OR n > 1").select("shared_id")
-    shared = staged(shared, "shared-ids", lasting=True)
+    shared = staged(shared, "shared-ids")
     n_shared = shared.count()
     alone = docs.withColumn(name, unit_hash(key, seed))
     if not n_shared:
@@ -57,7 +57,7 @@ def draws(docs: DataFrame, name: str, id_col: str, text: Column, source_col: str
     same = key.eqNullSafe(F.col("shared_id"))
     own = {c: fresh(docs, f"{name}_{c}") for c in ("text", "task", "row")}
     several = docs.join(side, same, "left_semi").withColumns({own["text"]: F.md5(text.cast("binary")), own["task"]: F.spark_partition_id(), own["row"]: F.monotonically_increasing_id()})
-    several = staged(several, "shared-rows", lasting=True)
+    several = staged(several, "shared-rows")
     equal = [F.col(id_col), F.col(source_col), F.col(own["text"])]
     tasks = several.groupBy(*[c.alias(f"k{i}") for i, c in enumerate(equal)], F.col(own["task"]).alias("k3")).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("k0", "k1", "k2").orderBy("k3").rowsBetween(Window.unboundedPreceding, -1)
