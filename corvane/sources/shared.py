@@ -16,11 +16,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Spark then deletes the shuffle files of a query when the query has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of queries that are written: Spark deletes their shuffle files when they have ended, and sends at most so
+#: many bytes at once to a Python worker (by itself 64 MB, held by the executor and by each worker, as text and as Arrow).
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 _open = threading.local()
 _lock = threading.Lock()
-#: Tables that belong to a session itself, and how many blocks have its shuffle files removed.
+#: Tables that belong to a session itself, and how many blocks write in it, with the settings before.
 _of_session: dict[int, list[str]] = {}
 _cleaning: dict[int, list] = {}
 
@@ -60,13 +61,14 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def shuffle_files_removed(spark: SparkSession):
-    """Queries that run inside leave no shuffle files; for results that are written and not asked for again."""
+def writing(spark: SparkSession):
+    """Queries that run inside leave no shuffle files and feed Python in small batches; for results that are written and not asked for again."""
     key = _key(spark)
     with _lock:
-        held = _cleaning.setdefault(key, [0, spark.conf.get(_CLEANUP, None)])
+        held = _cleaning.setdefault(key, [0, {name: spark.conf.get(name, None) for name in _WRITING}])
         held[0] += 1
-        spark.conf.set(_CLEANUP, "true")
+        for name, value in _WRITING.items():
+            spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -74,10 +76,11 @@ def shuffle_files_removed(spark: SparkSession):
             held[0] -= 1
             if not held[0]:
                 del _cleaning[key]
-                if held[1] is None:
-                    spark.conf.unset(_CLEANUP)
-                else:
-                    spark.conf.set(_CLEANUP, held[1])
+                for name, value in held[1].items():
+                    if value is None:
+                        spark.conf.unset(name)
+                    else:
+                        spark.conf.set(name, value)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -97,7 +100,7 @@ def staged(df: DataFrame, label: str, codec: str = "zstd", lasting: bool = False
     """
     spark = df.sparkSession
     path = owned(spark, new_path(spark, label), lasting)
-    with shuffle_files_removed(spark):
+    with writing(spark):
         df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -54,7 +54,7 @@ def test_scopes_of_threads_and_sessions(spark):
     assert found["seen"] == 3 and not there(found["theirs"])
     shared.release(second)
     assert not there(elsewhere)
-    assert spark.conf.get(shared._CLEANUP, None) is None
+    assert all(spark.conf.get(name, None) in (None, "67108864b") for name in shared._WRITING)
 
 
 def test_no_local_folder_on_a_cluster():
@@ -76,9 +76,21 @@ def test_no_local_folder_on_a_cluster():
         shared.shared_folder(Session())
 
 
-def test_shuffle_files_go_with_the_query(spark):
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    with shared.shuffle_files_removed(spark):
-        assert spark.conf.get(key) == "true"
-    assert spark.conf.get(key, None) == before
+def test_settings_of_queries_that_are_written(spark):
+    before = {name: spark.conf.get(name, None) for name in shared._WRITING}
+    with shared.writing(spark), shared.writing(spark):
+        assert {name: spark.conf.get(name) for name in shared._WRITING} == shared._WRITING
+    assert {name: spark.conf.get(name, None) for name in shared._WRITING} == before
+
+
+def test_python_gets_small_batches_of_what_is_staged(spark):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["bytes"])
+
+    rows = spark.range(0, 64, 1, 1).selectExpr("repeat('x', 500000) AS text").mapInArrow(sizes, "bytes long")
+    assert rows.count() == 1
+    found = [r.bytes for r in shared.staged(rows, "sizes").collect()]
+    assert len(found) > 3 and max(found) <= 9_000_000 and sum(found) >= 32_000_000
