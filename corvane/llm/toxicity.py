@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +40,8 @@ FUZZY_WORDS = (5, 9)
 INNOCENT = 0.0005
 #: A spelling that clean documents have counts from this log-odds on.
 SURE = 2.0
+#: States and words that a task remembers, about a kilobyte and 150 bytes each; beyond that it forgets them all and starts again.
+MOST_STATES, MOST_KNOWN = 200_000, 500_000
 CONTEXT = 60
 QUOTED, REPORTED = 0.95, 0.3
 THRESHOLD = 0.5
@@ -84,9 +85,9 @@ class FuzzyLexicon:
     edit in a beginning says little.
     """
 
-    def __init__(self, lexicon: Lexicon, most_states: int = 200_000):
+    def __init__(self, lexicon: Lexicon, most_states: int = MOST_STATES, most_known: int = MOST_KNOWN):
         self.lexicon = lexicon
-        self.most_states = most_states
+        self.most_states, self.most_known = most_states, most_known
         self.children: list[dict[str, int]] = [{}]
         self.edits_left = [0]  # the most edits of an entry below the node
         self.word_at: dict[int, tuple[str, float, int]] = {}
@@ -204,7 +205,7 @@ class FuzzyLexicon:
             found = self.find(word)
             known[word] = 0.0 if found is None else self.lexicon.spellings.get(word, found[0]) if found[1] else found[0]
         out = {word: known[word] for word in words if known[word]}
-        if len(known) > 500_000:
+        if len(known) > self.most_known:
             known.clear()
         return out
 
@@ -266,7 +267,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: Counter = Counter()
             for batch in batches:
-                for text in batch.column(0).to_pylist():
+                for text in (t.as_py() for t in batch.column(0)):
                     found.update(_terms(text) if only is None else _terms(_SPAN.sub(" ", text or "")) & only)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
 
@@ -320,7 +321,7 @@ def learn_spellings(lexicon: Lexicon, sample: DataFrame, toxic: int, other: int)
         fuzzy = FuzzyLexicon(lexicon)
         for batch in batches:
             rows = []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, label in zip((t.as_py() for t in batch.column(0)), batch.column(1).to_pylist()):
                 for word in sorted(set(_WORD.findall((text or "").lower()))):
                     found = fuzzy.find(word)
                     if found and found[1]:
@@ -385,7 +386,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, **colum
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fuzzy = FuzzyLexicon(lexicon)
             for batch in batches:
-                found = [document_figures(t, fuzzy) for t in batch.column(0).to_pylist()]
+                found = [document_figures(t.as_py(), fuzzy) for t in batch.column(0)]
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["label", "figures"])
 
         rows = sample.mapInArrow(run, "label int, figures array<double>").toArrow()
@@ -398,15 +399,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, **colum
 def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "toxicity_score") -> DataFrame:
     """``docs`` with a score from 0 to 1 in the new column ``name``."""
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fuzzy = FuzzyLexicon(model.lexicon)
         for batch in texts:
             if model.weights is None or not len(batch):
-                yield pd.Series(np.zeros(len(batch)))
+                yield pa.array(np.zeros(len(batch)))
                 continue
-            x = np.array([document_figures(t, fuzzy) for t in batch])
-            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
+            x = np.array([document_figures(t.as_py(), fuzzy) for t in batch])
+            yield pa.array(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
 
     return docs.withColumn(name, score(F.col(text_col)))
 
