@@ -43,17 +43,27 @@ SURE = 2.0
 #: States and words that a task remembers, about a kilobyte and 150 bytes each; beyond that it forgets them all and starts again.
 MOST_STATES, MOST_KNOWN = 200_000, 500_000
 CONTEXT = 60
-QUOTED, REPORTED = 0.95, 0.3
+#: What a quotation, a report somewhere in the window, and a report that governs the span explain of a hit.
+QUOTED, REPORTED, GOVERNED = 0.95, 0.3, 0.9
+#: Words that may stand between a reporting word and the span that it governs.
+GOVERNS = 2
 THRESHOLD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 # Quotation marks, and reporting words in English, German, French and Spanish.
 _OPEN, _CLOSE, _PLAIN = "“«„‹", "”»“›", "\""
 _REPORT = re.compile(
-    r"\b(?:said|says|wrote|writes|quoted?|quoting|called|calls|cited|reported|word|term"
-    r"|sagte|sagt|schrieb|schreibt|zitiert|zitierte|nannte|nennt|berichtet|wort|begriff"
-    r"|dit|disait|écrit|écrivait|cite|citait|appelle|appelait|rapporte|mot|terme"
-    r"|dijo|dice|escribió|escribe|cita|citó|llamó|llama|informó|palabra|término)\b"
+    r"\b(?:(?P<en>said|says|wrote|writes|quoted?|quoting|called|calls|cited|reported|word|term)"
+    r"|(?P<de>sagte|sagt|schrieb|schreibt|zitiert|zitierte|nannte|nennt|berichtet|wort|begriff)"
+    r"|(?P<fr>dit|disait|écrit|écrivait|cite|citait|appelle|appelait|rapporte|mot|terme)"
+    r"|(?P<es>dijo|dice|escribió|escribe|cita|citó|llamó|llama|informó|palabra|término))\b"
 )
+# Words that address the reader, by language, as "du" is such a word in German and an article in French.
+_ADDRESS = {
+    "en": re.compile(r"\b(?:you|your|yours|youre|u|ur)\b"),
+    "de": re.compile(r"\b(?:du|dich|dir|dein|deine|deiner|ihr|euch|euer|eure)\b"),
+    "fr": re.compile(r"\b(?:tu|te|toi|ton|ta|tes|vous|votre|vos)\b"),
+    "es": re.compile(r"\b(?:tú|ti|tus|usted|ustedes|vosotros|eres|sois)\b"),
+}
 _SPAN = re.compile(r"“[^”\n]*”|«[^»\n]*»|„[^“\n]*“|‹[^›\n]*›|\"[^\"\n]*\"")
 
 
@@ -213,17 +223,26 @@ class FuzzyLexicon:
 def mention(text: str, start: int, end: int, reach: int = CONTEXT) -> float:
     """From 0 (said by the author) to 1 (someone else's words): the score of the window around a span of lower-case ``text``.
 
-    Inside quotation marks of its line the span scores ``QUOTED``; a reporting
-    word counts the more the nearer it stands, at most ``REPORTED``, and both
-    together leave what neither explains.
+    Inside quotation marks of its line the span scores ``QUOTED``.  A reporting
+    word counts the more the nearer it stands, at most ``REPORTED``; one that
+    governs the span, with ``GOVERNS`` words or fewer between them in its
+    sentence, counts ``GOVERNED``, unless the reader is addressed in the same
+    sentence and language, which is the author's own voice.  Quotation and report together
+    leave what neither explains.
     """
     left = text[max(0, start - reach) : start]
     right = text[end : end + reach]
     left = left[left.rfind("\n") + 1 :]
     right = right.partition("\n")[0]
     quoted = any(left.rfind(a) > left.rfind(b) and b in right for a, b in zip(_OPEN, _CLOSE)) or (left.count(_PLAIN) % 2 == 1 and _PLAIN in right)
-    near = [len(left) - m.end() for m in _REPORT.finditer(left)] + [m.start() for m in _REPORT.finditer(right)]
+    reports = list(_REPORT.finditer(left))
+    near = [len(left) - m.end() for m in reports] + [m.start() for m in _REPORT.finditer(right)]
     reported = REPORTED * (1 - min(near) / reach) if near else 0.0
+    if reports:
+        between = left[reports[-1].end() :]
+        sentence = re.split(r"[.!?]", left)[-1] + text[start:end] + re.split(r"[.!?]", right)[0]
+        if not re.search(r"[.!?;]", between) and len(_WORD.findall(between)) <= GOVERNS and not _ADDRESS[reports[-1].lastgroup].search(sentence):
+            reported = GOVERNED
     return 1 - (1 - QUOTED * quoted) * (1 - reported)
 
 

@@ -168,6 +168,41 @@ def test_toxicity_finds_misspelt_terms_and_spares_quotations(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count() - sum(r.predicted for r in toxicity.toxicity(docs, labels).collect())
 
 
+REPORTS = [
+    "the word {} is of greek origin",
+    "he called them {}",
+    "das wort {} kommt aus dem griechischen",
+    "sie nannte ihn einen {} und ging",
+    "le mot {} vient du grec",
+    "elle cite le terme {} dans son livre",
+    "la palabra {} viene del griego",
+    "los llamó {} y se fue",
+]
+VOICES = [
+    "you are a {}",
+    "i said it. you {}",
+    "mark my word you are a {}",
+    "du bist ein {}",
+    "das sagt ihr {}",
+    "tu es un {}",
+    "il le dit, vous {}",
+    "eres un {}",
+    "a {} wrote this",
+    "he called. what a {}",
+]
+
+
+def test_reports_are_told_from_the_authors_voice():
+    def own(text, hit="zorgle"):
+        text = text.format(hit)
+        at = text.index(hit)
+        return 1 - toxicity.mention(text, at, at + len(hit))
+
+    assert max(map(own, REPORTS)) <= 0.11 and min(map(own, VOICES)) >= 0.7
+    assert own("you wrote \"{}\" here") <= 0.06 and own("the word\n{}") == 1.0
+    assert own("{}") == 1.0 and own("he called them names and much else besides. {}") > 0.7
+
+
 def test_toxicity_on_the_given_tables(spark):
     """One edit in a term of the lexicon keeps the verdict, a quotation of it loses it, an innocent neighbour never has it."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
@@ -180,11 +215,12 @@ def test_toxicity_on_the_given_tables(spark):
     for w in fuzzy:
         rows += [(w, f"you are a {w}"), (w + " edit", f"you are a {w[:-2] + w[-1]}"), (w + " twice", f"you are a {w[:2] + w[1:]}")]
         rows += [(w + " quoted", f'they wrote "you are a {w}" there'), (w + " said", f"er sagte „{w}“ dazu"), (w + " both", f"»x« «{w}» a été dit")]
+        rows += [(w + " report", t.format(w)) for t in REPORTS] + [(w + " voice", t.format(w)) for t in VOICES[:1] + VOICES[3:4] + VOICES[5:6] + VOICES[7:8]]
     rows.append(("oron", "the oron and the oron"))
     more = spark.createDataFrame([(10**9 + i, neutral + t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id - 10**9: r for r in toxicity.toxicity(docs.union(more), labels).where("doc_id >= 1000000000").collect()}
     for i, (name, _) in enumerate(rows):
-        assert got[i].predicted == (0 if " quoted" in name or " said" in name or " both" in name or name == "oron" else 1), (name, got[i])
+        assert got[i].predicted == (0 if " quoted" in name or " said" in name or " both" in name or " report" in name or name == "oron" else 1), (name, got[i])
 
 
 def test_more_evidence_never_lowers_a_score():
