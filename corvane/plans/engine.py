@@ -28,17 +28,17 @@ def corpus_of(chunks: DataFrame) -> DataFrame:
 
     Positions are numbered range by range of the sorted paths and written with
     the chunks, so no task sorts them all and every later read sees the same.
+    What is searched is put together when read, as it holds the text once more.
     """
     section, source = F.col("metadata.section_title"), F.col("metadata.source_title")
     # Written first: finding the ranges would else chunk everything twice.
     ordered = staged(chunks, "chunks").repartitionByRange("source_path").sortWithinPartitions("source_path", "chunk_index")
-    return staged(
-        ordered.select(
-            F.monotonically_increasing_id().alias("position"), *[c for c in chunks.columns if c != "embedding"],
-            searchable_text(F.col("title"), section, F.col("text")).alias("searchable"), F.concat_ws(" ", "title", section, source).alias("metadata_text"),
-            *([F.col("embedding").alias("vector")] if "embedding" in chunks.columns else []),
-        ),
-        "corpus",
+    plain = [c for c in chunks.columns if c != "embedding"]
+    vector = [F.col("embedding").alias("vector")] if "embedding" in chunks.columns else []
+    written = staged(ordered.select(F.monotonically_increasing_id().alias("position"), *plain, *vector), "corpus")
+    return written.select(
+        "position", *plain, searchable_text(F.col("title"), section, F.col("text")).alias("searchable"), F.concat_ws(" ", "title", section, source).alias("metadata_text"),
+        *written.columns[len(plain) + 1 :],
     )
 
 
