@@ -68,3 +68,36 @@ def test_a_corpus_stores_each_text_once(spark):
     path = corpus.inputFiles()[0].rpartition("/")[0]
     assert "searchable" not in spark.read.parquet(path).columns
     assert [r.searchable for r in corpus.orderBy("position").select("searchable").collect()] == ["1 1 one two", "2 2 three"] and corpus.where(F.col("metadata_text") == "1 1 1").count() == 1
+
+
+def test_chunks_of_a_batch_leave_in_bounded_pieces():
+    """Six texts of 1 MB in one batch: the chunks of one leave before the next is read."""
+    from corvane.operators import chunking
+
+    paths = [f"a/{n}.md" for n in range(6)]
+    batch = pa.RecordBatch.from_arrays([pa.array(paths), pa.array(["t"] * 6), pa.array(["word and word. " * 70000] * 5 + ["short"])], ["source_path", "source_title", "text"])
+    parts = list(chunking.chunked("fixed", 800, 120)(iter([batch])))
+    assert [set(p.column(1).to_pylist()) for p in parts] == [{x} for x in paths] and [p.num_rows for p in parts] == [parts[0].num_rows] * 5 + [1]
+
+
+def test_postings_are_built_without_a_row_a_term(spark):
+    """Texts are dealt out by zone; nothing is grouped after that."""
+    from corvane.operators import postings
+
+    rng = random.Random(7)
+    rows = [(n * 7, "", (0, 0, "", "", None, None), " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9)))) for n in range(500)]
+    frame = spark.createDataFrame(rows, "position long, title string, metadata struct<start:int,end:int,chunk_strategy:string,source_title:string,section_title:string,heading_level:int>, text string")
+    made = postings.build(frame.repartition(5))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan
+    want = {}
+    for position, _, _, text in rows:
+        for t in set(text.split()):
+            want.setdefault((position >> 10, t), []).append((position & 1023, text.split().count(t), len(text.split())))
+    got = {(r.zone, r.term): r for r in made.collect()}
+    assert got.keys() == want.keys()
+    for key, r in got.items():
+        assert list(zip(r.docs, r.tfs, r.lengths)) == want[key]
+        blocks = sorted({d // postings.BLOCK for d in r.docs})
+        of = lambda b, key=key: [x for x in want[key] if x[0] // postings.BLOCK == b]
+        assert (r.blocks, r.most, r.shortest) == (blocks, [max(x[1] for x in of(b)) for b in blocks], [min(x[2] for x in of(b)) for b in blocks])
