@@ -14,6 +14,7 @@ ahead of the others to give all of them such a score to start from.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators.bm25 import B, BLOCK_TERMS, K1, exploded_terms, idf, query_terms, searchable_text
+from corvane.functions.batches import terms_of
+from corvane.operators.bm25 import B, BLOCK_TERMS, K1, idf, query_terms, searchable_text
 from corvane.sources.shared import staged
 
 ZONE, BLOCK = 1024, 4
@@ -35,25 +37,48 @@ def searchable() -> Column:
     return searchable_text(F.col("title"), F.col("metadata.section_title"), F.col("text"))
 
 
-def _field(name: str):
-    return lambda row: row[name]
-
-
 def build(rows: DataFrame) -> DataFrame:
-    """``rows (position, title, metadata, text)`` -> posting rows, each task's in order of term."""
+    """``rows (position, title, metadata, text)`` -> posting rows, zone by zone in order of term.
+
+    Texts are dealt out by zone and read in order, so a task holds the postings
+    of one zone, and no row a text and term is ever sorted or shuffled.
+    """
     zone, doc = F.shiftrightunsigned("position", 10).alias("zone"), F.col("position").bitwiseAND(F.lit(ZONE - 1)).cast("int").alias("doc")
-    # Dealt out by zone once: both groupings below go by it.
-    texts = rows.select(zone, doc, searchable().alias("text")).repartition("zone")
-    counted = exploded_terms(texts).groupBy("zone", "doc", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-    one = counted.groupBy("zone", "term", F.floor(F.col("doc") / BLOCK).cast("int").alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("doc", "tf", "length"))).alias("rows"), F.max("tf").alias("most"), F.min("length").cast("int").alias("shortest")
-    )
-    listed = one.groupBy("zone", "term").agg(F.array_sort(F.collect_list(F.struct("block", "rows", "most", "shortest"))).alias("parts"))
-    rows = F.flatten(F.transform("parts", lambda p: p["rows"]))
-    of_rows = [F.transform("rows", _field(f)).cast("array<int>").alias(n) for f, n in (("doc", "docs"), ("tf", "tfs"), ("length", "lengths"))]
-    of_blocks = [F.transform("parts", _field(f)).alias(n) for f, n in (("block", "blocks"), ("most", "most"), ("shortest", "shortest"))]
-    out = listed.withColumn("rows", rows).select("zone", "term", *of_rows, *of_blocks)
-    return out.sortWithinPartitions("term", "zone")
+    texts = rows.select(zone, doc, searchable().alias("text")).repartition("zone").sortWithinPartitions("zone", "doc")
+    return texts.mapInArrow(_zones, SCHEMA)
+
+
+def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting rows of ``(zone, doc, text)``, sorted by zone."""
+    at, known, parts, length = None, {}, [], np.zeros(ZONE, np.int64)
+    for batch in batches:
+        for zone, doc, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), terms_of(batch.column(2))):
+            if zone != at:
+                yield _zone_rows(at, known, parts, length)
+                at, known, parts, length = zone, {}, [], np.zeros(ZONE, np.int64)
+            length[doc] = len(words)
+            term, tf = np.unique(np.array([known.setdefault(w, len(known)) for w in words], np.int64), return_counts=True)
+            parts.append((term, np.full(len(term), doc), tf))
+    yield _zone_rows(at, known, parts, length)
+
+
+def _zone_rows(zone: int | None, known: dict[bytes, int], parts: list[tuple[np.ndarray, ...]], length: np.ndarray) -> pa.RecordBatch:
+    """A row a term of one zone."""
+    term, doc, tf = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+    names = sorted(known)
+    place = np.zeros(len(known), np.int64)
+    place[[known[t] for t in names]] = np.arange(len(names))
+    term = place[term]
+    order = np.lexsort((doc, term))
+    term, doc, tf = term[order], doc[order], tf[order]
+    size = length[doc]
+    # Where a block of a term begins among its rows, and a term among these blocks.
+    block = np.flatnonzero(np.diff(term * ZONE + doc // BLOCK, prepend=-1))
+    lists = lambda cuts, values: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int32()))
+    of_rows, of_blocks = (np.searchsorted(x, np.arange(len(names) + 1)) for x in (term, term[block]))
+    most, shortest = (np.maximum.reduceat(tf, block), np.minimum.reduceat(size, block)) if len(block) else (tf, size)
+    columns = [lists(of_rows, x) for x in (doc, tf, size)] + [lists(of_blocks, x) for x in (doc[block] // BLOCK, most, shortest)]
+    return pa.RecordBatch.from_arrays([pa.array([zone] * len(names), pa.int64()), pa.array([t.decode() for t in names], pa.string()), *columns], [c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def sizes(rows: DataFrame) -> DataFrame:
