@@ -1,7 +1,9 @@
 """Groups of texts by the Jaccard similarity of their word shingles.
 
 A SimHash radius cannot decide a similarity: a radius that holds all pairs of
-0.8 holds many more that lie below.  So cells of candidates come from min-hash
+0.8 holds many more that lie below.  So candidates come from the tile comparison
+of fingerprints (:func:`corvane.llm.simhash.near_links`), each link a cell of its
+two texts, and beside it, for pairs that no small radius holds, from min-hash
 bands; inside a cell SimHash fingerprints are compared by exclusive-or and bit
 counts, with a radius that a pair of 0.8 does not pass in practice, and what is
 left is decided by the true similarity of the shingle sets.  A cell is searched
@@ -12,7 +14,7 @@ text are one node.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +149,18 @@ def first_cells(members: DataFrame) -> DataFrame:
     return small.union(dealt.select(F.xxhash64("key", "t").alias("cell"), "row"))
 
 
+def fingerprint_cells(nodes: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(cell, row)``: every link that ``near`` finds between the fingerprints of ``nodes (row, fp)``, and every text with the first one of its fingerprint, as a cell of two."""
+    fps = staged(nodes.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("n")), "text-fingerprints")
+    n = fps.count()
+    of = lambda end: join_side(fps.select(F.col("fp").alias(end), F.col("first").alias(f"row_{end}")), n)
+    links = near(fps.select("fp")).distinct().join(of("a"), "a").join(of("b"), "b").select("row_a", "row_b")
+    shared = fps.where("n > 1")
+    same = nodes.join(join_side(shared.select("fp", "first"), shared.count()), "fp").where("row <> first").select(F.col("first").alias("row_a"), F.col("row").alias("row_b"))
+    both = links.union(same).select(F.xxhash64("row_a", "row_b", F.lit("fingerprints")).alias("cell"), F.array("row_a", "row_b").alias("rows"))
+    return both.select("cell", F.explode("rows").alias("row"))
+
+
 def own_tile():
     return F.pmod(F.xxhash64("mark", F.lit("tile")), F.col("tiles")).cast("int")
 
@@ -169,17 +183,17 @@ def rest_cells(members: DataFrame, roots: DataFrame, tile: int = TILE) -> DataFr
     return rest.unionByName(every).select(F.xxhash64("key", "t", "c", F.lit("rest")).alias("cell"), "row").distinct()
 
 
-def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, tile: int = TILE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, tile: int = TILE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", near: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, mark)`` of all rows, and ``(mark, root)`` of the texts that are linked.
 
     Two texts are linked if the Jaccard similarity of their word shingles is
     ``similarity`` or more, and share a root if links connect them.  Texts
-    without words are one group.  A pair of 0.8 is missed if it shares none of
-    the bands (a chance of 0.0004) or its fingerprints differ in more than
-    ``radius`` bits.
+    without words are one group.  ``near`` links fingerprints.  A pair of 0.8
+    that it does not link is missed if it shares none of the bands (a chance of
+    0.0004) or its fingerprints differ in more than ``radius`` bits.
     """
     rows = staged(shingled(docs, shingle, id_col, text_col), "shingles")
-    nodes = staged(rows.groupBy("mark").agg(F.min("row").alias("row"), F.min_by("keys", "row").alias("keys")), "texts")
+    nodes = staged(rows.groupBy("mark").agg(F.min("row").alias("row"), F.min_by("keys", "row").alias("keys"), F.min_by("fp", "row").alias("fp")), "texts")
     members = bucket_members(nodes, tile)
 
     def compared(cells: DataFrame) -> DataFrame:
@@ -187,7 +201,10 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
         full = cells.join(rows.select("row", "mark", "fp", "grams").hint("merge"), "row").select("cell", "mark", "fp", "grams")
         return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(similarity, radius), "a long, b long")
 
-    links = staged(compared(first_cells(members)), "similar")
+    cells = first_cells(members)
+    if near is not None:
+        cells = cells.unionByName(fingerprint_cells(nodes, near))
+    links = staged(compared(cells), "similar")
     roots = connected(links)
     rest = staged(rest_cells(members, roots, tile), "rest-cells")
     if rest.limit(1).count():

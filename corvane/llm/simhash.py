@@ -211,7 +211,8 @@ def keep_one(docs: DataFrame, similarity: float | None = None, id_col: str = "do
 
     Without ``similarity`` the groups are the components of
     :func:`near_duplicates`.  With it two texts are linked if the Jaccard
-    similarity of their word shingles reaches it: see :mod:`shingle_sets`.
+    similarity of their word shingles reaches it: an exact check of the links
+    of the tile comparison, and of further candidates: see :mod:`shingle_sets`.
     """
     with scratch(docs.sparkSession):
         if similarity is None:
@@ -220,7 +221,7 @@ def keep_one(docs: DataFrame, similarity: float | None = None, id_col: str = "do
             of_text = marked.select("mark", "fp").distinct().join(join_side(roots, roots.count()), F.col("node") == F.col("fp"), "left")
             of_text = of_text.select("mark", F.coalesce("root", "fp").alias("root"))
         else:
-            rows, of_text = shingle_sets.similar_texts(docs, similarity, id_col=id_col, text_col=text_col, **options)
+            rows, of_text = shingle_sets.similar_texts(docs, similarity, id_col=id_col, text_col=text_col, near=near_links, **options)
         return one_of_each(docs, rows, of_text, id_col, text_col)
 
 

@@ -326,3 +326,35 @@ def test_pipeline_near_duplicates_of_no_rows_and_no_ids(spark):
     rows = [(None, " ".join(base)), (None, " ".join(["edited", *base[1:]])), (None, "another text"), (1, None), (2, " "), (3, " ".join(base[:50]))]
     got = near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 4 and {r.doc_id for r in got} == {None, 1, 3}
+
+
+def test_pipeline_compares_fingerprints_tile_by_tile(spark, monkeypatch):
+    """Texts that share no band: the links of the tile comparison are found, checked by similarity, and nothing else is dropped."""
+    from pyspark.sql import functions as F
+
+    from corvane.llm.shingles import shingle_hashes
+
+    mark = lambda words: int(simhash.simhash(shingle_hashes(" ".join(words).encode(), 5, 42)))
+    families = [[f"w{f}x{i}" for i in range(600)] for f in range(6)]
+    rows = []
+    for f, words in enumerate(families):
+        rows.append((10 * f, " ".join(words)))
+        copy = next(c for n in range(600) if 0 < (mark(c := [*words[:n], "edited", *words[n + 1 :]]) ^ mark(words)).bit_count() <= 2)
+        rows.append((10 * f + 1, " ".join(copy)))
+    real, seen = shingle_sets.shingled, []
+
+    def apart(*args, **options):
+        return real(*args, **options).withColumn("keys", F.array("row"))
+
+    def tiles(nodes, *args, **options):
+        seen.append(nodes.count())
+        return links(nodes, *args, **options)
+
+    links = simhash.near_links
+    monkeypatch.setattr(shingle_sets, "shingled", apart)
+    monkeypatch.setattr(simhash, "near_links", tiles)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, similarity=0.8).collect()) == [10 * f for f in range(6)] and seen == [12]
+    # A link of fingerprints below the similarity is none.
+    monkeypatch.setattr(simhash, "near_links", lambda nodes: nodes.alias("x").crossJoin(nodes.alias("y")).selectExpr("x.fp AS a", "y.fp AS b").where("a < b"))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, similarity=0.8).collect()) == [10 * f for f in range(6)]
