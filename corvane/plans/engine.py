@@ -26,18 +26,19 @@ from corvane.sources.shared import scratch, staged
 def corpus_of(chunks: DataFrame) -> DataFrame:
     """Chunks as a corpus for ranking, with positions that rise with path and chunk number.
 
-    Positions are numbered range by range of the sorted paths and written with
-    the chunks, so no task sorts them all and every later read sees the same.
-    What is searched is put together when read, as it holds the text once more.
+    Chunks are written once, where they are made.  A position is a key that is
+    put together when read and compares as bytes: the path, the chunk number
+    and the row in the written table, which keeps equal paths apart.  So no
+    text is shuffled or written again for the sake of an order.  What is
+    searched is put together when read too, as it holds the text once more.
     """
     section, source = F.col("metadata.section_title"), F.col("metadata.source_title")
-    # Written first: finding the ranges would else chunk everything twice.
-    ordered = staged(chunks, "chunks").repartitionByRange("source_path").sortWithinPartitions("source_path", "chunk_index")
     plain = [c for c in chunks.columns if c != "embedding"]
     vector = [F.col("embedding").alias("vector")] if "embedding" in chunks.columns else []
-    written = staged(ordered.select(F.monotonically_increasing_id().alias("position"), *plain, *vector), "corpus")
+    written = staged(chunks.select(F.monotonically_increasing_id().alias("row"), *plain, *vector), "corpus")
+    digits = [F.lpad(F.lower(F.hex(c)), n, "0") for c, n in (("chunk_index", 8), ("row", 16))]
     return written.select(
-        "position", *plain, searchable_text(F.col("title"), section, F.col("text")).alias("searchable"), F.concat_ws(" ", "title", section, source).alias("metadata_text"),
+        F.concat_ws("\0", "source_path", *digits).alias("position"), *plain, searchable_text(F.col("title"), section, F.col("text")).alias("searchable"), F.concat_ws(" ", "title", section, source).alias("metadata_text"),
         *written.columns[len(plain) + 1 :],
     )
 
