@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import time
-from collections import Counter
+from array import array
+from collections import defaultdict
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
@@ -33,18 +34,32 @@ def token_slots(tokens: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return (raw + STEP * np.arange(BYTES)) % DIMENSIONS, 1 - 2 * (raw % 2)
 
 
+#: Tokens whose slots are counted at once.
+BLOCK_TOKENS = 1 << 15
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def hash_vector(texts: pd.Series) -> pd.Series:
-    """Unit hash vectors; blank texts give zeros.  A token is hashed once per batch."""
-    counts = [Counter((t or "").lower().split()) for t in texts]
-    number = {w: i for i, w in enumerate(set().union(*counts))}
+    """Unit hash vectors; blank texts give zeros.  A token is hashed once per batch, and counted with the tokens of many texts at once."""
+    number: defaultdict[str, int] = defaultdict(int)
+    # A new token gets the next number.
+    number.default_factory = number.__len__
+    ends, at = [0], array("q")
+    for t in texts:
+        at.extend(map(number.__getitem__, (t or "").lower().split()))
+        ends.append(len(at))
     slots, signs = token_slots(list(number))
-    out = np.zeros((len(counts), DIMENSIONS))
-    for row, c in zip(out, counts):
-        if c:
-            at = np.fromiter(map(number.__getitem__, c), np.int64, len(c))
-            times = np.fromiter(c.values(), np.int64, len(c))
-            row += np.bincount(slots[at].ravel(), (signs[at] * times[:, None]).ravel(), DIMENSIONS)
+    # One place for each slot and sign, so that whole numbers are counted and none are weighed.
+    place, at, ends = slots + DIMENSIONS * (signs < 0), np.frombuffer(at, np.int64), np.array(ends)
+    counts, first = np.zeros((len(texts), 2 * DIMENSIONS)), 0
+    while first < len(texts):
+        past = max(first + 1, int(np.searchsorted(ends, ends[first] + BLOCK_TOKENS, "right")) - 1)
+        for a in range(int(ends[first]), int(ends[past]), BLOCK_TOKENS):
+            z = min(a + BLOCK_TOKENS, int(ends[past]))
+            row = np.searchsorted(ends[first : past + 1], np.arange(a, z), "right") - 1
+            counts[first:past] += np.bincount((place[at[a:z]] + 2 * DIMENSIONS * row[:, None]).ravel(), minlength=2 * DIMENSIONS * (past - first)).reshape(past - first, -1)
+        first = past
+    out = counts[:, :DIMENSIONS] - counts[:, DIMENSIONS:]
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return pd.Series(list(np.divide(out, length, out=out, where=length > 0)))
 

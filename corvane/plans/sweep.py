@@ -21,12 +21,12 @@ from corvane.config import BACKENDS, CHUNK_STRATEGIES, MATRIX_CAP, RERANKERS, RE
 from corvane.errors import ConfigurationError, StoreError
 from corvane.functions.canonical import identity
 from corvane.operators import evaluation, ranking, rerank
-from corvane.operators.bm25 import BLOCK_TERMS
 from corvane.operators.chat import ChatProvider
 from corvane.operators.chunking import chunk_documents
 from corvane.operators.embedding import EmbeddingProvider, embed, embed_column
+from corvane.operators.store import side
 from corvane.plans.engine import answer, corpus_of, dispatch, missing
-from corvane.sources.shared import scratch, staged
+from corvane.sources.shared import discard, scratch, staged
 
 # Axis, setting, label prefix, choices, and whether it is swept unasked.
 AXES = (
@@ -98,32 +98,42 @@ def _depth(cell: Settings) -> int:
     return cell.top_k if cell.reranker == "none" else max(cell.rerank_candidate_k, cell.top_k)
 
 
-def _rankings(corpus: DataFrame, questions: DataFrame, own: Sequence[Settings]) -> DataFrame:
-    """``(strategy, window, rrf_k, query_id, rank, position, score)``: all rankings that the cells of one index cut their hits from."""
+def _rankings(corpus: DataFrame, questions: DataFrame, own: Sequence[Settings]) -> tuple[DataFrame, DataFrame]:
+    """All rankings that the cells of one index cut their hits from, and the chunks in them.
+
+    ``(strategy, window, rrf_k, query_id, rank, position, score)`` and the rows
+    of ``corpus`` without what is searched.  Both are written, so nothing reads
+    the corpus after it.
+    """
     depths: dict[str, int] = {}
     for cell in own:
         deep = cell.retrieval.window(_depth(cell)) if cell.retrieval_strategy == "hybrid_rrf" else _depth(cell)
         for ranker in ("dense", "lexical") if cell.retrieval_strategy == "hybrid_rrf" else (cell.retrieval_strategy,):
             depths[ranker] = max(deep, depths.get(ranker, 0))
     columns = ("query_id", "rank", "position", "score")
-    parts = []
-    if scans := {r: k for r, k in depths.items() if r != "lexical"}:
-        parts.append(ranking.scanned(corpus, questions, scans).select(F.col("ranker").alias("strategy"), *columns))
-    if "lexical" in depths:
-        parts.append(ranking.lexical(corpus, questions, depths["lexical"]).select(F.lit("lexical").alias("strategy"), *columns))
-    plain = staged(reduce(DataFrame.unionByName, parts), "sweep-rankings", lasting=True)
+    spark = corpus.sparkSession
+    # Rows that a scan writes go with it.
+    with scratch(spark):
+        parts = []
+        if scans := {r: k for r, k in depths.items() if r != "lexical"}:
+            parts.append(ranking.scanned(corpus, questions, scans).select(F.col("ranker").alias("strategy"), *columns))
+        if "lexical" in depths:
+            parts.append(ranking.lexical(corpus.drop("chunk_id"), questions, depths["lexical"]).select(F.lit("lexical").alias("strategy"), *columns))
+        plain = staged(reduce(DataFrame.unionByName, parts), "sweep-rankings", lasting=True)
+        ranked = staged(plain.select("position").distinct(), "sweep-positions")
+        # A few rows a query and list: only these chunks are looked up.
+        texts = staged(corpus.drop("vector", "searchable", "metadata_text").join(side(ranked, ranked.count()), "position"), "sweep-texts", lasting=True)
     none = F.lit(None).cast("int")
     out = [plain.select("strategy", none.alias("window"), none.alias("rrf_k"), *columns)]
-    chunk_ids = corpus.select("position", "chunk_id")
+    chunk_ids = texts.select("position", "chunk_id")
     fused = {(c.retrieval.window(_depth(c)), c.rrf_k, _depth(c)) for c in own if c.retrieval_strategy == "hybrid_rrf"}
     for window, rrf_k in sorted({f[:2] for f in fused}):
-        # A few rows a query and list: ids are looked up for these alone.
         lists = plain.where(F.col("strategy").isin("dense", "lexical") & (F.col("rank") <= window)).join(chunk_ids, "position")
         both = [lists.where(F.col("strategy") == r) for r in ("dense", "lexical")]
         deep = max(d for w, r, d in fused if (w, r) == (window, rrf_k))
         best = ranking.top_k(ranking.fuse(both, rrf_k), deep, F.col("chunk_id"))
         out.append(best.select(F.lit("hybrid_rrf").alias("strategy"), F.lit(window).alias("window"), F.lit(rrf_k).alias("rrf_k"), *columns))
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, out), texts
 
 
 def evaluate_cells(planned: Sequence[tuple[int, Settings]], documents: DataFrame, cases: DataFrame, chat: ChatProvider | None = None, embedder: EmbeddingProvider | None = None, reranker: ChatProvider | None = None) -> DataFrame:
@@ -150,11 +160,15 @@ def evaluate_cells(planned: Sequence[tuple[int, Settings]], documents: DataFrame
     for number, (key, own) in enumerate(indexes.items()):
         chunks = chunk_documents(documents, *key)
         if vectors:
-            chunks, status = embed(chunks, embedder, *options) if embedder else (chunks.withColumn("embedding", embed_column(F.col("text"))), {"mode": "fallback"})
+            chunks, status = embed(chunks, embedder, *options) if embedder else (chunks, {"mode": "fallback"})
             modes[number] = status["mode"]
         corpus = corpus_of(chunks)
-        found.append(_rankings(corpus, questions, [c for _, c in own]).withColumn("index", F.lit(number)))
-        texts.append(corpus.drop("vector", "searchable", "metadata_text").withColumn("index", F.lit(number)))
+        # Hash vectors are worked out by the scan: 128 numbers a chunk take longer to write and read, and as much disk as the texts.
+        whole = corpus if embedder or not vectors else corpus.withColumn("vector", embed_column(F.col("text")))
+        rankings, hits_of = _rankings(whole, questions, [c for _, c in own])
+        discard(spark, corpus)
+        found.append(rankings.withColumn("index", F.lit(number)))
+        texts.append(hits_of.withColumn("index", F.lit(number)))
         embedding = "live" if vectors and {modes["questions"], modes[number]} == {"live"} else "fallback"
         for run_no, c in own:
             fused = c.retrieval_strategy == "hybrid_rrf"
@@ -169,8 +183,7 @@ def evaluate_cells(planned: Sequence[tuple[int, Settings]], documents: DataFrame
     # A case of a cell is a question of its own from here on.
     own_id = F.struct("run_no", F.col("query_id").alias("case_id"))
     lists = staged(lists.select("c.run_no", "l.index", "c.top_k", "c.reranker", "l.query_id", "l.rank", "l.position", "l.score"), "sweep-lists")
-    side = F.broadcast(lists) if lists.count() <= BLOCK_TERMS else lists.hint("merge")
-    hits = reduce(DataFrame.unionByName, texts).join(side, ["index", "position"]).withColumn("query_id", own_id)
+    hits = reduce(DataFrame.unionByName, texts).join(side(lists, lists.count()), ["index", "position"]).withColumn("query_id", own_id)
     hits = staged(hits, "sweep-hits")
 
     plain = hits.where("reranker = 'none'").where("rank <= top_k").withColumns({"rerank_mode": F.lit("ready"), "rerank_reason": F.lit("reranker_disabled")})

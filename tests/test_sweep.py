@@ -123,3 +123,21 @@ def test_canonical_json(spark):
 def test_identities_of_cells(spark):
     one = lambda **changes: sweep.configurations(spark, [(0, Settings(**changes))]).first().configuration_identity
     assert one() == one(chat_key="secret", docs_dir="elsewhere", index_path="/x") and len({one(), one(top_k=5), one(chunk_size=801), one(embedding_model="m")}) == 4
+
+
+def test_an_index_of_a_sweep_leaves_no_corpus_and_writes_no_hash_vectors(spark, given, monkeypatch):
+    from pathlib import Path
+
+    from corvane.plans import engine
+    from corvane.sources import shared
+
+    docs, cases = given
+    columns = []
+    monkeypatch.setattr(engine, "staged", lambda df, label, *a, **b: columns.append(df.columns) or shared.staged(df, label, *a, **b))
+    with shared.scratch(spark):
+        cells = list(enumerate(sweep.cells(Settings(), {"chunk_strategies": ["fixed", "markdown"]})))
+        totals = sweep.evaluate_cells(cells, docs, cases)
+        left = {p.rpartition("/")[2].rpartition("-")[0] for p in shared._scopes(spark)[-1] if list(Path(p.removeprefix("file://")).glob("*.parquet"))}
+        assert not left & {"corpus", "chunks", "scan-rows", "query-terms"} and "sweep-texts" in left
+        assert len(columns) == 2 and not any({"vector", "embedding"} & set(c) for c in columns)
+        assert totals.count() == 8
