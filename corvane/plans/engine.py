@@ -18,7 +18,7 @@ from corvane.operators.bm25 import searchable_text
 from corvane.operators.chat import ChatProvider
 from corvane.operators.embedding import EmbeddingProvider, embed
 from corvane.operators.index import ingest, needs_ingest
-from corvane.operators.store import ParquetStore
+from corvane.operators.store import ParquetStore, side
 from corvane.sources.corpus import list_documents, read_documents
 from corvane.sources.shared import scratch, staged
 
@@ -32,17 +32,43 @@ def corpus_of(chunks: DataFrame) -> DataFrame:
     text is shuffled or written again for the sake of an order.  What is
     searched is put together when read too, as it holds the text once more.
     """
-    section, source = F.col("metadata.section_title"), F.col("metadata.source_title")
     plain = [c for c in chunks.columns if c != "embedding"]
     vector = [F.col("embedding").alias("vector")] if "embedding" in chunks.columns else []
     written = staged(chunks.select(F.monotonically_increasing_id().alias("row"), *plain, *vector), "corpus")
-    digits = [F.lpad(F.lower(F.hex(c)), n, "0") for c, n in (("chunk_index", 8), ("row", 16))]
-    return written.select(
-        F.concat_ws("\0", "source_path", *digits).alias("position"), *plain, searchable_text(F.col("title"), section, F.col("text")).alias("searchable"), F.concat_ws(" ", "title", section, source).alias("metadata_text"),
-        *written.columns[len(plain) + 1 :],
+    return _placed(written, plain, F.lpad(F.lower(F.hex("row")), 16, "0"), *written.columns[len(plain) + 1 :])
+
+
+def passing_corpus(chunks: DataFrame) -> DataFrame:
+    """Chunks as a corpus for ranking that is written nowhere: each pass makes them again from their documents.
+
+    A position ends in a digest of the chunk where :func:`corpus_of` has the
+    row, so it is the same in every pass; only equal chunks of equal paths share one.
+    """
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("start_char", "end_char", "metadata.heading_level", "metadata.section_title", "title", "text")]
+    return _placed(chunks, chunks.columns, F.substring(F.sha2(F.concat_ws("\0", *own).cast("binary"), 256), 1, 32))
+
+
+def _placed(chunks: DataFrame, plain: list[str], last: Column, *more: str) -> DataFrame:
+    """Chunks with a position, which ends in ``last``, and what is searched."""
+    section, source = F.col("metadata.section_title"), F.col("metadata.source_title")
+    return chunks.select(
+        F.concat_ws("\0", "source_path", F.lpad(F.lower(F.hex("chunk_index")), 8, "0"), last).alias("position"), *plain,
+        searchable_text(F.col("title"), section, F.col("text")).alias("searchable"), F.concat_ws(" ", "title", section, source).alias("metadata_text"), *more,
     )
 
 
+def with_chunks(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``ranked (query_id, rank, position, score)`` with the chunks at its positions, by one pass over the corpus.
+
+    Hashes of the positions go to all tasks, eight bytes each, so only chunks
+    that were ranked leave them.  Those that share a position are equal, and one serves for all.
+    """
+    at, n = F.xxhash64("position"), ranked.count()
+    wanted = F.broadcast(ranked.select(at.alias("at")).distinct())
+    found = corpus.drop("searchable", "metadata_text").withColumn("at", at).join(wanted, "at", "left_semi").drop("at").dropDuplicates(["position"])
+    return found.join(side(ranked, n), "position")
+
+
 def retrieve(corpus: DataFrame, questions: DataFrame, settings: Settings, k: int | None = None, ask: Callable[[Column], Column] | None = None, reranker: ChatProvider | None = None, stored: ranking.StoredRanking | None = None) -> DataFrame:
     """Two-stage retrieval: hits with their chunks for every question ``(query_id, text, vector)``.
 

@@ -54,3 +54,53 @@ def test_hits_leave_no_corpus(spark):
         n = hits.count()
         left = {path.rpartition("/")[2].rpartition("-")[0] for path in shared._scopes(spark)[-1] if list(Path(path.removeprefix("file://")).glob("*.parquet"))}
         assert "hits" in left and not left & {"corpus", "chunks"} and hits.count() == n > 0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the given tables")
+@pytest.mark.parametrize("name", ["citations", "citation_spans", "extractive_answer", "eval_metrics", "eval_summary", "failure_reasons"])
+def test_no_text_of_the_corpus_is_written(spark, monkeypatch, name):
+    """Only terms of questions, keys of ranked chunks and the hits are, and of these the hits alone stay."""
+    written = []
+    for module in (engine, queries, bm25, ranking):
+        monkeypatch.setattr(module, "staged", lambda df, label, *a, **b: written.append(label) or shared.staged(df, label, *a, **b))
+    with shared.scratch(spark):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+        left = [path.rpartition("/")[2].rpartition("-")[0] for path in shared._scopes(spark)[-1]]
+    assert written == ["query-terms", "ranked", "hits"] and left == ["hits"]
+
+
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_an_unwritten_corpus_gives_the_hits_of_a_written_one(spark, tasks):
+    """Equal chunks of equal paths are hits of their own; paths and texts may repeat apart, and a path may be null."""
+    rng = random.Random(tasks)
+    rows = [(rng.choice(["a.md", "b/c.md", None]), rng.choice(["red fox", "# red\nred dog", "blue fox " * 150, " red fox", ""])) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "source_path string, text string").repartition(tasks)
+    asked = spark.createDataFrame([(1, "fox"), (2, "red dog"), (3, "green")], "query_id int, text string")
+    columns = ("query_id", "rank", "chunk_id", "source_path", "title", "text", "chunk_index", "start_char", "end_char")
+    with shared.scratch(spark):
+        written, passing = (make(chunk_documents(docs, "fixed", 800, 120)) for make in (engine.corpus_of, engine.passing_corpus))
+        want = ranking.lexical(written.drop("chunk_id"), asked, 400).drop("chunk_id").join(written, "position")
+        got = engine.with_chunks(shared.staged(ranking.lexical(passing.drop("chunk_id"), asked, 400).drop("chunk_id"), "ranked"), passing)
+        want, got = ([tuple(r) for r in x.select(*columns).orderBy("query_id", "rank").collect()] for x in (want, got))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and len({r[:2] for r in got}) == len(got) > 40
+    # Chunks of equal scores, paths and numbers rank by row in one and by content in the other.
+    assert sorted(repr(r[:1] + r[2:]) for r in got) == sorted(repr(r[:1] + r[2:]) for r in want)
+
+
+def test_ranked_chunks_are_found_without_a_shuffle_of_the_corpus(spark):
+    docs = spark.createDataFrame([(f"{n}.md", f"word{n % 9} " * 200) for n in range(50)], "source_path string, text string")
+    corpus = engine.passing_corpus(chunk_documents(docs, "fixed", 800, 120))
+    some = corpus.limit(3).select(F.lit(1).alias("query_id"), F.lit(1).alias("rank"), "position", F.lit(1.0).alias("score"))
+    with shared.scratch(spark):
+        plan = engine.with_chunks(shared.staged(some, "ranked"), corpus)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    # The first step above the chunks, read upwards, is the broadcast semi join; shuffles come after it.
+    chunked = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    above = [line for line in lines[:chunked] if "Exchange" in line or "LeftSemi" in line]
+    assert "LeftSemi" in above[-1] and "BroadcastHashJoin" in above[-1]
+
+
+def test_only_small_tables_are_dealt_out_anew(spark):
+    cores = spark.sparkContext.defaultParallelism
+    wide, narrow = spark.range(0, 100, 1, cores - 1), spark.range(0, 100, 1, 1)
+    assert queries.spread(wide).rdd.getNumPartitions() == cores - 1 and queries.spread(narrow).rdd.getNumPartitions() == cores
