@@ -69,6 +69,21 @@ def test_no_text_of_the_corpus_is_written(spark, monkeypatch, name):
     assert written == ["query-terms", "ranked", "hits"] and left == ["hits"]
 
 
+def test_what_leaves_a_ranking_does_not_grow_with_its_tasks(spark, monkeypatch, tmp_path):
+    """Chunks go on to the shuffle for what they score in the whole corpus, so most tasks send fewer than k rows a question."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(n, " ".join(rng.choices(words, k=rng.randint(5, 60))), "en", f"s{n % 3}") for n in range(1600)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(16).write.parquet(f"{tmp_path}/documents.parquet")
+    sent = []
+    monkeypatch.setattr(bm25, "best", lambda *a, of=bm25.best, **b: sent.append(of(*a, **b)) or sent[-1])
+    monkeypatch.setattr(queries, "documents", lambda s, sf, of=queries.documents: of(s, sf).repartition(16))
+    with shared.scratch(spark):
+        assert queries._hits(spark, str(tmp_path)).count() == 16 * queries.K
+        assert sent[0].rdd.getNumPartitions() == 16
+        assert 16 * queries.K <= sent[0].count() < 16 * queries.K * 16 / 1.5
+
+
 @pytest.mark.parametrize("tasks", [1, 5])
 def test_an_unwritten_corpus_gives_the_hits_of_a_written_one(spark, tasks):
     """Equal chunks of equal paths are hits of their own; paths and texts may repeat apart, and a path may be null."""

@@ -54,6 +54,19 @@ def test_bm25_vectors(spark):
     assert bm25.scores(corpus_of(spark, ["", None]), asked(spark, ["a"])).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 3, 40])
+@pytest.mark.parametrize("block_terms", [200_000, 3])
+def test_a_part_that_is_scored_first_changes_no_ranking(spark, block_terms, k):
+    """Parts with many, few and no rows, and with all; ties stand at the k-th place."""
+    docs, queries = texts(21, 90), [*texts(22, 6), "absent"]
+    corpus, questions = corpus_of(spark, docs).repartition(7), asked(spark, queries)
+    want = rows_of(ranking.top_k(bm25.best(corpus, questions, k, block_terms=block_terms), k, F.col("position")))
+    for share in ("position % 3 = 0", "position < 2", "false", "true"):
+        got = rows_of(ranking.top_k(bm25.best(corpus, questions, k, block_terms=block_terms, part=corpus.where(share)), k, F.col("position")))
+        assert {q: [p for p, _ in rows] for q, rows in got.items()} == {q: [p for p, _ in rows] for q, rows in want.items()}
+        assert all(abs(a[1] - b[1]) < 1e-9 for q in want for a, b in zip(got[q], want[q]))
+
+
 @pytest.mark.parametrize("block", [2048, 2])
 def test_dense_and_blended(spark, block):
     docs, queries = texts(3, 50), texts(4, 6)
