@@ -22,6 +22,9 @@ from corvane.operators.store import ParquetStore, side
 from corvane.sources.corpus import list_documents, read_documents
 from corvane.sources.shared import scratch, staged
 
+#: One document in so many is scored ahead of all, for what the best chunks score at least.
+FIRST = 8
+
 
 def corpus_of(chunks: DataFrame) -> DataFrame:
     """Chunks as a corpus for ranking, with positions that rise with path and chunk number.
@@ -48,6 +51,11 @@ def passing_corpus(chunks: DataFrame) -> DataFrame:
     return _placed(chunks, chunks.columns, F.substring(F.sha2(F.concat_ws("\0", *own).cast("binary"), 256), 1, 32))
 
 
+def part_of(rows: DataFrame) -> DataFrame:
+    """What comes from one source path in ``FIRST``, of documents or chunks."""
+    return rows.where(F.pmod(F.xxhash64("source_path"), F.lit(FIRST)) == 0)
+
+
 def _placed(chunks: DataFrame, plain: list[str], last: Column, *more: str) -> DataFrame:
     """Chunks with a position, which ends in ``last``, and what is searched."""
     section, source = F.col("metadata.section_title"), F.col("metadata.source_title")

@@ -101,3 +101,45 @@ def test_postings_are_built_without_a_row_a_term(spark):
         blocks = sorted({d // postings.BLOCK for d in r.docs})
         of = lambda b, key=key: [x for x in want[key] if x[0] // postings.BLOCK == b]
         assert (r.blocks, r.most, r.shortest) == (blocks, [max(x[1] for x in of(b)) for b in blocks], [min(x[2] for x in of(b)) for b in blocks])
+
+
+def test_terms_of_a_piece_are_those_of_its_texts_one_by_one():
+    """Terms of 1 to 40 letters, known or not, beside each other's texts, in slices and with nulls."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcAB_9é") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 18, 40])))
+    vocabulary = [word() for _ in range(300)]
+    rows = [rng.choice([None, "", " ", "".join(rng.choice(vocabulary) + rng.choice(["", " ", ", ", "\n"]) for _ in range(rng.randint(0, 30)))]) for _ in range(400)]
+    own = [model.terms(r or "") for r in rows]
+    known = {t.encode(): i for i, t in enumerate(sorted({t for terms in own for t in terms})[::2])}
+    words = batches.Words(known)
+    for a, z in ((0, 400), (37, 38), (100, 390)):
+        length, number = words.read(pa.array(rows).slice(a, z - a))
+        assert length.tolist() == [len(t) for t in own[a:z]]
+        assert number.tolist() == [known.get(t.encode(), -1) for terms in own[a:z] for t in terms]
+    assert [x.tolist() for x in batches.Words({}).read(pa.array(["a", None]))] == [[1, 0], [-1]]
+
+
+def test_positions_are_compared_only_where_scores_are_equal():
+    class Place(str):
+        compared = 0
+
+        def __lt__(self, other):
+            Place.compared += 1
+            return str(self) < str(other)
+
+    place = lambda names: np.array([*map(Place, names), None], object)[:-1]
+    best = batches.Best(2, 2)
+    best.add(np.array([1, 0, 0, 1]), place("dcba"), np.array([0.5, 3.0, 2.0, 0.7]))
+    assert not Place.compared and best.position.tolist() == ["c", "b", "a", "d"]
+    best.add(np.array([0, 0, 1]), place("xak"), np.array([2.0, 2.0 + 1e-12, 0.1]))
+    assert Place.compared and best.position.tolist() == ["c", "a", "a", "d"] and best.floor.tolist() == [2.0, 0.5]
+
+
+def test_many_questions_read_the_texts_once_for_statistics(spark, monkeypatch):
+    """250,000 terms of questions are one block."""
+    reads = []
+    plain = bm25.frequencies
+    monkeypatch.setattr(bm25, "frequencies", lambda *args: reads.append(1) or plain(*args))
+    asked = spark.range(2500).selectExpr("id AS query_id", "concat_ws(' ', transform(sequence(0, 99), x -> concat('t', (id * 7 + x) % 5000))) AS text")
+    corpus = spark.createDataFrame([(0, "t5 t6"), (1, "t6 t9999")], "position long, text string")
+    assert bm25.best(corpus, asked, 1).count() > 0 and len(reads) == 1

@@ -94,3 +94,13 @@ def test_python_gets_small_batches_of_what_is_staged(spark):
     assert rows.count() == 1
     found = [r.bytes for r in shared.staged(rows, "sizes").collect()]
     assert len(found) > 3 and max(found) <= 9_000_000 and sum(found) >= 32_000_000
+
+
+def test_staged_tables_are_read_by_many_tasks(spark, monkeypatch):
+    """A table that one task wrote is cut to files of a bounded number of rows, and a query that is written reads them in tasks for all cores."""
+    monkeypatch.setattr(shared, "FILE_ROWS", 30)
+    table = shared.staged(spark.range(100).coalesce(1), "rows")
+    assert len(table.inputFiles()) == 4
+    with shared.writing(spark):
+        assert spark.conf.get("spark.sql.files.minPartitionNum") == str(2 * spark.sparkContext.defaultParallelism)
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
