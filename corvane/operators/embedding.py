@@ -7,6 +7,7 @@ import time
 from array import array
 from collections import defaultdict
 from collections.abc import Callable, Sequence
+from itertools import islice
 from typing import Protocol
 
 import numpy as np
@@ -34,34 +35,54 @@ def token_slots(tokens: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return (raw + STEP * np.arange(BYTES)) % DIMENSIONS, 1 - 2 * (raw % 2)
 
 
-#: Tokens whose slots are counted at once.
-BLOCK_TOKENS = 1 << 15
+#: Tokens whose slots are counted at once, and that are kept from one batch to the next.
+BLOCK_TOKENS, MOST_TOKENS = 1 << 15, 1 << 18
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def hash_vector(texts: pd.Series) -> pd.Series:
-    """Unit hash vectors; blank texts give zeros.  A token is hashed once per batch, and counted with the tokens of many texts at once."""
-    number: defaultdict[str, int] = defaultdict(int)
-    # A new token gets the next number.
-    number.default_factory = number.__len__
-    ends, at = [0], array("q")
-    for t in texts:
-        at.extend(map(number.__getitem__, (t or "").lower().split()))
-        ends.append(len(at))
-    slots, signs = token_slots(list(number))
-    # One place for each slot and sign, so that whole numbers are counted and none are weighed.
-    place, at, ends = slots + DIMENSIONS * (signs < 0), np.frombuffer(at, np.int64), np.array(ends)
+class Tokens:
+    """Tokens by number with their places in a vector, one for each slot and sign; begun anew once there are ``MOST_TOKENS``."""
+
+    def __init__(self):
+        self.number: defaultdict[str, int] = defaultdict(int)
+        # A new token gets the next number.
+        self.number.default_factory = self.number.__len__
+        self.place = np.zeros((0, BYTES), np.uint8)
+
+    def read(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the tokens of all texts, and where each text's begin and the last one's end."""
+        if len(self.number) > MOST_TOKENS:
+            self.__init__()
+        ends, at = [0], array("q")
+        for t in texts:
+            at.extend(map(self.number.__getitem__, (t or "").lower().split()))
+            ends.append(len(at))
+        slots, signs = token_slots(list(islice(self.number, len(self.place), None)))
+        self.place = np.concatenate([self.place, (slots + DIMENSIONS * (signs < 0)).astype(np.uint8)])
+        return np.frombuffer(at, np.int64), np.array(ends)
+
+
+def hash_vectors(texts: Sequence[str | None], tokens: Tokens | None = None) -> np.ndarray:
+    """Unit hash vectors, a row each; blank texts give zeros.  A token is hashed once for as long as ``tokens`` has it, and counted with the tokens of many texts at once."""
+    tokens = tokens or Tokens()
+    at, ends = tokens.read(texts)
+    # Whole numbers are counted and none are weighed.
     counts, first = np.zeros((len(texts), 2 * DIMENSIONS)), 0
     while first < len(texts):
         past = max(first + 1, int(np.searchsorted(ends, ends[first] + BLOCK_TOKENS, "right")) - 1)
         for a in range(int(ends[first]), int(ends[past]), BLOCK_TOKENS):
             z = min(a + BLOCK_TOKENS, int(ends[past]))
             row = np.searchsorted(ends[first : past + 1], np.arange(a, z), "right") - 1
-            counts[first:past] += np.bincount((place[at[a:z]] + 2 * DIMENSIONS * row[:, None]).ravel(), minlength=2 * DIMENSIONS * (past - first)).reshape(past - first, -1)
+            counts[first:past] += np.bincount((tokens.place[at[a:z]] + 2 * DIMENSIONS * row[:, None]).ravel(), minlength=2 * DIMENSIONS * (past - first)).reshape(past - first, -1)
         first = past
     out = counts[:, :DIMENSIONS] - counts[:, DIMENSIONS:]
     length = np.linalg.norm(out, axis=1, keepdims=True)
-    return pd.Series(list(np.divide(out, length, out=out, where=length > 0)))
+    return np.divide(out, length, out=out, where=length > 0)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def hash_vector(texts: pd.Series) -> pd.Series:
+    """:func:`hash_vectors` of a batch."""
+    return pd.Series(list(hash_vectors(texts)))
 
 
 def call_with_retry(call: Callable[[], list], retries: int, backoff_ms: int, transient: Callable[[Exception], bool]) -> tuple[list, int]:

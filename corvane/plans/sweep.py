@@ -23,9 +23,9 @@ from corvane.functions.canonical import identity
 from corvane.operators import evaluation, ranking, rerank
 from corvane.operators.chat import ChatProvider
 from corvane.operators.chunking import chunk_documents
-from corvane.operators.embedding import EmbeddingProvider, embed, embed_column
+from corvane.operators.embedding import EmbeddingProvider, embed
 from corvane.operators.store import side
-from corvane.plans.engine import answer, corpus_of, dispatch, missing
+from corvane.plans.engine import answer, corpus_of, dispatch, missing, part_of
 from corvane.sources.shared import discard, scratch, staged
 
 # Axis, setting, label prefix, choices, and whether it is swept unasked.
@@ -114,11 +114,11 @@ def _rankings(corpus: DataFrame, questions: DataFrame, own: Sequence[Settings])
     spark = corpus.sparkSession
     # Rows that a scan writes go with it.
     with scratch(spark):
-        parts = []
+        parts, first = [], part_of(corpus)
         if scans := {r: k for r, k in depths.items() if r != "lexical"}:
-            parts.append(ranking.scanned(corpus, questions, scans).select(F.col("ranker").alias("strategy"), *columns))
+            parts.append(ranking.scanned(corpus, questions, scans, part=first).select(F.col("ranker").alias("strategy"), *columns))
         if "lexical" in depths:
-            parts.append(ranking.lexical(corpus.drop("chunk_id"), questions, depths["lexical"]).select(F.lit("lexical").alias("strategy"), *columns))
+            parts.append(ranking.lexical(corpus.drop("chunk_id"), questions, depths["lexical"], first).select(F.lit("lexical").alias("strategy"), *columns))
         plain = staged(reduce(DataFrame.unionByName, parts), "sweep-rankings", lasting=True)
         ranked = staged(plain.select("position").distinct(), "sweep-positions")
         # A few rows a query and list: only these chunks are looked up.
@@ -164,8 +164,7 @@ def evaluate_cells(planned: Sequence[tuple[int, Settings]], documents: DataFrame
             modes[number] = status["mode"]
         corpus = corpus_of(chunks)
         # Hash vectors are worked out by the scan: 128 numbers a chunk take longer to write and read, and as much disk as the texts.
-        whole = corpus if embedder or not vectors else corpus.withColumn("vector", embed_column(F.col("text")))
-        rankings, hits_of = _rankings(whole, questions, [c for _, c in own])
+        rankings, hits_of = _rankings(corpus, questions, [c for _, c in own])
         discard(spark, corpus)
         found.append(rankings.withColumn("index", F.lit(number)))
         texts.append(hits_of.withColumn("index", F.lit(number)))

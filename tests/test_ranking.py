@@ -240,3 +240,17 @@ def test_plans_stay_in_the_jvm(spark):
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
     top = ranking.top_k(spark.range(100).selectExpr("id % 3 AS query_id", "id AS position", "rand(1) AS score"), 4, F.col("position"))
     assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("block", [None, 2])
+def test_a_corpus_without_vectors_is_hashed_by_its_scan(spark, block):
+    """With and without a part that is scanned first, with equal scores, blank texts and blank queries."""
+    docs, queries = texts(31, 80), [*texts(32, 6), "", "absent"]
+    corpus, questions = corpus_of(spark, docs).repartition(5), asked(spark, queries)
+    read = lambda rows: {(r.ranker, r.query_id, r["rank"]): (r.position, round(r.score, 9)) for r in rows.collect()}
+    depths = {"dense": 5, "blended": 3}
+    want = read(ranking.scanned(corpus, questions, depths, block))
+    plain = corpus.drop("vector")
+    assert want and read(ranking.scanned(plain, questions, depths, block)) == want
+    for share in ("position % 3 = 0", "position < 2", "true"):
+        assert read(ranking.scanned(plain, questions, depths, block, part=plain.where(share))) == want
